@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows above which a side is joined by shuffle and not by broadcast (its rows are of a fixed width).
-BROADCAST_ROWS = 200_000
+from ..functions.storage import bounded_broadcast, discard, materialise  # noqa: F401
 
 U64 = np.uint64
 MASK64 = (1 << 64) - 1
@@ -21,43 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where the session names none."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named is None:
-        named = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back: lineage ends and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._materialised_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete what materialise() wrote, once no later job reads it."""
-    path = getattr(df, "_materialised_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most max_rows rows, else df as it is (the join then shuffles).
-
-    The caller passes a materialised table of narrow rows, so that counting reads metadata only.
-    """
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def stage_docs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id long, text string, null text as empty), whatever else docs carries."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

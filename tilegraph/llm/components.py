@@ -1,46 +1,12 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds."""
+"""Connected components of links between documents, always by distributed rounds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import discard, materialise
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round: each node's neighbours (greater ones, or smaller ones and itself) are hung below its smallest neighbour."""
-    both = edges.select("a", "b")
-    if large:
-        both = both.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-    hung = both.join(low, "a")
-    if large:
-        out = hung.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
-    else:
-        out = hung.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
-    return out.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+from ..operators import closure
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for each node that an edge touches; component is the smallest node reachable.
-
-    Rounds run on tables in the shared checkpoint folder and grow with the logarithm of a component's
-    width; no neighbour list is ever built, minima are combined before each shuffle. Nulls and loops are
-    dropped; an empty table gives no rows.
-    """
-    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col("a") != F.col("b")).distinct()
-    now = materialise(now)
-    seen = _state(now)
-    while seen[0]:
-        after = materialise(_star(_star(now, large=True), large=False))
-        discard(now)
-        now, before, seen = after, seen, _state(after)
-        if seen == before:
-            break
-    roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    """(node, component) of each node with a link; no size of the graph brings it to one task or to the driver."""
+    return closure.components(edges, a, b, one_task=0)
