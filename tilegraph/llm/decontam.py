@@ -29,7 +29,7 @@ BLOCK = 16
 SKETCH, RANK = 64, 48
 ITEMS = 2048
 LEAST_WORDS = 8
-COSINE, LCS, ANSWER = 0.5, 0.6, 0.5
+COSINE, LCS, ANSWER = 0.4, 0.6, 0.5
 CHUNK = 1 << 19
 
 
@@ -153,15 +153,26 @@ def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, directions:
     groups = [(n, ks, project([vocabulary.items[k] for k in ks])) for n, ks in groups if ks]
     answers = {k: set(sorted(set(vocabulary.items[k].tolist()), key=lambda t: (-idf[t], t))[: max(3, len(vocabulary.items[k]) // 4)]) for k in usable}
 
+    need = {k: max(1, int(np.ceil(least_answer * len(a)))) for k, a in answers.items()}
+    # answer words to the items that need them
+    pairs = sorted((t, k) for k, a in answers.items() for t in a)
+    of_term = np.asarray([t for t, _ in pairs], dtype=np.int64)
+    of_item = np.asarray([k for _, k in pairs], dtype=np.int64)
+    first_of, n_of = np.searchsorted(of_term, np.arange(size)), np.bincount(of_term, minlength=size)
+    n_items = len(vocabulary.items)
+
+    def reach(k: int) -> int:
+        """Words beside a window that the check of an item takes in."""
+        n = len(vocabulary.items[k])
+        return n if n > 3 * BLOCK else BLOCK // 2
+
     def verify(words, numbers, doc, a, b, k):
-        a, b = max(a - BLOCK // 2, words.bounds[doc]), min(b + BLOCK // 2, words.bounds[doc + 1])
-        item = vocabulary.items[k]
-        if len(item) > 3 * BLOCK:  # longer than what a window surely holds
-            a, b = max(a - len(item), words.bounds[doc]), min(b + len(item), words.bounds[doc + 1])
+        a, b = max(a - reach(k), words.bounds[doc]), min(b + reach(k), words.bounds[doc + 1])
         seen = numbers[a:b]
         seen = seen[seen >= 0].tolist()
-        answer = len(answers[k] & set(seen)) / len(answers[k])
-        return (lcs(item.tolist(), seen) / len(item) if answer >= least_answer else 0.0), answer
+        held = len(answers[k] & set(seen))
+        item = vocabulary.items[k]
+        return (lcs(item.tolist(), seen) / len(item) if held >= need[k] else 0.0), held / len(answers[k])
 
     def run(batches):
         for doc_ids, texts in chunks(batches, CHUNK):
@@ -172,23 +183,46 @@ def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, directions:
                 continue
             numbers = np.full(len(words.hash), -1, dtype=np.int64)
             numbers[at] = term
-            sums = np.zeros((int(first[-1]) + 4, weights.shape[1]), dtype=np.float32)
+            blocks = int(first[-1])
+            # answer words by block, and by block and item
+            rare = n_of[term] > 0
+            rare_block, rare_term = block[at][rare], term[rare]
+            n = n_of[rare_term]
+            item = of_item[np.repeat(first_of[rare_term], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            hit_key, hits = np.unique(np.repeat(rare_block, n) * n_items + item, return_counts=True)
+            hits = np.concatenate(([0], np.cumsum(hits)))
+            answers_before = np.concatenate(([0], np.cumsum(np.bincount(rare_block, minlength=blocks))))
+            sums = np.zeros((blocks + 4, weights.shape[1]), dtype=np.float32)
             cut = np.flatnonzero(np.append(True, np.diff(block[at]) > 0))
             sums[block[at][cut]] = np.add.reduceat(weights[term], cut, axis=0)
             best: dict[tuple[int, int], tuple] = {}
             owner = np.repeat(np.arange(len(doc_ids)), np.diff(first))
             two = sums[:-1] + sums[1:]
             for n, ks, items in groups:
-                window = two if n == 2 else two[:-2] + two[2:]
+                window = two[:blocks] if n == 2 else (two[:-2] + two[2:])[:blocks]
                 # a window near a document's end takes in the next one's first blocks; the check below does not
-                for lo in range(0, len(owner), 4096):
-                    near = _unit(window[lo : lo + 4096][: len(owner) - lo]) @ items.T
-                    for x, y in zip(*(v.tolist() for v in np.nonzero(near >= cosine)), strict=True):
-                        doc, k = int(owner[lo + x]), ks[y]
-                        a = words.bounds[doc] + (lo + x - first[doc]) * BLOCK
+                side = max(-(-reach(k) // BLOCK) for k in ks)
+                lo, hi = np.maximum(np.arange(blocks) - side, 0), np.minimum(np.arange(blocks) + n + side, blocks)
+                # where there are too few answer words for any item, no check can succeed
+                live = np.flatnonzero(answers_before[hi] - answers_before[lo] >= min(need[k] for k in ks))
+                ks = np.asarray(ks)
+                wanted = np.asarray([need[k] for k in ks.tolist()])
+                for part in np.array_split(live, max(1, -(-len(live) // 4096))):
+                    x, y = np.nonzero(_unit(window[part]) @ items.T >= cosine)
+                    x = part[x]
+                    held = np.zeros(len(x), dtype=np.int64)
+                    for step in range(-side, n + side):
+                        b = x + step
+                        key = np.where((b >= 0) & (b < blocks), b * n_items + ks[y], -1)
+                        held += hits[np.searchsorted(hit_key, key, "right")] - hits[np.searchsorted(hit_key, key, "left")]
+                    kept = held >= wanted[y]
+                    for start, k in zip(x[kept].tolist(), ks[y[kept]].tolist(), strict=True):
+                        doc = int(owner[start])
+                        a = words.bounds[doc] + (start - first[doc]) * BLOCK
                         shared, answer = verify(words, numbers, doc, a, a + n * BLOCK, k)
                         if shared >= least_lcs and answer >= least_answer:
-                            best[doc, k] = max(best.get((doc, k), ()), (shared, answer, float(near[x, y])))
+                            v, w = window[start], items[np.searchsorted(ks, k)]
+                            best[doc, k] = max(best.get((doc, k), ()), (shared, answer, float(v @ w / max(np.linalg.norm(v), 1e-12))))
             if best:
                 keys, values = zip(*best.items(), strict=True)
                 cols = [[doc_ids[d] for d, _ in keys], [ids[k] for _, k in keys], *zip(*values, strict=True)]
@@ -205,7 +239,7 @@ def _part(docs: DataFrame, items: list, cosine: float, least_lcs: float, least_a
     size = len(vocabulary.terms)
     counts = {r["term"]: r["n"] for r in docs.mapInArrow(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each word of the items
     df = np.asarray([counts.get(k, 0) for k in range(size)], dtype=float)
-    idf = np.log((counts.get(-1, 0) + 1) / (df + 1)) + 0.05
+    idf = (np.log((counts.get(-1, 0) + 1) / (df + 1)) + 0.05) ** 2  # squared: the latent directions shall tell rare words apart
     omega = np.random.default_rng(7).standard_normal((size, min(SKETCH, size))).astype(np.float32)
     names = [f"c{k}" for k in range(omega.shape[1])]
     summed = docs.mapInArrow(_sketch(vocabulary, idf, omega), ", ".join(["term long", *(f"{c} double" for c in names)])).groupBy("term").agg(*(F.sum(c).alias(c) for c in names)).collect()

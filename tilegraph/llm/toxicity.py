@@ -126,18 +126,19 @@ class Scorer:
         found = [self.arcs.get(word[:n], 0.0) for n in range(SHORTEST, min(len(word), LONGEST) + 1)]
         return max([self.arcs.get(word + "$", 0.0), *found])
 
-    def clause(self, words: list[str]) -> float:
-        total, state, weights = 0.0, 0, []
+    def clause(self, words: list[str], seen: Counter) -> float:
+        """Score of one clause; a word that the text has had n times before counts for one (n + 1)-th."""
+        total, state = 0.0, 0
         for word in words:
             cue = self.cues.get(word)
             weight = 0.0 if cue else self.insult(word)
             symbol = cue or ("insult" if weight else "other")
             state, out, logged = self.grammar.step(state, symbol)
             if out == "insult":
-                total += weight * math.exp(logged)
+                seen[word] += 1
+                total += weight * math.exp(logged) / seen[word]
             elif out == "threatened":
                 total += 3.0 * math.exp(logged)
-            weights.append(weight)
         return total
 
     def features(self, text: str) -> tuple[float, float, float, float]:
@@ -145,7 +146,7 @@ class Scorer:
         low = text.lower()
         n_words = low.count(" ") + low.count("\n") + 1
         total = best = 0.0
-        matched, done = 0, 0
+        matched, done, seen = 0, 0, Counter()
         if len(self.search):
             for end, word in self.search.iter(low):
                 start = end - len(word) + 1
@@ -156,7 +157,7 @@ class Scorer:
                 b = stop.start() if stop else min(len(low), end + 400)
                 while b < len(low) and low[b].isalpha():
                     b += 1
-                score = self.clause(_WORDS.findall(low, a, b))
+                score = self.clause(_WORDS.findall(low, a, b), seen)
                 done = b
                 if score > 0:
                     total, matched, best = total + score, matched + 1, max(best, score)
