@@ -8,8 +8,9 @@ weighted Jaccard similarity. Points are drawn in order of time and stop at the l
 
 Documents with the same words are one class from the start. Signatures are banded; in each bucket the
 members are verified against the smallest and the largest one (no pairs are expanded), links are closed
-into components, and only buckets that still hold several components are looked at again, block by block,
-with the stored registers, before any text is compared. Every link rests on the exact multiset overlap.
+into components, and only buckets that still hold several components are looked at again: the stored registers
+say which of their members may still link, and those are compared block by block while their components
+are apart. Every link rests on the exact multiset overlap.
 
 Defined cases: null or wordless text links with nothing; texts of one to four words have one shingle and
 link with equal word sequences only; repeated rows and ties take the smallest doc_id; an empty table gives
@@ -24,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.closure import union_find
 from .common import U64, Words, chunks, int64, materialise, mix64, stage_docs
 from .components import components
 
 REGISTERS, ROWS = 96, 4
 BANDS = REGISTERS // ROWS
-BLOCK = 64
+BLOCK = 1024
+TEXT_BLOCK = 256
 CHUNK = 1 << 20
 
 
@@ -142,29 +145,89 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), "a long, b long")
 
 
-def _plausible(threshold: float):
-    """Cross-component pairs within a block pair whose registers do not rule the threshold out."""
+def _candidates(n, reg, comp, threshold: float):
+    """For each row in turn, the later rows of other components whose sizes and registers do not rule the threshold out."""
     # of REGISTERS draws at the threshold, fewer agree than this once in some ten million cases
     least = REGISTERS * threshold - 5.2 * np.sqrt(REGISTERS * threshold * (1 - threshold))
 
+    def of(x: int, others: np.ndarray) -> np.ndarray:
+        others = others[comp[others] != comp[x]]
+        others = others[np.minimum(n[others], n[x]) >= threshold * np.maximum(n[others], n[x])]
+        return others[(reg[others] == reg[x]).sum(axis=1) >= least]
+
+    return of
+
+
+def _columns(table, *names):
+    out = [table.column(c).to_numpy() for c in names]
+    return *out, np.frombuffer(b"".join(table.column("registers").to_pylist()), dtype=np.uint16).reshape(len(table), -1)
+
+
+def _pairs_of_blocks(block, i, j):
+    """(row, later rows or rows of the other block) of a block pair."""
+    rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    for k, x in enumerate(rows.tolist()):
+        yield x, cols[k + 1 :] if i == j else cols
+
+
+def _plausible(threshold: float):
+    """Trees over the cross-component pairs of a block pair that the registers do not rule out; no pair list leaves the kernel."""
+
     def run(key, table):
         i, j = key[1].as_py(), key[2].as_py()
-        doc, comp, block, n = (table.column(c).to_numpy() for c in ("doc_id", "component", "block", "n_shingles"))
-        reg = np.frombuffer(b"".join(table.column("registers").to_pylist()), dtype=np.uint16).reshape(len(doc), -1)
-        rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for x in rows.tolist():
-            ys = cols[doc[cols] > doc[x]] if i == j else cols
-            ys = ys[comp[ys] != comp[x]]
-            ys = ys[np.minimum(n[ys], n[x]) >= threshold * np.maximum(n[ys], n[x])]
-            ys = ys[(reg[ys] == reg[x]).sum(axis=1) >= least]
-            a += np.minimum(doc[ys], doc[x]).tolist()
-            b += np.maximum(doc[ys], doc[x]).tolist()
-        return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
+        doc, comp, block, n, reg = _columns(table, "doc_id", "component", "block", "n_shingles")
+        of, a, b = _candidates(n, reg, comp, threshold), [], []
+        for x, others in _pairs_of_blocks(block, i, j):
+            near = of(x, others)
+            a.append(np.full(len(near), x))
+            b.append(near)
+        a, b = np.concatenate([*a, []]).astype(np.int64), np.concatenate([*b, []]).astype(np.int64)
+        nodes, roots = union_find(a, b)
+        return pa.table({"a": doc[nodes], "b": doc[roots]})
 
     return run
 
 
+def _verify_blocks(threshold: float):
+    """Links between components found in a block pair; a pair is compared only while its components are apart."""
+
+    def run(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        doc, comp, block, n, reg = _columns(table, "doc_id", "component", "block", "n_shingles")
+        of, texts = _candidates(n, reg, comp, threshold), table.column("text").to_pylist()
+        sets: dict[int, tuple] = {}
+        leader: dict[int, int] = {}
+
+        def find(c):
+            while leader.get(c, c) != c:
+                c = leader[c] = leader.get(leader[c], leader[c])
+            return c
+
+        def of_row(x):
+            if x not in sets:
+                sets[x] = _multiset(texts[x])
+            return sets[x]
+
+        out_a, out_b = [], []
+        for x, others in _pairs_of_blocks(block, i, j):
+            for y in of(x, others).tolist():
+                p, q = find(int(comp[x])), find(int(comp[y]))
+                if p != q and _shared(of_row(x), of_row(y)) >= threshold:
+                    leader[max(p, q)] = min(p, q)
+                    out_a.append(int(doc[x]))
+                    out_b.append(int(doc[y]))
+        return pa.table({"a": pa.array(out_a, type=pa.int64()), "b": pa.array(out_b, type=pa.int64())})
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
+    """rows dealt to pairs of blocks (i, j) of their group: each row stands once in the pairs of its block."""
+    blocks = F.ceil(F.col(size) / block).cast("long")
+    out = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("long")).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return out.withColumns({"i": F.least("block", "__other"), "j": F.greatest("block", "__other")}).drop("__other")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Per document: doc_id, class_id (smallest doc_id that copies and links of overlap >= threshold reach), n_shingles, copies, kept."""
     docs = stage_docs(docs)
@@ -184,12 +247,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     found = components(linked)
     placed = members.where("size > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n_shingles", "size", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("band")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    again = placed.join(mixed, "band").join(signed.select("doc_id", "registers"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("long"))
-    again = again.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
-    again = again.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "n_shingles", "component", "registers")
-    more = again.groupBy("band", "i", "j").applyInArrow(_plausible(threshold), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    late = materialise(_links(more, texts, threshold))
+    open_ = placed.join(mixed, "band").join(signed.select("doc_id", "registers"), "doc_id").select("band", "doc_id", "n_shingles", "size", "component", "registers")
+    trees = _in_blocks(open_, "band", "size", BLOCK).groupBy("band", "i", "j").applyInArrow(_plausible(threshold), "a long, b long")
+    groups = materialise(components(trees).select(F.col("node").alias("doc_id"), F.col("component").alias("group")))
+    groups = groups.join(groups.groupBy("group").agg(F.count("*").alias("size")), "group")
+    rows = groups.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(signed.select("doc_id", "n_shingles", "registers"), "doc_id").join(texts, "doc_id")
+    rows = rows.select("group", "size", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles", "registers", "text")
+    late = materialise(_in_blocks(rows, "group", "size", TEXT_BLOCK).groupBy("group", "i", "j").applyInArrow(_verify_blocks(threshold), "a long, b long"))
     closed = components(linked.unionByName(late)) if not late.isEmpty() else found
     return named.join(closed.withColumnRenamed("node", "first"), "first", "left").select("doc_id", F.coalesce("component", "first").alias("class_id"), "n_shingles", "copies", (F.coalesce("component", "first") == F.col("doc_id")).alias("kept"))
 
