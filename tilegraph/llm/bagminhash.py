@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.closure import union_find
-from .common import U64, Words, chunks, int64, materialise, mix64, stage_docs
+from .common import U64, Words, bounded_broadcast, chunks, int64, materialise, mix64, stage_docs
 from .components import components
 
 REGISTERS, ROWS = 96, 4
 BANDS = REGISTERS // ROWS
 BLOCK = 1024
 TEXT_BLOCK = 256
+#: Ids (8 bytes each) up to which texts are fetched by a broadcast; more are fetched by a shuffle.
+BROADCAST_IDS = 1_000_000
 CHUNK = 1 << 20
 
 
@@ -240,7 +242,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     banded = signed.join(leaders, "doc_id", "left_semi").select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     sized = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("size > 1")
     members = materialise(banded.join(sized, "band").select("band", "doc_id", "n_shingles", "size", "low", "high"))
-    texts = materialise(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+    wanted = bounded_broadcast(materialise(members.select("doc_id").distinct()), BROADCAST_IDS)
+    texts = materialise(docs.join(wanted, "doc_id", "left_semi"))
     star = members.where("doc_id > low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).unionByName(members.where("doc_id < high and doc_id > low").select(F.col("doc_id").alias("a"), F.col("high").alias("b"))).distinct()
     star = materialise(star)
     linked = materialise(_links(star, texts, threshold))
