@@ -79,7 +79,7 @@ def pass_totals(events: DataFrame) -> DataFrame:
     """By tile, ordered lists over passes of masks generated, masks added and coverage, and their totals."""
     listed = F.array_sort(F.collect_list(F.struct("pass", "generated", "added", "coverage")))
     out = events.groupBy("tile_row", "tile_col").agg(listed.alias("p"), F.sum("filtered_overlap").alias("masks_filtered_overlap"), F.sum("filtered_small").alias("masks_filtered_small"))
-    lists = {name: F.transform("p", lambda e, n=n: e[n]) for name, n in (("masks_generated_per_pass", "generated"), ("masks_per_pass", "added"), ("coverage_per_pass", "coverage"))}
+    lists = {name: F.col("p").getField(n) for name, n in (("masks_generated_per_pass", "generated"), ("masks_per_pass", "added"), ("coverage_per_pass", "coverage"))}
     return out.withColumns(lists | {"total_masks": F.aggregate("p", F.lit(0).cast("long"), lambda s, e: s + e["added"])}).drop("p")
 
 
