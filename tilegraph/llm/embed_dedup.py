@@ -54,15 +54,15 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def encode(u: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes (signs over root of size), correction factors, and the bucket number in each table."""
+def encode(u: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (signs over root of size), correction factors, the vectors as the code sees them, and the bucket number in each table."""
     size = u.shape[1]
     turned = u @ rotations(size, -(-bits * tables // size))
     code = np.where(turned[:, :size] >= 0, 1.0, -1.0) / math.sqrt(size)
     factor = np.einsum("ij,ij->i", code, turned[:, :size])
     sign = (turned[:, : bits * tables] >= 0).reshape(len(u), tables, bits)
     bucket = (sign * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
-    return code, factor, bucket
+    return code, factor, turned[:, :size], bucket
 
 
 def _matrix(column) -> np.ndarray:
@@ -84,7 +84,7 @@ def _buckets(bits: int, tables: int):
             for rows in _by_size(batch, 2):
                 part = batch.take(pa.array(rows))
                 u = unit(_matrix(part.column(2)))
-                _, _, bucket = encode(u, bits, tables)
+                *_, bucket = encode(u, bits, tables)
                 label = part.column(1).to_numpy().astype(np.int64).view(U64)
                 key = mix64(mix64(label ^ U64(u.shape[1] << 40))[:, None] ^ (bucket.astype(U64) | (np.arange(1, tables + 1, dtype=U64) << U64(32))))
                 band = np.tile(np.arange(tables, dtype=np.int32), len(part))
@@ -108,7 +108,7 @@ def _join_trees(count: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _compare(bits: int, tables: int, threshold: float):
     spread = math.sqrt(1 - threshold * threshold)
 
-    def group(ids, weight, block, u, code, factor, bucket, band, i, j):
+    def group(ids, weight, block, u, code, factor, turned, bucket, band, i, j):
         rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
         if not len(rows) or not len(cols):
             return None
@@ -119,7 +119,7 @@ def _compare(bits: int, tables: int, threshold: float):
             open_ &= bucket[rows, b][:, None] != bucket[cols, b][None, :]
             if not open_.any():
                 return None
-        estimate = (code[rows] @ u[cols].T) / factor[rows][:, None]
+        estimate = (code[rows] @ turned[cols].T) / factor[rows][:, None]
         error = spread * np.sqrt(np.maximum(1 - factor[rows] ** 2, 0)) / factor[rows]
         open_ &= estimate >= (threshold - error - 1e-9)[:, None]
         x, y = np.nonzero(open_)
@@ -141,10 +141,10 @@ def _compare(bits: int, tables: int, threshold: float):
     def handle(batch):
         key, i, j, ids, block, band, weight = (batch.column(c).to_numpy() for c in range(7))
         u = unit(_matrix(batch.column(7)))
-        code, factor, bucket = encode(u, bits, tables)
+        code, factor, turned, bucket = encode(u, bits, tables)
         cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True):
-            got = group(ids[a:b], weight[a:b], block[a:b], u[a:b], code[a:b], factor[a:b], bucket[a:b], int(band[a]), i[a], j[a])
+            got = group(ids[a:b], weight[a:b], block[a:b], u[a:b], code[a:b], factor[a:b], turned[a:b], bucket[a:b], int(band[a]), i[a], j[a])
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["id", "links", "root"])
 
