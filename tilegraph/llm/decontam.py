@@ -29,6 +29,8 @@ BLOCK = 16
 SKETCH, RANK = 64, 48
 ITEMS = 2048
 LEAST_WORDS = 8
+#: Share of the corpus' blocks above which a word counts as a function word, without weight.
+STOP = 0.03
 COSINE, LCS, ANSWER = 0.4, 0.6, 0.5
 CHUNK = 1 << 19
 
@@ -95,6 +97,8 @@ def _sketch(vocabulary: Vocabulary, idf: np.ndarray, omega: np.ndarray):
             words = Words(texts)
             _, block = _blocks(words, 2 * BLOCK)
             at, term = vocabulary.number(words.hash)
+            told = idf[term] > 0
+            at, term = at[told], term[told]
             if not len(at):
                 continue
             row, col, value, head = _rows(block[at], term, idf, size)
@@ -193,8 +197,11 @@ def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, directions:
             hits = np.concatenate(([0], np.cumsum(hits)))
             answers_before = np.concatenate(([0], np.cumsum(np.bincount(rare_block, minlength=blocks))))
             sums = np.zeros((blocks + 4, weights.shape[1]), dtype=np.float32)
-            cut = np.flatnonzero(np.append(True, np.diff(block[at]) > 0))
-            sums[block[at][cut]] = np.add.reduceat(weights[term], cut, axis=0)
+            told = idf[term] > 0
+            if told.any():
+                at, term = at[told], term[told]
+                cut = np.flatnonzero(np.append(True, np.diff(block[at]) > 0))
+                sums[block[at][cut]] = np.add.reduceat(weights[term], cut, axis=0)
             best: dict[tuple[int, int], tuple] = {}
             owner = np.repeat(np.arange(len(doc_ids)), np.diff(first))
             two = sums[:-1] + sums[1:]
@@ -240,6 +247,7 @@ def _part(docs: DataFrame, items: list, cosine: float, least_lcs: float, least_a
     counts = {r["term"]: r["n"] for r in docs.mapInArrow(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each word of the items
     df = np.asarray([counts.get(k, 0) for k in range(size)], dtype=float)
     idf = (np.log((counts.get(-1, 0) + 1) / (df + 1)) + 0.05) ** 2  # squared: the latent directions shall tell rare words apart
+    idf[df > STOP * counts.get(-1, 0)] = 0.0
     omega = np.random.default_rng(7).standard_normal((size, min(SKETCH, size))).astype(np.float32)
     names = [f"c{k}" for k in range(omega.shape[1])]
     summed = docs.mapInArrow(_sketch(vocabulary, idf, omega), ", ".join(["term long", *(f"{c} double" for c in names)])).groupBy("term").agg(*(F.sum(c).alias(c) for c in names)).collect()
