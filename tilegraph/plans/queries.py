@@ -199,9 +199,9 @@ def threshold_schedule(spark, sf_dir):
     return zonal.threshold_schedule(spark.range(60).withColumnRenamed("id", "pass"), "pass", 0.93, 0.6, 0.01).select("pass", *_r("threshold"))
 
 
-@_query(f"""WITH {F1}, {F3}, s AS (SELECT scene, pass AS t, coverage AS used, ntile(5) OVER (ORDER BY scene, pass) AS fifth FROM f3)
-SELECT round(min(used), 6) AS min, round(max(used), 6) AS max, round(avg(used), 6) AS avg, round(avg(CASE WHEN fifth = 5 THEN used END) - avg(CASE WHEN fifth = 1 THEN used END), 6) AS growth,
-  coalesce(avg(CASE WHEN fifth = 5 THEN used END) - avg(CASE WHEN fifth = 1 THEN used END) > 1000, FALSE) AS warn FROM s""".replace("pass AS t,", ""))
+@_query(f"""WITH {F1}, {F3}, s AS (SELECT scene, coverage AS used, ntile(5) OVER (ORDER BY scene, pass) AS fifth FROM f3)
+SELECT round(min(used), 6) AS min, round(max(used), 6) AS max, round(avg(used), 6) AS avg, CASE WHEN count(*) > 10 THEN round(avg(CASE WHEN fifth = 5 THEN used END) - avg(CASE WHEN fifth = 1 THEN used END), 6) END AS growth,
+  coalesce(count(*) > 10 AND avg(CASE WHEN fifth = 5 THEN used END) - avg(CASE WHEN fifth = 1 THEN used END) > 1000, FALSE) AS warn FROM s""")
 def growth_check(spark, sf_dir):
     """A monitor's series: the extremes and the drift from its first fifth to its last."""
     s = fx.coverage_series(spark, sf_dir).select((F.col("scene") * 1000 + F.col("pass")).alias("t"), F.col("coverage").alias("used"))
