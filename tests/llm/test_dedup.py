@@ -144,6 +144,9 @@ def test_near_duplicates(spark):
     kept = bagminhash.drop_near_duplicates(docs_of(spark, texts))
     assert kept.columns == docs_of(spark, []).columns and {r["doc_id"] for r in kept.collect()} == set(want)
     assert bagminhash.near_duplicates(docs_of(spark, [])).count() == 0
+    few = docs_of(spark, texts[:3] + [None])
+    twice = bagminhash.drop_near_duplicates(few.union(few))
+    assert sorted(r["doc_id"] for r in twice.collect()) == [0, 1, 2, 3]
 
 
 def test_signatures_are_unbiased():

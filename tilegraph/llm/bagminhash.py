@@ -262,6 +262,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """docs without all but the first document of each class; columns stay as they are."""
-    keep = near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("__kept_doc"))
-    return docs.join(keep, docs["doc_id"] == keep["__kept_doc"], "left_semi")
+    """docs without all but the first document of each class; columns stay as they are.
+
+    Rows of one doc_id are one document: of those with equal text one stays, others stay together.
+    """
+    kept = materialise(near_duplicates(docs, threshold).where("kept").groupBy(F.col("doc_id").alias("__kept_doc")).agg(F.count("*").alias("__rows")))
+
+    def of(keep: DataFrame) -> DataFrame:
+        return docs.join(keep, docs["doc_id"] == keep["__kept_doc"], "left_semi")
+
+    again = kept.where("__rows > 1")
+    if again.isEmpty():
+        return of(kept)
+    return of(kept.where("__rows = 1")).unionByName(of(again).dropDuplicates(["doc_id", "text"]))
