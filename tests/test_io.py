@@ -216,3 +216,23 @@ def test_arrivals(spark, tmp_path):
         assert store.pixels().count() == px.where(" or ".join(f"({r})" for r in ("x < 2 and y < 2", "x >= 2 and y < 2", "y >= 2")[: k + 1])).count()
     want = {tuple(r) for r in seams.relabel_table(seams.chosen(px, 2)).collect()}
     assert {tuple(r) for r in store.relabel_table().collect()} == want
+
+
+@pytest.mark.parametrize("mode", ["ram", "disk", "auto"])
+def test_mosaic(spark, mode):
+    from tilegraph.sources.mosaic import BLOCK, Mosaic
+
+    m = Mosaic(spark, 4, 2, 2, mode)
+    m.write_tiles(spark.createDataFrame([(0, 0, [1, 1, 1, 0]), (0, 1, [2, 2, 0, 3])], BLOCK))
+    before = m.copy()
+    m.write_tiles(spark.createDataFrame([(0, 1, [5, 5, 5, 5])], BLOCK))
+    assert m.shape == (2, 4) and m.blocks().count() == 2
+    got = {(r["x"], r["y"]): r["label"] for r in m.read().collect()}
+    assert got == {(0, 0): 1, (1, 0): 1, (0, 1): 1, (1, 1): 0, (2, 0): 5, (3, 0): 5, (2, 1): 5, (3, 1): 5}
+    assert {r["label"] for r in before.read().where("x >= 2").collect()} == {0, 2, 3}
+    m.update(spark.createDataFrame([(x, y, 9 if x else 0) for x in range(4) for y in range(2)], "x int, y int, label long"))
+    assert {r["label"] for r in m.read().where("x > 0").collect()} == {9}
+    m.close()
+    assert m.blocks().count() == 0
+    with pytest.raises(ValueError):
+        Mosaic(spark, 4, 2, 2, "tape")
