@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -29,15 +31,31 @@ def materialise(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._materialised_path = path
+    _written.append((spark, path))
     return out
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _clean_up() -> None:
+    """When the application ends, the tables that it wrote go."""
+    for spark, path in _written:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            _delete(spark, path)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete what materialise() wrote, once no later job reads it."""
     path = getattr(df, "_materialised_path", None)
     if path:
-        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
