@@ -139,7 +139,7 @@ def scene():
 OPTIONS = {"tile_size": 48, "padding": 8, "points_per_side": 12, "min_mask_area": 20, "simplify_tolerance": 0.0, "save_geopackage": True}
 
 
-@pytest.mark.parametrize("edge", ["reference", "cover"])
+@pytest.mark.parametrize("edge", ["whole", "cover"])
 def test_pipeline(spark, tmp_path, edge):
     write_image(tmp_path / "s.tif", scene(), 32723, (1.0, 0.0, 0.0, 0.0, -1.0, 96.0))
     result = segment_with(spark, str(tmp_path / "s.tif"), str(tmp_path / "out"), **OPTIONS, tile_edge=edge)
@@ -167,8 +167,8 @@ def test_numbering_equals_serial_processing(spark, tmp_path):
     proposer, offset = multipass.FloodProposer(min_area=20), 0
     for row in range(2):
         for col in range(3):
-            x, cx, w = raster_source.axis(col, 3, 144, 48, 8, "reference")
-            y, cy, h = raster_source.axis(row, 2, 96, 48, 8, "reference")
+            x, cx, w = raster_source.axis(col, 3, 144, 48, 8, "whole")
+            y, cy, h = raster_source.axis(row, 2, 96, 48, 8, "whole")
             labels, _ = multipass.run_tile(scene()[y : y + h, x : x + w], proposer, c.segmentation, c.threshold, 20)
             useful = labels[cy : cy + 48, cx : cx + 48]
             assert all(got[col * 48 + i, row * 48 + j] == (v + offset if v else 0) for (j, i), v in np.ndenumerate(useful))

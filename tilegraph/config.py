@@ -11,7 +11,7 @@ UNSET = object()
 class Tile:
     size: int = 1000
     padding: int = 50
-    edge: str = "reference"
+    edge: str = "whole"
 
     @property
     def padded_size(self) -> int:
@@ -79,7 +79,7 @@ class Config:
         rules = [
             (t.size > 0, "tile.size must be positive"),
             (t.padding >= 0, "tile.padding must not be negative"),
-            (t.edge in ("reference", "cover"), "tile.edge must be reference or cover"),
+            (t.edge in ("whole", "cover"), "tile.edge must be whole or cover"),
             (0 < h.iou_end <= h.iou_start <= 1, "threshold.iou_end and iou_start must rise within (0, 1]"),
             (0 < h.stability_end <= h.stability_start <= 1, "threshold.stability_end and stability_start must rise within (0, 1]"),
             (h.step > 0, "threshold.step must be positive"),
@@ -133,7 +133,7 @@ FLAT: dict[str, tuple[str | None, str]] = {
 def from_dict(data: dict | None) -> Config:
     """A Config from nested options; absent ones keep their defaults, unknown ones are an error."""
     data = dict(data or {})
-    checkpoint = data.pop("sam_checkpoint", data.pop("checkpoint", None))
+    checkpoint = data.pop("checkpoint", None)
     parts = {}
     for group, values in data.items():
         if group not in GROUPS:

@@ -6,27 +6,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-EDGES = ("reference", "cover")
+EDGES = ("whole", "cover")
 
 
-def grid_size(width: int, height: int, tile: int, edge: str = "reference") -> tuple[int, int, int]:
-    """(columns, rows, tiles). `reference` keeps whole tiles only; `cover` adds a ragged last column and row."""
+def grid_size(width: int, height: int, tile: int, edge: str = "whole") -> tuple[int, int, int]:
+    """(columns, rows, tiles). `whole` keeps whole tiles only; `cover` adds a ragged last column and row."""
     if tile <= 0 or edge not in EDGES:
         raise ValueError(f"tile must be positive and edge one of {EDGES}")
-    count = (lambda n: n // tile) if edge == "reference" else (lambda n: -(-n // tile))
+    count = (lambda n: n // tile) if edge == "whole" else (lambda n: -(-n // tile))
     cols, rows = count(width), count(height)
     return cols, rows, cols * rows
 
 
-def tiles(spark: SparkSession, width: int, height: int, tile: int, edge: str = "reference") -> DataFrame:
+def tiles(spark: SparkSession, width: int, height: int, tile: int, edge: str = "whole") -> DataFrame:
     """(tile_row, tile_col) in row-major order; a raster smaller than one tile is an error."""
     cols, _, total = grid_size(width, height, tile, edge)
     if total == 0:
         raise ValueError(f"a raster of {width} x {height} has no tile of {tile}")
-    return spark.range(total).select((F.col("id").cast("int") / cols).cast("int").alias("tile_row"), (F.col("id") % cols).cast("int").alias("tile_col"))
+    return spark.range(total).select(F.expr(f"cast(id div {cols} as int)").alias("tile_row"), (F.col("id") % cols).cast("int").alias("tile_col"))
 
 
-def axis_window(k: Column, n: int, size: int, tile: int, padding: int, edge: str = "reference") -> tuple[Column, Column]:
+def axis_window(k: Column, n: int, size: int, tile: int, padding: int, edge: str = "whole") -> tuple[Column, Column]:
     """(read origin, crop offset) of tile k of n along one axis of `size` pixels.
 
     The first tile begins at 0; the last one reads the last tile + 2 * padding pixels, so its useful area
@@ -42,16 +42,19 @@ def axis_window(k: Column, n: int, size: int, tile: int, padding: int, edge: str
     return start.cast("int"), crop.cast("int")
 
 
-def windows(spark: SparkSession, width: int, height: int, tile: int, padding: int, edge: str = "reference") -> DataFrame:
+def windows(spark: SparkSession, width: int, height: int, tile: int, padding: int, edge: str = "whole") -> DataFrame:
     """tiles() with read_x, read_y, crop_x, crop_y, the read size, and write_x, write_y of the useful area."""
     cols, rows, _ = grid_size(width, height, tile, edge)
     out = tiles(spark, width, height, tile, edge)
     rx, cx = axis_window(F.col("tile_col"), cols, width, tile, padding, edge)
     ry, cy = axis_window(F.col("tile_row"), rows, height, tile, padding, edge)
-    reach = tile + 2 * padding
     out = out.withColumns({"read_x": rx, "read_y": ry, "crop_x": cx, "crop_y": cy})
-    size = (lambda at, n: F.least(F.lit(reach), n - at)) if edge == "reference" else (lambda at, n: F.least(F.lit(tile) + padding + F.least(at + 0, F.lit(padding)), n - at))
-    return out.withColumns({"read_w": size(F.col("read_x"), width).cast("int"), "read_h": size(F.col("read_y"), height).cast("int"), "write_x": (F.col("tile_col") * tile).cast("int"), "write_y": (F.col("tile_row") * tile).cast("int")})
+
+    def length(at: str, crop: str, n: int) -> Column:
+        reach = F.lit(tile + 2 * padding) if edge == "whole" else F.col(crop) + tile + padding
+        return F.least(reach, n - F.col(at)).cast("int")
+
+    return out.withColumns({"read_w": length("read_x", "crop_x", width), "read_h": length("read_y", "crop_y", height), "write_x": (F.col("tile_col") * tile).cast("int"), "write_y": (F.col("tile_row") * tile).cast("int")})
 
 
 def label_offsets(per_tile: DataFrame, order: tuple[str, ...] = ("tile_row", "tile_col"), group: tuple[str, ...] = ()) -> DataFrame:

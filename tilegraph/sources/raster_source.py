@@ -36,7 +36,7 @@ class TiffReader(DataSourceReader):
         self.header = read_header(self.path)
         self.tile = int(options.get("tile", max(self.header.width, self.header.height)))
         self.padding = int(options.get("padding", 0))
-        self.edge = options.get("edge", "cover" if "tile" not in options else "reference")
+        self.edge = options.get("edge", "cover" if "tile" not in options else "whole")
         if self.edge not in EDGES:
             raise ValueError(f"edge must be one of {EDGES}")
         self.bands = [int(b) for b in options["bands"].split(",")] if options.get("bands") else None
@@ -76,7 +76,7 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TiffSource)
 
 
-def read_tiles(spark: SparkSession, path: str, tile: int, padding: int = 0, bands: list[int] | None = None, edge: str = "reference") -> DataFrame:
+def read_tiles(spark: SparkSession, path: str, tile: int, padding: int = 0, bands: list[int] | None = None, edge: str = "whole") -> DataFrame:
     """The padded windows of an image's tiles, raw samples in `data`."""
     register(spark)
     reader = spark.read.format("tilegraph_tiff").option("tile", tile).option("padding", padding).option("edge", edge)
