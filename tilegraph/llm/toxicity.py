@@ -183,28 +183,48 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
-def learn_arcs(sample: list[tuple[str, int]]) -> dict[str, float]:
-    """Word beginnings and whole words ("word$") whose rate in toxic texts is surely higher, with the log of the ratio."""
-    counts = [defaultdict(int), defaultdict(int)]
-    held = [defaultdict(int), defaultdict(int)]
-    words = [1, 1]
-    for text, label in sample:
+class Tally:
+    """By label: words in all, occurrences of each word beginning and whole word ("word$"), and texts that hold it."""
+
+    def __init__(self):
+        self.words = [1, 1]
+        self.counts: list[dict] = [defaultdict(int), defaultdict(int)]
+        self.held: list[dict] = [defaultdict(int), defaultdict(int)]
+
+    def copy(self) -> Tally:
+        out = Tally()
+        out.words, out.counts, out.held = list(self.words), [dict(c) for c in self.counts], [dict(h) for h in self.held]
+        return out
+
+    def add(self, text: str, label: int) -> None:
         bag = Counter(_WORDS.findall(text.lower()))
-        words[label] += sum(bag.values())
-        features: Counter = Counter()
+        self.words[label] += sum(bag.values())
+        features: dict[str, int] = defaultdict(int)
         for word, n in bag.items():
             features[word + "$"] += n
             for size in range(SHORTEST + 1, min(len(word), LONGEST) + 1):
                 features[word[:size]] += n
+        counts, held = self.counts[label], self.held[label]
         for f, n in features.items():
-            counts[label][f] += n
-            held[label][f] += 1
+            counts[f] += n
+            held[f] += 1
+
+
+def arcs_of(tally: Tally, less: Tally | None = None) -> dict[str, float]:
+    """Features whose rate in toxic texts is surely higher, with the log of the ratio; `less` is taken off the tally first."""
+
+    def rest(whole, part, f):
+        return whole.get(f, 0) - (part.get(f, 0) if part is not None else 0)
+
+    counts, held, words = ((getattr(tally, k), getattr(less, k) if less else (None, None)) for k in ("counts", "held", "words"))
+    total = [words[0][k] - (words[1][k] - 1 if less else 0) for k in (0, 1)]
     arcs: dict[str, float] = {}
-    for f, n in counts[1].items():
-        if held[1][f] < 5:
+    for f in counts[0][1]:
+        toxic = rest(held[0][1], held[1][1], f)
+        if toxic < 5:
             continue
-        ratio = math.log((n + 0.5) / words[1]) - math.log((counts[0].get(f, 0) + 0.5) / words[0])
-        if ratio - ERRORS * math.sqrt(1 / (held[1][f] + 0.5) + 1 / (held[0].get(f, 0) + 0.5)) >= LEAST:
+        ratio = math.log((rest(counts[0][1], counts[1][1], f) + 0.5) / total[1]) - math.log((rest(counts[0][0], counts[1][0], f) + 0.5) / total[0])
+        if ratio - ERRORS * math.sqrt(1 / (toxic + 0.5) + 1 / (rest(held[0][0], held[1][0], f) + 0.5)) >= LEAST:
             arcs[f] = ratio
     for f in list(arcs):  # an arc that a shorter one says as strongly is not needed
         stem = f.rstrip("$")
@@ -225,11 +245,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     texts = docs.select("doc_id", "text").where(F.length("text") <= LONGEST_LEARNED)
     rows = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(sample).collect()  # bounded by `sample`
     pairs = [(r["text"] or "", int(r["toxic"] > 0)) for r in rows]
-    # arcs from one half, the logistic layer from both: arcs must not be judged on their own evidence alone
-    arcs = learn_arcs(pairs)
+    tally = Tally()
+    for text, label in pairs[0::2]:
+        tally.add(text, label)
+    half = arcs_of(tally)
+    first = tally.copy()
+    for text, label in pairs[1::2]:
+        tally.add(text, label)
+    arcs = arcs_of(tally)
     if not arcs or len({y for _, y in pairs}) < 2:
         return arcs, np.array([-3.0, 1.5, 0.5, 0.5, 0.5, 0.0, 0.0])
-    halves = [(learn_arcs(pairs[k::2]), pairs[1 - k :: 2]) for k in (0, 1)]
+    # arcs of one half, features of the other: arcs must not be judged on the evidence that they are from
+    halves = [(half, pairs[1::2]), (arcs_of(tally, first), pairs[0::2])]
     if all(a for a, _ in halves) and len(pairs) >= 400:
         x = [Scorer(a).features(t) for a, part in halves for t, _ in part]
         y = [label for _, part in halves for _, label in part]
