@@ -189,3 +189,50 @@ def test_merging_keeps_support_and_is_idempotent(spark):
     assert merged.where("label > 0").count() == px.where("label > 0").count()
     table = seams.relabel_table(seams.chosen(px, 2))
     assert as_rows(seams.apply_relabel(merged, table)) == as_rows(merged)
+
+
+def test_pixel_functions(spark):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from tilegraph.functions import raster
+
+    one = spark.createDataFrame([([7], [1, 2, 3, 4], [9, 8], [0, 1])], "a array<int>, b array<int>, v array<int>, m array<int>")
+    row = one.select(raster.to_rgb(F.col("a")).alias("a"), raster.to_rgb(F.col("b")).alias("b"), raster.black_mask_array(F.col("v"), F.col("m")).alias("v")).first()
+    assert (row["a"], row["b"], row["v"]) == ([7, 7, 7], [1, 2, 3], [9, 0])
+    with pytest.raises(PySparkException):
+        one.select(raster.to_rgb(F.col("v"))).collect()
+    with pytest.raises(ValueError):
+        raster.to_uint8(F.col("v"), "int64")
+    with pytest.raises(ValueError):
+        raster.to_uint8(F.col("v"), "uint16")
+    mixed = spark.range(3).select(raster.colour(F.col("id")).alias("c"), raster.blended(F.array(F.lit(100), F.lit(50), F.lit(0)), F.col("id")).alias("b")).collect()
+    assert mixed[0]["c"] == [0, 0, 0] and mixed[0]["b"] == [50, 25, 0]
+    assert mixed[1]["c"] != mixed[2]["c"] and all(0 <= v <= 255 for r in mixed for v in r["c"])
+
+
+def test_thresholds_of_recorded_series(spark):
+    series = [31.8, 35.8, 36.9, 37.0, 37.05, 39.8, 99.2]
+    steps = multipass.decay(series, Threshold(), 99.0)
+    assert [round(s[0], 2) for s in steps] == [0.93, 0.93, 0.93, 0.93, 0.92, 0.92, 0.92] and steps[-1][2]
+    assert multipass.decay([50.0, 50.0], Threshold(), 99.0, adaptive=False) == [(0.93, 0.93, False)] * 2
+    assert multipass.decay([50.0, 60.0], Threshold(), 99.0, added=[1, 0])[1][0] == pytest.approx(0.92)
+    rows = spark.createDataFrame([(0.93,), (0.925,), (0.6,), (0.6,)], "final_iou double")
+    assert zonal.threshold_map(rows).first()[0][0.6] == 2
+
+
+def test_growth_needs_samples(spark):
+    rows = spark.createDataFrame([(t, 100.0 + (5000.0 if t > 15 else 0.0)) for t in range(20)], "t int, used double")
+    row = zonal.growth_check(rows).first()
+    assert (row["growth"], row["warn"]) == (5000.0, True)
+    assert zonal.growth_check(rows.where("t < 10")).first()["growth"] is None
+
+
+def test_clustered_points_stay_valid():
+    rng = np.random.default_rng(2)
+    valid = rng.random((40, 50)) < 0.3
+    pts = multipass.spread_points(valid, 16, 42)
+    assert len(pts) == 16 and valid[pts[:, 1], pts[:, 0]].all()
+    assert (pts == multipass.spread_points(valid, 16, 42)).all()
+    assert len(multipass.spread_points(valid & False, 16, 42)) == 0
+    assert multipass.erode(np.ones((5, 5), dtype=bool), 2).sum() == 1
