@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from .common import U64, Words, chunks
 
 BLOCK = 16
-SKETCH, RANK = 64, 48
+SKETCH, RANK = 48, 40
 ITEMS = 2048
 LEAST_WORDS = 8
 #: Share of the corpus' blocks above which a word counts as a function word, without weight.
 STOP = 0.03
-COSINE, LCS, ANSWER = 0.4, 0.6, 0.5
+COSINE, LCS, ANSWER = 0.3, 0.6, 0.5
 CHUNK = 1 << 19
 
 
@@ -163,7 +163,6 @@ def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, directions:
     of_term = np.asarray([t for t, _ in pairs], dtype=np.int64)
     of_item = np.asarray([k for _, k in pairs], dtype=np.int64)
     first_of, n_of = np.searchsorted(of_term, np.arange(size)), np.bincount(of_term, minlength=size)
-    n_items = len(vocabulary.items)
 
     def reach(k: int) -> int:
         """Words beside a window that the check of an item takes in."""
@@ -188,12 +187,12 @@ def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, directions:
             numbers = np.full(len(words.hash), -1, dtype=np.int64)
             numbers[at] = term
             blocks = int(first[-1])
-            # answer words by block, and by block and item
+            # answer words by block, and by item and block
             rare = n_of[term] > 0
             rare_block, rare_term = block[at][rare], term[rare]
             n = n_of[rare_term]
             item = of_item[np.repeat(first_of[rare_term], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            hit_key, hits = np.unique(np.repeat(rare_block, n) * n_items + item, return_counts=True)
+            hit_key, hits = np.unique(item * blocks + np.repeat(rare_block, n), return_counts=True)
             hits = np.concatenate(([0], np.cumsum(hits)))
             answers_before = np.concatenate(([0], np.cumsum(np.bincount(rare_block, minlength=blocks))))
             sums = np.zeros((blocks + 4, weights.shape[1]), dtype=np.float32)
@@ -217,11 +216,8 @@ def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, directions:
                 for part in np.array_split(live, max(1, -(-len(live) // 4096))):
                     x, y = np.nonzero(_unit(window[part]) @ items.T >= cosine)
                     x = part[x]
-                    held = np.zeros(len(x), dtype=np.int64)
-                    for step in range(-side, n + side):
-                        b = x + step
-                        key = np.where((b >= 0) & (b < blocks), b * n_items + ks[y], -1)
-                        held += hits[np.searchsorted(hit_key, key, "right")] - hits[np.searchsorted(hit_key, key, "left")]
+                    key = ks[y] * blocks
+                    held = hits[np.searchsorted(hit_key, key + hi[x])] - hits[np.searchsorted(hit_key, key + lo[x])]
                     kept = held >= wanted[y]
                     for start, k in zip(x[kept].tolist(), ks[y[kept]].tolist(), strict=True):
                         doc = int(owner[start])
