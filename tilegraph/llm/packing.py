@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import stage_docs
+from .common import chunks, stage_docs
 from .tokens import encoder
 
 MOST_OPEN = 1024
 #: Tokens of emitted pieces that are held before they leave as one batch.
 FLUSH_ROWS = 5000
+#: Characters of the texts that are encoded at once.
+CHUNK = 1 << 19
 
 
 class LevelArray:
@@ -138,7 +140,7 @@ _SCHEMA = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids
 def _pack(path: str, size: int, end_id: int):
     def run(batches):
         enc, end = encoder(path), np.array([end_id], dtype="<u4")
-        documents = ((i, np.concatenate((enc.ids(t), end))) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        documents = ((i, np.concatenate((x, end))) for ids, texts in chunks(batches, CHUNK) for i, x in zip(ids, enc.ids_of(texts), strict=True))
         rows: list[tuple] = []
         number = TaskContext.get().partitionId() << 40
         for sequence in sequences(documents, size):

@@ -8,6 +8,7 @@ ids do not depend on its neighbours.
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -15,6 +16,7 @@ import numpy as np
 #: Characters for which the split above, NFC and lower-casing agree with the library: ASCII and composed Latin-1 letters.
 _FAST = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*\Z")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: Runs between blanks and pre-tokens whose ids a worker remembers.
 MOST_KEPT = 1_000_000
 
 
@@ -22,38 +24,53 @@ class Encoder:
     """Ids of texts under one tokenizer file; with exact(text) as the plain way."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel part; threads beneath them only contend
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Little-endian 32-bit ids by pre-token.
+        #: Little-endian 32-bit ids by run between blanks, a pre-token being a run of its own.
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def exact(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, pieces) -> None:
-        new = list(dict.fromkeys(p for p in pieces if p not in self.known))
-        if len(self.known) + len(new) > MOST_KEPT:
+    def _learn_pieces(self, new: list[str]) -> None:
+        # many pre-tokens with blanks between cost far less than one call each; ids that close a word tell them apart
+        parts = [" ".join(new[k : k + 500]) for k in range(0, len(new), 500)]
+        ids = np.concatenate([np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) == len(new):
+            raw, cuts = ids.tobytes(), (ends * 4).tolist()
+            self.known.update(zip(new, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
+        else:
+            self.known.update((p, np.asarray(self.exact(p), dtype="<u4").tobytes()) for p in new)
+
+    def _learn(self, runs: set[str]) -> None:
+        """Remember the ids of runs between blanks: those of their pre-tokens, put together."""
+        if len(self.known) + len(runs) > MOST_KEPT:
             self.known.clear()
-            new = list(dict.fromkeys(pieces))
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.asarray(e.ids, dtype="<u4").tobytes()
-
-    def pieces(self, text: str) -> list[str] | None:
-        """The pre-tokens of text, or None if it needs the library's own splitter."""
-        return _SPLIT.findall(text.lower()) if "<|" not in text and _FAST.match(text) else None
+        mixed = [(r, _SPLIT.findall(r)) for r in runs if not r.isalpha()]
+        pieces = {r for r in runs if r.isalpha()}.union(*(p for _, p in mixed)).difference(self.known)
+        if pieces:
+            self._learn_pieces(list(pieces))
+        get = self.known.__getitem__
+        self.known.update([(r, b"".join(map(get, p))) for r, p in mixed])
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        runs = [None if "<|" in t or not _FAST.match(t) else t.lower().split() for t in texts]
+        all_ = set().union(*(r for r in runs if r is not None))
+        new = all_.difference(self.known)
+        if new:
+            self._learn(new if len(self.known) + len(new) <= MOST_KEPT else all_)
+        get = self.known.__getitem__
+        return [np.asarray(self.exact(t), dtype="<u4") if r is None else np.frombuffer(b"".join(map(get, r)), dtype="<u4") for t, r in zip(texts, runs, strict=True)]
 
     def ids(self, text: str) -> np.ndarray:
-        pieces = self.pieces(text)
-        if pieces is None:
-            return np.asarray(self.exact(text), dtype=np.uint32)
-        get = self.known.__getitem__
-        try:
-            packed = b"".join(map(get, pieces))
-        except KeyError:
-            self._learn(pieces)
-            packed = b"".join(map(self.known.__getitem__, pieces))
-        return np.frombuffer(packed, dtype="<u4")
+        return self.ids_of([text])[0]
 
     def count(self, text: str) -> int:
         return len(self.ids(text))
