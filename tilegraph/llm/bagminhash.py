@@ -266,12 +266,12 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Rows of one doc_id are one document: of those with equal text one stays, others stay together.
     """
-    kept = materialise(near_duplicates(docs, threshold).where("kept").groupBy(F.col("doc_id").alias("__kept_doc")).agg(F.count("*").alias("__rows")))
-
-    def of(keep: DataFrame) -> DataFrame:
-        return docs.join(keep, docs["doc_id"] == keep["__kept_doc"], "left_semi")
-
-    again = kept.where("__rows > 1")
+    found = materialise(near_duplicates(docs, threshold).select(F.col("doc_id").alias("__doc"), "kept"))
+    gone = bounded_broadcast(materialise(found.where("not kept").select("__doc").distinct()), BROADCAST_IDS)
+    out = docs.join(gone, docs["doc_id"] == gone["__doc"], "left_anti")
+    again = found.where("kept").groupBy("__doc").count().where("count > 1").select("__doc")
     if again.isEmpty():
-        return of(kept)
-    return of(kept.where("__rows = 1")).unionByName(of(again).dropDuplicates(["doc_id", "text"]))
+        return out
+    again = materialise(again)
+    once = out.join(again, out["doc_id"] == again["__doc"], "left_anti")
+    return once.unionByName(out.join(again, out["doc_id"] == again["__doc"], "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, chunks
+from .common import U64, Words, bounded_broadcast, chunks, materialise
 
 BLOCK = 16
 SKETCH, RANK = 48, 40
@@ -33,6 +33,8 @@ LEAST_WORDS = 8
 STOP = 0.03
 COSINE, LCS, ANSWER = 0.3, 0.6, 0.5
 CHUNK = 1 << 19
+#: Ids (8 bytes each) up to which documents are dropped by a broadcast; more are dropped by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 class Vocabulary:
@@ -274,5 +276,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least
 
 def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark item; columns stay as they are."""
-    held = matches(docs, benchmark).select(F.col("doc_id").alias("__held")).distinct()
+    found = materialise(matches(docs, benchmark).select(F.col("doc_id").alias("__held")).distinct())
+    held = bounded_broadcast(found, BROADCAST_IDS)
     return docs.join(held, docs["doc_id"] == held["__held"], "left_anti")
