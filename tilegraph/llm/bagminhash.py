@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.closure import union_find
-from .common import U64, Words, bounded_broadcast, chunks, int64, materialise, mix64, stage_docs
+from .common import U64, Words, bounded_broadcast, chunks, int64, materialise, mix64, small, stage_docs
 from .components import components
 
 REGISTERS, ROWS = 96, 4
@@ -124,7 +124,7 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> float:
 def _verify(threshold: float):
     def run(batches):
         seen: dict[int, tuple] = {}
-        for batch in batches:
+        for batch in small(batches):
             out_a, out_b = [], []
             for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 for key, text in ((a, ta), (b, tb)):

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import bounded_broadcast, discard, materialise  # noqa: F401
 
+_libc = ctypes.CDLL(None)
 U64 = np.uint64
 MASK64 = (1 << 64) - 1
 
@@ -76,10 +80,25 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back to the machine: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def small(batches, rows: int = 512):
+    """Arrow batches in parts of a few rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    release()
+
+
 def chunks(batches, size: int):
     """Lists of (doc_id, text) of some `size` characters, from Arrow batches with these two columns first."""
     ids, texts, held = [], [], 0
-    for batch in batches:
+    for batch in small(batches):
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids.append(i)
             texts.append(t)

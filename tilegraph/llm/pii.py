@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise
+from .common import bounded_broadcast, materialise, small
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, TRUSTED, SUPPORT, SMOOTHING = 4, 0.8, 5, 1.0
@@ -122,7 +122,7 @@ def _row(doc_id, text: str) -> int:
 
 
 def _find_instances(batches):
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = list(contexts(text))
@@ -133,7 +133,7 @@ def _find_instances(batches):
 
 
 def _find_base(batches):
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             spans = base_spans(text)
@@ -165,7 +165,7 @@ def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, trusted: float = TR
 
 
 def _merge(batches):
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for doc, *counts, base, more in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
             spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base.split(",") if x)]

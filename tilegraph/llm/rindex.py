@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, U64, chunks, int64, materialise, mix64, prefix_hash, span_hash, stage_docs
+from .common import BYTE_CODES, U64, chunks, int64, materialise, mix64, prefix_hash, small, span_hash, stage_docs
 
 CHUNK = 1 << 18
 INDEX_BYTES = 1 << 20
@@ -202,7 +202,7 @@ def _route(length: int, gram: int):
 
 def _cut(length: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out: dict[str, list] = {k: [] for k in ("key", "doc_id", "start", "single", "hot", "segment")}
             for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -241,7 +241,7 @@ def _match(length: int):
 
     def run(batches):
         rows, held, last = [], 0, None
-        for batch in batches:
+        for batch in small(batches):
             for key, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if key != last and held >= INDEX_BYTES:
                     yield marked(rows)
@@ -262,7 +262,7 @@ def _windows(length: int):
     """Each window of a hot segment with a 128-bit digest."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, start, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = np.frombuffer(raw, dtype=np.uint8)
                 at = np.arange(len(data) - length + 1)
@@ -276,7 +276,7 @@ def _windows(length: int):
 
 def _remove(length: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
 from .tokens import encoder
 
 LEAF = 512
@@ -116,7 +117,7 @@ class PreTokenTree:
 def _count(path: str):
     def run(batches):
         enc = encoder(path)
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for doc, text, edits in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 tree = PreTokenTree(text, enc.count)

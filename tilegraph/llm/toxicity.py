@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 SAMPLE = 8000
 #: Longer texts are scored like all others but not learned from, so that the sample's size is bounded.
 LONGEST_LEARNED = 50_000
@@ -269,7 +271,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
 def _score(arcs: dict[str, float], weights: np.ndarray):
     def run(batches):
         scorer = Scorer(arcs)
-        for batch in batches:
+        for batch in small(batches):
             x = np.asarray([scorer.features(t or "") for t in batch.column(1).to_pylist()], dtype=float).reshape(-1, 4)
             p = 1 / (1 + np.exp(-np.clip(_design(x) @ weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(x[:, 1].astype(np.int64)), pa.array(x[:, 0])], names=["doc_id", "score", "n_clauses", "clause_score"])
@@ -287,7 +289,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, samp
 def _filter(arcs: dict[str, float], weights: np.ndarray, threshold: float):
     def run(batches):
         scorer = Scorer(arcs)
-        for batch in batches:
+        for batch in small(batches):
             at = batch.schema.get_field_index("text")
             x = np.asarray([scorer.features(t or "") for t in batch.column(at).to_pylist()], dtype=float).reshape(-1, 4)
             p = 1 / (1 + np.exp(-np.clip(_design(x) @ weights, -30, 30)))
