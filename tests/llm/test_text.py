@@ -302,6 +302,27 @@ def test_leaks_are_found(spark):
     assert staged.columns == docs.columns and {r["doc_id"] for r in staged.collect()} == set(range(len(texts))) - {d for d, _ in got}
 
 
+def test_a_passage_that_leaks_often_is_found(spark):
+    rng = random.Random(10)
+    words = [prose(rng, 1, "klmnopqrst") for _ in range(1500)]
+    item = [prose(rng, 1) for _ in range(20)]
+    texts, truth = [], set()
+    for i in range(240):
+        body = [rng.choice(words) for _ in range(60)]
+        if i % 3 == 0:
+            copy = list(item)
+            if i % 2:  # reworded
+                copy[rng.randrange(10)] = rng.choice(words)
+                copy.insert(rng.randrange(10, 20), rng.choice(words))
+            at = rng.randrange(61)
+            body[at:at] = copy
+            truth.add(i)
+        texts.append(" ".join(body))
+    docs, bench = docs_of(spark, texts), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontam.matches(docs, bench).collect()} == truth
+    assert {r["doc_id"] for r in decontam.stage(docs, bench).collect()} == set(range(240)) - truth
+
+
 def test_leak_edges(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     docs = docs_of(spark, [None, "", "one two three"])

@@ -29,7 +29,7 @@ BLOCK = 16
 SKETCH, RANK = 48, 40
 ITEMS = 2048
 LEAST_WORDS = 8
-#: Share of the corpus' blocks above which a word counts as a function word, without weight.
+#: Share of the corpus' blocks above which a word counts as a function word, without weight unless it is an answer word.
 STOP = 0.03
 COSINE, LCS, ANSWER = 0.3, 0.6, 0.5
 CHUNK = 1 << 19
@@ -142,7 +142,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, directions: np.ndarray, cosine: float, least_lcs: float, least_answer: float):
+def _answers(vocabulary: Vocabulary, idf: np.ndarray) -> dict[int, set[int]]:
+    """The answer words, the rarest ones, of each item that is long enough to be sought."""
+    usable = [k for k, x in enumerate(vocabulary.items) if len(x) >= LEAST_WORDS]
+    return {k: set(sorted(set(vocabulary.items[k].tolist()), key=lambda t: (-idf[t], t))[: max(3, len(vocabulary.items[k]) // 4)]) for k in usable}
+
+
+def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, answers: dict[int, set[int]], directions: np.ndarray, cosine: float, least_lcs: float, least_answer: float):
     weights = (idf[:, None] * directions).astype(np.float32)
     size = len(idf)
 
@@ -153,12 +159,10 @@ def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, directions:
         np.add.at(out, key // size, (1 + np.log(count))[:, None] * weights[key % size])
         return _unit(out).astype(np.float32)
 
-    usable = [k for k, x in enumerate(vocabulary.items) if len(x) >= LEAST_WORDS]
+    usable = list(answers)
     # an item is sought in windows that hold all of it, wherever it begins: two blocks, or four
     groups = [(2, [k for k in usable if len(vocabulary.items[k]) <= BLOCK + 1]), (4, [k for k in usable if len(vocabulary.items[k]) > BLOCK + 1])]
     groups = [(n, ks, project([vocabulary.items[k] for k in ks])) for n, ks in groups if ks]
-    answers = {k: set(sorted(set(vocabulary.items[k].tolist()), key=lambda t: (-idf[t], t))[: max(3, len(vocabulary.items[k]) // 4)]) for k in usable}
-
     need = {k: max(1, int(np.ceil(least_answer * len(a)))) for k, a in answers.items()}
     # answer words to the items that need them
     pairs = sorted((t, k) for k, a in answers.items() for t in a)
@@ -245,7 +249,11 @@ def _part(docs: DataFrame, items: list, cosine: float, least_lcs: float, least_a
     counts = {r["term"]: r["n"] for r in docs.mapInArrow(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each word of the items
     df = np.asarray([counts.get(k, 0) for k in range(size)], dtype=float)
     idf = (np.log((counts.get(-1, 0) + 1) / (df + 1)) + 0.05) ** 2  # squared: the latent directions shall tell rare words apart
-    idf[df > STOP * counts.get(-1, 0)] = 0.0
+    answers = _answers(vocabulary, idf)
+    # an item that leaks often makes its own words frequent: its answer words keep their weight
+    told = np.zeros(size, dtype=bool)
+    told[[t for a in answers.values() for t in a]] = True
+    idf[~told & (df > STOP * counts.get(-1, 0))] = 0.0
     omega = np.random.default_rng(7).standard_normal((size, min(SKETCH, size))).astype(np.float32)
     names = [f"c{k}" for k in range(omega.shape[1])]
     summed = docs.mapInArrow(_sketch(vocabulary, idf, omega), ", ".join(["term long", *(f"{c} double" for c in names)])).groupBy("term").agg(*(F.sum(c).alias(c) for c in names)).collect()
@@ -253,7 +261,7 @@ def _part(docs: DataFrame, items: list, cosine: float, least_lcs: float, least_a
     for r in summed:
         sketch[r["term"]] = r[1:]
     directions = latent(sketch, omega.astype(float))
-    return docs.mapInArrow(_search(vocabulary, [r["item_id"] for r in items], idf, directions, cosine, least_lcs, least_answer), _RESULT)
+    return docs.mapInArrow(_search(vocabulary, [r["item_id"] for r in items], idf, answers, directions, cosine, least_lcs, least_answer), _RESULT)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least_lcs: float = LCS, least_answer: float = ANSWER, most_items: int = ITEMS) -> DataFrame:
