@@ -323,6 +323,29 @@ def test_a_passage_that_leaks_often_is_found(spark):
     assert {r["doc_id"] for r in decontam.stage(docs, bench).collect()} == set(range(240)) - truth
 
 
+def test_rarer_words_beside_a_copy_do_not_hide_it(spark):
+    rng = random.Random(11)
+    words = [prose(rng, 1, "klmnopqrst") for _ in range(1500)]
+    often = [prose(rng, 1) for _ in range(20)]
+    seldom = [[f"w{k}x{j}" for j in range(20)] for k in range(30)]
+    some = [f"s{j}" for j in range(20)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    texts, truth = [], set()
+    for i in range(240):
+        body = say(60)
+        for k, item, step in ((0, often, 3), (1, some, 20)):
+            if i % step == 0:
+                # words of many other items stand around the copy, too few of each to hold one
+                around = [w for q in rng.sample(range(30), 20) for w in [rng.choice(seldom[q])]]
+                body += around + item + around[::-1]
+                truth.add((i, k))
+        texts.append(" ".join(body))
+    items = [often, some, *seldom]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.matches(docs_of(spark, texts), bench).collect()}
+    assert got == truth
+
+
 def test_leak_edges(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     docs = docs_of(spark, [None, "", "one two three"])

@@ -4,7 +4,9 @@ Documents are cut into blocks of BLOCK words. Over the words of the benchmark (a
 weight in any comparison) the corpus' blocks give document frequencies, and its TF-IDF passages a
 randomised range sketch A'(A R), summed over the cluster; its Nystrom factor gives the leading singular
 directions. Sliding windows of two and four blocks and the benchmark's items are projected onto them, and
-items whose cosine with a window is high enough are candidates. A candidate is a match if the longest common
+items whose cosine with a window is high enough are candidates. So are, whatever their cosine, items with
+enough of their answer words in a window, if these are rare in the corpus, and else items that stand there
+word by word: rarer words of other items in the same window hide no copy. A candidate is a match if the longest common
 subsequence of words covers enough of the item and its answer words, the rarest ones, are there.
 
 The benchmark is read in parts of at most ITEMS items, so that what each task holds is bounded; the corpus is
@@ -148,7 +150,7 @@ def _answers(vocabulary: Vocabulary, idf: np.ndarray) -> dict[int, set[int]]:
     return {k: set(sorted(set(vocabulary.items[k].tolist()), key=lambda t: (-idf[t], t))[: max(3, len(vocabulary.items[k]) // 4)]) for k in usable}
 
 
-def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, answers: dict[int, set[int]], directions: np.ndarray, cosine: float, least_lcs: float, least_answer: float):
+def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, answers: dict[int, set[int]], rare: np.ndarray, directions: np.ndarray, cosine: float, least_lcs: float, least_answer: float):
     weights = (idf[:, None] * directions).astype(np.float32)
     size = len(idf)
 
@@ -163,6 +165,8 @@ def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, answers: di
     # an item is sought in windows that hold all of it, wherever it begins: two blocks, or four
     groups = [(2, [k for k in usable if len(vocabulary.items[k]) <= BLOCK + 1]), (4, [k for k in usable if len(vocabulary.items[k]) > BLOCK + 1])]
     groups = [(n, ks, project([vocabulary.items[k] for k in ks])) for n, ks in groups if ks]
+    # a chance meeting of rare answer words passes no later check, so these items are verified whatever the cosine
+    rare_item = {k: all(rare[t] for t in a) for k, a in answers.items()}
     need = {k: max(1, int(np.ceil(least_answer * len(a)))) for k, a in answers.items()}
     # answer words to the items that need them
     pairs = sorted((t, k) for k, a in answers.items() for t in a)
@@ -175,6 +179,15 @@ def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, answers: di
         n = len(vocabulary.items[k])
         return n if n > 3 * BLOCK else BLOCK // 2
 
+    def verbatim(words, numbers, doc, a, b, k):
+        """Whether the words that verify() sees hold the item word by word."""
+        a, b = max(a - reach(k), words.bounds[doc]), min(b + reach(k), words.bounds[doc + 1])
+        text, item = numbers[a:b].tobytes(), vocabulary.items[k].tobytes()
+        at = text.find(item)
+        while at % 8 and at >= 0:
+            at = text.find(item, at + 1)
+        return at >= 0
+
     def verify(words, numbers, doc, a, b, k):
         a, b = max(a - reach(k), words.bounds[doc]), min(b + reach(k), words.bounds[doc + 1])
         seen = numbers[a:b]
@@ -194,8 +207,8 @@ def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, answers: di
             numbers[at] = term
             blocks = int(first[-1])
             # answer words by block, and by item and block
-            rare = n_of[term] > 0
-            rare_block, rare_term = block[at][rare], term[rare]
+            answering = n_of[term] > 0
+            rare_block, rare_term = block[at][answering], term[answering]
             n = n_of[rare_term]
             item = of_item[np.repeat(first_of[rare_term], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
             hit_key, hits = np.unique(item * blocks + np.repeat(rare_block, n), return_counts=True)
@@ -207,6 +220,7 @@ def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, answers: di
                 at, term = at[told], term[told]
                 cut = np.flatnonzero(np.append(True, np.diff(block[at]) > 0))
                 sums[block[at][cut]] = np.add.reduceat(weights[term], cut, axis=0)
+            hit_item, hit_block = hit_key // blocks, hit_key % blocks
             best: dict[tuple[int, int], tuple] = {}
             owner = np.repeat(np.arange(len(doc_ids)), np.diff(first))
             two = sums[:-1] + sums[1:]
@@ -219,19 +233,37 @@ def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, answers: di
                 live = np.flatnonzero(answers_before[hi] - answers_before[lo] >= min(need[k] for k in ks))
                 ks = np.asarray(ks)
                 wanted = np.asarray([need[k] for k in ks.tolist()])
+                # (item, start) whose answer words suffice: the starts around a first answer word that enough others follow
+                least = np.zeros(len(vocabulary.items), dtype=np.int64)
+                least[ks] = [need[k] if rare_item[k] else len(answers[k]) for k in ks.tolist()]
+                span = n + 2 * side
+                mine = np.flatnonzero(least[hit_item] > 0)
+                follow = hits[np.searchsorted(hit_key, hit_key[mine] - hit_block[mine] + np.minimum(hit_block[mine] + span, blocks))] - hits[mine]
+                mine = mine[follow >= least[hit_item[mine]]]
+                start = (hit_block[mine][:, None] - side - n + 1 + np.arange(span)).ravel()
+                item = np.repeat(hit_item[mine], span)
+                inside = (start >= 0) & (start < blocks)
+                key = np.unique(item[inside] * blocks + start[inside])
+                item, start = key // blocks, key % blocks
+                held = hits[np.searchsorted(hit_key, item * blocks + hi[start])] - hits[np.searchsorted(hit_key, item * blocks + lo[start])]
+                sought = dict.fromkeys(key[held >= least[item]].tolist(), False)
                 for part in np.array_split(live, max(1, -(-len(live) // 4096))):
                     x, y = np.nonzero(_unit(window[part]) @ items.T >= cosine)
                     x = part[x]
                     key = ks[y] * blocks
                     held = hits[np.searchsorted(hit_key, key + hi[x])] - hits[np.searchsorted(hit_key, key + lo[x])]
                     kept = held >= wanted[y]
-                    for start, k in zip(x[kept].tolist(), ks[y[kept]].tolist(), strict=True):
-                        doc = int(owner[start])
-                        a = words.bounds[doc] + (start - first[doc]) * BLOCK
-                        shared, answer = verify(words, numbers, doc, a, a + n * BLOCK, k)
-                        if shared >= least_lcs and answer >= least_answer:
-                            v, w = window[start], items[np.searchsorted(ks, k)]
-                            best[doc, k] = max(best.get((doc, k), ()), (shared, answer, float(v @ w / max(np.linalg.norm(v), 1e-12))))
+                    sought.update(dict.fromkeys((key + x)[kept].tolist(), True))
+                for x, near in sought.items():
+                    k, start = divmod(x, blocks)
+                    doc = int(owner[start])
+                    a = words.bounds[doc] + (start - first[doc]) * BLOCK
+                    if not (near or rare_item[k] or verbatim(words, numbers, doc, a, a + n * BLOCK, k)):
+                        continue
+                    shared, answer = verify(words, numbers, doc, a, a + n * BLOCK, k)
+                    if shared >= least_lcs and answer >= least_answer:
+                        v, w = window[start], items[np.searchsorted(ks, k)]
+                        best[doc, k] = max(best.get((doc, k), ()), (shared, answer, float(v @ w / max(np.linalg.norm(v), 1e-12))))
             if best:
                 keys, values = zip(*best.items(), strict=True)
                 cols = [[doc_ids[d] for d, _ in keys], [ids[k] for _, k in keys], *zip(*values, strict=True)]
@@ -253,7 +285,8 @@ def _part(docs: DataFrame, items: list, cosine: float, least_lcs: float, least_a
     # an item that leaks often makes its own words frequent: its answer words keep their weight
     told = np.zeros(size, dtype=bool)
     told[[t for a in answers.values() for t in a]] = True
-    idf[~told & (df > STOP * counts.get(-1, 0))] = 0.0
+    rare = df <= STOP * counts.get(-1, 0)
+    idf[~told & ~rare] = 0.0
     omega = np.random.default_rng(7).standard_normal((size, min(SKETCH, size))).astype(np.float32)
     names = [f"c{k}" for k in range(omega.shape[1])]
     summed = docs.mapInArrow(_sketch(vocabulary, idf, omega), ", ".join(["term long", *(f"{c} double" for c in names)])).groupBy("term").agg(*(F.sum(c).alias(c) for c in names)).collect()
@@ -261,7 +294,7 @@ def _part(docs: DataFrame, items: list, cosine: float, least_lcs: float, least_a
     for r in summed:
         sketch[r["term"]] = r[1:]
     directions = latent(sketch, omega.astype(float))
-    return docs.mapInArrow(_search(vocabulary, [r["item_id"] for r in items], idf, answers, directions, cosine, least_lcs, least_answer), _RESULT)
+    return docs.mapInArrow(_search(vocabulary, [r["item_id"] for r in items], idf, answers, rare, directions, cosine, least_lcs, least_answer), _RESULT)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least_lcs: float = LCS, least_answer: float = ANSWER, most_items: int = ITEMS) -> DataFrame:
