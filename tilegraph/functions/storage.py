@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows above which a narrow side is joined by shuffle and not by broadcast.
 BROADCAST_ROWS = 200_000
+#: A key is hot if it has more than HOT_ROWS rows and more than one in HOT_KEYS of all: at most HOT_KEYS keys are.
+HOT_ROWS, HOT_KEYS = 1_000, 100_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -64,3 +66,19 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     Pass a materialised table of narrow rows, so that counting reads metadata only.
     """
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def join_by_key(big: DataFrame, small: DataFrame, key: str | list[str], size: str) -> DataFrame:
+    """big joined with small, which has one row a key and in `size` the number of big's rows with that key.
+
+    Hot keys, at most HOT_KEYS by their definition, come to their rows by a broadcast, so that no task gets
+    all rows of one; the others meet by a shuffle. Pass materialised tables: both are read twice.
+    """
+    key = [key] if isinstance(key, str) else key
+    total, most = small.agg(F.sum(size), F.max(size)).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= limit:
+        return big.join(small, key)
+    hot = small.where(F.col(size) > limit)
+    rest = big.join(F.broadcast(hot.select(*key)), key, "left_anti").join(small.where(F.col(size) <= limit), key)
+    return big.join(F.broadcast(hot), key).unionByName(rest)
