@@ -70,20 +70,63 @@ def corpus(seed=1):
     return [*texts, "a" * 1000, "a" * 150, "ab" * 400, ("xyz" * 50 + "q") * 5, prose(rng, 60) * 2, "", None, "é" * 300, base[3][:250], base[3][100:420]]
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_repeats(spark, hot):
+@pytest.mark.parametrize("most_bytes", [rindex.MOST_BYTES, 2000, 0])
+def test_repeats(spark, most_bytes):
     texts = corpus()
-    rows = rindex.remove_repeats(docs_of(spark, texts), hot_segments=hot).orderBy("doc_id").collect()
+    rows = rindex.remove_repeats(docs_of(spark, texts), most_bytes=most_bytes).orderBy("doc_id").collect()
     assert [tuple(r)[1:] for r in rows] == brute_repeats(texts, 200)
+
+
+def test_repeats_in_slabs(spark, monkeypatch):
+    texts = corpus(7)
+    monkeypatch.setattr(rindex, "SLAB", 777)
+    monkeypatch.setattr(rindex, "LONG_RUN", 300)
+    routed = [b for b in rindex._routed([(t or "").encode() for t in texts], *(np.arange(len(texts)) for _ in range(4)), 200, 64)]
+    covered = [np.zeros(max(len((t or "").encode()) - 199, 0), dtype=int) for t in texts]
+    for b in routed:
+        for uid, start, offset, n in zip(*(b.column(c).to_pylist() for c in ("uid", "start", "weight", "n")), strict=True):
+            covered[uid][start - offset : start - offset + n] += 1
+    assert all((c == 1).all() for c in covered)  # each window is routed once
     assert rindex.remove_repeats(docs_of(spark, [])).count() == 0
 
 
 def test_repeats_of_repeated_rows(spark):
-    docs = docs_of(spark, ["k" + prose(random.Random(3), 80)]).withColumn("key", F.lit(1))
+    docs = docs_of(spark, ["k" + prose(random.Random(3), 80)]).withColumns({c: F.lit(1) for c in ("key", "uid", "h", "mark", "spans", "first", "n")})
     rows = rindex.remove_repeats(docs.union(docs)).collect()
     assert len(rows) == 2 and all(r["n_removed"] == r["n_bytes"] for r in rows)
 
 
+def test_repeats_with_null_and_repeated_ids(spark):
+    one, two, three = (prose(random.Random(k), 90) for k in (1, 2, 3))
+    texts = [one, two, one + two, three, three, None]
+    docs = docs_of(spark, texts).withColumn("doc_id", F.expr("element_at(array(null, null, 7, 7, 8, null), cast(doc_id + 1 as int))"))
+    rows = rindex.remove_repeats(docs).collect()
+    want = brute_repeats(texts, 200)
+    ids = [None, None, 7, 7, 8, None]
+    assert sorted(map(repr, (tuple(r) for r in rows))) == sorted(repr((i, *w)) for i, w in zip(ids, want, strict=True))
+
+
+def test_a_long_periodic_text_stays_small(spark):
+    line = "a line that comes again and again, always the same, " + prose(random.Random(4), 30) + "\n"
+    text = line * (3_000_000 // len(line))
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    batches = list(rindex._routed([raw.tobytes()], *(np.zeros(1, dtype=np.int64) for _ in range(4)), 200, 64))
+    pieces = {(k, m): n for b in batches for k, m, n in zip(b.column("key").to_pylist(), b.column("mark").to_pylist(), b.column("n").to_pylist(), strict=True)}
+    assert sum(pieces.values()) < 50_000  # what differs among the pieces is a few periods
+    (row,) = rindex.remove_repeats(docs_of(spark, [text])).collect()
+    assert (row["n_removed"], row["n_spans"]) == (len(raw), 1)
+
+
+def test_index_is_as_large_as_its_runs():
+    rng = random.Random(5)
+    base = prose(rng, 600).encode()
+    strings = [base[: rng.randint(300, len(base))] for _ in range(80)]
+    index = rindex.RunLengthIndex(strings, 200)
+    assert index.n > 50_000 and len(index.starts) < index.n / 20
+    kept = sum(v.nbytes for v in vars(index).values() if isinstance(v, np.ndarray))
+    assert kept < index.n * 4
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", min_size=1, max_size=60), min_size=1, max_size=6), st.integers(8, 20))
 def test_index_marks_all_repeats(strings, length):
