@@ -1,17 +1,25 @@
 """License scans by canonical digest: normalise, digest, and hash-join with the digests of known licenses.
 
-The canonical form of a text: lower case; copyright lines gone; equivalent spellings made one; everything
-but letters and digits a single blank. The digest of a document's entire text, and of each of its lines
-that speaks of a license (a notice is a text of one line), is joined with the table of known digests.
+The canonical form of a text: lower case; copyright lines gone; everything but letters and digits a single
+blank (comment signs too); equivalent spellings made one, by rules on word endings rather than a list, as
+only equality counts. The digest of a document's entire text, and of each of its lines that speaks of a
+license (a notice is a text of one line), is joined with the table of known digests.
 
-The known table is fixed and small (KNOWN, or the caller's own table, checked by size before a broadcast).
+The known table is fixed and small: the whole texts in license_texts/ (each also without what follows its
+terms), short texts and notices in KNOWN; or it is the caller's own, checked by size before a broadcast.
 Defined cases: null or empty text has the digest of nothing and matches nothing; a notice that stands
-several times in a text counts each time; repeated rows are reported once each by doc_id; an empty table
-gives an empty result; only doc_id and text are read.
+several times in a text counts each time; repeated rows (same doc_id, same text) are reported once, rows of one
+doc_id with unequal texts once each; a null doc_id stays null; an empty table gives an empty result; only
+doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from functools import lru_cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,30 +64,68 @@ KNOWN: list[tuple[str, str]] = [
     ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
 
-#: Pattern and replacement, in this order, after lower-casing; the patterns mean the same in Java and RE2.
+#: Pattern and replacement, in this order, after lower-casing; the patterns mean the same in Java, RE2 and Python.
 STEPS: list[tuple[str, str]] = [
-    (r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", r"\1"),
-    (r"https", "http"),
-    (r"licence", "license"),
-    (r"sub-license", "sublicense"),
-    (r"non-commercial", "noncommercial"),
+    (r"(^|\n)[ \t*#/;%-]*(copyright|\(c\)|©)[^\n]*", r"\1"),
+    (r"[^a-z0-9]+", " "),
+    (r"\ball rights reserved\b", ""),
+    (r"\bhttps\b", "http"),
+    (r"\b(sub|non) (licen|commercial|infring)", r"\1\2"),
+    (r"(licen|practi|defen|offen)ce", r"\1se"),
+    (r"([a-z]{3})is(e|ed|es|er|ers|ing|ation|ations)\b", r"\1iz\2"),
+    (r"([a-z]{2})our(s|ed|ing|able|ite|ites)?\b", r"\1or\2"),
+    (r"(abel|ignal|odel|ancel|itial)l(ed|ing)\b", r"\1\2"),
+    (r"(catalog|analog)ue", r"\1"),
+    (r"(judg|acknowledg)ement", r"\1ment"),
+    (r"\b(cent)re(s|d)?\b", r"\1er\2"),
+    (r"\bprogramme(s)?\b", r"program\1"),
+    (r"\bfulfill", "fulfil"),
+    (r"\bwhilst\b", "while"),
+    (r"\bper cent\b", "percent"),
     (r"copyright owner", "copyright holder"),
     (r"merchantibility", "merchantability"),
-    (r"[^a-z0-9]+", " "),
+    (r" +", " "),
 ]
 _NOTICE = r"(?i)(licen[cs]ed?|copyright|spdx)"
+_END = "END OF TERMS AND CONDITIONS"
 
 
 def canonical(text: Column) -> Column:
     out = F.lower(text)
     for pattern, to in STEPS:
-        out = F.regexp_replace(out, pattern, to.replace(r"\1", "$1"))
+        out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
     return F.trim(out)
 
 
+def canonical_text(text: str) -> str:
+    """canonical() of one text, on the driver."""
+    out = text.lower()
+    for pattern, to in STEPS:
+        out = re.sub(pattern, to, out)
+    return out.strip(" ")
+
+
+@lru_cache(maxsize=1)
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    """(license, text) of the files of license_texts/, and of each up to the end of its terms."""
+    out = []
+    for path in sorted(Path(__file__).with_name("license_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        out.append((path.stem, text))
+        if _END in text:
+            out.append((path.stem, text[: text.index(_END) + len(_END)]))
+            out.append((path.stem, text[: text.index(_END)]))
+    return tuple(out)
+
+
+def known_digests() -> list[tuple[str, str]]:
+    """(license, digest) of all that is known."""
+    return sorted({(name, hashlib.md5(canonical_text(text).encode()).hexdigest()) for name, text in (*KNOWN, *whole_texts())})
+
+
 def known_table(spark: SparkSession) -> DataFrame:
-    """(license, digest) of KNOWN, digested by the same expression as documents."""
-    return spark.createDataFrame(KNOWN, "license string, body string").select("license", F.md5(canonical(F.col("body"))).alias("digest")).distinct()
+    """known_digests() as a table."""
+    return spark.createDataFrame(known_digests(), "license string, digest string")
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -88,11 +134,13 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     known = F.broadcast(known_table(docs.sparkSession)) if known is None else bounded_broadcast(known, 10_000)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.md5(canonical(text)).alias("digest"), F.filter(F.split(text, "\n"), lambda x: x.rlike(_NOTICE)).alias("lines"))
-    whole = rows.join(known.select(F.col("digest"), F.col("license").alias("whole_license")), "digest", "left")
-    notices = F.transform("lines", lambda x: F.md5(canonical(x)))
-    lines = whole.withColumn("line_digest", F.explode_outer(notices)).join(known.select(F.col("digest").alias("line_digest"), F.col("license")), "line_digest", "left")
-    return lines.groupBy("doc_id", "digest").agg(F.min("whole_license").alias("whole_license"), F.count("license").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    notices = F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(_NOTICE)), lambda x: F.md5(canonical(x)))
+    rows = docs.select("doc_id", F.md5(text).alias("row"), F.md5(canonical(text)).alias("digest"), notices.alias("notices"))
+    rows = rows.groupBy("doc_id", "row").agg(F.first("digest").alias("digest"), F.first("notices").alias("notices"))  # repeated rows
+    whole = rows.join(known.groupBy("digest").agg(F.min("license").alias("whole_license")), "digest", "left")
+    lines = whole.withColumn("line_digest", F.explode_outer("notices")).join(known.select(F.col("digest").alias("line_digest"), F.col("license")), "line_digest", "left")
+    found = lines.groupBy("doc_id", "row", "digest").agg(F.min("whole_license").alias("whole_license"), F.count("license").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    return found.drop("row")
 
 
 def _sql(text: str) -> str:
@@ -109,18 +157,21 @@ def _literal(text: str) -> str:
 ORACLE_SQL = f"""
 WITH known AS (
   SELECT DISTINCT license, md5({_sql("body")}) AS digest FROM (VALUES {", ".join(f"({_literal(a)}, {_literal(b)})" for a, b in KNOWN)}) v(license, body)
+  UNION
+  SELECT license, digest FROM (VALUES {", ".join(f"({_literal(a)}, {_literal(b)})" for a, b in known_digests())}) v(license, digest)
 ), d AS (
-  SELECT doc_id, coalesce(text, '') AS text FROM documents
+  SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents
 ), whole AS (
-  SELECT d.doc_id, d.text, md5({_sql("d.text")}) AS digest FROM d
+  SELECT doc_id, text, md5(text) AS row, md5({_sql("text")}) AS digest FROM d
 ), line AS (
-  SELECT doc_id, digest, unnest(string_split(text, chr(10))) AS line FROM whole
+  SELECT doc_id, row, unnest(string_split(text, chr(10))) AS line FROM whole
 ), noticed AS (
-  SELECT line.doc_id, line.digest, known.license FROM line JOIN known ON known.digest = md5({_sql("line.line")})
+  SELECT line.doc_id, line.row, known.license FROM line JOIN known ON known.digest = md5({_sql("line.line")})
   WHERE regexp_matches(line.line, '{_NOTICE}')
+), counted AS (
+  SELECT doc_id, row, count(*) AS n_notices, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM noticed GROUP BY doc_id, row
 )
-SELECT w.doc_id, w.digest, min(k.license) AS whole_license, count(n.license) AS n_notices,
-       coalesce(string_agg(DISTINCT n.license, ',' ORDER BY n.license), '') AS notices
-FROM (SELECT DISTINCT doc_id, digest FROM whole) w LEFT JOIN known k ON k.digest = w.digest
-LEFT JOIN noticed n ON n.doc_id = w.doc_id AND n.digest = w.digest GROUP BY w.doc_id, w.digest
+SELECT w.doc_id, w.digest, k.whole_license, coalesce(c.n_notices, 0) AS n_notices, coalesce(c.notices, '') AS notices
+FROM whole w LEFT JOIN (SELECT digest, min(license) AS whole_license FROM known GROUP BY digest) k ON k.digest = w.digest
+LEFT JOIN counted c ON c.doc_id = w.doc_id AND c.row = w.row
 """
