@@ -251,6 +251,36 @@ def test_vectors(spark, monkeypatch, block):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_labels_and_ids_of_any_kind(spark):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((3, 32))
+    rows = [(1, v[0], 1.2), (2, v[0], 1.7), (3, v[0] * 1.001, 1.2), (4, v[1], -0.0), (5, v[1] + 1e-3, 0.0), (6, v[2], 1.2), (6, v[1], 1.2), (None, v[2], 1.7)]
+    df = spark.createDataFrame([(i, x.tolist(), c) for i, x, c in rows], "vec_id long, embedding array<float>, label double")
+    clash = df.withColumns({c: F.lit("x") for c in ("id", "h", "g", "key", "band", "weight", "component", "size")})
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["copies"]) for r in embed_dedup.near_duplicates(clash).collect()), key=repr)
+    assert got == sorted([(1, 1, 1, 1), (2, 0, 2, 1), (3, 1, 1, 1), (4, 1, 4, 1), (5, 1, 4, 1), (6, 0, 6, 1), (6, 0, 6, 1), (None, 0, None, 1)], key=repr)
+    words = df.withColumn("label", F.col("label").cast("string"))
+    assert embed_dedup.near_duplicates(words).where("vec_id = 3").first()["component_id"] == 1
+    twice = embed_dedup.near_duplicates(df.union(df)).where("vec_id = 2").collect()
+    assert [(r["n_links"], r["component_id"], r["copies"]) for r in twice] == [(1, 2, 2)] * 2
+
+
+def test_vectors_in_a_hot_bucket(spark, monkeypatch):
+    from tilegraph.functions import storage
+
+    monkeypatch.setattr(storage, "HOT_ROWS", 20)
+    monkeypatch.setattr(embed_dedup, "BLOCK", 32)
+    rng = np.random.default_rng(10)
+    base = rng.standard_normal(64)
+    rows = [(i, (base + rng.standard_normal(64) * rng.choice([0.02, 0.08, 0.1, 0.12])).tolist(), 0) for i in range(300)] + [(300 + i, base.tolist(), 0) for i in range(150)]
+    u = np.asarray([r[1] for r in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    want = brute_classes(len(rows), lambda i, j: near[i, j])
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).orderBy("vec_id").collect()
+    assert [r["n_links"] for r in got] == (near.sum(axis=1) - 1).tolist() and [r["component_id"] for r in got] == want
+
+
 def test_estimates_stay_within_their_bounds():
     rng = np.random.default_rng(6)
     base = embed_dedup.unit(rng.standard_normal((400, 64)))

@@ -7,14 +7,16 @@ sqrt(1 - t^2) * sqrt(1 - s^2) / s by Cauchy and Schwarz, so a pair is dropped on
 interval lies below the threshold, and every other pair is recomputed in double precision.
 
 Pairs are met in buckets of sign bits (several rotations, bits and tables chosen from the number of
-vectors so that a pair at the threshold is missed once in `1 / miss` cases). Equal vectors are folded
-into one with a weight before that. Large buckets are dealt out as pairs of blocks. A pair is counted in
-the first bucket that its vectors share; links are summed and joined to trees inside the kernel, no pair
-leaves it, and components are closed over those trees.
-
-Defined cases: a null label, a null, empty or zero vector, and null or non-finite components link with
-nothing and form a class of their own; vectors of unequal size never link; repeated vec_ids are rows of
-their own; ties take the smallest vec_id; an empty table gives an empty result.
+vectors so that a pair at the threshold is missed once in `1 / miss` cases). Equal vectors of one label are
+folded into one with a weight before that, by a 128-bit digest; buckets that hold the same vectors as an earlier
+table's are left out, as all their pairs have met there. Large buckets are dealt out as pairs of blocks. A
+pair is counted in the first bucket that its vectors share; links are summed and joined to trees inside the
+kernel, no pair leaves it, and components are closed over those trees.
+
+Defined cases: labels are compared by their own value, whatever their type; a null label, a null, empty or
+zero vector, and null or non-finite components link with nothing and form a class of their own; vectors of
+unequal size never link; repeated vec_ids are rows of their own; ties take the smallest vec_id; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, int64, materialise, mix64
+from .common import U64, bounded_broadcast, discard, int64, join_by_key, materialise, mix64
 from .components import components
 
 BLOCK = 1024
 ROWS_AT_ONCE = 8192
-MOST_GATHERED = 100_000
+#: Pairs whose vectors are gathered at once for the exact cosine.
+GATHERED = 1 << 15
+#: Digests (16 bytes each) up to which vectors with copies are told by a broadcast; more by a shuffle.
+BROADCAST_COPIES = 1_000_000
 
 
 def plan(n: int, threshold: float, miss: float = 1e-7) -> tuple[int, int]:
@@ -85,7 +90,7 @@ def _buckets(bits: int, tables: int):
                 part = batch.take(pa.array(rows))
                 u = unit(_matrix(part.column(2)))
                 *_, bucket = encode(u, bits, tables)
-                label = part.column(1).to_numpy().astype(np.int64).view(U64)
+                label = part.column(1).to_numpy().view(U64)
                 key = mix64(mix64(label ^ U64(u.shape[1] << 40))[:, None] ^ (bucket.astype(U64) | (np.arange(1, tables + 1, dtype=U64) << U64(32))))
                 band = np.tile(np.arange(tables, dtype=np.int32), len(part))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), tables)), pa.array(band), pa.array(int64(key).ravel())], names=["id", "band", "key"])
@@ -125,11 +130,8 @@ def _compare(bits: int, tables: int, threshold: float):
         x, y = np.nonzero(open_)
         if not len(x):
             return None
-        if len(x) <= MOST_GATHERED:
-            cosine = np.einsum("ij,ij->i", u[rows[x]], u[cols[y]])
-        else:
-            cosine = (u[rows] @ u[cols].T)[x, y]
-        hit = cosine >= threshold
+        cosine = [np.einsum("ij,ij->i", u[rows[x[k : k + GATHERED]]], u[cols[y[k : k + GATHERED]]]) for k in range(0, len(x), GATHERED)]
+        hit = np.concatenate(cosine) >= threshold
         x, y = rows[x[hit]], cols[y[hit]]
         if not len(x):
             return None
@@ -166,25 +168,44 @@ def _compare(bits: int, tables: int, threshold: float):
     return run
 
 
+def _one_of_each(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row of each class (h, g); only rows that have copies are shuffled if these are few."""
+    copied = bounded_broadcast(materialise(classes.where("weight > 1").select("h", "g")), BROADCAST_COPIES)
+    alone = keyed.join(copied, ["h", "g"], "left_anti")
+    return alone.unionByName(keyed.join(copied, ["h", "g"]).dropDuplicates(["h", "g"]))
+
+
+def _members(met: DataFrame) -> DataFrame:
+    """(key, id, band, size) of the buckets with several vectors, without those whose vectors are an earlier table's bucket too."""
+    sized = met.groupBy("key").agg(F.count("*").alias("size"), F.min("band").alias("band"), F.bit_xor(F.xxhash64("id")).alias("p"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("q"))
+    first = sized.where("size > 1").groupBy("size", "p", "q").agg(F.min(F.struct("band", "key")).alias("at"))
+    return join_by_key(met, materialise(first.select("at.key", "size")), "key", "size")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-7) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept, copies (vectors equal to it, itself included)."""
-    rows = vectors.select("vec_id", F.col("label").alias("label"), F.col("embedding").alias("embedding"))
+    rows = vectors.select("vec_id", "label", "embedding")
     good = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = rows.withColumn("good", F.coalesce(good & fine, F.lit(False)))
-    firsts = materialise(rows.where("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")))
-    bits, tables = plan(firsts.count(), threshold, miss)
-    met = materialise(firsts.select("id", F.col("label").cast("long"), "embedding").mapInArrow(_buckets(bits, tables), "id long, band int, key long"))
-    sized = met.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    good = F.coalesce(good & fine, F.lit(False))
+    keyed = rows.where(good).withColumns({"h": F.xxhash64("label", "embedding"), "g": F.xxhash64(F.lit(7), "label", "embedding")})
+    classes = materialise(keyed.groupBy("h", "g").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")))
+    bits, tables = plan(classes.count(), threshold, miss)
+    firsts = _one_of_each(keyed, classes).select(F.col("h").alias("id"), F.xxhash64("label").alias("label"), "embedding")
+    met = materialise(firsts.mapInArrow(_buckets(bits, tables), "id long, band int, key long"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    members = met.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    members = members.join(firsts.select("id", "weight", "embedding"), "id")
+    members = _members(met).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    members = members.join(firsts.select("id", "embedding"), "id").join(classes.select(F.col("h").alias("id"), "weight"), "id")
     members = members.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block", "band", "weight", "embedding")
     dealt = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     linked = materialise(dealt.mapInArrow(_compare(bits, tables, threshold), "id long, links long, root long"))
-    links = linked.groupBy("id").agg(F.sum("links").alias("links"))
-    found = components(linked, "id", "root").withColumnRenamed("node", "id")
-    folded = firsts.join(links, "id", "left").join(found, "id", "left").select("label", "embedding", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    paired = rows.where("good").join(folded, ["label", "embedding"]).select("vec_id", "n_links", "component_id", F.col("weight").alias("copies"))
-    alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(1).cast("long").alias("copies"))
+    discard(met)
+    links = linked.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "h")
+    found = materialise(components(linked, "id", "root"))
+    smallest = found.join(classes.select(F.col("h").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("smallest"), F.count("*").alias("nodes"))
+    named = join_by_key(found, materialise(smallest), "component", "nodes").select(F.col("node").alias("h"), "smallest")
+    folded = classes.join(links, "h", "left").join(named, "h", "left")
+    folded = folded.select("h", "g", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("smallest", "first").alias("component_id"))
+    paired = join_by_key(keyed.select("vec_id", "h", "g"), materialise(folded), ["h", "g"], "weight").select("vec_id", "n_links", "component_id", F.col("weight").alias("copies"))
+    alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(1).cast("long").alias("copies"))
     return paired.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
