@@ -68,16 +68,23 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-def join_by_key(big: DataFrame, small: DataFrame, key: str | list[str], size: str) -> DataFrame:
+def hot_limit(small: DataFrame, size: str) -> int | None:
+    """Rows above which a key of small counts as hot; None if no key does."""
+    total, most = small.agg(F.sum(size), F.max(size)).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    return limit if (most or 0) > limit else None
+
+
+def join_by_key(big: DataFrame, small: DataFrame, key: str | list[str], size: str, limit: int | None = -1) -> DataFrame:
     """big joined with small, which has one row a key and in `size` the number of big's rows with that key.
 
     Hot keys, at most HOT_KEYS by their definition, come to their rows by a broadcast, so that no task gets
-    all rows of one; the others meet by a shuffle. Pass materialised tables: both are read twice.
+    all rows of one; the others meet by a shuffle. Pass materialised tables: both are read twice. `limit` is
+    hot_limit() of small, if known.
     """
     key = [key] if isinstance(key, str) else key
-    total, most = small.agg(F.sum(size), F.max(size)).first()
-    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
-    if (most or 0) <= limit:
+    limit = hot_limit(small, size) if limit == -1 else limit
+    if limit is None:
         return big.join(small, key)
     hot = small.where(F.col(size) > limit)
     rest = big.join(F.broadcast(hot.select(*key)), key, "left_anti").join(small.where(F.col(size) <= limit), key)
