@@ -192,6 +192,47 @@ def test_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in twice.collect()) == [0, 1, 2, 3]
 
 
+def test_near_duplicates_of_hot_groups(spark, monkeypatch):
+    """A text that very many others resemble: its members are dealt out and none is lost."""
+    from tilegraph.functions import storage
+
+    monkeypatch.setattr(storage, "HOT_ROWS", 10)
+    monkeypatch.setattr(bagminhash, "PAIRS", 7)
+    monkeypatch.setattr(bagminhash, "BLOCK", 16)
+    monkeypatch.setattr(bagminhash, "TEXT_BLOCK", 16)
+    rng = random.Random(6)
+    words = prose(rng, 400).split()
+    base = [rng.choice(words) for _ in range(120)]
+    texts = [" ".join(base)] * 60
+    for k in range(120):
+        w = list(base)
+        for _ in range(k % 6):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        texts.append(" ".join(w))
+    texts += [" ".join(rng.choice(words) for _ in range(40)) for _ in range(20)]
+    bags = [bag(t) for t in texts]
+    want = brute_classes(len(texts), lambda i, j: jaccard(bags[i], bags[j]) >= 0.8)
+    rows = bagminhash.near_duplicates(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [r["class_id"] for r in rows] == want
+
+
+def test_near_duplicates_without_ids(spark):
+    docs = docs_of(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None]).withColumn("doc_id", F.expr("nullif(nullif(doc_id, 1), 3)"))
+    clash = docs.withColumns({c: F.lit("x") for c in ("band", "first", "component", "size", "n_shingles", "__doc", "group")})
+    rows = sorted(((r["doc_id"], r["class_id"], r["kept"]) for r in bagminhash.near_duplicates(clash).collect()), key=repr)
+    assert rows == sorted([(0, 0, True), (None, None, True), (2, 0, False), (None, None, True)], key=repr)
+    kept = bagminhash.drop_near_duplicates(clash)
+    assert kept.columns == clash.columns and sorted((r["doc_id"] for r in kept.collect()), key=repr) == [0, None, None]
+
+
+def test_registers_rule_out_little():
+    from math import comb
+
+    least = bagminhash.least_agreeing(0.8)
+    missed = sum(comb(96, k) * 0.8**k * 0.2 ** (96 - k) for k in range(least))
+    assert missed <= bagminhash.MISS < missed + comb(96, least) * 0.8**least * 0.2 ** (96 - least)
+
+
 def test_signatures_are_unbiased():
     rng = random.Random(5)
     base = prose(rng, 300).split()

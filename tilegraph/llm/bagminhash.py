@@ -13,12 +13,15 @@ say which of their members may still link, and those are compared block by block
 are apart. Every link rests on the exact multiset overlap.
 
 Defined cases: null or wordless text links with nothing; texts of one to four words have one shingle and
-link with equal word sequences only; repeated rows and ties take the smallest doc_id; an empty table gives
-an empty result; only doc_id and text are read.
+link with equal word sequences only; repeated rows and ties take the smallest doc_id; rows without a doc_id
+are in no class (null) and stay; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.closure import union_find
-from .common import U64, Words, bounded_broadcast, chunks, int64, materialise, mix64, small, stage_docs
+from .common import U64, Words, bounded_broadcast, chunks, discard, int64, join_by_key, materialise, mix64, small, stage_docs
 from .components import components
 
 REGISTERS, ROWS = 96, 4
@@ -36,6 +39,10 @@ TEXT_BLOCK = 256
 #: Ids (8 bytes each) up to which texts are fetched by a broadcast; more are fetched by a shuffle.
 BROADCAST_IDS = 1_000_000
 CHUNK = 1 << 20
+#: Pairs of one text that a task verifies; a text with more of them is handed to several tasks.
+PAIRS = 1024
+#: Chance that a pair at the threshold is ruled out by its registers.
+MISS = 1e-7
 
 
 def counted(shingles: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +94,7 @@ def _sign(batches):
         small = (mix64(sig) >> U64(48)).astype(np.uint16)
         seq = [xxhash.xxh3_128_digest(words.hash[a:b].tobytes()) for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.asarray(ids, dtype=np.int64)), pa.array(n.astype(np.int64)), pa.array(seq), pa.ListArray.from_arrays(np.arange(0, len(ids) * BANDS + 1, BANDS, dtype=np.int32), int64(band).ravel()), pa.array([r.tobytes() for r in small])],
+            [pa.array(ids, type=pa.int64()), pa.array(n.astype(np.int64)), pa.array(seq), pa.ListArray.from_arrays(np.arange(0, len(ids) * BANDS + 1, BANDS, dtype=np.int32), int64(band).ravel()), pa.array([r.tobytes() for r in small])],
             names=["doc_id", "n_shingles", "words_key", "bands", "registers"],
         )
 
@@ -141,16 +148,34 @@ def _verify(threshold: float):
     return run
 
 
+def _with_text(pairs: DataFrame, texts: DataFrame, side: str, other: str) -> DataFrame:
+    """pairs with the text of one side; a text with many pairs goes to as many tasks as these need."""
+    sizes = materialise(pairs.groupBy(side).agg(F.count("*").alias("n")))
+    salts = F.ceil(F.col("n") / PAIRS).cast("long")
+    dealt = join_by_key(pairs, sizes, side, "n").withColumn("salt", F.pmod(F.xxhash64(other), salts).cast("long")).drop("n")
+    held = texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")).join(sizes, side)
+    return dealt.join(held.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("n"), [side, "salt"]).drop("salt")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), "a long, b long")
+    both = _with_text(materialise(_with_text(pairs, texts, "b", "a")), texts, "a", "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), "a long, b long")
+
+
+@lru_cache(maxsize=8)
+def least_agreeing(threshold: float, registers: int = REGISTERS, miss: float = MISS) -> int:
+    """The most registers that a pair at the threshold has in common but for `miss` of all cases."""
+    chance = 0.0
+    for k in range(registers + 1):
+        chance += math.comb(registers, k) * threshold**k * (1 - threshold) ** (registers - k)
+        if chance > miss:
+            return k
+    return registers
 
 
 def _candidates(n, reg, comp, threshold: float):
     """For each row in turn, the later rows of other components whose sizes and registers do not rule the threshold out."""
-    # of REGISTERS draws at the threshold, fewer agree than this once in some ten million cases
-    least = REGISTERS * threshold - 5.2 * np.sqrt(REGISTERS * threshold * (1 - threshold))
+    least = least_agreeing(threshold)
 
     def of(x: int, others: np.ndarray) -> np.ndarray:
         others = others[comp[others] != comp[x]]
@@ -234,31 +259,36 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Per document: doc_id, class_id (smallest doc_id that copies and links of overlap >= threshold reach), n_shingles, copies, kept."""
     docs = stage_docs(docs)
     signed = materialise(docs.mapInArrow(_sign, "doc_id long, n_shingles long, words_key binary, bands array<long>, registers binary"))
-    worded = signed.where("n_shingles > 0")
-    firsts = worded.groupBy("words_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    named = signed.select("doc_id", "n_shingles", "words_key").join(firsts, "words_key", "left")
-    named = materialise(named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("first"), F.when(F.col("n_shingles") > 0, F.col("copies")).otherwise(1).alias("copies")))
+    worded = signed.where("n_shingles > 0 and doc_id is not null")
+    firsts = materialise(worded.groupBy("words_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
+    named = join_by_key(worded.select("doc_id", "n_shingles", "words_key"), firsts, "words_key", "copies").drop("words_key")
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("first"), F.lit(1).cast("long").alias("copies"))
+    named = materialise(named.unionByName(alone))
     leaders = named.where("doc_id = first and n_shingles > 0").select("doc_id")
-    banded = signed.join(leaders, "doc_id", "left_semi").select("doc_id", "n_shingles", F.explode("bands").alias("band"))
+    banded = worded.join(leaders, "doc_id", "left_semi").select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     sized = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("size > 1")
-    members = materialise(banded.join(sized, "band").select("band", "doc_id", "n_shingles", "size", "low", "high"))
+    members = materialise(join_by_key(banded, materialise(sized), "band", "size").select("band", "doc_id", "n_shingles", "size", "low", "high"))
     wanted = bounded_broadcast(materialise(members.select("doc_id").distinct()), BROADCAST_IDS)
     texts = materialise(docs.join(wanted, "doc_id", "left_semi"))
     star = members.where("doc_id > low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).unionByName(members.where("doc_id < high and doc_id > low").select(F.col("doc_id").alias("a"), F.col("high").alias("b"))).distinct()
-    star = materialise(star)
-    linked = materialise(_links(star, texts, threshold))
-    found = components(linked)
-    placed = members.where("size > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n_shingles", "size", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("band")
-    open_ = placed.join(mixed, "band").join(signed.select("doc_id", "registers"), "doc_id").select("band", "doc_id", "n_shingles", "size", "component", "registers")
+    linked = materialise(_links(materialise(star), texts, threshold))
+    found = materialise(components(linked))
+    placed = members.where("size > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    placed = materialise(placed)
+    discard(members)
+    mixed = placed.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("size")).where("c < d").select("band", "size")
+    open_ = join_by_key(placed, materialise(mixed), "band", "size").join(signed.select("doc_id", "registers"), "doc_id").select("band", "doc_id", "n_shingles", "size", "component", "registers")
     trees = _in_blocks(open_, "band", "size", BLOCK).groupBy("band", "i", "j").applyInArrow(_plausible(threshold), "a long, b long")
     groups = materialise(components(trees).select(F.col("node").alias("doc_id"), F.col("component").alias("group")))
-    groups = groups.join(groups.groupBy("group").agg(F.count("*").alias("size")), "group")
+    groups = join_by_key(groups, materialise(groups.groupBy("group").agg(F.count("*").alias("size"))), "group", "size")
     rows = groups.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(signed.select("doc_id", "n_shingles", "registers"), "doc_id").join(texts, "doc_id")
     rows = rows.select("group", "size", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles", "registers", "text")
     late = materialise(_in_blocks(rows, "group", "size", TEXT_BLOCK).groupBy("group", "i", "j").applyInArrow(_verify_blocks(threshold), "a long, b long"))
     closed = components(linked.unionByName(late)) if not late.isEmpty() else found
-    return named.join(closed.withColumnRenamed("node", "first"), "first", "left").select("doc_id", F.coalesce("component", "first").alias("class_id"), "n_shingles", "copies", (F.coalesce("component", "first") == F.col("doc_id")).alias("kept"))
+    classes = named.groupBy("first").agg(F.count("*").alias("rows")).join(closed.withColumnRenamed("node", "first"), "first", "left")
+    classes = materialise(classes.where("first is not null").select("first", "rows", F.coalesce("component", "first").alias("class_id")))
+    out = join_by_key(named, classes, "first", "rows").select("doc_id", "class_id", "n_shingles", "copies", (F.col("class_id") == F.col("doc_id")).alias("kept"))
+    return out.unionByName(named.where("first is null").select("doc_id", F.col("first").alias("class_id"), "n_shingles", "copies", F.lit(True).alias("kept")))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -269,7 +299,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     found = materialise(near_duplicates(docs, threshold).select(F.col("doc_id").alias("__doc"), "kept"))
     gone = bounded_broadcast(materialise(found.where("not kept").select("__doc").distinct()), BROADCAST_IDS)
     out = docs.join(gone, docs["doc_id"] == gone["__doc"], "left_anti")
-    again = found.where("kept").groupBy("__doc").count().where("count > 1").select("__doc")
+    again = found.where("kept and __doc is not null").groupBy("__doc").count().where("count > 1").select("__doc")
     if again.isEmpty():
         return out
     again = materialise(again)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import bounded_broadcast, discard, join_by_key, materialise  # noqa: F401
+from ..functions.storage import bounded_broadcast, discard, hot_limit, join_by_key, materialise  # noqa: F401
 
 _libc = ctypes.CDLL(None)
 U64 = np.uint64
