@@ -238,6 +238,50 @@ def test_contexts_discover(spark):
     assert pii.extract(docs_of(spark, [])).count() == 0
 
 
+def test_discovery_recall(spark, monkeypatch):
+    """Identifiers of unseen shape in contexts that seeds share: nine in ten are found, look-alikes elsewhere are not."""
+    from tilegraph.functions import storage
+
+    monkeypatch.setattr(storage, "HOT_ROWS", 5)
+    rng = random.Random(16)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    cues = ['password: "{}"', "api token = {} ;", "write to {} today", "session <{}>", "secret key {}\n"]
+    texts, planted = [], []
+    for k in range(600):
+        cue = cues[k % len(cues)]
+        seed = f"{prose(rng, 1)}{k}@mail.example.org" if k % len(cues) == 2 else hexes(40) + "1a"
+        secret = f"{prose(rng, 1, 'QRSTUV')}_{rng.randrange(10**6, 10**7)}-{prose(rng, 1, 'wxyz')}" if k % 12 == 0 else None
+        head = prose(rng, rng.randint(3, 20)) + " "
+        start = len(head) + cue.index("{}")
+        texts.append(head + cue.format(secret or seed) + " " + prose(rng, 5))
+        planted.append((start, start + len(secret)) if secret else None)
+    plain = [f"{prose(rng, 8)} on page {rng.randrange(10**6, 10**7)} of volume_{rng.randrange(100, 999)} we read" for _ in range(200)]
+    rows = pii.extract(docs_of(spark, texts + plain)).orderBy("doc_id").collect()
+    spans = [{tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x} for r in rows]
+    found = [p in s for p, s in zip(planted, spans, strict=False) if p]
+    assert len(found) == 50 and sum(found) >= 0.9 * len(found)
+    assert not any(spans[len(texts) :]) and all(r["n_spans"] == len(s) for r, s in zip(rows, spans, strict=True))
+
+
+def test_discovered_spans_do_not_meet():
+    rng = random.Random(17)
+    for _ in range(300):
+        base = [("card", a, a + rng.randint(1, 6)) for a in rng.sample(range(40), 4)]
+        more = [{"kind": "secret", "start": a, "end": a + rng.randint(1, 6)} for a in rng.sample(range(40), 8)]
+        want = []
+        for s in sorted(more, key=lambda s: (s["start"], s["end"])):
+            if all(s["end"] <= a or b <= s["start"] for _, a, b in base + want):
+                want.append((s["kind"], s["start"], s["end"]))
+        assert pii._apart(base, more) == want
+
+
+def test_pii_rows(spark):
+    docs = docs_of(spark, ["mail a.b@c.org", "mail a.b@c.org", None, "call +1 (017) 555-5536 " * 3000]).withColumn("doc_id", F.expr("nullif(doc_id, 1)"))
+    clash = docs.withColumns({c: F.lit("x") for c in ("row", "pattern", "more", "base", "kind", "start")})
+    rows = {(r["doc_id"], r["n_email"], r["n_phone"], r["n_spans"]) for r in pii.extract(clash.union(clash)).collect()}
+    assert rows == {(0, 1, 0, 1), (None, 1, 0, 1), (2, 0, 0, 0), (3, 0, 3000, 3000)}
+
+
 # ---------------------------------------------------------------- licenses
 
 
