@@ -91,9 +91,9 @@ def test_ids_equal_the_library_on_any_text(text):
     assert e.ids(text).tolist() == e.exact(text)
 
 
-def check_packing(documents, size):
+def check_packing(documents, size, most_open=packing.MOST_OPEN):
     pieces, full = {}, 0
-    sequences = list(packing.sequences(iter(documents), size))
+    sequences = list(packing.sequences(iter(documents), size, most_open))
     for seq in sequences:
         n = sum(len(p[2]) for p in seq)
         assert n == size or n & (n - 1) == 0
@@ -115,16 +115,17 @@ def test_packing_keeps_all_ids(sizes, size):
     assert check_packing([(k, np.arange(n, dtype="<u4")) for k, n in enumerate(sizes)], size) <= size.bit_length()
 
 
-def test_packing_drains(monkeypatch):
-    monkeypatch.setattr(packing, "MOST_OPEN", 4)
-    rng = random.Random(3)
-    check_packing([(k, np.arange(rng.randint(1, 31), dtype="<u4")) for k in range(500)], 32)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 70), max_size=200), st.integers(1, 9))
+def test_packing_cuts_what_would_open_too_many(sizes, most_open):
+    check_packing([(k, np.arange(n, dtype="<u4")) for k, n in enumerate(sizes)], 32, most_open)
 
 
-def test_choice_minimises_the_sum_of_squares():
+@pytest.mark.parametrize("cut", [False, True])
+def test_choice_minimises_the_sum_of_squares(cut):
     rng = random.Random(4)
-    levels = packing.LevelArray(16)
-    for _ in range(300):
+    levels = packing.LevelArray(16, 10**9)
+    for k in range(400):
         n = rng.randint(1, 15)
 
         def cost(level, n=n):
@@ -135,10 +136,12 @@ def test_choice_minimises_the_sum_of_squares():
                 c[level + n] += 1
             return int((c[1:16] ** 2).sum())
 
-        ways = [lv for lv in range(0, 16 - n + 1) if lv == 0 or levels.count[lv]]
-        pick = levels.choose(n)
+        now = cut and levels.held > 0 and k % 2
+        ways = [lv for lv in range(16) if (levels.count[lv] if lv else not now) and (now or lv + n <= 16)]
+        pick = levels.choose(n, cut=bool(now))
         assert pick in ways and cost(pick) == min(map(cost, ways))
-        levels.put((0, 0, np.zeros(n), n), n)
+        assert not [lv for lv in ways if lv > pick and cost(lv) == cost(pick)]
+        list(levels.put(0, 0, np.zeros(n), n))
 
 
 def test_packed_query(spark, sf_dir):

@@ -3,8 +3,10 @@
 A document is its ids and one end id. What fills whole sequences leaves at once; the rest goes, as it
 comes, into the open sequence whose choice leaves the smallest sum, over fill levels, of the squared number
 of sequences partly filled to that level (Csirik et al.). The counts stand in an array by level. Documents
-may be cut, so sequences still open when the input (or MOST_OPEN) ends give their pieces to fill each
-other up; at most one stays partly filled in each task and is cut at powers of two, which need no padding.
+may be cut: once `most_open` sequences are open none is opened any more, and a document that would overfill a
+sequence is cut where that is full. The same rule ends a task: the emptiest open sequence is dissolved and
+its pieces are placed among the others, until one is left, which is cut at powers of two, so that there is no
+padding. Every placement is made by the sum of squares, on tasks of any size.
 
 Each task packs its own documents, in the order of the input and with numbers of its own; nothing is
 shuffled. Defined cases: null or empty text is the end id alone; a text of any length is cut; repeated
@@ -23,7 +25,8 @@ from pyspark.sql import DataFrame
 from .common import chunks, stage_docs
 from .tokens import encoder
 
-MOST_OPEN = 1024
+#: Sequences that may be open at once: more cut fewer documents, and leave more to be dissolved at the end.
+MOST_OPEN = 512
 #: Tokens of emitted pieces that are held before they leave as one batch.
 FLUSH_ROWS = 5000
 #: Characters of the texts that are encoded at once.
@@ -33,61 +36,56 @@ CHUNK = 1 << 18
 class LevelArray:
     """Open sequences by fill level, and the number of them at each level."""
 
-    def __init__(self, size: int):
-        self.size = size
+    def __init__(self, size: int, most_open: int = MOST_OPEN):
+        self.size, self.most_open = size, most_open
         self.count = np.zeros(size + 1, dtype=np.int64)
         self.open: list[list[list]] = [[] for _ in range(size + 1)]
         self.held = 0
 
-    def choose(self, n: int) -> int:
-        """The level to put n tokens on; 0 opens a sequence. Ties go to the fullest."""
+    def choose(self, n: int, cut: bool = False) -> int:
+        """The level to put n tokens on; 0 opens a sequence. Ties go to the fullest. If they may be cut, too full a level will do and none is opened."""
         top = self.size - n
         count = self.count
-        change = 2 * count[n : self.size + 1] + 1  # the level reached has one more
+        change = np.full(self.size, np.iinfo(np.int64).max)
+        change[1 : top + 1] = 2 * count[n + 1 : self.size + 1] + 1  # the level reached has one more
         change[top] = 0  # full sequences aren't counted
-        change[1:] -= 2 * count[1 : top + 1] - 1  # the level left has one less
-        change[1:][count[1 : top + 1] == 0] = np.iinfo(np.int64).max
-        return top - int(np.argmin(change[::-1]))
-
-    def put(self, piece: tuple, n: int) -> list | None:
-        """Add a piece of n tokens; the sequence, if that fills it."""
-        level = self.choose(n)
-        if level:
-            sequence = self.open[level].pop()
+        change[1 : top + 1] -= 2 * count[1 : top + 1] - 1  # the level left has one less
+        if cut:
+            change[top + 1 :] = 1 - 2 * count[top + 1 : self.size]
+        change[1:][count[1 : self.size] == 0] = np.iinfo(np.int64).max
+        change[0] = np.iinfo(np.int64).max if cut else 0 if not top else 2 * count[n] + 1
+        return self.size - 1 - int(np.argmin(change[::-1]))
+
+    def put(self, doc: int, start: int, ids: np.ndarray, total: int):
+        """Place a piece, cut if need be; the sequences that it fills."""
+        while len(ids):
+            level = self.choose(len(ids), cut=self.held >= self.most_open)
+            sequence = []
+            if level:
+                sequence = self.open[level].pop()
+                self.count[level] -= 1
+                self.held -= 1
+            take = min(len(ids), self.size - level)
+            sequence.append((doc, start, ids[:take], total))
+            start, ids = start + take, ids[take:]
+            if level + take == self.size:
+                yield sequence
+            else:
+                self.open[level + take].append(sequence)
+                self.count[level + take] += 1
+                self.held += 1
+
+    def finish(self):
+        """The sequences filled by dissolving the emptiest open one again and again; what is left at last is yielded as it is."""
+        self.most_open = 1
+        while self.held > 1:
+            level = int(np.flatnonzero(self.count)[0])
             self.count[level] -= 1
             self.held -= 1
-        else:
-            sequence = []
-        sequence.append(piece)
-        if level + n == self.size:
-            return sequence
-        self.open[level + n].append(sequence)
-        self.count[level + n] += 1
-        self.held += 1
-        return None
-
-    def drain(self) -> tuple[list[list], list]:
-        """Full sequences made of all open ones, fullest first, by cutting pieces of the emptiest; and what is left."""
-        queue = [s for level in range(self.size, 0, -1) for s in self.open[level]]
-        fill = [level for level in range(self.size, 0, -1) for _ in self.open[level]]
-        full, low, high, now, room = [], 0, len(queue) - 1, [], 0
-        while low <= high:
-            now, room = list(queue[low]), self.size - fill[low]
-            low += 1
-            while room and low <= high:
-                doc, start, ids, total = queue[high].pop()
-                take = min(room, len(ids))
-                now.append((doc, start, ids[:take], total))
-                room -= take
-                if take < len(ids):
-                    queue[high].append((doc, start + take, ids[take:], total))
-                if not queue[high]:
-                    high -= 1
-            if not room:
-                full.append(now)
-                now = []
-        self.__init__(self.size)
-        return full, now
+            for piece in self.open[level].pop():
+                yield from self.put(*piece)
+        for level in np.flatnonzero(self.count).tolist():
+            yield self.open[level].pop()
 
 
 def powers(sequence: list) -> list[list]:
@@ -109,29 +107,21 @@ def powers(sequence: list) -> list[list]:
     return out
 
 
-def sequences(documents, size: int):
+def sequences(documents, size: int, most_open: int = MOST_OPEN):
     """Sequences (lists of (doc_id, start, ids, doc_tokens)) of an iterable of (doc_id, ids with the end id)."""
-    levels = LevelArray(size)
+    levels = LevelArray(size, most_open)
     for doc, ids in documents:
         total = len(ids)
         whole = total - total % size
         for start in range(0, whole, size):
             yield [(doc, start, ids[start : start + size], total)]
         if whole < total:
-            done = levels.put((doc, whole, ids[whole:], total), total - whole)
-            if done:
-                yield done
-            if levels.held > MOST_OPEN:
-                full, left = levels.drain()
-                yield from full
-                if left:
-                    n = sum(len(p[2]) for p in left)
-                    levels.open[n].append(left)
-                    levels.count[n] += 1
-                    levels.held += 1
-    full, left = levels.drain()
-    yield from full
-    yield from powers(left)
+            yield from levels.put(doc, whole, ids[whole:], total)
+    for sequence in levels.finish():
+        if sum(len(p[2]) for p in sequence) == size:
+            yield sequence
+        else:
+            yield from powers(sequence)
 
 
 _SCHEMA = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
