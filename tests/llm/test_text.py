@@ -73,6 +73,58 @@ def test_grammar_weighs_clauses():
     assert total("plonk plonk") == pytest.approx(plain * 1.5)
 
 
+def clause_by_rules(words, arcs):
+    """Score of one clause by the rules in words, without automata: what stands at most so many words before, and so on."""
+    cues = {w: c for c, listed in (("target", toxicity.TARGETS), ("negation", toxicity.NEGATIONS), ("report", toxicity.REPORTS), ("threat", toxicity.THREATS)) for w in listed}
+    symbols = [cues.get(w) or ("insult" if w in arcs else "other") for w in words]
+    total, seen = 0.0, {}
+    # a cue works on the words after it until its reach is spent, and anew from the next cue of its kind
+    last = {c: None for c in ("negation", "target", "threat")}
+    reported = False
+    for k, (word, symbol) in enumerate(zip(words, symbols, strict=True)):
+        near = lambda cue, reach, k=k: last[cue] is not None and k - last[cue] <= reach
+        if symbol == "insult":
+            factor = (0.3 if near("negation", 3) else 1) * (0.6 if reported else 1) * (1.25 if near("target", 3) else 1)
+            seen[word] = seen.get(word, 0) + 1
+            total += arcs[word] * factor / seen[word]
+        if symbol == "target" and near("threat", 4):
+            total += 3.0
+        if symbol in last:
+            last[symbol] = k
+        reported |= symbol == "report"
+    return total
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["plonk", "grumbo", "you", "him", "not", "never", "said", "kill", "hurt", "tree", "is", "a"]), max_size=14))
+def test_composed_transducers_follow_the_rules(words):
+    arcs = {"plonk": 2.0, "grumbo": 1.5}
+    got = toxicity.Scorer(arcs).clause(words, toxicity.Counter())
+    assert got == pytest.approx(clause_by_rules(words, arcs))
+
+
+def test_clauses_of_any_length():
+    s = toxicity.Scorer({"plonk": 4.0})
+    far = "tree " * 2000
+    plain = s.features("what a plonk")[0]
+    assert s.features("the man said " + far + "what a plonk")[0] == pytest.approx(0.6 * plain)
+    assert s.features(far + "the man said. " + far + "what a plonk")[0] == pytest.approx(plain)
+    assert s.features("you " * 300_000 + "plonk")[:2] == (pytest.approx(1.25 * plain), 1)
+
+
+def test_long_texts_are_learned_from_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEARNED_CHARS", 400)
+    monkeypatch.setattr(toxicity, "PART", 40)
+    texts = ["short text", None, " ".join(f"w{k}" for k in range(1000))]
+    rows = docs_of(spark, texts).select(toxicity._excerpt(F.col("text")).alias("t")).collect()
+    assert [r["t"] for r in rows[:2]] == texts[:2] and len(rows[2]["t"]) <= 410
+    words = [int(w[1:]) for w in rows[2]["t"].split()]
+    assert set(words) <= set(range(1000)) and words[0] < 20 and words[-1] > 980 and len(words) > 50
+    docs, labels = labelled(spark, 300)
+    clash = docs.withColumns({c: F.lit("x") for c in ("toxic", "score", "predicted", "held_out")})
+    assert toxicity.score(clash, labels).count() == 300
+
+
 # ---------------------------------------------------------------- tokens and packing
 
 PIECES = ["Hello, world's  best!", "l'été DÉJÀ-vu 123 4.5", "naïve\tcafé\n\nit'll we've I'd", "日本語 текст ñandú", "a_b __x__ _", "<|endoftext|> x", "ß ẞ İ ﬁ é", "", "!?…", "it's'st", " x y", "😀 ok"]

@@ -7,13 +7,17 @@ counts only with a target. Composition adds weights (log scale); its states are
 Matched clauses are scored, not isolated words, and a logistic layer turns a document's clause scores into
 a number from 0 to 1.
 
-The insult arcs (word beginnings and whole words, with their weights) and the logistic layer are learned from
-a bounded sample of labelled documents: the `sample` rows of the smallest hash, a documented parameter that
-does not grow with the corpus. Scoring reads every whole text. Scores depend on the text alone.
-
-Defined cases: null or empty text scores as a text without matches; unlabelled rows are scored and never
-learned from; with no labels, or labels of one kind, nothing is learned and the built-in threat grammar
-scores alone; repeated rows score alike; an empty table gives an empty result.
+The insult arcs (word beginnings and whole words, with their weights; MOST_ARCS of the strongest) and the
+logistic layer are learned from a bounded sample of labelled documents: the `sample` rows of the smallest
+hash, a documented parameter that does not grow with the corpus; of a sampled text beyond LEARNED_CHARS evenly
+spaced parts are learned from. Scoring reads every whole text, and clauses of any length. Scores depend on the
+text alone.
+
+Defined cases: null or empty text scores as a text without matches; a text without clause ends is one clause;
+unlabelled rows are scored and never learned from; of unequal labels of one doc_id the largest holds; with no
+labels, or labels of one kind, nothing is learned and the built-in threat grammar scores alone; repeated rows
+score alike; a null doc_id stays null and is not held out; an empty table gives an empty result; only doc_id and
+text are read.
 """
 
 from __future__ import annotations
@@ -21,18 +25,19 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small
 
 SAMPLE = 8000
-#: Longer texts are scored like all others but not learned from, so that the sample's size is bounded.
-LONGEST_LEARNED = 50_000
+#: Characters of a sampled text that are learned from: of longer ones, evenly spaced parts of PART characters.
+LEARNED_CHARS, PART = 50_000, 1_000
 THRESHOLD = 0.7
 #: Lower confidence bound (in standard errors) of an arc's log rate ratio, and the least it may be.
 ERRORS, LEAST = 2.33, 0.7
@@ -46,7 +51,8 @@ REPORTS = "said says wrote writes quoted claims claimed called reported dit disa
 THREATS = "kill hurt destroy punch stab shoot beat tuer frapper détruire töten schlagen zerstören matar golpear destruir".split()
 
 _WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_CLAUSE_END = re.compile(r"[.!?;:\n]")
+_CLAUSE_ENDS = ".!?;:\n"
+_CLAUSE_END = re.compile(f"[{_CLAUSE_ENDS}]")
 
 
 class Transducer:
@@ -128,7 +134,7 @@ class Scorer:
         found = [self.arcs.get(word[:n], 0.0) for n in range(SHORTEST, min(len(word), LONGEST) + 1)]
         return max([self.arcs.get(word + "$", 0.0), *found])
 
-    def clause(self, words: list[str], seen: Counter) -> float:
+    def clause(self, words: Iterable[str], seen: Counter) -> float:
         """Score of one clause; a word that the text has had n times before counts for one (n + 1)-th."""
         total, state = 0.0, 0
         for word in words:
@@ -154,12 +160,10 @@ class Scorer:
                 start = end - len(word) + 1
                 if start < done or (start and (low[start - 1].isalpha() or low[start - 1] == "'")):
                     continue
-                a = max((m.end() for m in _CLAUSE_END.finditer(low, max(done, start - 400), start)), default=max(done, start - 400))
-                stop = _CLAUSE_END.search(low, end + 1, end + 400)
-                b = stop.start() if stop else min(len(low), end + 400)
-                while b < len(low) and low[b].isalpha():
-                    b += 1
-                score = self.clause(_WORDS.findall(low, a, b), seen)
+                a = max(done, 1 + max(low.rfind(c, done, start) for c in _CLAUSE_ENDS))
+                stop = _CLAUSE_END.search(low, end + 1)
+                b = stop.start() if stop else len(low)
+                score = self.clause((m[0] for m in _WORDS.finditer(low, a, b)), seen)
                 done = b
                 if score > 0:
                     total, matched, best = total + score, matched + 1, max(best, score)
@@ -240,12 +244,21 @@ def fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 3
 
 
+def _excerpt(text: Column) -> Column:
+    """text, or of one beyond LEARNED_CHARS evenly spaced parts; the first and the last word of a part are lost with its edges."""
+    parts = LEARNED_CHARS // PART
+    step = (F.length(text) - PART) / (parts - 1)
+    at = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.floor(k * step).cast("int") + 1)
+    cut = F.array_join(F.transform(at, lambda k: F.regexp_replace(F.substring(text, k, F.lit(PART)), r"^\S*|\S*$", "")), "\n")
+    return F.when(F.coalesce(F.length(text), F.lit(0)) <= LEARNED_CHARS, text).otherwise(cut)
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], np.ndarray]:
     """(arcs, logistic weights) from at most `sample` labelled documents that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold() != 1)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").where(F.length("text") <= LONGEST_LEARNED)
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(sample).collect()  # bounded by `sample`
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", _excerpt(F.col("text")).alias("text"), "toxic")
+    rows = texts.orderBy("doc_id", "text").limit(sample).collect()  # bounded by `sample` and LEARNED_CHARS
     pairs = [(r["text"] or "", int(r["toxic"] > 0)) for r in rows]
     tally = Tally()
     for text, label in pairs[0::2]:
