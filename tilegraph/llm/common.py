@@ -56,13 +56,18 @@ def _power(kind: str, n: int) -> np.ndarray:
     return have[:n]
 
 
-def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """h with h[i] a polynomial hash of raw[:i], so that span_hash() gives any substring's hash."""
-    out = np.zeros(len(raw) + 1, dtype=U64)
-    np.cumsum(BYTE_CODES[raw] * _power("up", len(raw)), out=out[1:])
+def prefix_codes(codes: np.ndarray) -> np.ndarray:
+    """h with h[i] a polynomial hash of codes[:i], so that span_hash() gives any run's hash."""
+    out = np.zeros(len(codes) + 1, dtype=U64)
+    np.cumsum(codes * _power("up", len(codes)), out=out[1:])
     return out
 
 
+def prefix_hash(raw: np.ndarray) -> np.ndarray:
+    """prefix_codes() of bytes."""
+    return prefix_codes(BYTE_CODES[raw])
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The 64-bit hashes of raw[start:end]; equal bytes give equal hashes wherever they stand."""
     return mix64((prefix[end] - prefix[start]) * _power("down", len(prefix))[start])

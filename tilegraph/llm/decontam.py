@@ -5,17 +5,19 @@ weight in any comparison) the corpus' blocks give document frequencies, and its
 randomised range sketch A'(A R), summed over the cluster; its Nystrom factor gives the leading singular
 directions. Sliding windows of two and four blocks and the benchmark's items are projected onto them, and
 items whose cosine with a window is high enough are candidates. So are, whatever their cosine, items with
-enough of their answer words in a window, if these are rare in the corpus, and else items that stand there
-word by word: rarer words of other items in the same window hide no copy. A candidate is a match if the longest common
-subsequence of words covers enough of the item and its answer words, the rarest ones, are there.
+enough of their answer words in a window, if these are rare in the corpus: rarer words of other items in the
+same window hide no copy. A candidate is a match if the longest common subsequence of words covers enough of
+the item and its answer words, the rarest ones, are there. Items that stand in a text word by word are found
+by rolling hashes of their words, without any gate: no verbatim copy is lost, however common its words.
 
-The benchmark is read in parts of at most ITEMS items, so that what each task holds is bounded; the corpus is
-scanned, never shuffled: only frequencies (one row a term) and the sketch (one row a term) are.
-Every window of every text is compared.
+The benchmark is read in parts of about MOST_WORDS words, so that what each task holds (numbers and a row of RANK
+for each different word) is bounded; for each part the corpus is scanned, never shuffled: only frequencies (one
+row a term) and the sketch (one row a term) are. Every window of every text is compared.
 
 Defined cases: null or empty text matches nothing; items of fewer than LEAST_WORDS words can't be told from
-common speech and match nothing; repeated items match each; repeated rows of a document are reported
-once by doc_id; an empty corpus or benchmark gives an empty result; ties don't arise, all matches are kept.
+common speech and match word by word only, items without words never; repeated items match each; repeated rows of
+a document are reported once by doc_id; a null doc_id is reported as null, and stays in the stage; an empty
+corpus or benchmark gives an empty result; ties don't arise, all matches are kept.
 """
 
 from __future__ import annotations
@@ -25,16 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, bounded_broadcast, chunks, materialise
+from .common import U64, Words, bounded_broadcast, chunks, materialise, mix64, prefix_codes, span_hash
 
 BLOCK = 16
 SKETCH, RANK = 48, 40
-ITEMS = 2048
+#: Words of the items that are sought in one scan: at most 8 million numbers of latent directions.
+MOST_WORDS = 1 << 17
+#: Shorter items are sought word by word only; longer ones by this many first words.
 LEAST_WORDS = 8
 #: Share of the corpus' blocks above which a word counts as a function word, without weight unless it is an answer word.
 STOP = 0.03
 COSINE, LCS, ANSWER = 0.3, 0.6, 0.5
 CHUNK = 1 << 19
+#: Cosines that are computed at once.
+COMPARED = 1 << 23
 #: Ids (8 bytes each) up to which documents are dropped by a broadcast; more are dropped by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -140,6 +146,50 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+class Verbatim:
+    """The items of a vocabulary by the hash of their first words, for copies word by word."""
+
+    def __init__(self, items: list[np.ndarray]):
+        self.size = np.asarray([len(x) for x in items], dtype=np.int64)
+        some = np.flatnonzero(self.size)
+        prefix = prefix_codes(self._codes(np.concatenate([*items, np.zeros(0, dtype=np.int64)])))
+        start = np.cumsum(self.size) - self.size
+        self.whole = span_hash(prefix, start, start + self.size)
+        self.anchors = []
+        for n in np.unique(np.minimum(self.size[some], LEAST_WORDS)).tolist():
+            own = some[np.minimum(self.size[some], LEAST_WORDS) == n]
+            head = span_hash(prefix, start[own], start[own] + n)
+            by = np.argsort(head, kind="stable")
+            keys, first, many = np.unique(head[by], return_index=True, return_counts=True)
+            self.anchors.append((n, keys, first, many, own[by]))
+
+    @staticmethod
+    def _codes(numbers: np.ndarray) -> np.ndarray:
+        return mix64(numbers.astype(U64) + U64(1))
+
+    def find(self, numbers: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, item) of each copy in numbered words; ends gives for each word where its document ends."""
+        prefix = prefix_codes(self._codes(numbers))
+        foreign = np.concatenate(([0], np.cumsum(numbers < 0)))
+        at, item = [], []
+        for n, keys, first, many, own in self.anchors:
+            p = np.flatnonzero(foreign[n:] == foreign[: max(len(foreign) - n, 0)])  # n words of the vocabulary
+            p = p[p + n <= ends[p]]
+            h = span_hash(prefix, p, p + n)
+            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[k] == h
+            p, k = p[hit], k[hit]
+            times = many[k]
+            within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            p, found = np.repeat(p, times), own[np.repeat(first[k], times) + within]
+            full = p + self.size[found] <= ends[p]
+            p, found = p[full], found[full]
+            same = span_hash(prefix, p, p + self.size[found]) == self.whole[found]
+            at.append(p[same])
+            item.append(found[same])
+        return np.concatenate([*at, np.zeros(0, dtype=np.int64)]), np.concatenate([*item, np.zeros(0, dtype=np.int64)])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -179,14 +229,8 @@ def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, answers: di
         n = len(vocabulary.items[k])
         return n if n > 3 * BLOCK else BLOCK // 2
 
-    def verbatim(words, numbers, doc, a, b, k):
-        """Whether the words that verify() sees hold the item word by word."""
-        a, b = max(a - reach(k), words.bounds[doc]), min(b + reach(k), words.bounds[doc + 1])
-        text, item = numbers[a:b].tobytes(), vocabulary.items[k].tobytes()
-        at = text.find(item)
-        while at % 8 and at >= 0:
-            at = text.find(item, at + 1)
-        return at >= 0
+    exact = Verbatim(vocabulary.items)
+    itself = project(vocabulary.items)
 
     def verify(words, numbers, doc, a, b, k):
         a, b = max(a - reach(k), words.bounds[doc]), min(b + reach(k), words.bounds[doc + 1])
@@ -214,6 +258,7 @@ def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, answers: di
             hit_key, hits = np.unique(item * blocks + np.repeat(rare_block, n), return_counts=True)
             hits = np.concatenate(([0], np.cumsum(hits)))
             answers_before = np.concatenate(([0], np.cumsum(np.bincount(rare_block, minlength=blocks))))
+            copy_at, copied = exact.find(numbers, np.repeat(words.bounds[1:], words.counts))
             sums = np.zeros((blocks + 4, weights.shape[1]), dtype=np.float32)
             told = idf[term] > 0
             if told.any():
@@ -224,6 +269,11 @@ def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, answers: di
             best: dict[tuple[int, int], tuple] = {}
             owner = np.repeat(np.arange(len(doc_ids)), np.diff(first))
             two = sums[:-1] + sums[1:]
+            pair, one = np.unique(owner[block[copy_at]] * len(vocabulary.items) + copied, return_index=True)
+            for d, k, p in zip((pair // len(vocabulary.items)).tolist(), copied[one].tolist(), copy_at[one].tolist(), strict=True):
+                start = int(block[p])
+                v = two[start] if len(vocabulary.items[k]) <= BLOCK + 1 else two[start] + two[start + 2]
+                best[d, k] = 1.0, 1.0, float(v @ itself[k] / max(np.linalg.norm(v), 1e-12))
             for n, ks, items in groups:
                 window = two[:blocks] if n == 2 else (two[:-2] + two[2:])[:blocks]
                 # a window near a document's end takes in the next one's first blocks; the check below does not
@@ -235,7 +285,7 @@ def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, answers: di
                 wanted = np.asarray([need[k] for k in ks.tolist()])
                 # (item, start) whose answer words suffice: the starts around a first answer word that enough others follow
                 least = np.zeros(len(vocabulary.items), dtype=np.int64)
-                least[ks] = [need[k] if rare_item[k] else len(answers[k]) for k in ks.tolist()]
+                least[ks] = [need[k] if rare_item[k] else 0 for k in ks.tolist()]
                 span = n + 2 * side
                 mine = np.flatnonzero(least[hit_item] > 0)
                 follow = hits[np.searchsorted(hit_key, hit_key[mine] - hit_block[mine] + np.minimum(hit_block[mine] + span, blocks))] - hits[mine]
@@ -246,20 +296,20 @@ def _search(vocabulary: Vocabulary, ids: list[int], idf: np.ndarray, answers: di
                 key = np.unique(item[inside] * blocks + start[inside])
                 item, start = key // blocks, key % blocks
                 held = hits[np.searchsorted(hit_key, item * blocks + hi[start])] - hits[np.searchsorted(hit_key, item * blocks + lo[start])]
-                sought = dict.fromkeys(key[held >= least[item]].tolist(), False)
-                for part in np.array_split(live, max(1, -(-len(live) // 4096))):
+                sought = dict.fromkeys(key[held >= least[item]].tolist())
+                for part in np.array_split(live, max(1, -(-len(live) * len(ks) // COMPARED))):
                     x, y = np.nonzero(_unit(window[part]) @ items.T >= cosine)
                     x = part[x]
                     key = ks[y] * blocks
                     held = hits[np.searchsorted(hit_key, key + hi[x])] - hits[np.searchsorted(hit_key, key + lo[x])]
                     kept = held >= wanted[y]
-                    sought.update(dict.fromkeys((key + x)[kept].tolist(), True))
-                for x, near in sought.items():
+                    sought.update(dict.fromkeys((key + x)[kept].tolist()))
+                for x in sought:
                     k, start = divmod(x, blocks)
                     doc = int(owner[start])
-                    a = words.bounds[doc] + (start - first[doc]) * BLOCK
-                    if not (near or rare_item[k] or verbatim(words, numbers, doc, a, a + n * BLOCK, k)):
+                    if best.get((doc, k), (0.0,))[0] == 1.0:
                         continue
+                    a = words.bounds[doc] + (start - first[doc]) * BLOCK
                     shared, answer = verify(words, numbers, doc, a, a + n * BLOCK, k)
                     if shared >= least_lcs and answer >= least_answer:
                         v, w = window[start], items[np.searchsorted(ks, k)]
@@ -289,24 +339,26 @@ def _part(docs: DataFrame, items: list, cosine: float, least_lcs: float, least_a
     idf[~told & ~rare] = 0.0
     omega = np.random.default_rng(7).standard_normal((size, min(SKETCH, size))).astype(np.float32)
     names = [f"c{k}" for k in range(omega.shape[1])]
-    summed = docs.mapInArrow(_sketch(vocabulary, idf, omega), ", ".join(["term long", *(f"{c} double" for c in names)])).groupBy("term").agg(*(F.sum(c).alias(c) for c in names)).collect()
+    parts = docs.mapInArrow(_sketch(vocabulary, idf, omega), ", ".join(["term long", *(f"{c} double" for c in names)]))
+    summed = parts.groupBy("term").agg(*(F.sum(c).alias(c) for c in names)).toArrow()  # a row for each word of the items
     sketch = np.zeros(omega.shape)
-    for r in summed:
-        sketch[r["term"]] = r[1:]
+    if summed.num_rows:
+        sketch[summed.column(0).to_numpy()] = np.column_stack([summed.column(c).to_numpy() for c in names])
     directions = latent(sketch, omega.astype(float))
     return docs.mapInArrow(_search(vocabulary, [r["item_id"] for r in items], idf, answers, rare, directions, cosine, least_lcs, least_answer), _RESULT)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least_lcs: float = LCS, least_answer: float = ANSWER, most_items: int = ITEMS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least_lcs: float = LCS, least_answer: float = ANSWER, most_words: int = MOST_WORDS) -> DataFrame:
     """(doc_id, item_id, lcs, answer, cosine) of each document and each benchmark item that it holds, if only in other words."""
     from .common import stage_docs
 
     docs = stage_docs(docs)
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), "text")
-    parts = max(1, -(-items.count() // most_items))
+    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    parts = max(1, -(-total // most_words))
     out = None
     for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()  # about most_items rows
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()  # about most_words words
         if any(Words([r["text"]]).counts[0] for r in rows):
             found = _part(docs, rows, cosine, least_lcs, least_answer)
             out = found if out is None else out.unionByName(found)
