@@ -26,7 +26,12 @@ def test_matches_sql(spark, sf_dir, name):
 # ---------------------------------------------------------------- lines
 
 
-def test_lines_by_site(spark):
+@pytest.mark.parametrize("most_keys", [line_dedup.MOST_KEYS, 0])
+def test_lines_by_site(spark, monkeypatch, most_keys):
+    from tilegraph.functions import storage
+
+    monkeypatch.setattr(line_dedup, "MOST_KEYS", most_keys)
+    monkeypatch.setattr(storage, "HOT_ROWS", 5)
     texts = [f"menu\nown {i}\n  menu  \nfoot" for i in range(8)] + ["menu\nmine", None, "", "\n\n", "menu"]
     docs = docs_of(spark, texts, lambda i: None if i == 12 else "b" if i == 8 else "a")
     got = {r["doc_id"]: r for r in line_dedup.query(docs).collect()}
@@ -38,6 +43,17 @@ def test_lines_by_site(spark):
     assert line_dedup.query(docs.limit(0)).count() == 0
     clash = docs.withColumnsRenamed({"lang": "pages"}).withColumn("keys", docs["doc_id"]).withColumn("h", docs["source"])
     assert line_dedup.stage(clash).columns == clash.columns
+    # pages of one host, by their URLs
+    urls = docs_of(spark, [f"menu\nown {i}" for i in range(8)] + ["menu"], lambda i: "http://b.org/menu" if i == 8 else f"https://me@A.org:80/p{i}?q")
+    assert [r["text"] for r in line_dedup.query(urls).orderBy("doc_id").collect()] == [*(f"own {i}" for i in range(8)), "menu"]
+    twice = line_dedup.query(docs.union(docs)).where("doc_id = 0").collect()
+    assert [(r["n_lines"], r["n_dropped"]) for r in twice] == [(4, 3)] * 2
+
+
+def test_lines_of_long_texts(spark):
+    texts = ["line %d\n" % k * 50_000 for k in range(6)] + ["x" * 2_000_000 + "\nmenu"] * 6
+    got = line_dedup.query(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [r["n_dropped"] for r in got] == [0] * 6 + [2] * 6 and all(r["text"] == t for r, t in zip(got[:6], texts, strict=False))
 
 
 # ---------------------------------------------------------------- repeats

@@ -5,8 +5,9 @@ pages. Lines above the ratio (and on `min_pages` pages at least) are dropped fro
 
 Lines are compared without surrounding blanks and by two independent 64-bit hashes; a page counts once for
 a line. Counts are combined before the shuffle, so a host with a third of all pages costs no more than
-others. A host keeps at most (mean number of lines of its pages) / ratio boilerplate lines, which bounds the
-list that joins back to its pages.
+others. The boilerplate lines found go back to the pages by a broadcast if there are at most MOST_KEYS of them in
+all (16 bytes each); else the lines of numbered pages meet them by host and line, hot lines dealt out, and
+each page gets its own list. No join gathers the pages of a host.
 
 Defined cases: null text counts as empty and stays null; a page without a host (null) belongs to no site and
 stays whole; blank lines are neither counted nor dropped; repeated rows are pages of their own; an
@@ -18,9 +19,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise
+from .common import join_by_key, materialise
 
 MAX_RATIO, MIN_PAGES = 0.05, 5
+#: Boilerplate lines (16 bytes each) of all hosts together up to which they are broadcast.
+MOST_KEYS = 200_000
+#: Scheme and user of a URL, and its host.
+_URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#@]*@)?([^/?#:]+)"
+
+
+def site(source: Column) -> Column:
+    """The host of a URL, in lower case; any other name as it is."""
+    host = F.regexp_extract(source, _URL, 2)
+    return F.when(host != "", F.lower(host)).otherwise(source)
 
 
 def _trimmed(line: Column) -> Column:
@@ -31,35 +42,51 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h"), F.xxhash64(F.lit(7), line).alias("g"))
 
 
+def _lines(text: Column) -> Column:
+    """Keys of the different lines of a text."""
+    bare = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _trimmed)
+    return F.array_distinct(F.transform(F.filter(bare, lambda x: x != ""), _key))
+
+
 def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, keys): the hashes of the lines that more than max_ratio, and at least min_pages, of the host's pages hold."""
-    sited = pages.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """(host, key, n): the hashes of the lines that more than max_ratio, and at least min_pages, of the host's pages hold, n in number."""
+    sited = pages.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(text).alias("text"))
     total = sited.groupBy("host").agg(F.count("*").alias("pages"))
-    lines = sited.select("host", F.explode(F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n"), _trimmed), lambda x: x != ""), _key))).alias("key"))
+    lines = sited.select("host", F.explode(_lines(F.col("text"))).alias("key"))
     often = lines.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    often = often.join(total, "host").where(F.col("n") > F.col("pages") * max_ratio)
-    return often.groupBy("host").agg(F.collect_list("key").alias("keys"))
+    return often.join(total, "host").where(F.col("n") > F.col("pages") * max_ratio).select("host", "key", "n")
+
+
+def _with_keys(pages: DataFrame, found: DataFrame, host: str, text: str) -> DataFrame:
+    """pages with __keys, the keys of lines to drop (null: none)."""
+    if found.count() <= MOST_KEYS:
+        listed = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("key").alias("__keys"))
+        return pages.join(F.broadcast(listed), F.col(host) == F.col("__host"), "left").drop("__host")
+    numbered = materialise(pages.withColumn("__id", F.monotonically_increasing_id()))  # written, so that numbers hold
+    lines = numbered.select("__id", F.col(host).alias("host"), F.explode(_lines(F.col(text))).alias("key"))
+    own = join_by_key(lines, found, ["host", "key"], "n").groupBy("__id").agg(F.collect_list("key").alias("__keys"))
+    return numbered.join(own, "__id", "left").drop("__id")
 
 
 def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages with their text cleaned, and with __lines and __dropped, the numbers of lines before and of lines dropped."""
-    found = bounded_broadcast(materialise(boilerplate(pages, host, text, max_ratio, min_pages)), 20_000).select(F.col("host").alias("__host"), F.col("keys").alias("__keys"))
-    joined = pages.join(found, F.col(host) == F.col("__host"), "left")
+    found = materialise(boilerplate(pages, host, text, max_ratio, min_pages))
     line = F.split(F.col(text), "\n")
     kept = F.filter(line, lambda x: F.col("__keys").isNull() | (_trimmed(x) == "") | ~F.array_contains(F.col("__keys"), _key(_trimmed(x))))
-    cleaned = joined.withColumn("__kept", kept)
-    return cleaned.withColumns({text: F.when(F.col(text).isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n")), "__lines": F.coalesce(F.size(line), F.lit(0)).cast("long"), "__dropped": F.coalesce(F.size(line) - F.size("__kept"), F.lit(0)).cast("long")}).drop("__host", "__keys", "__kept")
+    cleaned = _with_keys(pages, found, host, text).withColumn("__kept", kept)
+    counts = {"__lines": F.coalesce(F.size(line), F.lit(0)).cast("long"), "__dropped": F.coalesce(F.size(line) - F.size("__kept"), F.lit(0)).cast("long")}
+    return cleaned.withColumns({text: F.when(F.col(text).isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n")), **counts}).drop("__keys", "__kept")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_lines, n_dropped and its text without boilerplate; `source` is the site."""
-    pages = docs.select("doc_id", F.col("source").alias("host"), "text")
+    """Per document: doc_id, n_lines, n_dropped and its text without boilerplate; `source` names the site, or is a URL of it."""
+    pages = docs.select("doc_id", site(F.col("source")).alias("host"), "text")
     return drop_boilerplate(pages).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), "text")
 
 
 def stage(docs: DataFrame) -> DataFrame:
     """docs with cleaned text and n_chars to match; every document stays."""
-    out = drop_boilerplate(docs, host="source")
+    out = drop_boilerplate(docs.withColumn("__site", site(F.col("source"))), host="__site")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
@@ -67,7 +94,7 @@ def stage(docs: DataFrame) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH d AS (
-  SELECT doc_id, source, text, row_number() OVER () AS page FROM documents
+  SELECT doc_id, CASE WHEN regexp_extract(source, '{_URL}', 2) <> '' THEN lower(regexp_extract(source, '{_URL}', 2)) ELSE source END AS source, text, row_number() OVER () AS page FROM documents
 ), raw_lines AS (
   SELECT doc_id, source, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d
 ), lines AS (
