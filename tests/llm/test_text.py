@@ -525,3 +525,34 @@ def test_benchmark_passages_of_the_tables(spark, sf_dir):
     truth = {(d["doc_id"], k) for d in docs for k, t in items if t in squeeze(d["text"])}
     got = {(r["doc_id"], r["item_id"]) for r in queries.queries()["op10_benchmark_decontamination"](spark, sf_dir).collect()}
     assert truth <= got
+
+
+# ---------------------------------------------------------------- odd rows
+
+
+def test_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing names, in every operator on documents."""
+    rng = random.Random(15)
+    long = prose(rng, 150_000)
+    texts = [None, "", "a", long, "x" * 1_000_000, "repeated row", "repeated row", "1" * 300_000, "\u0000 \ud7ff é\r\n" * 50]
+    docs = docs_of(spark, texts, lambda i: None if i == 2 else "a").withColumn("doc_id", F.expr("case when doc_id = 5 then 6 when doc_id = 2 then null else doc_id end"))
+    names = "row key mark uid h n start end band first size kept site host keys line digest license term item_id score predicted edits wanted spans tokens length offset ids pages found".split()
+    docs = docs.withColumns({c: F.lit("x") for c in names})
+    labels = spark.createDataFrame([(3, 1, None), (None, None, 1), (4, None, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "no such words here at all in any of these texts"), (None, "a"), (2, None)], "item_id long, text string")
+    count = {
+        "lines": lambda d: queries.line_dedup.query(d).count(),
+        "repeats": lambda d: queries.rindex.remove_repeats(d).count(),
+        "toxicity": lambda d: toxicity.score(d, labels).where("score between 0 and 1").count(),
+        "pii": lambda d: pii.extract(d).where("n_spans >= 0").count(),
+        "near": lambda d: queries.bagminhash.near_duplicates(d).where("kept is not null").count(),
+        "tokens": lambda d: token_counts.counts_after_edits(d, token_counts.trial_edits(), queries.TOKENIZER).where("n_tokens_edited >= 0").count(),
+        "packing": lambda d: packing.pack(d, queries.TOKENIZER).where("start = 0").count(),
+    }
+    for name, rows in count.items():
+        assert rows(docs) == len(texts), name
+        assert rows(docs.limit(0)) == 0, name
+    assert licenses.scan(docs).count() == len(texts) - 1  # repeated rows are one
+    assert decontam.matches(docs, bench).count() == 0
+    whole = packing.pack(docs, queries.TOKENIZER).where("doc_id = 3").selectExpr("sum(length)", "max(doc_tokens)").first()
+    assert whole[0] == whole[1] == len(encoder(queries.TOKENIZER).exact(long)) + 1

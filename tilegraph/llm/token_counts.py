@@ -7,7 +7,9 @@ that region anew and updates the sums above. The rest of the document is never e
 
 Defined cases: null or empty text is one empty leaf and counts no tokens; edits are applied in order, each
 to the text that the ones before it left; bounds beyond the text are cut to it; a null replacement
-is empty; a null or empty edit list leaves the count as it is; repeated rows are counted once each.
+is empty; a null or empty edit list leaves the count as it is; a stretch without white space is one leaf
+whatever its length, and each edit within it encodes it anew; repeated rows are counted once each; a null doc_id
+stays null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
