@@ -10,26 +10,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import materialise
-from .components import BLOCK, connected, sizes
+from ..functions.storage import join_by_key, materialise
+from .blocks import BLOCK
+from .components import sizes, with_components
 
 MODES = ("foreground", "per_label")
 
 
 def regions(pixels: DataFrame, mode: str = "foreground", width: int = 1 << 31, block: int = BLOCK) -> DataFrame:
-    """pixels with comp (null on background) and area of their region."""
+    """(x, y, label) with comp (null on background) and area of their region.
+
+    Areas are summed by component before the shuffle and come back by a join that deals large regions out.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     source = pixels.withColumn("__v", F.col("label") if mode == "per_label" else (F.col("label") > 0).cast("int"))
-    comps = materialise(connected(source, "__v", width, block))
-    sized = comps.join(sizes(comps), "comp")
-    return pixels.join(sized, ["x", "y"], "left")
+    comps = materialise(with_components(source, "__v", width, block, "label"))
+    on = comps.where("comp is not null")
+    sized = join_by_key(on, materialise(sizes(on)), "comp", "area")
+    return sized.select("x", "y", "label", "comp", "area").unionByName(comps.where("comp is null").withColumn("area", F.lit(None).cast("long")))
 
 
 def drop_small(pixels: DataFrame, min_area: int = 100, mode: str = "foreground", width: int = 1 << 31, block: int = BLOCK) -> DataFrame:
-    """pixels with label 0 where the region has fewer than min_area pixels."""
+    """(x, y, label) with label 0 where the region has fewer than min_area pixels."""
     found = regions(pixels, mode, width, block)
-    return found.withColumn("label", F.when(F.col("area") < min_area, F.lit(0).cast("long")).otherwise(F.col("label"))).select(pixels.columns)
+    return found.select("x", "y", F.when(F.col("area") < min_area, F.lit(0).cast("long")).otherwise(F.col("label")).alias("label"))
 
 
 def drop_small_by_ratio(pixels: DataFrame, reference_area: float, min_ratio: float = 0.01, mode: str = "foreground", width: int = 1 << 31, block: int = BLOCK) -> DataFrame:
@@ -63,13 +68,18 @@ def enclosed_table(found: DataFrame, max_area: int = 500) -> DataFrame:
     return small.join(larger, "other").where(F.col("other_area") > F.col("area")).select("comp", "target")
 
 
+def _with_target(found: DataFrame, table: DataFrame, max_area: int) -> DataFrame:
+    """found with the target of its region, null for most; only pixels of regions small enough to be enclosed are joined."""
+    small = F.coalesce(F.col("area") <= max_area, F.lit(False))
+    return found.where(small).join(table, "comp", "left").unionByName(found.where(~small).withColumn("target", F.lit(None).cast("long")))
+
+
 def enclosed_merge(pixels: DataFrame, max_area: int = 500, mode: str = "foreground", width: int = 1 << 31, block: int = BLOCK) -> DataFrame:
     """pixels with enclosed small regions given their only neighbour's label; the input itself in foreground mode."""
     if mode == "foreground":
         return pixels
     found = materialise(regions(pixels, mode, width, block))
-    out = found.join(enclosed_table(found, max_area), "comp", "left")
-    return out.withColumn("label", F.coalesce("target", "label")).select(pixels.columns)
+    return _with_target(found, enclosed_table(found, max_area), max_area).select("x", "y", F.coalesce("target", "label").alias("label"))
 
 
 def enclosed_merge_until_stable(pixels: DataFrame, max_area: int = 500, max_rounds: int = 10, mode: str = "per_label", width: int = 1 << 31, block: int = BLOCK) -> DataFrame:
@@ -89,5 +99,6 @@ def enclosed_merge_and_drop_small(pixels: DataFrame, max_area: int = 500, min_ar
     if mode == "foreground":
         return drop_small(pixels, min_area, mode, width, block)
     found = materialise(regions(pixels, mode, width, block))
-    out = found.join(enclosed_table(found, max_area), "comp", "left")
-    return out.withColumn("label", F.when(F.col("target").isNotNull(), F.col("target")).when(F.col("area") < min_area, F.lit(0).cast("long")).otherwise(F.col("label"))).select(pixels.columns)
+    out = _with_target(found, enclosed_table(found, max_area), max_area)
+    label = F.when(F.col("target").isNotNull(), F.col("target")).when(F.col("area") < min_area, F.lit(0).cast("long")).otherwise(F.col("label"))
+    return out.select("x", "y", label.alias("label"))

@@ -8,12 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import bounded_broadcast, materialise
+from .blocks import BLOCK
 from .closure import components as closure
 from .closure import union_find
 
-#: Side of the blocks that are closed in memory: 1024 x 1024 pixels, some tens of MB.
-BLOCK = 1024
-
 
 def label_block(values: np.ndarray) -> np.ndarray:
     """For each pixel of a block the smallest flat index of its component (equal values, 4-connected); -1 where the value is 0."""
@@ -40,13 +38,14 @@ def label_block(values: np.ndarray) -> np.ndarray:
 def _close_block(width_of_key: int):
     def run(key, table):
         x, y, v = (table.column(c).to_numpy() for c in ("x", "y", "v"))
+        label = table.column("label")
         x0, y0 = x.min(), y.min()
         grid = np.zeros((y.max() - y0 + 1, x.max() - x0 + 1), dtype=np.int64)
         grid[y - y0, x - x0] = v
         local = label_block(grid)[y - y0, x - x0]
         w = grid.shape[1]
         comp = ((local // w + y0).astype(np.int64) * width_of_key) + local % w + x0
-        return pa.table({"x": x, "y": y, "v": v, "comp": comp})
+        return pa.table({"x": x, "y": y, "v": v, "label": label, "comp": comp})
 
     return run
 
@@ -56,14 +55,21 @@ def connected(pixels: DataFrame, value: str = "fg", width: int = 1 << 31, block:
 
     Pass a 0/1 column for components of the foreground, a label column for components of each label.
     """
-    on = pixels.where(F.col(value) != 0).select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col(value).cast("long").alias("v"))
-    keyed = on.withColumns({"by": F.floor(F.col("y") / block), "bx": F.floor(F.col("x") / block)})
-    local = keyed.groupBy("by", "bx").applyInArrow(_close_block(width), "x int, y int, v long, comp long")
-    local = materialise(local)
+    return with_components(pixels.where(F.col(value) != 0), value, width, block).select("x", "y", "comp")
+
+
+def with_components(pixels: DataFrame, value: str = "fg", width: int = 1 << 31, block: int = BLOCK, label: str | None = None) -> DataFrame:
+    """(x, y, label, comp) of all pixels: the component of equal values that a pixel is of, null where the value is 0.
+
+    `label` is a column that comes along, so that it need not be joined again; the value by default.
+    """
+    all_ = pixels.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col(value).cast("long").alias("v"), F.col(label or value).cast("long").alias("label"))
+    keyed = all_.withColumns({"by": F.floor(F.col("y") / block), "bx": F.floor(F.col("x") / block)})
+    local = materialise(keyed.groupBy("by", "bx").applyInArrow(_close_block(width), "x int, y int, v long, label long, comp long"))
 
     def side(along: str, across: str, axis: int) -> DataFrame:
         k = F.col(across)
-        beside = local.where(((k % block == 0) & (k > 0)) | (k % block == block - 1))
+        beside = local.where((F.col("v") != 0) & (((k % block == 0) & (k > 0)) | (k % block == block - 1)))
         line = F.when(k % block == 0, k).otherwise(k + 1)
         mine = F.struct("v", "comp")
         return beside.select(F.lit(axis).alias("axis"), line.alias("line"), F.col(along).alias("at"), F.when(k % block != 0, mine).alias("p"), F.when(k % block == 0, mine).alias("q"))
@@ -71,7 +77,9 @@ def connected(pixels: DataFrame, value: str = "fg", width: int = 1 << 31, block:
     met = side("y", "x", 0).unionByName(side("x", "y", 1)).groupBy("axis", "line", "at").agg(F.max("p").alias("p"), F.max("q").alias("q"))
     edges = met.where(F.col("p.v") == F.col("q.v")).select(F.col("p.comp").alias("a"), F.col("q.comp").alias("b")).distinct()
     roots = bounded_broadcast(materialise(closure(edges))).select(F.col("node").alias("__node"), F.col("component").alias("__root"))
-    return local.join(roots, F.col("comp") == F.col("__node"), "left").select("x", "y", F.coalesce("__root", "comp").alias("comp"))
+    # a component of a block has block * block pixels at most, so no key of this join is hot; background takes no part
+    on = local.where("v <> 0").join(roots, F.col("comp") == F.col("__node"), "left").select("x", "y", "label", F.coalesce("__root", "comp").alias("comp"))
+    return on.unionByName(local.where("v = 0").select("x", "y", "label", F.lit(None).cast("long").alias("comp")))
 
 
 def sizes(comps: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK, Grid, in_blocks
+
 
 def spaced(k: Column, n: int, start: float, stop: float) -> Column:
     """Point k of n from start to stop, both included, cut to an integer; the last one is stop itself."""
@@ -36,17 +40,24 @@ def in_region(points: DataFrame, x0: float, y0: float, x1: float, y1: float) ->
     return points.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
 
 
-def eroded(valid: DataFrame, rounds: int) -> DataFrame:
+def eroded(valid: DataFrame, rounds: int, block: int = BLOCK) -> DataFrame:
     """(x, y) of the pixels all of whose neighbours up to `rounds` steps away (in 4-steps) are valid; what is outside is not.
 
-    Each valid pixel votes for its neighbourhood and votes are counted, with partial sums before the one
-    shuffle; a pixel stays with all 2r(r+1)+1 votes.
+    A kernel on blocks with a halo of `rounds` pixels; a radius beyond a block's side takes larger blocks.
     """
     if rounds <= 0:
         return valid.select("x", "y")
-    steps = [(dx, dy) for dx in range(-rounds, rounds + 1) for dy in range(abs(dx) - rounds, rounds - abs(dx) + 1)]
-    votes = valid.select(F.explode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in steps))).alias("p"))
-    return votes.groupBy("p.x", "p.y").agg(F.count("*").alias("n")).where(F.col("n") == len(steps)).select("x", "y")
+
+    def run(_key, table):
+        grid = Grid(table)
+        inner = grid.values != 0
+        for _ in range(rounds):
+            p = np.pad(inner, 1)
+            inner = inner & p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:]
+        y, x = np.nonzero(inner & grid.own)
+        return pa.table({"x": (x + grid.x0).astype(np.int32), "y": (y + grid.y0).astype(np.int32)})
+
+    return in_blocks(valid, F.lit(1), max(block, rounds), rounds).groupBy("by", "bx").applyInArrow(run, "x int, y int")
 
 
 def dense_residual(spark: SparkSession, unsegmented: DataFrame, height: int, width: int, n: int = 64, rounds: int = 5) -> DataFrame:

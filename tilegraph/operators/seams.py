@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.storage import bounded_broadcast, materialise
+from ..functions.storage import BROADCAST_ROWS, join_by_key, materialise
 from .closure import components
 
 STRATEGIES = ("best_match", "mutual_best", "min_contact", "none")
@@ -67,10 +67,20 @@ def relabel_table(pairs: DataFrame) -> DataFrame:
 
 
 def apply_relabel(pixels: DataFrame, table: DataFrame) -> DataFrame:
-    """pixels with label replaced by its root where the table has one."""
-    named = bounded_broadcast(table).select(F.col("label").alias("__label"), F.col("root").alias("__root"))
-    out = pixels.join(named, F.col("label") == F.col("__label"), "left")
-    return out.withColumn("label", F.coalesce("__root", F.col("label").cast("long"))).drop("__label", "__root").select(pixels.columns)
+    """pixels with label replaced by its root where the table has one.
+
+    A table beyond the broadcast bound is joined by label, with large labels dealt out; background never moves.
+    """
+    named = table.select(F.col("label").alias("__label"), F.col("root").alias("__root"))
+    label = F.col("label").cast("long")
+    if table.count() <= BROADCAST_ROWS:
+        out = pixels.join(F.broadcast(named), label == F.col("__label"), "left")
+        return out.withColumn("label", F.coalesce("__root", label)).select(pixels.columns)
+    px = pixels.withColumn("__label", label)
+    sizes = px.where("__label > 0").groupBy("__label").agg(F.count("*").alias("__n"))
+    full = materialise(sizes.join(named, "__label", "left").withColumn("__root", F.coalesce("__root", "__label")))
+    out = join_by_key(px.where("__label > 0"), full, "__label", "__n").withColumn("label", F.col("__root"))
+    return out.select(pixels.columns).unionByName(px.where("__label <= 0").withColumn("label", label).select(pixels.columns))
 
 
 def merge_seams(pixels: DataFrame, tile: int, strategy: str = "best_match", min_contact: int = 20) -> DataFrame:

@@ -1,4 +1,10 @@
-"""Outlines of label regions: measures by counting exposed edges, polygons by tracing them."""
+"""Outlines of label regions: measures by counting exposed edges, polygons by tracing them.
+
+Both work on blocks: a kernel finds the exposed edges of its own pixels, looking one pixel beyond its edge.
+Polygons take from each block the edges of each region, chained by number; regions that go on in another
+block are joined by their components, and the edges of a region, never its area, meet in one task, which
+traces many regions at once.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +15,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import BLOCK, connected
+from ..functions.storage import bounded_broadcast, materialise
+from .blocks import BLOCK, Grid, in_blocks
+from .closure import components as closure
+from .components import label_block
 
 IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
+#: Of the sides top, right, bottom and left: the neighbour behind it, and the way along it with the pixel to the right.
+BEHIND = ((0, -1), (1, 0), (0, 1), (-1, 0))
+ALONG = ((1, 0), (0, 1), (-1, 0), (0, -1))
+#: Corner of a pixel where each side begins.
+BEGINS = np.array([(0, 0), (1, 0), (1, 1), (0, 1)])
+#: Edges that one tracing takes at once.
+EDGES_AT_ONCE = 1 << 20
 
 
 def edge_lengths(transform) -> tuple[float, float, float]:
@@ -20,77 +36,118 @@ def edge_lengths(transform) -> tuple[float, float, float]:
     return float(np.hypot(a, d)), float(np.hypot(b, e)), abs(a * e - b * d)
 
 
-def _exposed(pixels: DataFrame, label: str) -> DataFrame:
-    """(label, x, y, axis): pixel edges between unequal labels, on the side of each label that is not background.
-
-    Every pixel names its four edges; the two that share an edge meet in one group, so one shuffle with
-    partial aggregation replaces two self-joins.
-    """
-    on = pixels.where(F.col(label) != 0).select("x", "y", F.col(label).alias("label"))
-    edges = F.explode(F.array(*(F.struct(F.lit(axis).alias("axis"), (F.col("x") + dx).alias("ex"), (F.col("y") + dy).alias("ey")) for axis, dx, dy in (("h", 0, 0), ("h", 0, 1), ("v", 0, 0), ("v", 1, 0)))))
-    met = on.select("label", edges.alias("e")).groupBy("e.axis", "e.ex", "e.ey").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count("*").alias("n"))
-    bare = met.where((F.col("n") == 1) | (F.col("p") != F.col("q")))
-    return bare.select("axis", F.explode(F.when(F.col("n") == 1, F.array("p")).otherwise(F.array("p", "q"))).alias("label"))
+def _exposed(_key, table):
+    grid = Grid(table)
+    on = grid.own & (grid.values != 0)
+    sides = [on & (grid.near(*BEHIND[k]) != grid.values) for k in range(4)]
+    labels, place = np.unique(grid.values[on], return_inverse=True)
+    flat = [side[on] for side in sides]
+    count = lambda flags: np.bincount(place, flags, len(labels)).astype(np.int64)
+    across, along = count(flat[0]) + count(flat[2]), count(flat[1]) + count(flat[3])
+    return pa.table({"label": labels, "n": count(np.ones(len(place))), "across": across, "along": along})
 
 
-def measures(pixels: DataFrame, label: str = "label", transform=IDENTITY) -> DataFrame:
-    """(label, area, perimeter) of each label's pixels in map units, holes' edges included; all by aggregation."""
+def measures(pixels: DataFrame, label: str = "label", transform=IDENTITY, block: int = BLOCK) -> DataFrame:
+    """(label, area, perimeter) of each label's pixels in map units, holes' edges included; sums of blocks."""
     across, along, unit = edge_lengths(transform)
-    length = F.sum(F.when(F.col("axis") == "h", across).otherwise(along))
-    outline = _exposed(pixels, label).groupBy("label").agg(length.alias("perimeter"))
-    size = pixels.where(F.col(label) != 0).groupBy(F.col(label).alias("label")).agg((F.count("*") * F.lit(unit)).alias("area"))
-    return size.join(outline, "label").select("label", "area", "perimeter")
+    on = in_blocks(pixels.where(F.col(label) != 0), F.col(label), block, 1)
+    parts = on.groupBy("by", "bx").applyInArrow(_exposed, "label long, n long, across long, along long")
+    total = parts.groupBy("label").agg(*(F.sum(c).alias(c) for c in ("n", "across", "along")))
+    return total.select("label", (F.col("n") * F.lit(unit)).alias("area"), (F.col("across") * F.lit(across) + F.col("along") * F.lit(along)).alias("perimeter"))
 
 
-def trace(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    """Closed rings (corner coordinates, first corner last again) around 4-connected pixels, the outer one first.
+def edges_of(grid: Grid, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edge, next edge, flat place of its pixel) of a grid's own pixels; an edge is 4 * (y * width + x) + side.
 
-    Interior lies to the right of the walk (in image coordinates); at a corner where two pixels touch by
-    a point the walk turns towards its own pixel, so a ring never crosses itself.
+    The walk keeps the pixel to its right. At a corner where two pixels of a label touch by a point it turns
+    towards its own pixel, as regions are connected by sides.
     """
-    x, y = x - (x0 := x.min() - 1), y - (y0 := y.min() - 1)
-    grid = np.zeros((y.max() + 2, x.max() + 2), dtype=bool)
-    grid[y, x] = True
-    edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
-
-    def add(mask, start, end):
-        for r, c in zip(*(v.tolist() for v in np.nonzero(mask)), strict=True):
-            edges.setdefault((c + start[0], r + start[1]), []).append((c + end[0], r + end[1]))
-
-    inner = grid[1:-1, 1:-1]
-    add(np.pad(inner & ~grid[:-2, 1:-1], 1), (0, 0), (1, 0))  # top edges go right
-    add(np.pad(inner & ~grid[1:-1, 2:], 1), (1, 0), (1, 1))  # right edges go down
-    add(np.pad(inner & ~grid[2:, 1:-1], 1), (1, 1), (0, 1))
-    add(np.pad(inner & ~grid[1:-1, :-2], 1), (0, 1), (0, 0))
-    rings = []
-    for first in sorted(edges, key=lambda p: (p[1], p[0])):
-        while edges.get(first):
-            ring, at, step = [first], first, None
-            while True:
-                ways = edges[at]
-                if len(ways) > 1 and step is not None:  # keep the interior at hand: turn right
-                    right = (-step[1], step[0])
-                    nxt = next((w for w in ways if (w[0] - at[0], w[1] - at[1]) == right), ways[0])
-                    ways.remove(nxt)
-                else:
-                    nxt = ways.pop()
-                if not ways:
-                    del edges[at]
-                step = (nxt[0] - at[0], nxt[1] - at[1])
-                if len(ring) > 1 and (ring[-1][0] - ring[-2][0], ring[-1][1] - ring[-2][1]) == step:
-                    ring[-1] = nxt
-                else:
-                    ring.append(nxt)
-                at = nxt
-                if at == first:
-                    break
-            if len(ring) > 3 and ring[1][0] - ring[0][0] == 0 == ring[-1][0] - ring[-2][0]:  # the start lies within an edge
-                ring = [*ring[1:-1], ring[1]]
-            elif len(ring) > 3 and ring[1][1] - ring[0][1] == 0 == ring[-1][1] - ring[-2][1]:
-                ring = [*ring[1:-1], ring[1]]
-            rings.append(np.asarray(ring, dtype=float) + (x0, y0))
-    rings.sort(key=lambda r: -abs(signed_area(r)))
-    return rings
+    v, shape = grid.values, grid.values.shape
+    edge, follow, place = [], [], []
+    for k in range(4):
+        (nx, ny), (dx, dy) = BEHIND[k], ALONG[k]
+        bare = np.flatnonzero(grid.own & (v != 0) & (grid.near(nx, ny) != v))
+        y, x = np.divmod(bare, shape[1])
+        own, ahead, left = v.ravel()[bare], v[y + dy, x + dx], v[y + dy + ny, x + dx + nx]
+        straight, outward = ahead == own, (ahead == own) & (left == own)
+        to_x = x + dx * straight + nx * outward
+        to_y = y + dy * straight + ny * outward
+        side = np.where(outward, (k + 3) % 4, np.where(straight, k, (k + 1) % 4))
+        edge.append(4 * ((y + grid.y0) * width + x + grid.x0) + k)
+        follow.append(4 * ((to_y + grid.y0) * width + to_x + grid.x0) + side)
+        place.append(bare)
+    return tuple(np.concatenate(c).astype(np.int64) for c in (edge, follow, place))
+
+
+def rings_of(edge: np.ndarray, follow: np.ndarray, owner: np.ndarray, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Closed rings of corners (the first again at the end), and the owner of each, from edges in cycles.
+
+    Cycles are found by pointer doubling on all edges at once. A ring that comes to a corner twice is taken
+    apart there, so that no ring touches itself.
+    """
+    by = np.argsort(edge)
+    edge, owner = edge[by], owner[by]
+    nxt = np.searchsorted(edge, follow[by])
+    n = len(edge)
+    if not n:
+        return [], owner
+    head, jump = np.arange(n), nxt.copy()
+    while True:  # the smallest edge of each cycle
+        low = np.minimum(head, head[jump])
+        if (low == head).all():
+            break
+        head, jump = low, jump[jump]
+    to, left = np.where(head == nxt, np.arange(n), nxt), (head != nxt).astype(np.int64)
+    while (step := left[to]).any():  # steps up to the last edge of the cycle
+        left, to = left + step, to[to]
+    order = np.lexsort((-left, head))
+    side = edge[order] % 4
+    ring, before = head[order], np.empty(n, dtype=np.int64)
+    before[nxt] = edge % 4
+    corner = side != before[order]
+    order, ring = order[corner], ring[corner]
+    y, x = np.divmod(edge[order] // 4, width)
+    spots = np.column_stack((x, y)) + BEGINS[edge[order] % 4]
+    start = np.flatnonzero(np.append(True, ring[1:] != ring[:-1]))
+    stop = np.append(start[1:], len(ring))
+    twice = np.zeros(len(start), dtype=bool)
+    place = np.cumsum(np.append(0, ring[1:] != ring[:-1]))
+    key = np.lexsort((spots[:, 0], spots[:, 1], place))
+    same = (place[key][1:] == place[key][:-1]) & (spots[key][1:] == spots[key][:-1]).all(axis=1)
+    twice[place[key][1:][same]] = True
+    rings, owners = [], []
+    spots = spots.astype(float)
+    for k, (a, b) in enumerate(zip(start.tolist(), stop.tolist(), strict=True)):
+        parts = _apart(spots[a:b]) if twice[k] else [spots[a:b]]
+        rings += [np.vstack((p, p[:1])) for p in parts]
+        owners += [owner[order[a]]] * len(parts)
+    return rings, np.asarray(owners)
+
+
+def _apart(spots: np.ndarray) -> list[np.ndarray]:
+    """A ring that meets itself at corners, as rings that do not."""
+    out, path, seen = [], [], {}
+    for spot in map(tuple, spots.tolist()):
+        if spot in seen:
+            at = seen[spot]
+            out.append(np.asarray(path[at:]))
+            for gone in path[at + 1 :]:
+                del seen[gone]
+            del path[at + 1 :]
+        else:
+            seen[spot] = len(path)
+            path.append(spot)
+    return [*out, np.asarray(path)]
+
+
+def trace(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Closed rings (corner coordinates, first corner last again) around pixels of one label, the outer one first."""
+    grid = Grid(pa.table({"x": x, "y": y, "v": np.ones(len(x), dtype=np.int64), "own": np.ones(len(x), dtype=bool)}))
+    shift = np.array((min(grid.x0, 0), min(grid.y0, 0)))
+    grid.x0, grid.y0 = grid.x0 - int(shift[0]), grid.y0 - int(shift[1])
+    edge, follow, _ = edges_of(grid, 1 << 31)
+    rings, _ = rings_of(edge, follow, np.zeros(len(edge), dtype=np.int64), 1 << 31)
+    return sorted((r + shift for r in rings), key=lambda r: -abs(signed_area(r)))
 
 
 def signed_area(ring: np.ndarray) -> float:
@@ -106,8 +163,7 @@ def ring_length(ring: np.ndarray) -> float:
 def simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:
     """A closed ring without points that lie within the tolerance of the line that replaces them; four points stay at least.
 
-    Douglas and Peucker's rule on the two halves of the ring. Unlike a topology-preserving simplifier it
-    looks at one ring alone; if a ring would collapse it is returned as it is.
+    Douglas and Peucker's rule on the two halves of the ring; if the ring would collapse it is returned as it is.
     """
     if tolerance <= 0 or len(ring) <= 5:
         return ring
@@ -130,6 +186,71 @@ def simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:
     return out if len(out) >= 4 and abs(signed_area(out)) > 0 else ring
 
 
+def _turn(o: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sign((a[..., 0] - o[..., 0]) * (b[..., 1] - o[..., 1]) - (a[..., 1] - o[..., 1]) * (b[..., 0] - o[..., 0]))
+
+
+def _meeting(p, q, r, t) -> np.ndarray:
+    """Whether the segments pq and rt cross, overlap or touch other than by ends that they share."""
+    one, two, three, four = _turn(p, q, r), _turn(p, q, t), _turn(r, t, p), _turn(r, t, q)
+
+    def within(o, a, b, turn):
+        inside = (np.minimum(a, b) <= o).all(axis=-1) & (o <= np.maximum(a, b)).all(axis=-1)
+        return (turn == 0) & inside & ~(o == a).all(axis=-1) & ~(o == b).all(axis=-1)
+
+    equal = ((p == r).all(axis=-1) & (q == t).all(axis=-1)) | ((p == t).all(axis=-1) & (q == r).all(axis=-1))
+    return ((one * two < 0) & (three * four < 0)) | within(r, p, q, one) | within(t, p, q, two) | within(p, r, t, three) | within(q, r, t, four) | equal
+
+
+def conflicts(rings: list[np.ndarray]) -> set[int]:
+    """Rings that cross or overlap themselves or another, and holes that lie outside the first ring."""
+    p, q = np.vstack([r[:-1] for r in rings]), np.vstack([r[1:] for r in rings])
+    owner = np.repeat(np.arange(len(rings)), [len(r) - 1 for r in rings])
+    by = np.argsort(np.minimum(p[:, 0], q[:, 0]), kind="stable")
+    p, q, owner = p[by], q[by], owner[by]
+    low, high = np.minimum(p, q), np.maximum(p, q)
+    last = np.searchsorted(low[:, 0], high[:, 0], "right")  # segments from k + 1 up to here overlap k from left to right
+    bad: set[int] = set()
+    for a in range(0, len(p), 2048):
+        k = np.arange(a, min(a + 2048, len(p)))
+        n = np.maximum(last[k] - k - 1, 0)
+        for part in np.array_split(np.arange(len(k)), max(1, int(n.sum()) >> 20)):
+            i = np.repeat(k[part], n[part])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+            near = (low[i, 1] <= high[j, 1]) & (low[j, 1] <= high[i, 1])
+            i, j = i[near], j[near]
+            hit = _meeting(p[i], q[i], p[j], q[j])
+            bad.update(owner[i[hit]].tolist(), owner[j[hit]].tolist())
+    for k, hole in enumerate(rings[1:], 1):
+        if k not in bad and not contains(rings[0], (hole[0] + hole[1]) / 2):
+            bad |= {0, k}
+    return bad
+
+
+def contains(ring: np.ndarray, spot: np.ndarray) -> bool:
+    """Whether a point lies within a ring, by crossings to its right."""
+    a, b = ring[:-1], ring[1:]
+    over = (a[:, 1] > spot[1]) != (b[:, 1] > spot[1])
+    a, b = a[over], b[over]
+    return bool(((a[:, 0] + (spot[1] - a[:, 1]) / (b[:, 1] - a[:, 1]) * (b[:, 0] - a[:, 0])) > spot[0]).sum() % 2)
+
+
+def simplified(rings: list[np.ndarray], tolerance: float) -> list[np.ndarray]:
+    """Rings simplified as far as they neither cross nor leave the first: those that would are simplified less, in the end not at all."""
+    if tolerance <= 0:
+        return rings
+    own = np.full(len(rings), float(tolerance))
+    out = [simplify(r, tolerance) for r in rings]
+    for attempt in range(8):
+        bad = [k for k in conflicts(out) if own[k] > 0]
+        if not bad:
+            break
+        for k in bad:
+            own[k] = own[k] / 2 if attempt < 6 else 0.0
+            out[k] = simplify(rings[k], own[k])
+    return rings if conflicts(out) else out
+
+
 def wkb_polygon(rings: list[np.ndarray]) -> bytes:
     """Little-endian well-known binary of a polygon, its outer ring first."""
     out = [struct.pack("<BII", 1, 3, len(rings))]
@@ -152,23 +273,107 @@ def read_wkb(data: bytes) -> list[np.ndarray]:
     return rings
 
 
-FEATURE = "label_id long, part_id long, wkb binary, area_m2 double, perimeter_m double"
+FEATURE = "label_id long, part_id long, wkb binary, area_m2 double, perimeter_m double, n_rings int"
 
 
-def polygons(pixels: DataFrame, transform=IDENTITY, tolerance: float = 1.0, width: int = 1 << 31, block: int = BLOCK) -> DataFrame:
-    """FEATURE rows: a polygon for each 4-connected region of one label, area and length after simplification.
+_OUTLINES = "label long, comp long, edges array<long>, follow array<long>, leaves array<long>, enters array<long>"
 
-    part_id is the region's first pixel. A region is traced by one task; its size is that of one segment.
-    """
-    labelled = pixels.where("label <> 0").select("x", "y", "label")
-    parts = labelled.join(connected(labelled, "label", width, block), ["x", "y"])
+
+def _outlines(width: int):
+    """Each region of a block with its edges, the pixels beyond the block that it goes on to, and its own pixels that others come to."""
+
+    def run(_key, table):
+        grid = Grid(table)
+        own = np.where(grid.own, grid.values, 0)
+        flat = label_block(own).ravel()
+        w = own.shape[1]
+        number = lambda place: (place // w + grid.y0).astype(np.int64) * width + place % w + grid.x0
+        edge, follow, place = edges_of(grid, width)
+        regions, first = np.unique(flat[flat >= 0], return_index=True)
+        by = np.argsort(flat[place], kind="stable")
+        cuts = np.searchsorted(flat[place][by], np.append(regions, len(flat)))
+
+        def listed(values, cuts):
+            return pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(values, type=pa.int64()))
+
+        def across(ways):
+            """Pixel numbers by region: of neighbours beyond the block (or of own pixels beside one) with the same label."""
+            spots, owners = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for dx, dy, out in ways:
+                beyond = np.zeros_like(grid.own)
+                h, w_ = beyond.shape
+                inside = grid.own[max(dy, 0) : h + min(dy, 0), max(dx, 0) : w_ + min(dx, 0)]
+                beyond[max(-dy, 0) : h - max(dy, 0), max(-dx, 0) : w_ - max(dx, 0)] = ~inside
+                at = np.flatnonzero((own != 0) & beyond & (grid.near(dx, dy) == grid.values))
+                spots.append(number(at + dy * w + dx) if out else number(at))
+                owners.append(flat[at])
+            spot, owner = np.concatenate(spots), np.concatenate(owners)
+            order = np.argsort(owner, kind="stable")
+            return listed(spot[order], np.searchsorted(owner[order], np.append(regions, len(flat))))
+
+        leaves, enters = across(((1, 0, True), (0, 1, True))), across(((-1, 0, False), (0, -1, False)))
+        label = own.ravel()[regions]
+        return pa.table({"label": label, "comp": number(regions), "edges": listed(edge[by], cuts), "follow": listed(follow[by], cuts), "leaves": leaves, "enters": enters})
+
+    return run
+
+
+def _traced(width: int, transform, tolerance: float):
     a, b, c, d, e, f = map(float, transform)
 
-    def run(key, table):
-        rings = trace(table.column("x").to_numpy().astype(np.int64), table.column("y").to_numpy().astype(np.int64))
-        mapped = [np.column_stack((a * r[:, 0] + b * r[:, 1] + c, d * r[:, 0] + e * r[:, 1] + f)) for r in rings]
-        mapped = [simplify(r, tolerance) for r in mapped]
-        area = abs(signed_area(mapped[0])) - sum(abs(signed_area(r)) for r in mapped[1:])
-        return pa.table({"label_id": [key[0].as_py()], "part_id": [key[1].as_py()], "wkb": [wkb_polygon(mapped)], "area_m2": [area], "perimeter_m": [sum(map(ring_length, mapped))]})
+    def features(table):
+        region = table.column("region").to_numpy()
+        sizes = pa.compute.list_value_length(table.column("edges")).to_numpy()
+        edge, follow = (pa.compute.list_flatten(table.column(k)).to_numpy() for k in ("edges", "follow"))
+        rings, owner = rings_of(edge, follow, np.repeat(region, sizes), width)
+        label = dict(zip(region.tolist(), table.column("label").to_pylist(), strict=True))
+        by = np.argsort(owner, kind="stable")
+        cut = np.flatnonzero(np.append(True, owner[by][1:] != owner[by][:-1]))
+        out = []
+        for low, high in zip(cut.tolist(), [*cut[1:].tolist(), len(by)], strict=True):
+            own = sorted((rings[k] for k in by[low:high].tolist()), key=lambda r: -abs(signed_area(r)))
+            own = simplified([np.column_stack((a * r[:, 0] + b * r[:, 1] + c, d * r[:, 0] + e * r[:, 1] + f)) for r in own], tolerance)
+            area = abs(signed_area(own[0])) - sum(abs(signed_area(r)) for r in own[1:])
+            name = int(owner[by[low]])
+            out.append((label[name], name, wkb_polygon(own), area, sum(map(ring_length, own)), len(own)))
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in FEATURE.split(", ")])
+
+    def run(batches):
+        import pyarrow.compute  # noqa: F401
+
+        held, edges = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            edges += int(pa.compute.sum(pa.compute.list_value_length(batch.column("edges"))).as_py() or 0)
+            if edges < EDGES_AT_ONCE:
+                continue
+            table = pa.Table.from_batches(held)
+            region = table.column("region").to_numpy()
+            whole = int(np.searchsorted(region, region[-1]))  # the last region may go on
+            if whole:
+                yield features(table.slice(0, whole))
+            held = table.slice(whole).to_batches()
+            edges = int(pa.compute.sum(pa.compute.list_value_length(table.slice(whole).column("edges"))).as_py() or 0)
+        if held:
+            yield features(pa.Table.from_batches(held))
+
+    return run
+
 
-    return parts.select("label", "comp", "x", "y").groupBy("label", "comp").applyInArrow(run, FEATURE)
+def polygons(pixels: DataFrame, transform=IDENTITY, tolerance: float = 1.0, width: int = 1 << 31, block: int = BLOCK) -> DataFrame:
+    """FEATURE rows: a valid polygon for each 4-connected region of one label, area and length after simplification.
+
+    part_id is the region's first pixel. No ring crosses or touches itself; simplification keeps rings apart
+    and holes inside. Coordinates of pixels must not be negative.
+    """
+    labelled = in_blocks(pixels.where("label <> 0"), F.col("label"), block, 1)
+    parts = materialise(labelled.groupBy("by", "bx").applyInArrow(_outlines(width), _OUTLINES))
+    here = parts.select("comp", F.explode("leaves").alias("px"))
+    there = parts.select(F.col("comp").alias("other"), F.explode("enters").alias("px")).distinct()
+    roots = closure(here.join(there, "px").select("comp", "other"), "comp", "other")
+    roots = bounded_broadcast(materialise(roots)).select(F.col("node").alias("__node"), F.col("component").alias("__root"))
+    whole = parts.join(roots, F.col("comp") == F.col("__node"), "left").select("label", F.coalesce("__root", "comp").alias("region"), "edges", "follow")
+    return whole.repartition("region").sortWithinPartitions("region").mapInArrow(_traced(width, transform, tolerance), FEATURE)
