@@ -236,3 +236,87 @@ def test_clustered_points_stay_valid():
     assert (pts == multipass.spread_points(valid, 16, 42)).all()
     assert len(multipass.spread_points(valid & False, 16, 42)) == 0
     assert multipass.erode(np.ones((5, 5), dtype=bool), 2).sum() == 1
+
+
+def _lattice_rings(rows):
+    """Rings of each component worked out pixel by pixel: holes by flooding the rest with corners, corners where an outline meets itself."""
+    comp = _brute_components(rows)
+    h, w = len(rows), len(rows[0])
+    out = {}
+    for c in set(comp.values()):
+        own = {p for p, k in comp.items() if k == c}
+        free = {(x, y) for x in range(-1, w + 1) for y in range(-1, h + 1)} - own
+        pieces = 0
+        while free:
+            pieces += 1
+            todo = [free.pop()]
+            while todo:
+                x, y = todo.pop()
+                for n in [(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
+                    if n in free:
+                        free.remove(n)
+                        todo.append(n)
+        pinches = sum((((x, y) in own) == ((x + 1, y + 1) in own)) and (((x + 1, y) in own) == ((x, y + 1) in own)) and (((x, y) in own) != ((x + 1, y) in own)) for x in range(-1, w) for y in range(-1, h))
+        out[c] = (len(own), pieces + pinches)
+    return out
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(1, 11), st.integers(1, 11), st.randoms(use_true_random=False), st.sampled_from([3, 64]))
+def test_polygons_of_any_raster(spark, h, w, rnd, block):
+    rows = [[rnd.choice([0, 1, 1, 2]) for _ in range(w)] for _ in range(h)]
+    if not any(map(any, rows)):
+        return
+    got = {r["part_id"]: r for r in vector.polygons(as_pixels(spark, rows), tolerance=0.0, width=w, block=block).collect()}
+    want = _lattice_rings(rows)
+    assert {k: (r["area_m2"], r["n_rings"]) for k, r in got.items()} == want
+    for r in got.values():
+        rings = vector.read_wkb(r["wkb"])
+        assert not vector.conflicts(rings)
+        assert all(len({tuple(p) for p in ring.tolist()}) == len(ring) - 1 for ring in rings)  # no ring meets itself
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(3, 16), st.integers(3, 16), st.randoms(use_true_random=False), st.sampled_from([0.8, 1.5, 3.0]))
+def test_simplified_rings_stay_apart(h, w, rnd, tolerance):
+    grid = np.array([[rnd.random() < 0.75 for _ in range(w)] for _ in range(h)])
+    comp = components.label_block(grid.astype(int))
+    if comp.max() < 0:
+        return
+    root = np.bincount(comp[comp >= 0]).argmax()
+    y, x = np.nonzero(comp == root)
+    rings = vector.trace(x, y)
+    out = vector.simplified(rings, tolerance)
+    assert len(out) == len(rings) and not vector.conflicts(out)
+    assert all(len(r) >= 4 and (r[0] == r[-1]).all() for r in out)
+
+
+@pytest.mark.parametrize(("rounds", "block"), [(1, 4), (2, 4), (3, 64), (5, 4)])
+def test_erosion_across_blocks(spark, rounds, block):
+    valid = np.random.default_rng(rounds).random((20, 23)) < 0.93
+    y, x = np.nonzero(valid)
+    px = spark.createDataFrame([(int(a), int(b)) for a, b in zip(x, y, strict=True)], "x int, y int")
+    got = {(r["x"], r["y"]) for r in points.eroded(px, rounds, block).collect()}
+    y, x = np.nonzero(multipass.erode(valid, rounds))
+    assert got == set(zip(x.tolist(), y.tolist(), strict=True))
+
+
+@pytest.mark.parametrize(("h", "w"), [(9, 9), (1, 65), (150, 1), (1100, 1100)])
+def test_masks_of_any_size(spark, h, w):
+    from tilegraph.operators import masks
+
+    rng = np.random.default_rng(h * w)
+    bits = rng.random((3 if h > 1000 else 6, h * w)) < 0.5
+    bits[1] = bits[0]
+    bits[1][: h * w // 10] = 0
+    df = spark.createDataFrame([(0, k, row.astype(int).tolist()) for k, row in enumerate(bits)], "tile_id long, mask_id long, bits array<tinyint>")
+    got = {(r["mask_a"], r["mask_b"]): r["iou"] for r in masks.iou_pairs(df, 0.01).collect()}
+    want = {(a, b): (bits[a] & bits[b]).sum() / (bits[a] | bits[b]).sum() for a in range(len(bits)) for b in range(a + 1, len(bits))}
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.01})
+
+
+def test_relabelling_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(seams, "BROADCAST_ROWS", 0)
+    rows = [[0, 1, 2, 2], [3, 3, 2, 2]]
+    table = spark.createDataFrame([(2, 1), (3, 1)], "label long, root long")
+    assert as_rows(seams.apply_relabel(as_pixels(spark, rows), table)) == [[0, 1, 1, 1], [1, 1, 1, 1]]

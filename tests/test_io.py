@@ -236,3 +236,121 @@ def test_mosaic(spark, mode):
     assert m.blocks().count() == 0
     with pytest.raises(ValueError):
         Mosaic(spark, 4, 2, 2, "tape")
+
+
+# ---------------------------------------------------------------- proposers, previews, presets
+
+
+class Shaky:
+    """Fails on the first tile that it sees after it was opened for the first time."""
+
+    def __init__(self, flag, always=False):
+        self.flag, self.always, self.inner, self.opened = flag, always, None, 0
+
+    def open(self):
+        from tilegraph.operators.multipass import FloodProposer
+
+        self.inner, self.opened = FloodProposer(min_area=20), self.opened + 1
+
+    def close(self):
+        self.inner = None
+
+    def propose(self, image, points, iou, stability):
+        if self.always or self.opened == 1:
+            open(self.flag, "a").write("x")
+            raise RuntimeError("out of memory")
+        return self.inner.propose(image, points, iou, stability)
+
+
+def made_elsewhere(config, min_area):
+    from tilegraph.operators.multipass import FloodProposer
+
+    return FloodProposer(levels=4, min_area=min_area)
+
+
+def test_a_failing_proposer_is_opened_anew(spark, tmp_path):
+    write_image(tmp_path / "s.tif", scene())
+    flag = tmp_path / "failed"
+    good = segment_with(spark, str(tmp_path / "s.tif"), str(tmp_path / "a"), **OPTIONS, save_shapefile=False)
+    again = segment_with(spark, str(tmp_path / "s.tif"), str(tmp_path / "b"), proposer=Shaky(str(flag)), **OPTIONS, save_shapefile=False)
+    assert flag.read_text() and again.n_segments == good.n_segments
+    with pytest.raises(Exception, match="out of memory"):
+        segment_with(spark, str(tmp_path / "s.tif"), str(tmp_path / "c"), proposer=Shaky(str(flag), True), **OPTIONS, save_shapefile=False)
+
+
+def test_proposers_by_name():
+    from tilegraph.config import Segmentation
+    from tilegraph.operators import multipass
+
+    assert isinstance(multipass.make_proposer(None, Segmentation()), multipass.FloodProposer)
+    assert multipass.make_proposer("tests.test_io:made_elsewhere", Segmentation(), 7).min_area == 7
+    with pytest.raises(ValueError, match="no proposer named"):
+        multipass.make_proposer("weights.pt", Segmentation())
+    cropped = multipass.make_proposer("flood", Segmentation(crop_n_layers=1), 20)
+    image = scene()
+    points = multipass.uniform_points(*image.shape[:2], 12)
+    cropped.open()
+    whole = cropped.inner.propose(image, points, 0.5, 0.5)
+    both = cropped.propose(image, points, 0.5, 0.5)
+    assert len(both) > len(whole) and all(p.mask.shape == image.shape[:2] and p.mask.any() for p in both)
+
+
+def read_png(path):
+    import zlib
+
+    data, at, body = open(path, "rb").read(), 8, b""
+    while at < len(data):
+        (n,) = struct.unpack(">I", data[at : at + 4])
+        kind, part = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        if kind == b"IHDR":
+            w, h = struct.unpack(">II", part[:8])
+        body += part if kind == b"IDAT" else b""
+        at += 12 + n
+    return np.frombuffer(zlib.decompress(body), dtype=np.uint8).reshape(h, 1 + 3 * w)[:, 1:].reshape(h, w, 3)
+
+
+@pytest.mark.parametrize("edge", ["whole", "cover"])
+def test_preview_of_the_whole_image(spark, tmp_path, edge):
+    image = scene()
+    write_image(tmp_path / "s.tif", image)
+    blocks = raster_source.to_rgb_blocks(raster_source.read_tiles(spark, str(tmp_path / "s.tif"), 48, 8, edge=edge))
+    rows = (np.arange(96)[:, None] // 16 * 9 + np.arange(144) // 16) % 5
+    px = as_pixels(spark, rows.tolist())
+    for most, step in ((1024, 1), (50, 3)):
+        out = raster_source.write_preview(blocks, px, str(tmp_path / "p.png"), 144, 96, 48, 0.5, most)
+        seen = image[::step, ::step]
+        if edge == "cover":
+            want = (seen * 0.5 + raster_source.colours(rows[::step, ::step]) * 0.5).astype(np.uint8)
+            assert (read_png(out) == want).all()
+        assert read_png(out).shape == seen.shape
+    assert raster_source.colours(np.array([0])).tolist() == [[0, 0, 0]]
+    result = segment_with(spark, str(tmp_path / "s.tif"), str(tmp_path / "out"), **OPTIONS, save_shapefile=False, save_preview=True, streaming_mode="ram")
+    assert read_png(result.preview_path).shape == (96, 144, 3)
+
+
+def test_presets():
+    one = config.preset("single_pass").validate()
+    assert (one.segmentation.max_passes, one.segmentation.points_per_side, one.tile.padding, one.merge.merge_strategy) == (1, 32, 0, "none")
+    with pytest.raises(ValueError):
+        config.preset("none")
+    assert cli.parser().parse_args(["a", "b", "--preset", "single_pass"]).preset == "single_pass"
+
+
+def test_well_known_text():
+    south = vector_files.wkt(32723)
+    assert south.startswith('PROJCS["WGS 84 / UTM zone 23S"') and 'PARAMETER["central_meridian",-45]' in south and 'PARAMETER["false_northing",10000000]' in south
+    assert vector_files.wkt().startswith('GEOGCS["WGS 84"') and 'central_meridian",9]' in vector_files.wkt(25832)
+    assert vector_files.wkt(31983).startswith('PROJCS["SIRGAS 2000 / UTM zone 23S"') and vector_files.wkt(2154) == 'LOCAL_CS["EPSG:2154",UNIT["metre",1],AUTHORITY["EPSG","2154"]]'
+    for code in (4326, 3857, 32601, 32760, 25828, 26901, 31965, 31985, 9999):
+        text = vector_files.wkt(code)
+        assert text.count("[") == text.count("]") and text.endswith(f'"{code}"]]')
+
+
+@pytest.mark.parametrize("mode", ["ram", "disk", "auto"])
+def test_tables_are_kept(spark, mode):
+    from tilegraph.functions import storage
+
+    df = spark.range(100)
+    assert storage.keep(df, mode, 10**15).count() == 100
+    with pytest.raises(ValueError):
+        storage.keep(df, "tape")

@@ -18,7 +18,7 @@ def test_matches_sql(spark, sf_dir, duck, name):
 
 def test_beyond_sql(spark, sf_dir):
     all_ = q.queries()
-    assert set(all_) - set(q.oracle_sql()) == {"box_nms", "enclosed_merge_until_stable", "greedy_accept", "kmeans_points", "polygons"}
+    assert set(all_) - set(q.oracle_sql()) == {"kmeans_points", "polygons"}
     background = {(r["x"], r["y"]) for r in all_["unmerged_raster"](spark, sf_dir).where("label = 0").collect()}
     points = all_["kmeans_points"](spark, sf_dir).collect()
     assert len(points) == 16 and all((p["x"], p["y"]) in background for p in points)

@@ -1,4 +1,7 @@
-"""Options: frozen groups with defaults, validation, YAML, and flat overrides."""
+"""Options: frozen groups with defaults, validation, YAML, presets and flat overrides.
+
+Names and defaults of the options are fixed values: configurations written for them must keep their meaning.
+"""
 
 from __future__ import annotations
 
@@ -60,6 +63,7 @@ class Output:
     save_shapefile: bool = True
     save_geopackage: bool = False
     save_stats: bool = True
+    save_preview: bool = False
     simplify_tolerance: float = 1.0
     streaming_mode: str = "auto"
 
@@ -130,6 +134,19 @@ FLAT: dict[str, tuple[str | None, str]] = {
 }
 
 
+#: Options that make a configuration of their own, by name: one pass with a coarse grid, no padding, no merging.
+PRESETS: dict[str, dict] = {
+    "single_pass": {"points_per_side": 32, "iou_start": 0.88, "iou_end": 0.88, "stability_start": 0.95, "stability_end": 0.95, "padding": 0, "merge_strategy": "none", "max_passes": 1, "use_adaptive_threshold": False},
+}
+
+
+def preset(name: str) -> Config:
+    """The defaults with the options of a preset."""
+    if name not in PRESETS:
+        raise ValueError(f"unknown preset {name}; known are {', '.join(PRESETS)}")
+    return Config().with_overrides(**PRESETS[name])
+
+
 def from_dict(data: dict | None) -> Config:
     """A Config from nested options; absent ones keep their defaults, unknown ones are an error."""
     data = dict(data or {})

@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What labels are multiplied with to scatter their colours.
+COLOUR = 2654435761
+
+
 def to_uint8(value: Column, kind: str, largest: Column | None = None) -> Column:
     """value as 0 to 255. uint8 stays; uint16 stays where the tile's `largest` is at most 255, else a 256th, cut; floats times 255, clipped and cut."""
     if kind == "uint8":
@@ -57,9 +61,9 @@ def shifted(x: Column, y: Column, dx: int, dy: int) -> tuple[Column, Column]:
 
 
 def colour(label: Column) -> Column:
-    """[r, g, b] of a label: black for background, else by its hash."""
-    h = F.xxhash64(label)
-    parts = [F.pmod(F.shiftright(h, 8 * k), F.lit(256)).cast("int") for k in range(3)]
+    """[r, g, b] of a label: black for background, else bits of a product with an odd number."""
+    h = F.pmod(label.cast("long"), F.lit(1 << 31)) * F.lit(COLOUR)
+    parts = [F.shiftright(h, s).bitwiseAND(255).cast("int") for s in (8, 16, 24)]
     return F.when(label == 0, F.array(F.lit(0), F.lit(0), F.lit(0))).otherwise(F.array(*parts))
 
 

@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,27 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Share of the executors' memory that `auto` fills before it turns to the shared folder.
+AUTO_SHARE = 0.3
+
+
+def keep(df: DataFrame, mode: str = "auto", size: int = 0) -> DataFrame:
+    """df computed once: in memory (`ram`), as a table in the shared folder (`disk`), or in memory where its `size` in bytes is at most AUTO_SHARE of all executors' (`auto`)."""
+    if mode not in ("ram", "disk", "auto"):
+        raise ValueError("mode must be ram, disk or auto")
+    if mode == "auto":
+        status = df.sparkSession._jsc.sc().getExecutorMemoryStatus().values().iterator()
+        room = 0
+        while status.hasNext():
+            room += status.next()._1()
+        mode = "ram" if size <= AUTO_SHARE * room else "disk"
+    if mode == "disk":
+        return materialise(df)
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -13,10 +13,18 @@ def area(bits: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s + b)
 
 
-def packed(bits: Column, start: int = 0, size: int = 64) -> Column:
-    """Up to 64 bits of an array as one BIGINT, bit d of the number being bit start + d of the array."""
-    places = F.sequence(F.lit(0), F.lit(size - 1))
-    return F.aggregate(places, F.lit(0).cast("long"), lambda s, d: s.bitwiseOR(F.call_function("shiftleft", F.element_at(bits, (d + 1 + start).cast("int")).cast("long"), d.cast("int"))))
+def packed(bits: Column) -> Column:
+    """All bits of an array as an array of BIGINT words, bit d of word w being bit 64 * w + d of the array."""
+    words = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(bits) / 64).cast("int") - 1, F.lit(0)))
+    bit = lambda k: F.coalesce(F.get(bits, k) != 0, F.lit(False)).cast("long")
+    return F.transform(words, lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda s, d: s.bitwiseOR(F.call_function("shiftleft", bit(w * 64 + d), d))))
+
+
+def _count(a: Column, b: Column, op) -> Column:
+    """Set bits of two arrays of words combined by op; the shorter one goes on with zeros."""
+    zero = F.lit(0).cast("long")
+    both = F.zip_with(a, b, lambda p, q: F.bit_count(op(F.coalesce(p, zero), F.coalesce(q, zero))))
+    return F.aggregate(both, zero, lambda s, n: s + n)
 
 
 def bbox(bits: Column, width: int) -> Column:
@@ -36,14 +44,19 @@ def mask_pixels(masks: DataFrame, width: int, *keep: str) -> DataFrame:
 def iou_pairs(masks: DataFrame, threshold: float = 0.5, group: str = "tile_id") -> DataFrame:
     """(group, mask_a, mask_b, iou) of the pairs of a tile whose IoU reaches the threshold; empty pairs have none.
 
-    A tile's proposals are few by nature; masks of 64 pixels travel as one number each, and overlap is a bit count.
+    Masks of any size travel as one number for 64 pixels, and overlap is a bit count. A tile's proposals are few by
+    nature; pairs whose areas rule the threshold out are not compared.
     """
-    small = masks.select(group, "mask_id", packed(F.col("bits")).alias("m"))
-    a = small.select(group, F.col("mask_id").alias("mask_a"), F.col("m").alias("ma"))
-    b = small.select(F.col(group).alias("__g"), F.col("mask_id").alias("mask_b"), F.col("m").alias("mb"))
-    both = a.join(b, (F.col(group) == F.col("__g")) & (F.col("mask_a") < F.col("mask_b")))
-    shared, union = F.bit_count(F.col("ma").bitwiseAND(F.col("mb"))), F.bit_count(F.col("ma").bitwiseOR(F.col("mb")))
-    return both.where(union > 0).withColumn("iou", shared / union).where(F.col("iou") >= threshold).select(group, "mask_a", "mask_b", "iou")
+    words = packed(F.col("bits"))
+    small = masks.select(group, "mask_id", words.alias("m")).withColumn("n", F.aggregate("m", F.lit(0).cast("long"), lambda s, w: s + F.bit_count(w)))
+    a = small.select(group, F.col("mask_id").alias("mask_a"), F.col("m").alias("ma"), F.col("n").alias("na"))
+    b = small.select(F.col(group).alias("__g"), F.col("mask_id").alias("mask_b"), F.col("m").alias("mb"), F.col("n").alias("nb"))
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(float(threshold) * (1 - 1e-9))
+    both = a.join(b, (F.col(group) == F.col("__g")) & (F.col("mask_a") < F.col("mask_b")) & near)
+    shared = _count(F.col("ma"), F.col("mb"), lambda p, q: p.bitwiseAND(q))
+    both = both.where("na + nb > 0").select(group, "mask_a", "mask_b", (F.col("na") + F.col("nb")).alias("total"), shared.alias("shared"))
+    iou = F.col("shared") / (F.col("total") - F.col("shared"))
+    return both.withColumn("iou", iou).where(F.col("iou") >= threshold).select(group, "mask_a", "mask_b", "iou")
 
 
 def union_pixels(masks: DataFrame, width: int, *by: str) -> DataFrame:
@@ -70,7 +83,10 @@ def by_area(masks: DataFrame) -> DataFrame:
 
 
 def suppress(boxes: np.ndarray, scores: np.ndarray, threshold: float) -> np.ndarray:
-    """Indices kept by greedy suppression: best score first, dropping boxes whose IoU with a kept one exceeds the threshold."""
+    """Indices kept by greedy suppression: best score first (ties in order), dropping boxes whose IoU with a kept one exceeds the threshold.
+
+    Boxes are (x0, y0, x1, y1) with ends excluded: a box of one pixel has an area of 1, an empty one of 0.
+    """
     order = np.argsort(-scores, kind="stable")
     x0, y0, x1, y1 = boxes.T.astype(float)
     size = (x1 - x0) * (y1 - y0)
@@ -86,15 +102,17 @@ def suppress(boxes: np.ndarray, scores: np.ndarray, threshold: float) -> np.ndar
 
 
 def box_nms(masks: DataFrame, width: int, threshold: float = 0.7, group: str = "tile_id") -> DataFrame:
-    """masks that greedy box suppression keeps in each tile; a threshold of 1 keeps all."""
+    """masks that greedy box suppression keeps in each tile, ties of score by mask_id; a threshold of 1 keeps all."""
     if threshold >= 1.0:
         return masks
-    boxed = masks.withColumn("__box", bbox(F.col("bits"), width))
+    boxed = masks.withColumn("__box", bbox(F.col("bits"), width)).withColumn("__some", (area(F.col("bits")) > 0).cast("int"))
 
     def run(_key, table):
+        table = table.sort_by("mask_id")
         box = np.column_stack([pa.compute.struct_field(table.column("__box").combine_chunks(), i).to_numpy() for i in range(4)])
+        box[:, 2:] += table.column("__some").to_numpy()[:, None]  # ends included so far; an empty mask has no box
         kept = suppress(box, table.column("score").to_numpy(), threshold)
-        return table.take(pa.array(np.sort(kept))).drop_columns(["__box"])
+        return table.take(pa.array(np.sort(kept))).drop_columns(["__box", "__some"])
 
     import pyarrow.compute  # noqa: F401
 

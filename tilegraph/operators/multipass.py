@@ -6,6 +6,9 @@ worker; tiles are what runs in parallel. Rasters reach the kernel as blocks, nev
 
 from __future__ import annotations
 
+import importlib
+import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -39,6 +42,55 @@ class Proposer(Protocol):
     def close(self) -> None: ...
 
 
+#: Makers of proposers by name: each takes the segmentation options and the least area of a mask.
+PROPOSERS: dict[str, Callable[[Segmentation, int], Proposer]] = {}
+
+
+def make_proposer(checkpoint: str | None, config: Segmentation, min_area: int = 100) -> Proposer:
+    """The proposer that `checkpoint` names: one of PROPOSERS (the stand-in by default), or module:maker to import."""
+    name = checkpoint or "flood"
+    if name in PROPOSERS:
+        made = PROPOSERS[name](config, min_area)
+    elif ":" in name and not name.startswith((".", "/")):
+        module, _, maker = name.partition(":")
+        made = getattr(importlib.import_module(module), maker)(config, min_area)
+    else:
+        raise ValueError(f"no proposer named {name}; known are {', '.join(PROPOSERS)}, or module:maker")
+    return Cropped(made, config.crop_n_layers) if config.crop_n_layers else made
+
+
+class Cropped:
+    """A proposer that also looks at crops: in layer k the image in 2^k x 2^k parts that overlap by an eighth."""
+
+    def __init__(self, inner: Proposer, layers: int):
+        self.inner, self.layers = inner, layers
+
+    def open(self) -> None:
+        self.inner.open()
+
+    def close(self) -> None:
+        self.inner.close()
+
+    def propose(self, image, points, iou, stability):
+        out = list(self.inner.propose(image, points, iou, stability))
+        h, w = image.shape[:2]
+        for layer in range(1, self.layers + 1):
+            n = 2**layer
+            for row in range(n):
+                for col in range(n):
+                    y0, x0 = max(row * h // n - h // (8 * n), 0), max(col * w // n - w // (8 * n), 0)
+                    y1, x1 = min((row + 1) * h // n + h // (8 * n), h), min((col + 1) * w // n + w // (8 * n), w)
+                    part = image[y0:y1, x0:x1]
+                    inside = points[(points[:, 0] >= x0) & (points[:, 0] < x1) & (points[:, 1] >= y0) & (points[:, 1] < y1)]
+                    if not len(inside) or not part.any():
+                        continue
+                    for p in self.inner.propose(part, inside - (x0, y0), iou, stability):
+                        mask = np.zeros((h, w), dtype=bool)
+                        mask[y0:y1, x0:x1] = p.mask
+                        out.append(Proposal(mask, p.score, p.stability, None if p.point is None else (p.point[0] + x0, p.point[1] + y0)))
+        return out
+
+
 class FloodProposer:
     """A stand-in for a network: the area around each point whose quantised colour is the point's own.
 
@@ -83,6 +135,9 @@ class FloodProposer:
         return out
 
 
+PROPOSERS["flood"] = lambda config, min_area: FloodProposer(min_area=min_area, nms=config.box_nms_thresh)
+
+
 @dataclass
 class Accepted:
     """A tile's labels so far. Components of proposals are accepted in order; the first to take a pixel keeps it."""
@@ -139,6 +194,19 @@ def decay(coverages: list[float], threshold: Threshold, target: float, added: li
     return out
 
 
+def decay_by_scene(series: DataFrame, threshold: Threshold, target: float) -> DataFrame:
+    """(scene, pass, iou, stability, stopped) of decay() on each scene's coverages (scene, pass, coverage)."""
+
+    def run(key, table):
+        table = table.sort_by("pass")
+        steps = decay(table.column("coverage").to_pylist(), threshold, target)
+        iou, stability, stopped = zip(*steps, strict=True)
+        n = len(steps)
+        return pa.table({"scene": pa.array([key[0].as_py()] * n, pa.int64()), "pass": table.column("pass").cast(pa.int64()).slice(0, n), "iou": iou, "stability": stability, "stopped": stopped})
+
+    return series.groupBy("scene").applyInArrow(run, "scene long, pass long, iou double, stability double, stopped boolean")
+
+
 def uniform_points(height: int, width: int, n: int) -> np.ndarray:
     """n x n points (x, y), x fastest, spaced over the whole tile and cut to integers."""
     xs, ys = (np.linspace(0, size - 1, n).astype(np.int32) for size in (width, height))
@@ -224,7 +292,8 @@ TILE_RESULT = "tile_row int, tile_col int, labels array<long>, max_label long, c
 def segment_tiles(blocks: DataFrame, proposer: Proposer, config: Segmentation, threshold: Threshold, tile: int, min_area: int = 100) -> DataFrame:
     """TILE_RESULT of blocks (tile_row, tile_col, crop_x, crop_y, width, height, rgb BINARY); tiles without any value are skipped.
 
-    A lost worker costs its tiles only: kernels have no state beyond them.
+    A lost worker costs its tiles only: kernels have no state beyond them. A tile whose proposer fails is tried
+    once more with the proposer opened anew, then the task fails and Spark tries it elsewhere.
     """
     import pyarrow.compute  # noqa: F401
 
@@ -238,7 +307,13 @@ def segment_tiles(blocks: DataFrame, proposer: Proposer, config: Segmentation, t
                     image = np.frombuffer(row["rgb"], dtype=np.uint8).reshape(row["height"], row["width"], 3)
                     if not image.any():
                         continue
-                    labels, stats = run_tile(image, proposer, config, threshold, min_area)
+                    try:
+                        labels, stats = run_tile(image, proposer, config, threshold, min_area)
+                    except Exception:
+                        logging.getLogger(__name__).warning("tile %s, %s failed and is tried again", row["tile_row"], row["tile_col"], exc_info=True)
+                        proposer.close()
+                        proposer.open()
+                        labels, stats = run_tile(image, proposer, config, threshold, min_area)
                     useful = labels[row["crop_y"] : row["crop_y"] + tile, row["crop_x"] : row["crop_x"] + tile]
                     result = {
                         "tile_row": row["tile_row"], "tile_col": row["tile_col"], "labels": useful.ravel().tolist(), "max_label": int(useful.max(initial=0)),
@@ -268,3 +343,15 @@ def accept_masks(masks: DataFrame, width: int, height: int, min_area: int = 3) -
         return pa.table({"tile_id": np.full(len(x), key[0].as_py(), dtype=np.int64), "x": x.astype(np.int32), "y": y.astype(np.int32), "label": done.labels[y, x]})
 
     return masks.groupBy("tile_id").applyInArrow(run, "tile_id long, x int, y int, label long")
+
+
+def acceptance_counts(masks: DataFrame, width: int, height: int, min_area: int = 3) -> DataFrame:
+    """(tile_id, accepted, filtered_small, filtered_overlap): components of each tile's masks by what the gates did with them."""
+
+    def run(key, table):
+        bits = np.asarray(table.column("bits").to_pylist(), dtype=bool).reshape(len(table), height, width)
+        done = Accepted(np.zeros((height, width), dtype=np.int64), min_area=min_area)
+        added = sum(done.offer(bits[k]) for k in np.argsort(table.column("ord").to_numpy(), kind="stable"))
+        return pa.table({"tile_id": pa.array([key[0].as_py()], pa.int64()), "accepted": [added], "filtered_small": [done.counts["small"]], "filtered_overlap": [done.counts["overlap"]]})
+
+    return masks.groupBy("tile_id").applyInArrow(run, "tile_id long, accepted long, filtered_small long, filtered_overlap long")

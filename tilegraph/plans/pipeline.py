@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.storage import materialise
+from ..functions.storage import keep, materialise
 from ..operators import cleanup, grid, multipass, seams, vector, zonal
 from ..sources import raster_source, vector_files
 from ..sources.tiff import Header, read_header
@@ -44,6 +44,7 @@ class Result:
     t_compute: float
     t_total: float
     stats: dict
+    preview_path: str | None = None
 
 
 def assemble(tiles: DataFrame, offsets: DataFrame, tile: int) -> DataFrame:
@@ -59,7 +60,7 @@ class Pipeline:
 
     def __init__(self, config: Config | None = None, proposer: multipass.Proposer | None = None):
         self.config = (config or Config()).validate()
-        self.proposer = proposer or multipass.FloodProposer(min_area=self.config.merge.min_mask_area, nms=self.config.segmentation.box_nms_thresh)
+        self.proposer = proposer or multipass.make_proposer(self.config.checkpoint, self.config.segmentation, self.config.merge.min_mask_area)
 
     def plan(self, spark: SparkSession, path: str) -> Plan:
         c = self.config
@@ -84,14 +85,15 @@ class Pipeline:
         c = self.config
         os.makedirs(out, exist_ok=True)
         plan = self.plan(spark, path)
-        before = materialise(self.clean(plan.assembled, plan.header.width))
-        merged = materialise(seams.merge_seams(before, c.tile.size, c.merge.merge_strategy, c.merge.min_contact_pixels))
+        size = 16 * plan.header.width * plan.header.height  # bytes of (x, y, label)
+        before = keep(self.clean(plan.assembled, plan.header.width), c.output.streaming_mode, size)
+        merged = keep(seams.merge_seams(before, c.tile.size, c.merge.merge_strategy, c.merge.min_contact_pixels), c.output.streaming_mode, size)
         stats = self.statistics(plan, before, merged, path)
         stats["summary"]["processing_time_seconds"] = round(time.time() - began, 2)
         t_compute = time.time() - began
         h, name = plan.header, os.path.splitext(os.path.basename(path))[0]
         place = lambda suffix: os.path.join(out, f"{name}_{suffix}")
-        labels_path = before_path = shapefile_path = geopackage_path = stats_path = None
+        labels_path = before_path = shapefile_path = geopackage_path = stats_path = preview_path = None
         if c.output.save_labels:
             before_path = raster_source.write_labels(before, place("labels_before_merge.tif"), h.width, h.height, h.crs, h.transform)
             labels_path = raster_source.write_labels(merged, place("labels.tif"), h.width, h.height, h.crs, h.transform)
@@ -101,12 +103,15 @@ class Pipeline:
                 shapefile_path = place("segments.shp")
             if c.output.save_geopackage and vector_files.save_geopackage(features, place("segments.gpkg"), h.crs):
                 geopackage_path = place("segments.gpkg")
+        if c.output.save_preview:
+            source = raster_source.to_rgb_blocks(raster_source.read_tiles(spark, path, c.tile.size, c.tile.padding, edge=c.tile.edge))
+            preview_path = raster_source.write_preview(source, merged, place("preview.png"), h.width, h.height, c.tile.size)
         if c.output.save_stats:
             stats_path = place("stats.json")
             with open(stats_path, "w", encoding="utf-8") as f:
                 json.dump(stats, f, indent=2)
         summary = stats["summary"]
-        return Result(labels_path, before_path, shapefile_path, geopackage_path, stats_path, summary["total_segments"], summary["total_coverage"], t_compute, time.time() - began, stats)
+        return Result(labels_path, before_path, shapefile_path, geopackage_path, stats_path, summary["total_segments"], summary["total_coverage"], t_compute, time.time() - began, stats, preview_path)
 
     def statistics(self, plan: Plan, before: DataFrame, merged: DataFrame, path: str) -> dict:
         """The nested statistics document: a few rows of aggregates, and a row a tile."""

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Threshold
 from ..functions import raster
-from ..functions.storage import materialise
+from ..functions.storage import checkpoint_root, materialise
 from ..operators import cleanup, components, grid, masks, multipass, points, seams, vector, zonal
 from ..sources import fixtures as fx
+from ..sources import raster_source, vector_files
+from ..sources.mosaic import Mosaic
+from ..sources.tiff import read_header
 
 W, T, BLOCK = fx.WIDTH, fx.TILE, 64
 MIN_CONTACT, MIN_AREA, ENCLOSED = 3, 5, 20
@@ -322,7 +329,29 @@ def enclosed_merge_and_drop_small_compatible(spark, sf_dir):
     return cleanup.enclosed_merge_and_drop_small(_sparse(spark, sf_dir), ENCLOSED, MIN_AREA, "foreground", W, BLOCK)
 
 
-@_query()
+def _stable_sql(rounds: int) -> str:
+    """The merge round after round, each with components of its own, and the round that the loop stops at."""
+    parts = [f"WITH RECURSIVE {F1}, s0 AS MATERIALIZED (SELECT x, y, label FROM f1)"]
+    step = "(q.x = p.x + 1 AND q.y = p.y) OR (q.x = p.x - 1 AND q.y = p.y) OR (q.x = p.x AND q.y = p.y + 1) OR (q.x = p.x AND q.y = p.y - 1)"
+    for k in range(1, rounds + 1):
+        parts.append(f"""px{k} AS MATERIALIZED (SELECT CAST(y * {W} + x AS BIGINT) AS id, x, y, label AS v FROM s{k - 1} WHERE label > 0), nb{k} AS MATERIALIZED (
+  SELECT p.id AS a, q.id AS b FROM px{k} p JOIN px{k} q ON p.v = q.v AND ({step})
+), cc{k}(id, comp) USING KEY (id) AS (
+  SELECT id, id FROM px{k}
+  UNION
+  SELECT n.a, min(c.comp) FROM cc{k} c JOIN nb{k} n ON c.id = n.b JOIN recurring.cc{k} r ON r.id = n.a WHERE c.comp < r.comp GROUP BY n.a
+), area{k} AS MATERIALIZED (SELECT comp, count(*) AS area FROM cc{k} GROUP BY comp),
+reg{k} AS MATERIALIZED (SELECT s.x, s.y, s.label, c.comp FROM s{k - 1} s LEFT JOIN cc{k} c ON c.id = s.y * {W} + s.x),
+beside{k} AS (SELECT p.comp, q.comp AS other, q.label AS other_label FROM reg{k} p JOIN reg{k} q ON {step} WHERE p.comp IS NOT NULL AND p.comp IS DISTINCT FROM q.comp),
+target{k} AS (SELECT s.comp, s.target FROM (SELECT comp, count(DISTINCT other_label) AS labels, max(other_label) AS target, bool_or(other IS NULL) AS open, max(other) AS other FROM beside{k} GROUP BY comp) s
+  JOIN area{k} a ON a.comp = s.comp JOIN area{k} o ON o.comp = s.other WHERE labels = 1 AND NOT open AND a.area <= {ENCLOSED} AND o.area > a.area),
+s{k} AS MATERIALIZED (SELECT x, y, coalesce(target, label) AS label FROM reg{k} LEFT JOIN target{k} ON target{k}.comp = reg{k}.comp)""")
+    counts = " UNION ALL ".join(f"SELECT {k} AS k, count(DISTINCT label) AS n FROM s{k} WHERE label > 0" for k in range(rounds + 1))
+    parts.append(f"counts AS ({counts}), stop AS (SELECT coalesce(min(a.k), {rounds}) AS k FROM counts a JOIN counts b ON b.k = a.k - 1 WHERE a.n = b.n)")
+    return ",\n".join(parts) + " " + " UNION ALL ".join(f"SELECT x, y, label FROM s{k}, stop WHERE stop.k = {k}" for k in range(1, rounds + 1))
+
+
+@_query(_stable_sql(10))
 def enclosed_merge_until_stable(spark, sf_dir):
     return cleanup.enclosed_merge_until_stable(_pixels(spark, sf_dir), ENCLOSED, 10, "per_label", W, BLOCK)
 
@@ -365,10 +394,10 @@ def points_in_region(spark, sf_dir):
     return points.in_region(points.uniform_grid(spark, 1100, 1100, 64), 100, 250, 400, 700)
 
 
-@_query(f"WITH {F1}, s AS (SELECT max(y) + 1 AS h FROM f1), g AS (SELECT k AS point_id, CAST(k % 130 - 10 AS INT) AS x, CAST(k // 130 - 3 AS INT) AS y FROM range(0, 13000) t(k)) SELECT g.* FROM g, s WHERE x >= 0 AND x < {W} AND y >= 0 AND y < h AND NOT EXISTS (SELECT 1 FROM f1 WHERE f1.x = g.x AND f1.y = g.y AND label > 0)")
+@_query(f"WITH {F1}, s AS (SELECT max(y) + 1 AS h FROM f1), g AS (SELECT k AS point_id, CAST(k % 130 - 10 AS INT) AS x, CAST(k // 130 - 3 AS INT) AS y FROM s, range(0, 130 * (h + 6)) t(k)) SELECT g.* FROM g, s WHERE x >= 0 AND x < {W} AND y >= 0 AND y < h AND NOT EXISTS (SELECT 1 FROM f1 WHERE f1.x = g.x AND f1.y = g.y AND label > 0)")
 def points_outside_mask(spark, sf_dir):
     px = fx.label_raster(spark, sf_dir)
-    some = spark.range(13_000).select(F.col("id").alias("point_id"), F.expr("cast(id % 130 - 10 as int)").alias("x"), F.expr("cast(id div 130 - 3 as int)").alias("y"))
+    some = spark.range(130 * (_height(px) + 6)).select(F.col("id").alias("point_id"), F.expr("cast(id % 130 - 10 as int)").alias("x"), F.expr("cast(id div 130 - 3 as int)").alias("y"))
     return points.outside_mask(some, px.where("label > 0"), W, _height(px)).select("point_id", "x", "y")
 
 
@@ -444,6 +473,100 @@ def shifted_points(spark, sf_dir):
     return fx.label_raster(spark, sf_dir).select("x", "y", sx.alias("sx"), sy.alias("sy"), F.round(nx.cast("double"), 6).alias("nx"), F.round(ny.cast("double"), 6).alias("ny"))
 
 
+@_query(f"WITH {F1} SELECT x, y, v[1] AS r, v[2] AS g, v[3] AS b FROM (SELECT x, y, CASE WHEN fg = 1 THEN [label % 251, label % 241, label % 239] ELSE [label % 251, label % 251, label % 251] END AS v FROM f1)")
+def bands_to_rgb(spark, sf_dir):
+    """One band is repeated, of four the first three are kept."""
+    px = fx.label_raster(spark, sf_dir)
+    bands = F.when(F.col("fg") == 1, F.array(*(F.col("label") % k for k in (251, 241, 239, 233)))).otherwise(F.array(F.col("label") % 251))
+    return px.select("x", "y", raster.to_rgb(bands).alias("v")).select("x", "y", *(F.element_at("v", k + 1).alias(c) for k, c in enumerate("rgb")))
+
+
+@_query(f"""WITH {F1}, c AS (SELECT x, y, label, label % 256 AS v, (label % 2147483648) * {raster.COLOUR} AS h FROM f1)
+SELECT x, y, CAST(trunc(v * 0.75::DOUBLE + CASE WHEN label = 0 THEN 0 ELSE (h >> 8) & 255 END * 0.25::DOUBLE) AS INT) AS r, CAST(trunc(v * 0.75::DOUBLE + CASE WHEN label = 0 THEN 0 ELSE (h >> 16) & 255 END * 0.25::DOUBLE) AS INT) AS g,
+  CAST(trunc(v * 0.75::DOUBLE + CASE WHEN label = 0 THEN 0 ELSE (h >> 24) & 255 END * 0.25::DOUBLE) AS INT) AS b FROM c""")
+def blended_colours(spark, sf_dir):
+    grey = F.array_repeat(F.col("label") % 256, 3)
+    out = fx.label_raster(spark, sf_dir).select("x", "y", raster.blended(grey, F.col("label"), 0.25).alias("v"))
+    return out.select("x", "y", *(F.element_at("v", k + 1).alias(c) for k, c in enumerate("rgb")))
+
+
+_DECAY = f"""WITH RECURSIVE {F1}, {F3}, n AS (SELECT CAST(scene AS BIGINT) AS scene, CAST(pass AS BIGINT) AS pass, coverage FROM f3), walk(scene, pass, iou, stability, stopped, before) AS (
+  SELECT DISTINCT scene, CAST(-1 AS BIGINT), 0.93::DOUBLE, 0.9::DOUBLE, FALSE, 0.0::DOUBLE FROM n
+  UNION ALL
+  SELECT w.scene, n.pass, CASE WHEN falls THEN greatest(0.91, w.iou - 0.01) ELSE w.iou END, CASE WHEN falls THEN greatest(0.88, w.stability - 0.01) ELSE w.stability END, done, n.coverage
+  FROM (SELECT w.*, n.coverage AS c, n.coverage >= 65 OR (n.coverage - w.before < 0.1 AND w.iou <= 0.91) AS done, n.coverage < 65 AND n.coverage - w.before < 0.1 AND w.iou > 0.91 AS falls FROM walk w JOIN n ON n.scene = w.scene AND n.pass = w.pass + 1 WHERE NOT w.stopped) w
+  JOIN n ON n.scene = w.scene AND n.pass = w.pass + 1
+)"""
+
+
+@_query(_DECAY + " SELECT scene, pass, round(iou, 6) AS iou, round(stability, 6) AS stability, stopped FROM walk WHERE pass >= 0")
+def threshold_decay(spark, sf_dir):
+    """Thresholds that fall when a pass adds little, until the target or the last threshold stops the loop."""
+    rules = Threshold(iou_start=0.93, iou_end=0.91, stability_start=0.9, stability_end=0.88, step=0.01)
+    return multipass.decay_by_scene(fx.coverage_series(spark, sf_dir), rules, 65.0).select("scene", "pass", *_r("iou", "stability"), "stopped")
+
+
+# ---------------------------------------------------------------- files
+
+
+def _folder(spark) -> str:
+    """A folder of the shared checkpoint folder that driver and executors see by the same path."""
+    path = os.path.join(re.sub("^file:/+", "/", checkpoint_root(spark)), f"files-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path
+
+
+@_query(f"WITH {F1} SELECT x, y, label FROM f1")
+def label_tiff(spark, sf_dir):
+    """Labels written as a TIFF and read back by padded tiles."""
+    px = _pixels(spark, sf_dir)
+    path = raster_source.write_labels(px, f"{_folder(spark)}/labels.tif", W, _height(px))
+    return raster_source.pixels_of(raster_source.read_tiles(spark, path, 64, 8, edge="cover"), 64)
+
+
+@_query(f"WITH {F1} SELECT x, y, CAST(label <> 0 AS BIGINT) AS label FROM f1")
+def mask_tiff(spark, sf_dir):
+    px = _pixels(spark, sf_dir)
+    path = raster_source.write_mask(px, f"{_folder(spark)}/mask.tif", W, _height(px))
+    return raster_source.pixels_of(raster_source.read_tiles(spark, path, 64, edge="cover"), 64)
+
+
+@_query(f"WITH {F1} SELECT CAST({W} AS INT) AS width, CAST(max(y) + 1 AS INT) AS height, CAST(1 AS INT) AS bands, CASE WHEN max(label) <= 255 THEN 'uint8' WHEN max(label) <= 65535 THEN 'uint16' ELSE 'uint32' END AS dtype, CAST(32723 AS INT) AS crs, 2.0::DOUBLE AS pixel, CAST(0 AS DOUBLE) AS nodata FROM f1")
+def tiff_metadata(spark, sf_dir):
+    px = _pixels(spark, sf_dir)
+    h = read_header(raster_source.write_labels(px, f"{_folder(spark)}/labels.tif", W, _height(px), 32723, (2.0, 0.0, 100.0, 0.0, -2.0, 900.0)))
+    return spark.createDataFrame([(h.width, h.height, h.bands, h.dtype, h.crs, h.transform[0], float(h.nodata))], "width int, height int, bands int, dtype string, crs int, pixel double, nodata double")
+
+
+@_query(f"WITH {F1} SELECT x, y, label FROM f1")
+def mosaic_blocks(spark, sf_dir):
+    """The raster put into a mosaic, by blocks, and read back."""
+    px = _pixels(spark, sf_dir)
+    m = Mosaic(spark, W, _height(px), 20, "disk")
+    m.update(px)
+    return m.read()
+
+
+_FEATURES = _PER_LABEL + """, side AS (SELECT cc.comp, count(*) AS n FROM cc JOIN f1 p ON cc.id = p.y * 100 + p.x, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy) LEFT JOIN f1 q ON q.x = p.x + d.dx AND q.y = p.y + d.dy WHERE q.label IS NULL OR q.label <> p.label GROUP BY cc.comp)
+SELECT f1.label AS label_id, CAST(area.area AS DOUBLE) AS area_m2, CAST(side.n AS DOUBLE) AS perimeter_m, CAST(area.area AS DOUBLE) AS drawn FROM area JOIN side USING (comp) JOIN f1 ON area.comp = f1.y * 100 + f1.x"""
+
+
+def _feature_file(kind: str):
+    def query(spark, sf_dir):
+        path = f"{_folder(spark)}/segments{kind}"
+        vector_files.save_features(vector.polygons(fx.label_raster(spark, sf_dir), tolerance=0.0, width=W, block=BLOCK), path, 32723)
+        rows = [(label, float(area), float(length), abs(sum(vector.signed_area(r) for r in rings))) for label, rings, area, length in vector_files.read_features(path)]
+        return spark.createDataFrame(rows, "label_id long, area_m2 double, perimeter_m double, drawn double")
+
+    return query
+
+
+#: Polygons written to a file and read back, with the area that their rings draw.
+for _kind in (".shp", ".gpkg", ".geojson"):
+    _QUERIES[f"features_{_kind[1:]}"] = _feature_file(_kind)
+    _SQL[f"features_{_kind[1:]}"] = _FEATURES
+
+
 # ---------------------------------------------------------------- masks
 
 
@@ -459,6 +582,17 @@ def mask_iou_pairs(spark, sf_dir):
     return masks.iou_pairs(fx.masks(spark, sf_dir), 0.35).select("tile_id", "mask_a", "mask_b", *_r("iou"))
 
 
+@_query(f"""WITH {F2}, px AS (SELECT mask_id // 3 AS mask_id, mask_id // 30 AS tile_id, mask_id % 3 * 64 + y * 8 + x AS d FROM mask_px), n AS (SELECT mask_id, count(*) AS n FROM px GROUP BY mask_id),
+s AS (SELECT p.tile_id, p.mask_id AS mask_a, q.mask_id AS mask_b, count(*) AS shared FROM px p JOIN px q ON p.tile_id = q.tile_id AND p.d = q.d AND p.mask_id < q.mask_id GROUP BY ALL)
+SELECT tile_id, mask_a, mask_b, round(shared / (a.n + b.n - shared), 6) AS iou FROM s JOIN n a ON a.mask_id = mask_a JOIN n b ON b.mask_id = mask_b WHERE shared / (a.n + b.n - shared) >= 0.33""")
+def large_mask_iou_pairs(spark, sf_dir):
+    """Masks of 192 pixels, three of the small ones side by side."""
+    parts = fx.masks(spark, sf_dir).groupBy(F.expr("mask_id div 3").alias("mask_id")).agg(F.array_sort(F.collect_list(F.struct((F.col("mask_id") % 3).alias("k"), "bits"))).alias("p"))
+    empty = F.array_repeat(F.lit(0).cast("tinyint"), 64)  # the last one may be short
+    bits = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.coalesce(F.get(F.filter("p", lambda x: x["k"] == k), 0)["bits"], empty)))
+    return masks.iou_pairs(parts.select("mask_id", F.expr("mask_id div 10").alias("tile_id"), bits.alias("bits")), 0.33).select("tile_id", "mask_a", "mask_b", *_r("iou"))
+
+
 @_query(f"WITH {F2} SELECT DISTINCT tile_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM mask_px")
 def mask_union(spark, sf_dir):
     return masks.union_pixels(fx.masks(spark, sf_dir), 8, "tile_id")
@@ -490,16 +624,60 @@ def quality_filter(spark, sf_dir):
     return fx.masks(spark, sf_dir).where("score > 0.3 and score > 0.45").select("mask_id", "score")
 
 
-@_query()
+def _nms_sql(threshold: float) -> str:
+    return f"""WITH RECURSIVE {F2}, box AS (
+  SELECT f2.mask_id, f2.tile_id, f2.ord, row_number() OVER (PARTITION BY f2.tile_id ORDER BY score DESC, f2.mask_id) AS rk, x0, y0, x1, y1
+  FROM f2 LEFT JOIN (SELECT mask_id, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM mask_px GROUP BY mask_id) USING (mask_id)
+), met AS (
+  SELECT q.tile_id, q.rk, p.rk AS by_rk, greatest(least(p.x1, q.x1) - greatest(p.x0, q.x0), 0) * greatest(least(p.y1, q.y1) - greatest(p.y0, q.y0), 0) AS shared,
+         (p.x1 - p.x0) * (p.y1 - p.y0) + (q.x1 - q.x0) * (q.y1 - q.y0) AS total
+  FROM box p JOIN box q ON p.tile_id = q.tile_id AND p.rk < q.rk
+), rivals AS (
+  SELECT box.tile_id, box.rk, coalesce(list(met.by_rk) FILTER (met.shared > {threshold} * (met.total - met.shared)), []) AS r FROM box LEFT JOIN met USING (tile_id, rk) GROUP BY ALL
+), walk(tile_id, rk, kept) AS (
+  SELECT DISTINCT tile_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM box
+  UNION ALL
+  SELECT w.tile_id, w.rk + 1, CASE WHEN len(list_intersect(w.kept, v.r)) > 0 THEN w.kept ELSE list_append(w.kept, w.rk + 1) END
+  FROM walk w JOIN rivals v ON v.tile_id = w.tile_id AND v.rk = w.rk + 1
+), last AS (SELECT tile_id, arg_max(kept, rk) AS kept FROM walk GROUP BY tile_id)
+SELECT mask_id, tile_id, ord FROM box JOIN last USING (tile_id) WHERE list_contains(kept, rk)"""
+
+
+@_query(_nms_sql(0.95))
 def box_nms(spark, sf_dir):
     return masks.box_nms(fx.masks(spark, sf_dir), 8, 0.95).select("mask_id", "tile_id", "ord")
 
 
-@_query()
+#: Components of each mask by relaxation, then acceptance one after the other: at least three pixels, less than half covered.
+_ACCEPT = f"""WITH RECURSIVE {F2}, px AS (SELECT mask_id, tile_id, ord, CAST(y * 8 + x AS BIGINT) AS d, x, y FROM mask_px), nb AS (
+  SELECT p.mask_id, p.d AS a, q.d AS b FROM px p JOIN px q ON p.mask_id = q.mask_id AND abs(p.x - q.x) + abs(p.y - q.y) = 1
+), cc(mask_id, d, comp) USING KEY (mask_id, d) AS (
+  SELECT mask_id, d, d FROM px
+  UNION
+  SELECT nb.mask_id, nb.a, min(cc.comp) FROM cc JOIN nb ON cc.mask_id = nb.mask_id AND cc.d = nb.b JOIN recurring.cc r ON r.mask_id = nb.mask_id AND r.d = nb.a WHERE cc.comp < r.comp GROUP BY nb.mask_id, nb.a
+), part AS MATERIALIZED (
+  SELECT px.tile_id, px.ord, cc.comp, list(cc.d) AS ds, row_number() OVER (PARTITION BY px.tile_id ORDER BY px.ord, cc.comp) AS k FROM cc JOIN px USING (mask_id, d) GROUP BY px.tile_id, px.ord, cc.comp
+), walk(tile_id, k, labels, following, taken) AS (
+  SELECT DISTINCT tile_id, CAST(0 AS BIGINT), list_transform(range(0, 64), lambda i: CAST(0 AS BIGINT)), CAST(1 AS BIGINT), FALSE FROM f2
+  UNION ALL
+  SELECT tile_id, k, CASE WHEN ok THEN list_transform(range(0, 64), lambda i: CASE WHEN labels[i + 1] = 0 AND list_contains(ds, i) THEN following ELSE labels[i + 1] END) ELSE labels END, following + CAST(ok AS BIGINT), ok
+  FROM (SELECT w.tile_id, p.k, w.labels, w.following, p.ds, len(p.ds) >= 3 AND len(list_filter(p.ds, lambda i: w.labels[i + 1] <> 0)) * 2 < len(p.ds) AS ok FROM walk w JOIN part p ON p.tile_id = w.tile_id AND p.k = w.k + 1)
+), ends AS (SELECT tile_id, max(k) AS k FROM part GROUP BY tile_id
+), last AS (SELECT walk.tile_id, walk.labels, walk.following - 1 AS accepted FROM walk LEFT JOIN ends ON ends.tile_id = walk.tile_id WHERE walk.k = coalesce(ends.k, 0))"""
+
+
+@_query(_ACCEPT + " SELECT tile_id, CAST(d % 8 AS INT) AS x, CAST(d // 8 AS INT) AS y, label FROM (SELECT tile_id, unnest(range(0, 64)) AS d, unnest(labels) AS label FROM last) WHERE label <> 0")
 def greedy_accept(spark, sf_dir):
     return multipass.accept_masks(fx.masks(spark, sf_dir), 8, 8, 3)
 
 
+@_query(_ACCEPT + """, gate AS (SELECT p.tile_id, count(*) FILTER (len(p.ds) < 3) AS small, count(*) AS parts FROM part p GROUP BY p.tile_id)
+SELECT tile_id, accepted, coalesce(small, 0) AS filtered_small, coalesce(parts, 0) - coalesce(small, 0) - accepted AS filtered_overlap FROM last LEFT JOIN gate USING (tile_id)""")
+def acceptance_counts(spark, sf_dir):
+    """What each gate of the greedy acceptance lets through or turns away."""
+    return multipass.acceptance_counts(fx.masks(spark, sf_dir), 8, 8, 3)
+
+
 # ---------------------------------------------------------------- outlines
 
 
@@ -515,6 +693,17 @@ def polygon_areas(spark, sf_dir):
     return vector.polygons(fx.label_raster(spark, sf_dir), tolerance=0.0, width=W, block=BLOCK).select("label_id", "part_id", *_r("area_m2"))
 
 
+@_query(_PER_LABEL + """, px2 AS (SELECT cc.comp, f1.label, f1.x, f1.y FROM cc JOIN f1 ON cc.id = f1.y * 100 + f1.x),
+side AS (SELECT p.comp, count(*) AS n FROM px2 p, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy) LEFT JOIN f1 q ON q.x = p.x + d.dx AND q.y = p.y + d.dy WHERE q.label IS NULL OR q.label <> p.label GROUP BY p.comp),
+quad AS (SELECT comp, cx, cy, count(*) AS n, count(*) FILTER (odd) AS o FROM (SELECT comp, x + i AS cx, y + j AS cy, (i + j) % 2 = 1 AS odd FROM px2, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(i, j)) GROUP BY ALL),
+euler AS (SELECT comp, (count(*) FILTER (n = 1) - count(*) FILTER (n = 3) + 2 * count(*) FILTER (n = 2 AND o <> 1)) // 4 AS e, count(*) FILTER (n = 2 AND o <> 1) AS pinches FROM quad GROUP BY comp)
+SELECT px2.label AS label_id, px2.comp AS part_id, CAST(side.n AS DOUBLE) AS perimeter_m, CAST(2 - euler.e + euler.pinches AS BIGINT) AS n_rings FROM (SELECT DISTINCT comp, label FROM px2) px2 JOIN side USING (comp) JOIN euler USING (comp)""")
+def polygon_outlines(spark, sf_dir):
+    """Length of each polygon's outline and number of its rings: by the Euler number of its pixels, and one more for each corner where an outline meets itself."""
+    found = vector.polygons(fx.label_raster(spark, sf_dir), tolerance=0.0, width=W, block=BLOCK)
+    return found.select("label_id", "part_id", *_r("perimeter_m"), F.col("n_rings").cast("bigint"))
+
+
 @_query()
 def polygons(spark, sf_dir):
     return vector.polygons(fx.label_raster(spark, sf_dir), tolerance=1.0, width=W, block=BLOCK)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.raster import COLOUR
 from ..operators.grid import EDGES, grid_size
-from .tiff import TILE, Writer, read_header, read_window, smallest_dtype
+from .tiff import TILE, Writer, encoded, read_header, read_window, smallest_dtype
 
 SCHEMA = "tile_row int, tile_col int, read_x int, read_y int, crop_x int, crop_y int, width int, height int, bands int, dtype string, data binary"
 
@@ -120,25 +121,38 @@ def rgb(image: np.ndarray) -> np.ndarray:
     return np.repeat(image.reshape(*image.shape[:2], 1), 3, axis=2) if n == 1 else image[..., :3]
 
 
+def pixels_of(tiles: DataFrame, tile: int, band: int = 1) -> DataFrame:
+    """(x, y, label): the useful samples of one band of read_tiles(), as a long raster."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                image = np.frombuffer(row["data"], dtype=row["dtype"]).reshape(row["height"], row["width"], row["bands"])[row["crop_y"] :, row["crop_x"] :, band - 1][:tile, :tile]
+                y, x = np.indices(image.shape).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array((x + row["tile_col"] * tile).astype(np.int32)), pa.array((y + row["tile_row"] * tile).astype(np.int32)), pa.array(image.ravel().astype(np.int64))], names=["x", "y", "label"])
+
+    return tiles.mapInArrow(run, "x int, y int, label long")
+
+
 def label_blocks(pixels: DataFrame, dtype: str, tile: int = TILE) -> DataFrame:
-    """(by, bx, data) of a long raster: dense blocks of tile x tile, made where their pixels meet."""
+    """(by, bx, data) of a long raster: blocks of tile x tile, made and compressed where their pixels meet."""
 
     def run(key, table):
         block = np.zeros((tile, tile), dtype=dtype)
         block[table.column("y").to_numpy() % tile, table.column("x").to_numpy() % tile] = table.column("label").to_numpy()
-        return pa.table({"by": pa.array([key[0].as_py()], type=pa.int64()), "bx": pa.array([key[1].as_py()], type=pa.int64()), "data": [block.tobytes()]})
+        return pa.table({"by": pa.array([key[0].as_py()], type=pa.int64()), "bx": pa.array([key[1].as_py()], type=pa.int64()), "data": [encoded(block)]})
 
     keyed = pixels.where("label <> 0").select("x", "y", "label", F.expr(f"cast(y div {tile} as bigint)").alias("by"), F.expr(f"cast(x div {tile} as bigint)").alias("bx"))
     return keyed.groupBy("by", "bx").applyInArrow(run, "by bigint, bx bigint, data binary")
 
 
 def write_labels(pixels: DataFrame, path: str, width: int, height: int, crs: int | None = None, transform=None, nodata: float | None = 0) -> str:
-    """A label raster as a tiled, LZW-compressed TIFF of the smallest unsigned type; blocks stream to the driver one partition at a time."""
+    """A label raster as a tiled, LZW-compressed TIFF of the smallest unsigned type; blocks are compressed in tasks and stream to the driver, which only places them, one partition at a time."""
     largest = pixels.agg(F.max("label")).first()[0] or 0
     dtype = smallest_dtype(largest)
     out = Writer(path, width, height, dtype, 1, crs, transform, nodata)
     for row in label_blocks(pixels, dtype).toLocalIterator():
-        out.write(row["bx"], row["by"], np.frombuffer(row["data"], dtype=dtype).reshape(TILE, TILE)[: height - row["by"] * TILE, : width - row["bx"] * TILE])
+        out.place(row["bx"], row["by"], row["data"])
     out.close()
     return path
 
@@ -162,6 +176,45 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw.tobytes())) + chunk(b"IEND", b"")
 
 
+def colours(labels: np.ndarray) -> np.ndarray:
+    """functions.raster.colour() of an array of labels."""
+    mixed = (labels.astype(np.int64) % (1 << 31)) * COLOUR
+    out = np.stack([(mixed >> s).astype(np.uint8) for s in (8, 16, 24)], axis=-1)
+    out[labels == 0] = 0
+    return out
+
+
+def write_preview(blocks: DataFrame, pixels: DataFrame, path: str, width: int, height: int, tile: int, alpha: float = 0.5, most_side: int = 1024) -> str:
+    """The whole image and its label colours as one PNG; of an image beyond most_side every n-th row and column.
+
+    blocks are to_rgb_blocks() of tiles. Only what the preview shows, at most most_side squared pixels, reaches
+    the driver.
+    """
+    step = max(1, -(-max(width, height) // most_side))
+    w, h = -(-width // step), -(-height // step)
+
+    def thin(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                image = np.frombuffer(row["rgb"], dtype=np.uint8).reshape(row["height"], row["width"], 3)[row["crop_y"] :, row["crop_x"] :][:tile, :tile]
+                x0, y0 = row["tile_col"] * tile, row["tile_row"] * tile
+                part = image[-y0 % step :: step, -x0 % step :: step]
+                yield pa.RecordBatch.from_pylist([{"x": -(-x0 // step), "y": -(-y0 // step), "w": part.shape[1], "rgb": part.tobytes()}], schema=pa.schema([("x", pa.int32()), ("y", pa.int32()), ("w", pa.int32()), ("rgb", pa.binary())]))
+
+    image, labels = np.zeros((h, w, 3), dtype=np.uint8), np.zeros((h, w), dtype=np.int64)
+    thinned = blocks.select("tile_row", "tile_col", "crop_x", "crop_y", "width", "height", "rgb").mapInArrow(thin, "x int, y int, w int, rgb binary")
+    for row in thinned.toLocalIterator():
+        part = np.frombuffer(row["rgb"], dtype=np.uint8).reshape(-1, max(row["w"], 1), 3)
+        room = image[row["y"] : row["y"] + part.shape[0], row["x"] : row["x"] + part.shape[1]]
+        room[...] = part[: room.shape[0], : room.shape[1]]
+    some = pixels.where((F.col("x") % step == 0) & (F.col("y") % step == 0) & (F.col("label") != 0))
+    shown = some.select((F.col("x") / step).cast("int").alias("x"), (F.col("y") / step).cast("int").alias("y"), "label").toArrow()
+    labels[shown.column("y").to_numpy(), shown.column("x").to_numpy()] = shown.column("label").to_numpy()
+    with open(path, "wb") as f:
+        f.write(png((image * (1 - alpha) + colours(labels) * alpha).astype(np.uint8)))
+    return path
+
+
 def tile_previews(tiles: DataFrame, alpha: float = 0.5) -> DataFrame:
     """(tile_row, tile_col, png): image and label colours blended; tiles has rgb and labels of one size, colours hang on the label alone."""
 
@@ -171,10 +224,7 @@ def tile_previews(tiles: DataFrame, alpha: float = 0.5) -> DataFrame:
             for row in batch.to_pylist():
                 image = np.frombuffer(row["rgb"], dtype=np.uint8).reshape(row["height"], row["width"], 3)
                 labels = np.asarray(row["labels"], dtype=np.uint64).reshape(image.shape[:2])
-                mixed = labels * np.uint64(0x9E3779B97F4A7C15)
-                colours = np.stack([(mixed >> np.uint64(s)).astype(np.uint8) for s in (24, 36, 48)], axis=2)
-                colours[labels == 0] = 0
-                out.append((row["tile_row"], row["tile_col"], png((image * (1 - alpha) + colours * alpha).astype(np.uint8))))
+                out.append((row["tile_row"], row["tile_col"], png((image * (1 - alpha) + colours(labels) * alpha).astype(np.uint8))))
             cols = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["tile_row", "tile_col", "png"])
 

@@ -185,6 +185,11 @@ def read_window(path: str, x: int, y: int, width: int, height: int, bands: list[
     return out
 
 
+def encoded(block: np.ndarray) -> bytes:
+    """A full block as Writer.place() takes it."""
+    return lzw_encode(np.ascontiguousarray(block, dtype=block.dtype.newbyteorder("<")).tobytes())
+
+
 class Writer:
     """A tiled, LZW-compressed image written block by block, in any order; blocks never written are zero."""
 
@@ -200,7 +205,11 @@ class Writer:
         """Block (bx, by); edge blocks may be smaller and are filled up."""
         full = np.zeros((TILE, TILE, self.bands), dtype=self.dtype.newbyteorder("<"))
         full[: block.shape[0], : block.shape[1]] = block.reshape(*block.shape[:2], self.bands)
-        k, data = by * self.across + bx, lzw_encode(full.tobytes())
+        self.place(bx, by, lzw_encode(full.tobytes()))
+
+    def place(self, bx: int, by: int, data: bytes) -> None:
+        """Block (bx, by) as encoded() has made it."""
+        k = by * self.across + bx
         self.offsets[k], self.counts[k] = self.file.tell(), len(data)
         self.file.write(data)
 

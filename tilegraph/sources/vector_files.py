@@ -17,6 +17,39 @@ from ..operators.vector import read_wkb, signed_area
 
 DEFAULT_CRS = 4326
 
+# Geographic systems by EPSG code, as name, datum, spheroid, its half axis and inverse flattening.
+_GEOGRAPHIC = {
+    4326: ("WGS 84", "WGS_1984", "WGS 84", 6378137, 298.257223563),
+    4258: ("ETRS89", "European_Terrestrial_Reference_System_1989", "GRS 1980", 6378137, 298.257222101),
+    4269: ("NAD83", "North_American_Datum_1983", "GRS 1980", 6378137, 298.257222101),
+    4674: ("SIRGAS 2000", "Sistema_de_Referencia_Geocentrico_para_las_AmericaS_2000", "GRS 1980", 6378137, 298.257222101),
+}
+#: Transverse Mercator zones: first and last code, code of the geographic system, zone of the first, south.
+_ZONES = ((32601, 32660, 4326, 1, False), (32701, 32760, 4326, 1, True), (25828, 25838, 4258, 28, False), (26901, 26923, 4269, 1, False), (31965, 31976, 4674, 11, False), (31977, 31985, 4674, 17, True))
+
+
+def wkt(crs: int | None = None) -> str:
+    """Well-known text of an EPSG code: geographic systems and zones as above, web Mercator, else a local system of that name."""
+    code = crs or DEFAULT_CRS
+    end = f',AUTHORITY["EPSG","{code}"]]'
+
+    def geographic(c: int) -> str:
+        name, datum, spheroid, axis, flat = _GEOGRAPHIC[c]
+        return f'GEOGCS["{name}",DATUM["{datum}",SPHEROID["{spheroid}",{axis},{flat}]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433],AUTHORITY["EPSG","{c}"]]'
+
+    if code in _GEOGRAPHIC:
+        return geographic(code)
+    metre = 'UNIT["metre",1]'
+    if code == 3857:
+        return f'PROJCS["WGS 84 / Pseudo-Mercator",{geographic(4326)},PROJECTION["Mercator_1SP"],PARAMETER["central_meridian",0],PARAMETER["scale_factor",1],PARAMETER["false_easting",0],PARAMETER["false_northing",0],{metre}{end}'
+    for first, last, base, zone, south in _ZONES:
+        if first <= code <= last:
+            n = code - first + zone
+            parameters = {"latitude_of_origin": 0, "central_meridian": 6 * n - 183, "scale_factor": 0.9996, "false_easting": 500000, "false_northing": 10000000 if south else 0}
+            listed = ",".join(f'PARAMETER["{k}",{v}]' for k, v in parameters.items())
+            return f'PROJCS["{_GEOGRAPHIC[base][0]} / UTM zone {n}{"S" if south else "N"}",{geographic(base)},PROJECTION["Transverse_Mercator"],{listed},{metre}{end}'
+    return f'LOCAL_CS["EPSG:{code}",{metre}{end}'
+
 
 def _oriented(rings: list[np.ndarray], outer_positive: bool) -> list[np.ndarray]:
     return [r if (signed_area(r) > 0) == (outer_positive == (k == 0)) else r[::-1] for k, r in enumerate(rings)]
@@ -59,7 +92,7 @@ def save_shapefile(features: DataFrame, path: str, crs: int | None = None) -> in
             dbf.write(struct.pack("<11sc4xBB14x", name, kind, width, decimals))
         dbf.write(b"\r")
     with open(base + ".prj", "w", encoding="ascii") as f:
-        f.write(f"EPSG:{crs or DEFAULT_CRS}")
+        f.write(wkt(crs))
     return n
 
 
@@ -76,7 +109,7 @@ def save_geopackage(features: DataFrame, path: str, crs: int | None = None, laye
     db.executescript(f"""
         PRAGMA application_id = 1196444487; PRAGMA user_version = 10300;
         CREATE TABLE gpkg_spatial_ref_sys (srs_name TEXT NOT NULL, srs_id INTEGER PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT);
-        INSERT INTO gpkg_spatial_ref_sys VALUES ('Undefined cartesian', -1, 'NONE', -1, 'undefined', NULL), ('Undefined geographic', 0, 'NONE', 0, 'undefined', NULL), ('EPSG:{srs}', {srs}, 'EPSG', {srs}, 'EPSG:{srs}', NULL);
+        INSERT INTO gpkg_spatial_ref_sys VALUES ('Undefined cartesian', -1, 'NONE', -1, 'undefined', NULL), ('Undefined geographic', 0, 'NONE', 0, 'undefined', NULL), ('EPSG:{srs}', {srs}, 'EPSG', {srs}, '{wkt(crs)}', NULL);
         CREATE TABLE gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, description TEXT DEFAULT '', last_change DATETIME NOT NULL DEFAULT (strftime('%Y-%m-%dT%H:%M:%fZ','now')), min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER);
         CREATE TABLE gpkg_geometry_columns (table_name TEXT PRIMARY KEY, column_name TEXT NOT NULL, geometry_type_name TEXT NOT NULL, srs_id INTEGER NOT NULL, z TINYINT NOT NULL, m TINYINT NOT NULL);
         CREATE TABLE {layer} (fid INTEGER PRIMARY KEY AUTOINCREMENT, geom BLOB, label_id INTEGER, area_m2 REAL, perimeter_m REAL);
@@ -114,6 +147,37 @@ def save_geojson(features: DataFrame, path: str, crs: int | None = None) -> int:
     return n
 
 
+def read_features(path: str):
+    """(label_id, rings, area_m2, perimeter_m) of the features of a file that save_features() wrote; one at a time."""
+    kind = os.path.splitext(path)[1].lower()
+    if kind == ".gpkg":
+        db = sqlite3.connect(path)
+        for blob, *rest in db.execute("SELECT geom, label_id, area_m2, perimeter_m FROM segments ORDER BY fid"):
+            yield rest[0], read_wkb(blob[8:]), rest[1], rest[2]
+        db.close()
+    elif kind == ".geojson":
+        with open(path, encoding="utf-8") as f:
+            for line in f:
+                if line.startswith('{"type": "Feature", '):
+                    x = json.loads(line.rstrip().rstrip(","))
+                    p = x["properties"]
+                    yield p["label_id"], [np.asarray(r) for r in x["geometry"]["coordinates"]], p["area_m2"], p["perimeter_m"]
+    elif kind == ".shp":
+        with open(path, "rb") as shp, open(path[:-4] + ".dbf", "rb") as dbf:
+            size, start, record = struct.unpack("<4xiHH", dbf.read(12))
+            dbf.seek(start)
+            shp.seek(100)
+            for _ in range(size):
+                row = dbf.read(record)[1:].decode()
+                body = shp.read(struct.unpack(">4xi", shp.read(8))[0] * 2)
+                parts, points = struct.unpack_from("<ii", body, 36)
+                cuts = [*struct.unpack_from(f"<{parts}i", body, 44), points]
+                spots = np.frombuffer(body, dtype="<f8", offset=44 + 4 * parts).reshape(points, 2)
+                yield int(row[:18]), [spots[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], float(row[18:42]), float(row[42:66])
+    else:
+        raise ValueError(f"no vector format for {path}; known are {', '.join(SAVERS)}")
+
+
 SAVERS = {".shp": save_shapefile, ".gpkg": save_geopackage, ".geojson": save_geojson}
 
 
