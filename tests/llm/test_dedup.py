@@ -322,11 +322,15 @@ def test_vectors_of_labels_and_ids_of_any_kind(spark):
     assert [(r["n_links"], r["component_id"], r["copies"]) for r in twice] == [(1, 2, 2)] * 2
 
 
-def test_vectors_in_a_hot_bucket(spark, monkeypatch):
+@pytest.mark.parametrize(("large", "held"), [(256, 1 << 23), (20, 500)])
+def test_vectors_in_a_hot_bucket(spark, monkeypatch, large, held):
     from tilegraph.functions import storage
 
     monkeypatch.setattr(storage, "HOT_ROWS", 20)
     monkeypatch.setattr(embed_dedup, "BLOCK", 32)
+    monkeypatch.setattr(embed_dedup, "LARGE", large)
+    monkeypatch.setattr(embed_dedup, "MOST_HELD", held)
+    monkeypatch.setattr(embed_dedup, "LEAST_PARTS", 3)
     rng = np.random.default_rng(10)
     base = rng.standard_normal(64)
     rows = [(i, (base + rng.standard_normal(64) * rng.choice([0.02, 0.08, 0.1, 0.12])).tolist(), 0) for i in range(300)] + [(300 + i, base.tolist(), 0) for i in range(150)]
@@ -343,7 +347,8 @@ def test_estimates_stay_within_their_bounds():
     base = embed_dedup.unit(rng.standard_normal((400, 64)))
     near = embed_dedup.unit(base + rng.standard_normal((400, 64)) * 0.02)
     code, factor, *_ = embed_dedup.encode(base, 16, 20)
-    estimate = np.einsum("ij,ij->i", code, near @ embed_dedup.rotations(64, 5)[:, :64]) / factor
+    count = -(-(16 * 20 + embed_dedup.SPARE) // 64)
+    estimate = np.einsum("ij,ij->i", code, near @ embed_dedup.rotations(64, count)[:, :64]) / factor
     cosine = np.einsum("ij,ij->i", base, near)
     assert (np.abs(estimate - cosine) <= np.sqrt(1 - cosine**2) * np.sqrt(1 - factor**2) / factor + 1e-9).all()
     assert abs((estimate - cosine).mean()) < 0.005
