@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tilegraph.llm import bagminhash, decontam, line_dedup, packing, toxicity
-from tilegraph.llm.common import materialise, table
+from tilegraph.llm.common import discard, materialise, table
 from tilegraph.llm.queries import TOKENIZER
 
 
@@ -54,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        discard(before)  # the next stage's table holds all that is kept
     return docs
