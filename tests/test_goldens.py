@@ -320,3 +320,31 @@ def test_relabelling_beyond_the_broadcast(spark, monkeypatch):
     rows = [[0, 1, 2, 2], [3, 3, 2, 2]]
     table = spark.createDataFrame([(2, 1), (3, 1)], "label long, root long")
     assert as_rows(seams.apply_relabel(as_pixels(spark, rows), table)) == [[0, 1, 1, 1], [1, 1, 1, 1]]
+
+
+def test_residual_points_lie_on_free_pixels(spark):
+    rng = np.random.default_rng(3)
+    rows = (rng.random((24, 30)) < 0.4).astype(int)
+    px = as_pixels(spark, rows.tolist())
+    got = [(r["x"], r["y"]) for r in points.residual_kmeans(px, 9, 0).collect()]
+    assert 0 < len(got) <= 9 and all(rows[y][x] == 0 for x, y in got)
+    assert sorted(got) == sorted((r["x"], r["y"]) for r in points.residual_kmeans(px, 9, 0).collect())
+    assert points.residual_kmeans(as_pixels(spark, [[1, 1], [1, 1]]), 9, 0).count() == 0
+    spread = np.asarray(got)
+    assert np.ptp(spread[:, 0]) > 10 and np.ptp(spread[:, 1]) > 8
+
+
+@pytest.mark.parametrize("hot", [1000, 3, 0])
+def test_join_by_key(spark, monkeypatch, hot):
+    from pyspark.sql import functions as F
+
+    from tilegraph.functions import storage
+
+    monkeypatch.setattr(storage, "HOT_ROWS", hot)
+    big = spark.createDataFrame([(k % 7 if k % 5 else 0, k) for k in range(60)] + [(None, -1)], "key int, v int")
+    small = big.where("key is not null and key <> 6").groupBy("key").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    rows = lambda df: sorted(tuple(r) for r in df.select("key", "v", "n", "top").collect())
+    assert rows(storage.join_by_key(big, small, "key", "n")) == rows(big.join(small, "key"))
+    assert (storage.hot_limit(small, "n") is None) == (hot == 1000)
+    none = small.where("n < 0")
+    assert storage.join_by_key(big, none, "key", "n").count() == 0 and storage.hot_limit(none, "n") is None
