@@ -30,7 +30,7 @@ MOST_OPEN = 512
 #: Tokens of emitted pieces that are held before they leave as one batch.
 FLUSH_ROWS = 5000
 #: Characters of the texts that are encoded at once.
-CHUNK = 1 << 18
+CHUNK = 1 << 21
 
 
 class LevelArray:

@@ -12,18 +12,20 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters for which the split above, NFC and lower-casing agree with the library: ASCII and composed Latin-1 letters.
 _FAST = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*\Z")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-#: Texts whose full stops and commas can stand by themselves (see _runs): most prose.
+#: Texts whose full stops and commas can stand by themselves (see _spread): most prose.
 _PLAIN = re.compile(r"[\t\n\r A-Za-z0-9.,À-ÖØ-öø-ÿ]*\Z")
 #: Runs between blanks and pre-tokens whose ids a worker remembers.
 MOST_KEPT = 1_000_000
 
 
-def _runs(text: str) -> list[str] | None:
-    """Lower-case runs of text that no pre-token reaches beyond, or None where the library has to look at the whole.
+def _spread(text: str) -> str | None:
+    """Lower-case text whose runs between blanks no pre-token reaches beyond, or None where the library has to look at the whole.
 
     In prose without other signs, full stops and commas that do not touch are pre-tokens of their own: set
     apart from their words they leave far fewer different runs.
@@ -31,9 +33,9 @@ def _runs(text: str) -> list[str] | None:
     if _PLAIN.match(text):
         low = text.lower()
         if not (".." in low or ",," in low or ".," in low or ",." in low):
-            return low.replace(".", " . ").replace(",", " , ").split()
-        return low.split()
-    return None if "<|" in text or not _FAST.match(text) else text.lower().split()
+            return low.replace(".", " . ").replace(",", " , ")
+        return low
+    return None if "<|" in text or not _FAST.match(text) else text.lower()
 
 
 class Encoder:
@@ -45,7 +47,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         #: Little-endian 32-bit ids by run between blanks, a pre-token being a run of its own.
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -67,7 +69,7 @@ class Encoder:
     def _learn(self, runs: list[str]) -> None:
         """Remember the ids of runs between blanks: those of their pre-tokens, put together."""
         if len(self.known) + len(runs) > MOST_KEPT:
-            self.known.clear()
+            self.known = {"": b""}
         mixed = [(r, _SPLIT.findall(r)) for r in runs if not r.isalpha()]
         pieces = {r for r in runs if r.isalpha()}.union(*(p for _, p in mixed)).difference(self.known)
         if pieces:
@@ -75,21 +77,35 @@ class Encoder:
         get = self.known.__getitem__
         self.known.update([(r, b"".join(map(get, p))) for r, p in mixed])
 
+    def _found(self, runs: list[str]) -> list[bytes]:
+        """The ids of each of some runs."""
+        found = list(map(self.known.get, runs))
+        if None in found:
+            self._learn([r for r, ids in zip(runs, found, strict=True) if ids is None])
+            # learning may have cleared what was known before
+            found = [self.known[r] if ids is None else ids for r, ids in zip(runs, found, strict=True)]
+        return found
+
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        runs = [_runs(t) for t in texts]
-        distinct = set().union(*(r for r in runs if r is not None))
-        # the large table is asked once for each different run; the texts then read a small one
-        found = dict(zip(distinct, map(self.known.get, distinct), strict=True))
-        new = [r for r, ids in found.items() if ids is None]
-        if new:
-            self._learn(new)
-            found.update(zip(new, map(self.known.__getitem__, new), strict=True))
-        get = found.__getitem__
-        return [np.asarray(self.exact(t), dtype="<u4") if r is None else np.frombuffer(b"".join(map(get, r)), dtype="<u4") for t, r in zip(texts, runs, strict=True)]
+        """The ids of each text. Runs are split and numbered in columns; the large table is asked once for each different one."""
+        ready = [_spread(t) for t in texts]
+        runs = pc.utf8_split_whitespace(pa.array([t for t in ready if t is not None], pa.large_string()))
+        coded = runs.values.dictionary_encode()
+        found = self._found(coded.dictionary.to_pylist())
+        known = np.frombuffer(b"".join(found), dtype="<u4")
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        code = coded.indices.to_numpy()
+        many = size[code]
+        before = np.concatenate(([0], np.cumsum(many)))
+        ids = known[np.repeat((np.cumsum(size) - size)[code] - before[:-1], many) + np.arange(before[-1])]
+        bounds = before[runs.offsets.to_numpy()].tolist()
+        spans = zip(bounds[:-1], bounds[1:], strict=True)
+        return [np.asarray(self.exact(t), dtype="<u4") if r is None else ids[slice(*next(spans))] for t, r in zip(texts, ready, strict=True)]
 
     def ids(self, text: str) -> np.ndarray:
-        return self.ids_of([text])[0]
+        """The ids of one text, which may be a short one."""
+        ready = _spread(text)
+        return np.asarray(self.exact(text), dtype="<u4") if ready is None else np.frombuffer(b"".join(self._found(ready.split())), dtype="<u4")
 
     def count(self, text: str) -> int:
         return len(self.ids(text))
