@@ -138,7 +138,9 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     rows = docs.select("doc_id", F.md5(text).alias("row"), F.md5(canonical(text)).alias("digest"), notices.alias("notices"))
     rows = rows.groupBy("doc_id", "row").agg(F.first("digest").alias("digest"), F.first("notices").alias("notices"))  # repeated rows
     whole = rows.join(known.groupBy("digest").agg(F.min("license").alias("whole_license")), "digest", "left")
-    lines = whole.withColumn("line_digest", F.explode_outer("notices")).join(known.select(F.col("digest").alias("line_digest"), F.col("license")), "line_digest", "left")
+    # a document without notices has a key of its own that no license has: nulls would all meet in one task
+    line = whole.withColumn("line", F.explode_outer("notices")).withColumn("line_digest", F.coalesce("line", F.concat(F.lit("-"), "row")))
+    lines = line.join(known.select(F.col("digest").alias("line_digest"), F.col("license")), "line_digest", "left")
     found = lines.groupBy("doc_id", "row", "digest").agg(F.min("whole_license").alias("whole_license"), F.count("license").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
     return found.drop("row")
 
