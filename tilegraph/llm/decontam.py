@@ -40,7 +40,7 @@ STOP = 0.03
 COSINE, LCS, ANSWER = 0.3, 0.6, 0.5
 CHUNK = 1 << 19
 #: Cosines that are computed at once.
-COMPARED = 1 << 23
+COMPARED = 1 << 22
 #: Ids (8 bytes each) up to which documents are dropped by a broadcast; more are dropped by a shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -30,7 +30,7 @@ MOST_OPEN = 512
 #: Tokens of emitted pieces that are held before they leave as one batch.
 FLUSH_ROWS = 5000
 #: Characters of the texts that are encoded at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 class LevelArray:
@@ -116,7 +116,7 @@ def sequences(documents, size: int, most_open: int = MOST_OPEN):
         for start in range(0, whole, size):
             yield [(doc, start, ids[start : start + size], total)]
         if whole < total:
-            yield from levels.put(doc, whole, ids[whole:], total)
+            yield from levels.put(doc, whole, ids[whole:].copy(), total)  # an open piece holds no more than itself
     for sequence in levels.finish():
         if sum(len(p[2]) for p in sequence) == size:
             yield sequence

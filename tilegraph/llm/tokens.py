@@ -20,8 +20,8 @@ _FAST = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*\Z")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 #: Texts whose full stops and commas can stand by themselves (see _spread): most prose.
 _PLAIN = re.compile(r"[\t\n\r A-Za-z0-9.,À-ÖØ-öø-ÿ]*\Z")
-#: Runs between blanks and pre-tokens whose ids a worker remembers.
-MOST_KEPT = 1_000_000
+#: Runs between blanks and pre-tokens whose ids a worker remembers, twice over: those met lately, and those before them.
+MOST_KEPT = 200_000
 
 
 def _spread(text: str) -> str | None:
@@ -48,6 +48,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         #: Little-endian 32-bit ids by run between blanks, a pre-token being a run of its own.
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -68,8 +69,6 @@ class Encoder:
 
     def _learn(self, runs: list[str]) -> None:
         """Remember the ids of runs between blanks: those of their pre-tokens, put together."""
-        if len(self.known) + len(runs) > MOST_KEPT:
-            self.known = {"": b""}
         mixed = [(r, _SPLIT.findall(r)) for r in runs if not r.isalpha()]
         pieces = {r for r in runs if r.isalpha()}.union(*(p for _, p in mixed)).difference(self.known)
         if pieces:
@@ -78,11 +77,14 @@ class Encoder:
         self.known.update([(r, b"".join(map(get, p))) for r, p in mixed])
 
     def _found(self, runs: list[str]) -> list[bytes]:
-        """The ids of each of some runs."""
+        """The ids of each of some runs. Once many are known, those that are not met again are forgotten."""
+        if len(self.known) > MOST_KEPT:
+            self.known, self.older = {"": b""}, self.known
         found = list(map(self.known.get, runs))
         if None in found:
-            self._learn([r for r, ids in zip(runs, found, strict=True) if ids is None])
-            # learning may have cleared what was known before
+            new = [r for r, ids in zip(runs, found, strict=True) if ids is None]
+            self.known.update((r, self.older[r]) for r in new if r in self.older)
+            self._learn([r for r in new if r not in self.known])
             found = [self.known[r] if ids is None else ids for r, ids in zip(runs, found, strict=True)]
         return found
 
