@@ -21,7 +21,7 @@ _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9
 #: Texts whose full stops and commas can stand by themselves (see _spread): most prose.
 _PLAIN = re.compile(r"[\t\n\r A-Za-z0-9.,À-ÖØ-öø-ÿ]*\Z")
 #: Runs between blanks and pre-tokens whose ids a worker remembers, twice over: those met lately, and those before them.
-MOST_KEPT = 200_000
+MOST_KEPT = 500_000
 
 
 def _spread(text: str) -> str | None:
