@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.closure import union_find
-from .common import U64, Words, bounded_broadcast, chunks, discard, int64, join_by_key, materialise, mix64, small, stage_docs
+from .common import U64, Words, bounded_broadcast, chunks, discard, int64, join_by_key, materialise, mix64, small, stage_docs, task
 from .components import components
 
 REGISTERS, ROWS = 96, 4
@@ -159,7 +159,7 @@ def _with_text(pairs: DataFrame, texts: DataFrame, side: str, other: str) -> Dat
 
 def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     both = _with_text(materialise(_with_text(pairs, texts, "b", "a")), texts, "a", "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(task(_verify(threshold)), "a long, b long")
 
 
 @lru_cache(maxsize=8)
@@ -258,7 +258,7 @@ def _in_blocks(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Per document: doc_id, class_id (smallest doc_id that copies and links of overlap >= threshold reach), n_shingles, copies, kept."""
     docs = stage_docs(docs)
-    signed = materialise(docs.mapInArrow(_sign, "doc_id long, n_shingles long, words_key binary, bands array<long>, registers binary"))
+    signed = materialise(docs.mapInArrow(task(_sign), "doc_id long, n_shingles long, words_key binary, bands array<long>, registers binary"))
     worded = signed.where("n_shingles > 0 and doc_id is not null")
     firsts = materialise(worded.groupBy("words_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     named = join_by_key(worded.select("doc_id", "n_shingles", "words_key"), firsts, "words_key", "copies").drop("words_key")

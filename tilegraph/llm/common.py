@@ -85,8 +85,38 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """What this worker keeps from task to task under a name: make(name), the first time."""
+    if name not in _kept:
+        _kept[name] = make(name)
+    return _kept[name]
+
+
+def begin(keeps: str | None) -> None:
+    """Let go of what tasks of another kind have kept: the workers of one operator serve the next one too."""
+    if gone := [k for k in _kept if k != keeps]:
+        for k in gone:
+            del _kept[k]
+        release()
+
+
+def task(run, keeps: str | None = None):
+    """run (of Arrow batches) as a task that finds no more than its own things kept, and leaves no unused memory behind."""
+
+    def whole(batches):
+        begin(keeps)
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def release() -> None:
     """Give memory that this worker no longer uses back to the machine: workers live on between tasks."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     if hasattr(_libc, "malloc_trim"):
         _libc.malloc_trim(0)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, bounded_broadcast, chunks, materialise, mix64, prefix_codes, span_hash
+from .common import U64, Words, bounded_broadcast, chunks, materialise, mix64, prefix_codes, span_hash, task
 
 BLOCK = 16
 SKETCH, RANK = 48, 40
@@ -328,7 +328,7 @@ _RESULT = "doc_id long, item_id long, lcs double, answer double, cosine double"
 def _part(docs: DataFrame, items: list, cosine: float, least_lcs: float, least_answer: float) -> DataFrame:
     vocabulary = Vocabulary([r["text"] for r in items])
     size = len(vocabulary.terms)
-    counts = {r["term"]: r["n"] for r in docs.mapInArrow(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each word of the items
+    counts = {r["term"]: r["n"] for r in docs.mapInArrow(task(_frequencies(vocabulary)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each word of the items
     df = np.asarray([counts.get(k, 0) for k in range(size)], dtype=float)
     idf = (np.log((counts.get(-1, 0) + 1) / (df + 1)) + 0.05) ** 2  # squared: the latent directions shall tell rare words apart
     answers = _answers(vocabulary, idf)
@@ -339,13 +339,13 @@ def _part(docs: DataFrame, items: list, cosine: float, least_lcs: float, least_a
     idf[~told & ~rare] = 0.0
     omega = np.random.default_rng(7).standard_normal((size, min(SKETCH, size))).astype(np.float32)
     names = [f"c{k}" for k in range(omega.shape[1])]
-    parts = docs.mapInArrow(_sketch(vocabulary, idf, omega), ", ".join(["term long", *(f"{c} double" for c in names)]))
+    parts = docs.mapInArrow(task(_sketch(vocabulary, idf, omega)), ", ".join(["term long", *(f"{c} double" for c in names)]))
     summed = parts.groupBy("term").agg(*(F.sum(c).alias(c) for c in names)).toArrow()  # a row for each word of the items
     sketch = np.zeros(omega.shape)
     if summed.num_rows:
         sketch[summed.column(0).to_numpy()] = np.column_stack([summed.column(c).to_numpy() for c in names])
     directions = latent(sketch, omega.astype(float))
-    return docs.mapInArrow(_search(vocabulary, [r["item_id"] for r in items], idf, answers, rare, directions, cosine, least_lcs, least_answer), _RESULT)
+    return docs.mapInArrow(task(_search(vocabulary, [r["item_id"] for r in items], idf, answers, rare, directions, cosine, least_lcs, least_answer)), _RESULT)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least_lcs: float = LCS, least_answer: float = ANSWER, most_words: int = MOST_WORDS) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import chunks, stage_docs
+from .common import chunks, stage_docs, task
 from .tokens import encoder
 
 #: Sequences that may be open at once: more cut fewer documents, and leave more to be dissolved at the end.
@@ -150,4 +150,4 @@ def _pack(path: str, size: int, end_id: int):
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) -> DataFrame:
     """Pieces of packed documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return stage_docs(docs).mapInArrow(_pack(tokenizer, size, end_id), ", ".join(f"{f.name} long" for f in _SCHEMA))
+    return stage_docs(docs).mapInArrow(task(_pack(tokenizer, size, end_id), tokenizer), ", ".join(f"{f.name} long" for f in _SCHEMA))

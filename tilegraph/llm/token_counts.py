@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import small, task
 from .tokens import encoder
 
 LEAF = 512
@@ -140,7 +140,7 @@ EDITS = "array<struct<start:long,end:long,replacement:string>>"
 def counts_after_edits(docs: DataFrame, edits: Column, tokenizer: str) -> DataFrame:
     """Per document: doc_id, n_tokens, n_edits, n_tokens_edited, chars_encoded_again, n_chars_edited; edits is a column of type EDITS."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), edits.cast(EDITS).alias("edits"))
-    return rows.mapInArrow(_count(tokenizer), "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, chars_encoded_again long, n_chars_edited long")
+    return rows.mapInArrow(task(_count(tokenizer), tokenizer), "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, chars_encoded_again long, n_chars_edited long")
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:

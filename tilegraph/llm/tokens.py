@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
 #: Characters for which the split above, NFC and lower-casing agree with the library: ASCII and composed Latin-1 letters.
 _FAST = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*\Z")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
@@ -22,6 +24,8 @@ _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9
 _PLAIN = re.compile(r"[\t\n\r A-Za-z0-9.,À-ÖØ-öø-ÿ]*\Z")
 #: Runs between blanks and pre-tokens whose ids a worker remembers, twice over: those met lately, and those before them.
 MOST_KEPT = 500_000
+#: Marks of runs that were met once: only what is met again is remembered (all marks go when a quarter of them may be set).
+MARKS = 1 << 22
 
 
 def _spread(text: str) -> str | None:
@@ -49,6 +53,7 @@ class Encoder:
         #: Little-endian 32-bit ids by run between blanks, a pre-token being a run of its own.
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.met, self.marked = bytearray(MARKS), 0
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -56,25 +61,36 @@ class Encoder:
     def exact(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn_pieces(self, new: list[str]) -> None:
+    def _encoded(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of some pre-tokens."""
+        if not new:
+            return {}
         # many pre-tokens with blanks between cost far less than one call each; ids that close a word tell them apart
         parts = [" ".join(new[k : k + 500]) for k in range(0, len(new), 500)]
         ids = np.concatenate([np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) == len(new):
             raw, cuts = ids.tobytes(), (ends * 4).tolist()
-            self.known.update(zip(new, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
-        else:
-            self.known.update((p, np.asarray(self.exact(p), dtype="<u4").tobytes()) for p in new)
+            return dict(zip(new, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
+        return {p: np.asarray(self.exact(p), dtype="<u4").tobytes() for p in new}
 
-    def _learn(self, runs: list[str]) -> None:
-        """Remember the ids of runs between blanks: those of their pre-tokens, put together."""
+    def _learn(self, runs: list[str]) -> dict[str, bytes]:
+        """The ids of runs between blanks: those of their pre-tokens, put together. What was met before is remembered."""
         mixed = [(r, _SPLIT.findall(r)) for r in runs if not r.isalpha()]
         pieces = {r for r in runs if r.isalpha()}.union(*(p for _, p in mixed)).difference(self.known)
-        if pieces:
-            self._learn_pieces(list(pieces))
-        get = self.known.__getitem__
-        self.known.update([(r, b"".join(map(get, p))) for r, p in mixed])
+        new, known = self._encoded(list(pieces)), self.known
+        new.update([(r, b"".join([new[x] if x in new else known[x] for x in p])) for r, p in mixed])
+        if self.marked > MARKS // 4:
+            self.met, self.marked = bytearray(MARKS), 0
+        met, before = self.met, len(known)
+        for run, ids in new.items():
+            at = hash(run) % MARKS
+            if met[at]:
+                known[run] = ids
+            else:
+                met[at] = 1
+        self.marked += len(new) - (len(known) - before)
+        return new
 
     def _found(self, runs: list[str]) -> list[bytes]:
         """The ids of each of some runs. Once many are known, those that are not met again are forgotten."""
@@ -84,8 +100,8 @@ class Encoder:
         if None in found:
             new = [r for r, ids in zip(runs, found, strict=True) if ids is None]
             self.known.update((r, self.older[r]) for r in new if r in self.older)
-            self._learn([r for r in new if r not in self.known])
-            found = [self.known[r] if ids is None else ids for r, ids in zip(runs, found, strict=True)]
+            late = self._learn([r for r in new if r not in self.known])
+            found = [ids if ids is not None else late[r] if r in late else self.known[r] for r, ids in zip(runs, found, strict=True)]
         return found
 
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
@@ -113,11 +129,6 @@ class Encoder:
         return len(self.ids(text))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder of a worker process for each tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder of a worker process for each tokenizer file, until the worker does other work."""
+    return kept(path, Encoder)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import small, task
 
 SAMPLE = 8000
 #: Characters of a sampled text that are learned from: of longer ones, evenly spaced parts of PART characters.
@@ -295,7 +295,7 @@ def _score(arcs: dict[str, float], weights: np.ndarray):
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, n_clauses, clause_score."""
     arcs, weights = learn(docs, labels, sample)
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(arcs, weights), "doc_id long, score double, n_clauses long, clause_score double")
+    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task(_score(arcs, weights)), "doc_id long, score double, n_clauses long, clause_score double")
     return scored.select("doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_clauses", "clause_score")
 
 
@@ -313,4 +313,4 @@ def _filter(arcs: dict[str, float], weights: np.ndarray, threshold: float):
 
 def stage(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """docs without those that score `threshold` or more; columns stay as they are."""
-    return docs.mapInArrow(_filter(*learn(docs, labels, sample), threshold), docs.schema)
+    return docs.mapInArrow(task(_filter(*learn(docs, labels, sample), threshold)), docs.schema)
