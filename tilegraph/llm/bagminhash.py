@@ -24,12 +24,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.closure import union_find
-from .common import U64, Words, bounded_broadcast, chunks, discard, int64, join_by_key, materialise, mix64, small, stage_docs, task
+from .common import U64, Words, bounded_broadcast, chunks, discard, join_by_key, materialise, mix64, small, stage_docs, task
 from .components import components
 
 REGISTERS, ROWS = 96, 4
@@ -86,16 +85,11 @@ def _sign(batches):
         h, doc = words.shingles()
         s, d, c = counted(h, doc)
         sig = signatures(s, d, c, len(ids)).view(U64)
-        band = np.zeros((len(ids), BANDS), dtype=U64)
-        for j in range(ROWS):
-            band = mix64(band * U64(0x9FB21C651E98DF25) + sig[:, j::ROWS])
-        band = mix64(band ^ (np.arange(1, BANDS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)))
         n = np.bincount(doc, minlength=len(ids))
         small = (mix64(sig) >> U64(48)).astype(np.uint16)
-        seq = [xxhash.xxh3_128_digest(words.hash[a:b].tobytes()) for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, type=pa.int64()), pa.array(n.astype(np.int64)), pa.array(seq), pa.ListArray.from_arrays(np.arange(0, len(ids) * BANDS + 1, BANDS, dtype=np.int32), int64(band).ravel()), pa.array([r.tobytes() for r in small])],
-            names=["doc_id", "n_shingles", "words_key", "bands", "registers"],
+            [pa.array(ids, type=pa.int64()), pa.array(n.astype(np.int64)), pa.array(words.keys()), pa.array([r.tobytes() for r in small])],
+            names=["doc_id", "n_shingles", "words_key", "registers"],
         )
 
 
@@ -114,6 +108,11 @@ def _multiset(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(Words([text]).shingles()[0], return_counts=True)
 
 
+def _set(text: str) -> tuple[np.ndarray, np.ndarray]:
+    found = np.unique(Words([text]).shingles()[0])
+    return found, np.ones(len(found), dtype=np.int64)
+
+
 def _shared(x, y) -> float:
     (a, m), (b, n) = x, y
     if not len(a) or not len(b):
@@ -128,38 +127,37 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> float:
     return _shared(np.unique(a, return_counts=True), np.unique(b, return_counts=True))
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, bag):
+    """Links of rows (leader, salt, member, text), sorted: a leader's own text (no member) comes first, then its members'."""
+
     def run(batches):
-        seen: dict[int, tuple] = {}
-        for batch in small(batches):
+        led, leaders = None, []
+        for batch in small(batches, 64):
             out_a, out_b = [], []
-            for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                for key, text in ((a, ta), (b, tb)):
-                    if key not in seen:
-                        if len(seen) > 256:
-                            seen.clear()
-                        seen[key] = _multiset(text)
-                x, y = seen.get(a) or _multiset(ta), seen[b]
-                if _shared(x, y) >= threshold:
-                    out_a.append(a)
-                    out_b.append(b)
+            for leader, salt, member, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                own = bag(text)
+                if (leader, salt) != led:
+                    led, leaders = (leader, salt), []
+                if member is None:
+                    leaders.append(own)
+                elif any(_shared(x, own) >= threshold for x in leaders):
+                    out_a.append(leader)
+                    out_b.append(member)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, type=pa.int64()), pa.array(out_b, type=pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _with_text(pairs: DataFrame, texts: DataFrame, side: str, other: str) -> DataFrame:
-    """pairs with the text of one side; a text with many pairs goes to as many tasks as these need."""
-    sizes = materialise(pairs.groupBy(side).agg(F.count("*").alias("n")))
+def _links(pairs: DataFrame, texts: DataFrame, threshold: float, bag=_multiset) -> DataFrame:
+    """(a, b) of the (leader, member) pairs that hold. A row carries one text; a leader's goes once to each task that it needs."""
+    sizes = materialise(pairs.groupBy("leader").agg(F.count("*").alias("n")))
     salts = F.ceil(F.col("n") / PAIRS).cast("long")
-    dealt = join_by_key(pairs, sizes, side, "n").withColumn("salt", F.pmod(F.xxhash64(other), salts).cast("long")).drop("n")
-    held = texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")).join(sizes, side)
-    return dealt.join(held.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("n"), [side, "salt"]).drop("salt")
-
-
-def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    both = _with_text(materialise(_with_text(pairs, texts, "b", "a")), texts, "a", "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(task(_verify(threshold)), "a long, b long")
+    dealt = join_by_key(pairs, sizes, "leader", "n").withColumn("salt", F.pmod(F.xxhash64("member"), salts).cast("long")).drop("n")
+    members = dealt.join(texts.select(F.col("doc_id").alias("member"), "text"), "member").select("leader", "salt", "member", "text")
+    held = texts.select(F.col("doc_id").alias("leader"), "text").join(sizes, "leader")
+    leaders = held.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "text")
+    rows = members.unionByName(leaders).repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("member").asc_nulls_first())
+    return rows.mapInArrow(task(_verify(threshold, bag)), "a long, b long")
 
 
 @lru_cache(maxsize=8)
@@ -215,7 +213,7 @@ def _plausible(threshold: float):
     return run
 
 
-def _verify_blocks(threshold: float):
+def _verify_blocks(threshold: float, bag=_multiset):
     """Links between components found in a block pair; a pair is compared only while its components are apart."""
 
     def run(key, table):
@@ -232,7 +230,7 @@ def _verify_blocks(threshold: float):
 
         def of_row(x):
             if x not in sets:
-                sets[x] = _multiset(texts[x])
+                sets[x] = bag(texts[x])
             return sets[x]
 
         out_a, out_b = [], []
@@ -258,20 +256,31 @@ def _in_blocks(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Per document: doc_id, class_id (smallest doc_id that copies and links of overlap >= threshold reach), n_shingles, copies, kept."""
     docs = stage_docs(docs)
-    signed = materialise(docs.mapInArrow(task(_sign), "doc_id long, n_shingles long, words_key binary, bands array<long>, registers binary"))
+    signed = materialise(docs.mapInArrow(task(_sign), "doc_id long, n_shingles long, words_key binary, registers binary"))
+    return classes(signed, docs, threshold)
+
+
+def bands() -> Column:
+    """The bands of a row's registers: each is the digest of ROWS of them, two bytes each, and of its number."""
+    wide = 2 * ROWS
+    return F.array(*(F.xxhash64(F.lit(k), F.substring("registers", wide * k + 1, wide)) for k in range(BANDS)))
+
+
+def classes(signed: DataFrame, docs: DataFrame, threshold: float = 0.8, bag=_multiset) -> DataFrame:
+    """near_duplicates() of documents that are signed (doc_id, n_shingles, words_key, registers); links are verified by the overlap of `bag` of their texts."""
     worded = signed.where("n_shingles > 0 and doc_id is not null")
     firsts = materialise(worded.groupBy("words_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     named = join_by_key(worded.select("doc_id", "n_shingles", "words_key"), firsts, "words_key", "copies").drop("words_key")
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("first"), F.lit(1).cast("long").alias("copies"))
     named = materialise(named.unionByName(alone))
     leaders = named.where("doc_id = first and n_shingles > 0").select("doc_id")
-    banded = worded.join(leaders, "doc_id", "left_semi").select("doc_id", "n_shingles", F.explode("bands").alias("band"))
+    banded = worded.join(leaders, "doc_id", "left_semi").select("doc_id", "n_shingles", F.explode(bands()).alias("band"))
     sized = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("size > 1")
     members = materialise(join_by_key(banded, materialise(sized), "band", "size").select("band", "doc_id", "n_shingles", "size", "low", "high"))
     wanted = bounded_broadcast(materialise(members.select("doc_id").distinct()), BROADCAST_IDS)
     texts = materialise(docs.join(wanted, "doc_id", "left_semi"))
-    star = members.where("doc_id > low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).unionByName(members.where("doc_id < high and doc_id > low").select(F.col("doc_id").alias("a"), F.col("high").alias("b"))).distinct()
-    linked = materialise(_links(materialise(star), texts, threshold))
+    ends = [members.where(f"doc_id > low and {rest}").select(F.col(hub).alias("leader"), F.col("doc_id").alias("member")) for hub, rest in (("low", "true"), ("high", "doc_id < high"))]
+    linked = materialise(_links(materialise(ends[0].unionByName(ends[1]).distinct()), texts, threshold, bag))
     found = materialise(components(linked))
     placed = members.where("size > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     placed = materialise(placed)
@@ -283,11 +292,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     groups = join_by_key(groups, materialise(groups.groupBy("group").agg(F.count("*").alias("size"))), "group", "size")
     rows = groups.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(signed.select("doc_id", "n_shingles", "registers"), "doc_id").join(texts, "doc_id")
     rows = rows.select("group", "size", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles", "registers", "text")
-    late = materialise(_in_blocks(rows, "group", "size", TEXT_BLOCK).groupBy("group", "i", "j").applyInArrow(_verify_blocks(threshold), "a long, b long"))
+    late = materialise(_in_blocks(rows, "group", "size", TEXT_BLOCK).groupBy("group", "i", "j").applyInArrow(_verify_blocks(threshold, bag), "a long, b long"))
     closed = components(linked.unionByName(late)) if not late.isEmpty() else found
-    classes = named.groupBy("first").agg(F.count("*").alias("rows")).join(closed.withColumnRenamed("node", "first"), "first", "left")
-    classes = materialise(classes.where("first is not null").select("first", "rows", F.coalesce("component", "first").alias("class_id")))
-    out = join_by_key(named, classes, "first", "rows").select("doc_id", "class_id", "n_shingles", "copies", (F.col("class_id") == F.col("doc_id")).alias("kept"))
+    ends = named.groupBy("first").agg(F.count("*").alias("rows")).join(closed.withColumnRenamed("node", "first"), "first", "left")
+    ends = materialise(ends.where("first is not null").select("first", "rows", F.coalesce("component", "first").alias("class_id")))
+    out = join_by_key(named, ends, "first", "rows").select("doc_id", "class_id", "n_shingles", "copies", (F.col("class_id") == F.col("doc_id")).alias("kept"))
     return out.unionByName(named.where("first is null").select("doc_id", F.col("first").alias("class_id"), "n_shingles", "copies", F.lit(True).alias("kept")))
 
 

@@ -6,6 +6,7 @@ import ctypes
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,6 +160,10 @@ class Words:
         self.bounds = np.searchsorted(self.start, self.doc_start)
         self.counts = np.diff(self.bounds)
 
+    def keys(self) -> list[bytes]:
+        """A 128-bit digest of each text's words in their order; equal words give equal digests."""
+        return [xxhash.xxh3_128_digest(self.hash[a:b].tobytes()) for a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True)]
+
     def shingles(self, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
         """(hash, document index) of each run of k words; a shorter text with words has one shingle of all of them."""
         n = np.where(self.counts >= k, self.counts - k + 1, (self.counts > 0).astype(np.int64))
