@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, decontam, embed_dedup, licenses, line_dedup, packing, pii, rindex, token_counts, toxicity
+from . import bagminhash, decontam, embed_dedup, fingerprints, importance, licenses, line_dedup, packing, pii, prefix_trie, rindex, token_counts, toxicity
 from .common import table
 
 #: The vocabulary of packing and token counts; any path of the tokenizers library serves.
@@ -66,10 +66,31 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("lcs", "answer", "cosine")))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of each document and of its edited text, their likeness, and its near-duplicate class."""
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of each document, drawn towards the benchmark's distribution."""
+    return importance.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op2_suffix_array_dedup, op3_toxicity, op4_embedding_near_dedup, op5_packing, op6_pii, op7_minhash_near_dedup, op8_token_counts, op9_license_scan, op10_benchmark_decontamination]
+    found = [
+        op1_line_dedup, op2_suffix_array_dedup, op3_toxicity, op4_embedding_near_dedup, op5_packing, op6_pii, op7_minhash_near_dedup, op8_token_counts, op9_license_scan, op10_benchmark_decontamination,
+        op11_conversation_prefix_trie, op12_document_fingerprints, op13_importance_resampling,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op9_license_scan": licenses.ORACLE_SQL}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE_SQL, "op9_license_scan": licenses.ORACLE_SQL,
+        "op11_conversation_prefix_trie": prefix_trie.ORACLE_SQL, "op13_importance_resampling": importance.ORACLE_SQL,
+    }
