@@ -2,7 +2,8 @@
 
 `foreground` connectivity takes a region to be a blob of touching labels of any value, `per_label` one of
 a single label. In foreground mode a small blob's neighbours are background only, so nothing is ever
-enclosed; enclosed_merge then returns its input, as it must.
+enclosed; enclosed_merge then returns its input, as it must. In per_label mode enclosed regions are found on the region
+adjacency graph (adjacency.py).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import join_by_key, materialise
+from .adjacency import contract, enclosed, paint, region_graph
 from .blocks import BLOCK
 from .components import sizes, with_components
 
@@ -42,63 +44,37 @@ def drop_small_by_ratio(pixels: DataFrame, reference_area: float, min_ratio: flo
     return drop_small(pixels, int(reference_area * min_ratio), mode, width, block)
 
 
-def neighbours(found: DataFrame) -> DataFrame:
-    """(comp, other, other_label) of 4-adjacent pixels of unequal regions, both ways; other is null on background."""
-    here = found.select("x", "y", "comp", "label")
-    # each pixel names the two edges to its right and below; the edge's two ends meet in one group
-    at = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), (F.col("x") + dx).alias("ex"), (F.col("y") + dy).alias("ey"), F.lit(s).alias("first")) for a, dx, dy, s in (("v", 1, 0, True), ("v", 0, 0, False), ("h", 0, 1, True), ("h", 0, 0, False)))))
-    mine = F.struct("comp", "label")
-    ends = here.select(at.alias("e"), mine.alias("m")).groupBy("e.axis", "e.ex", "e.ey").agg(F.max(F.when(F.col("e.first"), F.col("m"))).alias("p"), F.max(F.when(~F.col("e.first"), F.col("m"))).alias("q"))
-    ends = ends.where(F.col("p").isNotNull() & F.col("q").isNotNull() & ~F.col("p.comp").eqNullSafe(F.col("q.comp")))
-    one = ends.select(F.col("p.comp").alias("comp"), F.col("q.comp").alias("other"), F.col("q.label").alias("other_label"))
-    two = ends.select(F.col("q.comp").alias("comp"), F.col("p.comp").alias("other"), F.col("p.label").alias("other_label"))
-    return one.unionByName(two).where(F.col("comp").isNotNull())
-
-
-def enclosed_table(found: DataFrame, max_area: int = 500) -> DataFrame:
-    """(comp, target): regions of at most max_area pixels with one neighbouring label, no background beside them, and a larger neighbour.
-
-    The raster's border is no background. A region only goes into a strictly larger one, so two that enclose
-    each other's only contact never swap.
-    """
-    area = found.where("comp is not null").select("comp", "area").distinct()
-    beside = neighbours(found).groupBy("comp").agg(F.count_distinct("other_label").alias("labels"), F.max("other_label").alias("target"), F.max(F.col("other").isNull().cast("int")).alias("open"), F.max("other").alias("other"))
-    small = beside.where("labels = 1 and open = 0").join(area, "comp").where((F.col("area") > 0) & (F.col("area") <= max_area))
-    larger = area.select(F.col("comp").alias("other"), F.col("area").alias("other_area"))
-    return small.join(larger, "other").where(F.col("other_area") > F.col("area")).select("comp", "target")
-
-
-def _with_target(found: DataFrame, table: DataFrame, max_area: int) -> DataFrame:
-    """found with the target of its region, null for most; only pixels of regions small enough to be enclosed are joined."""
-    small = F.coalesce(F.col("area") <= max_area, F.lit(False))
-    return found.where(small).join(table, "comp", "left").unionByName(found.where(~small).withColumn("target", F.lit(None).cast("long")))
-
-
 def enclosed_merge(pixels: DataFrame, max_area: int = 500, mode: str = "foreground", width: int = 1 << 31, block: int = BLOCK) -> DataFrame:
-    """pixels with enclosed small regions given their only neighbour's label; the input itself in foreground mode."""
+    """pixels with enclosed small regions given their only neighbouring label; the input itself in foreground mode."""
     if mode == "foreground":
         return pixels
-    found = materialise(regions(pixels, mode, width, block))
-    return _with_target(found, enclosed_table(found, max_area), max_area).select("x", "y", F.coalesce("target", "label").alias("label"))
+    graph = region_graph(pixels, width, block)
+    return paint(graph, enclosed(graph, max_area).withColumnRenamed("target", "label"))
 
 
 def enclosed_merge_until_stable(pixels: DataFrame, max_area: int = 500, max_rounds: int = 10, mode: str = "per_label", width: int = 1 << 31, block: int = BLOCK) -> DataFrame:
-    """enclosed_merge again and again, until the number of labels stays or max_rounds are over."""
-    before = pixels.where("label > 0").select("label").distinct().count()
-    for _ in range(max_rounds if mode == "per_label" else 0):
-        pixels = materialise(enclosed_merge(pixels, max_area, mode, width, block))
-        now = pixels.where("label > 0").select("label").distinct().count()
+    """enclosed_merge again and again, until the number of labels stays or max_rounds are over; rounds see regions and contacts only."""
+    if mode == "foreground":
+        return pixels
+    graph = region_graph(pixels, width, block)
+    before = graph.regions.select("label").distinct().count()
+    for _ in range(max_rounds):
+        targets = materialise(enclosed(graph, max_area))
+        if targets.isEmpty():
+            break
+        graph = contract(graph, targets)
+        now = graph.regions.select("label").distinct().count()
         if now == before:
             break
         before = now
-    return pixels
+    return paint(graph)
 
 
 def enclosed_merge_and_drop_small(pixels: DataFrame, max_area: int = 500, min_area: int = 100, mode: str = "foreground", width: int = 1 << 31, block: int = BLOCK) -> DataFrame:
-    """Enclosed regions first, then regions below min_area that weren't merged go to background; components are found once."""
+    """Enclosed regions first, then regions below min_area that weren't merged go to background; regions are found once."""
     if mode == "foreground":
         return drop_small(pixels, min_area, mode, width, block)
-    found = materialise(regions(pixels, mode, width, block))
-    out = _with_target(found, enclosed_table(found, max_area), max_area)
+    graph = region_graph(pixels, width, block)
+    told = graph.regions.where(F.col("area") <= max(max_area, min_area)).join(enclosed(graph, max_area), "comp", "left")
     label = F.when(F.col("target").isNotNull(), F.col("target")).when(F.col("area") < min_area, F.lit(0).cast("long")).otherwise(F.col("label"))
-    return out.select("x", "y", label.alias("label"))
+    return paint(graph, told.select("comp", label.alias("label")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import Threshold
 from ..functions import raster
 from ..functions.storage import checkpoint_root, materialise
-from ..operators import cleanup, components, grid, masks, multipass, points, seams, vector, zonal
+from ..operators import adjacency, cleanup, components, grid, masks, multipass, points, seams, vector, zonal
 from ..sources import fixtures as fx
 from ..sources import raster_source, vector_files
 from ..sources.mosaic import Mosaic
@@ -305,8 +305,8 @@ _ENCLOSED = f""", reg AS (SELECT f1.x, f1.y, f1.label, cc.comp FROM f1 LEFT JOIN
 beside AS (SELECT p.comp, q.comp AS other, q.label AS other_label FROM reg p JOIN reg q
   ON (q.x = p.x + 1 AND q.y = p.y) OR (q.x = p.x - 1 AND q.y = p.y) OR (q.x = p.x AND q.y = p.y + 1) OR (q.x = p.x AND q.y = p.y - 1)
   WHERE p.comp IS NOT NULL AND p.comp IS DISTINCT FROM q.comp),
-target AS (SELECT s.comp, s.target FROM (SELECT comp, count(DISTINCT other_label) AS labels, max(other_label) AS target, bool_or(other IS NULL) AS open, max(other) AS other FROM beside GROUP BY comp) s
-  JOIN area a ON a.comp = s.comp JOIN area o ON o.comp = s.other WHERE labels = 1 AND NOT open AND a.area <= {ENCLOSED} AND o.area > a.area)"""
+target AS (SELECT s.comp, s.target FROM (SELECT beside.comp, count(DISTINCT other_label) AS labels, max(other_label) AS target, bool_or(other IS NULL) AS open, max(o.area) AS largest
+    FROM beside LEFT JOIN area o ON o.comp = other GROUP BY beside.comp) s JOIN area a ON a.comp = s.comp WHERE labels = 1 AND NOT open AND a.area <= {ENCLOSED} AND largest > a.area)"""
 
 
 @_query(_PER_LABEL + _ENCLOSED + " SELECT x, y, coalesce(target, label) AS label FROM reg LEFT JOIN target ON target.comp = reg.comp")
@@ -329,6 +329,22 @@ def enclosed_merge_and_drop_small_compatible(spark, sf_dir):
     return cleanup.enclosed_merge_and_drop_small(_sparse(spark, sf_dir), ENCLOSED, MIN_AREA, "foreground", W, BLOCK)
 
 
+_REGIONS = _PER_LABEL + _ENCLOSED + ", lab AS (SELECT comp, any_value(label) AS label FROM reg WHERE comp IS NOT NULL GROUP BY comp)"
+
+
+@_query(_REGIONS + " SELECT comp AS a, other AS b, lp.label AS a_label, lq.label AS b_label, count(*) AS length FROM beside JOIN lab lp USING (comp) JOIN lab lq ON lq.comp = other GROUP BY ALL")
+def region_contacts(spark, sf_dir):
+    return adjacency.region_graph(_pixels(spark, sf_dir), W, BLOCK).contacts
+
+
+@_query(_REGIONS + """, told AS (SELECT b.comp, count(DISTINCT other) AS n_neighbours, count(*) AS contact, min(other_label) AS low_label, CAST(min(other_label) = max(other_label) AS INT) AS one_label, max(o.area) AS largest
+  FROM beside b JOIN area o ON o.comp = b.other GROUP BY b.comp), opened AS (SELECT DISTINCT comp, true AS open FROM beside WHERE other IS NULL)
+SELECT l.comp, l.label, a.area, coalesce(o.open, false) AS open, coalesce(n_neighbours, 0) AS n_neighbours, coalesce(contact, 0) AS contact, one_label, low_label, largest
+FROM lab l JOIN area a USING (comp) LEFT JOIN told USING (comp) LEFT JOIN opened o USING (comp)""")
+def region_neighbours(spark, sf_dir):
+    return adjacency.neighbours(adjacency.region_graph(_pixels(spark, sf_dir), W, BLOCK))
+
+
 def _stable_sql(rounds: int) -> str:
     """The merge round after round, each with components of its own, and the round that the loop stops at."""
     parts = [f"WITH RECURSIVE {F1}, s0 AS MATERIALIZED (SELECT x, y, label FROM f1)"]
@@ -343,8 +359,8 @@ def _stable_sql(rounds: int) -> str:
 ), area{k} AS MATERIALIZED (SELECT comp, count(*) AS area FROM cc{k} GROUP BY comp),
 reg{k} AS MATERIALIZED (SELECT s.x, s.y, s.label, c.comp FROM s{k - 1} s LEFT JOIN cc{k} c ON c.id = s.y * {W} + s.x),
 beside{k} AS (SELECT p.comp, q.comp AS other, q.label AS other_label FROM reg{k} p JOIN reg{k} q ON {step} WHERE p.comp IS NOT NULL AND p.comp IS DISTINCT FROM q.comp),
-target{k} AS (SELECT s.comp, s.target FROM (SELECT comp, count(DISTINCT other_label) AS labels, max(other_label) AS target, bool_or(other IS NULL) AS open, max(other) AS other FROM beside{k} GROUP BY comp) s
-  JOIN area{k} a ON a.comp = s.comp JOIN area{k} o ON o.comp = s.other WHERE labels = 1 AND NOT open AND a.area <= {ENCLOSED} AND o.area > a.area),
+target{k} AS (SELECT s.comp, s.target FROM (SELECT b.comp, count(DISTINCT other_label) AS labels, max(other_label) AS target, bool_or(other IS NULL) AS open, max(o.area) AS largest
+    FROM beside{k} b LEFT JOIN area{k} o ON o.comp = b.other GROUP BY b.comp) s JOIN area{k} a ON a.comp = s.comp WHERE labels = 1 AND NOT open AND a.area <= {ENCLOSED} AND largest > a.area),
 s{k} AS MATERIALIZED (SELECT x, y, coalesce(target, label) AS label FROM reg{k} LEFT JOIN target{k} ON target{k}.comp = reg{k}.comp)""")
     counts = " UNION ALL ".join(f"SELECT {k} AS k, count(DISTINCT label) AS n FROM s{k} WHERE label > 0" for k in range(rounds + 1))
     parts.append(f"counts AS ({counts}), stop AS (SELECT coalesce(min(a.k), {rounds}) AS k FROM counts a JOIN counts b ON b.k = a.k - 1 WHERE a.n = b.n)")
