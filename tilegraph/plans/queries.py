@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import uuid
 from collections.abc import Callable
 
@@ -17,7 +16,7 @@ from ..operators import adjacency, cleanup, components, grid, masks, multipass,
 from ..sources import fixtures as fx
 from ..sources import raster_source, vector_files
 from ..sources.mosaic import Mosaic
-from ..sources.tiff import read_header
+from ..sources.tiff import read_header, shared_path
 
 W, T, BLOCK = fx.WIDTH, fx.TILE, 64
 MIN_CONTACT, MIN_AREA, ENCLOSED = 3, 5, 20
@@ -527,7 +526,7 @@ def threshold_decay(spark, sf_dir):
 
 def _folder(spark) -> str:
     """A folder of the shared checkpoint folder that driver and executors see by the same path."""
-    path = os.path.join(re.sub("^file:/+", "/", checkpoint_root(spark)), f"files-{uuid.uuid4().hex}")
+    path = os.path.join(shared_path(checkpoint_root(spark)), f"files-{uuid.uuid4().hex}")
     os.makedirs(path)
     return path
 
@@ -554,6 +553,24 @@ def tiff_metadata(spark, sf_dir):
     return spark.createDataFrame([(h.width, h.height, h.bands, h.dtype, h.crs, h.transform[0], float(h.nodata))], "width int, height int, bands int, dtype string, crs int, pixel double, nodata double")
 
 
+@_query(f"WITH {F1} SELECT x, y, label, CASE WHEN x // 16 < 3 THEN 'left' ELSE 'right' END AS half FROM f1")
+def tile_windows_read(spark, sf_dir):
+    """The whole raster by two reads, each of which opens the tiles of its own half only."""
+    px = _pixels(spark, sf_dir)
+    path = raster_source.write_labels(px, f"{_folder(spark)}/labels.tif", W, _height(px), compression="deflate")
+    read = lambda where, half: raster_source.pixels_of(raster_source.read_tiles(spark, path, 16, 4, edge="cover", where=where), 16).withColumn("half", F.lit(half))
+    return read("x1 <= 48", "left").unionByName(read("x0 >= 48", "right"))
+
+
+@_query(f"WITH {F1} SELECT x, y, CAST((label // 256) % 256 AS DOUBLE) AS band_2, CAST(fg AS DOUBLE) AS band_3 FROM f1")
+def band_tiff(spark, sf_dir):
+    """Three bands written by tasks, of which two are read back."""
+    px = fx.label_raster(spark, sf_dir).selectExpr("x", "y", "label % 256 AS low", "(label div 256) % 256 AS high", "fg")
+    path = raster_source.write_bands(px, ["low", "high", "fg"], f"{_folder(spark)}/bands.tif", W, _height(px))
+    columns = "tile_row int, tile_col int, crop_x int, crop_y int, width int, height int, dtype string, band_2 binary, band_3 binary"
+    return raster_source.bands_of(raster_source.read_tiles(spark, path, 64, 8, edge="cover", columns=columns), [2, 3], 64)
+
+
 @_query(f"WITH {F1} SELECT x, y, label FROM f1")
 def mosaic_blocks(spark, sf_dir):
     """The raster put into a mosaic, by blocks, and read back."""

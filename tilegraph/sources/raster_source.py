@@ -1,18 +1,23 @@
-"""Rasters as Spark sources and sinks: one input partition a tile, blocks on the way out."""
+"""Rasters as Spark sources and sinks: one input partition a tile that the query asks for, blocks on the way out."""
 
 from __future__ import annotations
 
+import operator
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions.raster import COLOUR
 from ..operators.grid import EDGES, grid_size
-from .tiff import TILE, Writer, encoded, read_header, read_window, smallest_dtype
+from .tiff import TILE, encoded, read_header, read_window, shared_path, smallest_dtype
+from .tiff_sink import TiffWriter
 
-SCHEMA = "tile_row int, tile_col int, read_x int, read_y int, crop_x int, crop_y int, width int, height int, bands int, dtype string, data binary"
+SCHEMA = "tile_row int, tile_col int, read_x int, read_y int, crop_x int, crop_y int, width int, height int, x0 int, y0 int, x1 int, y1 int, bands int, dtype string, data binary"
 
 
 class TilePartition(InputPartition):
@@ -31,9 +36,42 @@ def axis(k: int, n: int, size: int, tile: int, padding: int, edge: str) -> tuple
     return start, crop, min(reach, size - start)
 
 
+_COMPARE = {EqualTo: operator.eq, EqualNullSafe: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
+#: What a tile's place along one axis decides, by column: the place of the value in TiffReader.along().
+_DOWN = {"tile_row": 0, "read_y": 1, "crop_y": 2, "height": 3, "y0": 4, "y1": 5}
+_ACROSS = {"tile_col": 0, "read_x": 1, "crop_x": 2, "width": 3, "x0": 4, "x1": 5}
+_BAND = re.compile(r"band_([1-9][0-9]*)")
+
+
+def holds(condition: Filter, value) -> bool | None:
+    """Whether a pushed filter holds for a value that is not null; None if it is of a kind that isn't known here."""
+    if isinstance(condition, Not):
+        inner = holds(condition.child, value)
+        return None if inner is None else not inner
+    if isinstance(condition, In):
+        return value in condition.value
+    if isinstance(condition, IsNull | IsNotNull):
+        return isinstance(condition, IsNotNull)
+    compare = _COMPARE.get(type(condition))
+    return None if compare is None else compare(value, condition.value)
+
+
+def _column(condition: Filter) -> str | None:
+    while isinstance(condition, Not):
+        condition = condition.child
+    path = getattr(condition, "attribute", ())
+    return path[0] if len(path) == 1 else None
+
+
 class TiffReader(DataSourceReader):
-    def __init__(self, options):
-        self.path = options["path"]
+    """Tiles of an image, one a partition. x0 to x1 and y0 to y1 are the pixels that are a tile's own.
+
+    Of a schema that the reader is given only its columns are made: `band_2 binary` reads that band alone, and without
+    `data` or a band no sample is read.
+    """
+
+    def __init__(self, options, schema: StructType):
+        self.path = shared_path(options["path"])
         self.header = read_header(self.path)
         self.tile = int(options.get("tile", max(self.header.width, self.header.height)))
         self.padding = int(options.get("padding", 0))
@@ -41,25 +79,65 @@ class TiffReader(DataSourceReader):
         if self.edge not in EDGES:
             raise ValueError(f"edge must be one of {EDGES}")
         self.bands = [int(b) for b in options["bands"].split(",")] if options.get("bands") else None
-        self.cols, self.rows, _ = grid_size(self.header.width, self.header.height, self.tile, self.edge)
-        if not self.cols * self.rows:
+        cols, rows, _ = grid_size(self.header.width, self.header.height, self.tile, self.edge)
+        if not cols * rows:
             raise ValueError(f"a raster of {self.header.width} x {self.header.height} has no tile of {self.tile}")
+        self.shape = rows, cols
+        self.rows, self.cols = range(rows), range(cols)
+        self.names = [f.name for f in schema.fields]
+        known = {c.split()[0] for c in SCHEMA.split(", ")}
+        if unknown := [n for n in self.names if n not in known and not _BAND.fullmatch(n)]:
+            raise ValueError(f"tiles have no column {unknown[0]}")
+
+    def along(self, k: int, down: bool) -> tuple[int, ...]:
+        """(k, read origin, crop offset, read length, first and end of its own pixels) of tile k along one axis."""
+        n, size = (self.shape[0], self.header.height) if down else (self.shape[1], self.header.width)
+        start, crop, length = axis(k, n, size, self.tile, self.padding, self.edge)
+        return k, start, crop, length, k * self.tile, k * self.tile + min(self.tile, length - crop)
 
     def partitions(self):
-        return [TilePartition(r, c) for r in range(self.rows) for c in range(self.cols)]
+        return [TilePartition(r, c) for r in self.rows for c in self.cols]
 
     def read(self, partition):
+        if partition is None:  # what Spark asks for where no tile is left
+            return
         h = self.header
-        x, cx, w = axis(partition.col, self.cols, h.width, self.tile, self.padding, self.edge)
-        y, cy, n = axis(partition.row, self.rows, h.height, self.tile, self.padding, self.edge)
-        data = read_window(self.path, x, y, w, n, self.bands, h)
-        yield (partition.row, partition.col, x, y, cx, cy, data.shape[1], data.shape[0], data.shape[2], h.dtype, data.tobytes())
+        down, across = self.along(partition.row, True), self.along(partition.col, False)
+        row = {c: down[k] for c, k in _DOWN.items()} | {c: across[k] for c, k in _ACROSS.items()}
+        row |= {"bands": len(self.bands or range(h.bands)), "dtype": h.dtype}
+        alone = {n: int(_BAND.fullmatch(n)[1]) for n in self.names if _BAND.fullmatch(n)}
+        wanted = (self.bands or list(range(1, h.bands + 1))) if "data" in self.names else []
+        if asked := sorted({*wanted, *alone.values()}):
+            data = read_window(self.path, row["read_x"], row["read_y"], row["width"], row["height"], asked, h)
+            row |= {n: data[:, :, asked.index(b)].tobytes() for n, b in alone.items()}
+            if wanted:
+                row["data"] = np.ascontiguousarray(data[:, :, [asked.index(b) for b in wanted]]).tobytes()
+        yield tuple(row[n] for n in self.names)
+
+
+class PruningReader(TiffReader):
+    """Decides filters on where a tile lies, row by row and column by column of the grid: tiles that fail them have no partition.
+
+    Spark (4.1) keeps one set of pushed filters for a relation, the last one's: two filters on one DataFrame would both
+    read what the second asks for. So this reader serves the option prune=yes only, which read_tiles() sets on a relation
+    that nothing else can filter.
+    """
 
+    def pushFilters(self, filters):
+        for condition in filters:
+            column = _column(condition)
+            if column in _DOWN and holds(condition, 0) is not None:
+                self.rows = [k for k in self.rows if holds(condition, self.along(k, True)[_DOWN[column]])]
+            elif column in _ACROSS and holds(condition, 0) is not None:
+                self.cols = [k for k in self.cols if holds(condition, self.along(k, False)[_ACROSS[column]])]
+            else:
+                yield condition
 
 class TiffSource(DataSource):
     """spark.read.format("tilegraph_tiff").option("tile", T).option("padding", P).option("bands", "1,2,3").load(path)
+    blocks.write.format("tilegraph_tiff").option("width", W).option("height", H).mode("overwrite").save(path)
 
-    The path lies where all executors read it (a shared mount): a tile's task seeks to its own blocks.
+    The path lies where all executors see it (a shared mount): a tile's task seeks to its own blocks.
     """
 
     @classmethod
@@ -70,18 +148,30 @@ class TiffSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return TiffReader(self.options)
+        return (PruningReader if self.options.get("prune") == "yes" else TiffReader)(self.options, schema)
+
+    def writer(self, schema, overwrite):
+        return TiffWriter(self.options, schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to the session, and let filters reach it."""
     spark.dataSource.register(TiffSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
 
+def read_tiles(spark: SparkSession, path: str, tile: int, padding: int = 0, bands: list[int] | None = None, edge: str = "whole", where: str | None = None, columns: str | None = None) -> DataFrame:
+    """The padded windows of an image's tiles, raw samples in `data`; or the `columns` asked for, which may name single bands (band_3 binary).
 
-def read_tiles(spark: SparkSession, path: str, tile: int, padding: int = 0, bands: list[int] | None = None, edge: str = "whole") -> DataFrame:
-    """The padded windows of an image's tiles, raw samples in `data`."""
+    `where` is a condition on a tile's columns (tile_row = 3 AND x0 < 5000 AND x1 > 4000, say); tiles that its terms on
+    places rule out are never partitions. The result may be filtered on as any DataFrame, without further pruning.
+    """
     register(spark)
-    reader = spark.read.format("tilegraph_tiff").option("tile", tile).option("padding", padding).option("edge", edge)
-    return (reader.option("bands", ",".join(map(str, bands))) if bands else reader).load(path)
+    reader = spark.read.format("tilegraph_tiff").option("tile", tile).option("padding", padding).option("edge", edge).option("prune", "yes" if where else "no")
+    reader = reader.option("bands", ",".join(map(str, bands))) if bands else reader
+    tiles = (reader.schema(columns) if columns else reader).load(path)
+    # no later filter passes one that isn't deterministic, so `where` stays the only one that is pushed
+    return tiles.where(where).where(F.monotonically_increasing_id() >= 0) if where else tiles
 
 
 def to_rgb_blocks(tiles: DataFrame, scale: str = "per_tile", largest: int | None = None) -> DataFrame:
@@ -97,8 +187,8 @@ def to_rgb_blocks(tiles: DataFrame, scale: str = "per_tile", largest: int | None
                 out.append(rgb(uint8(image, largest if scale == "global" else None)).tobytes())
             yield batch.drop_columns(["data"]).append_column("rgb", pa.array(out, type=pa.binary()))
 
-    names = [c.strip() for c in SCHEMA.split(",")][:-1]
-    return tiles.mapInArrow(run, ", ".join([*names, "rgb binary"]))
+    others = [f for f in tiles.schema.fields if f.name != "data"]
+    return tiles.mapInArrow(run, StructType([*others, StructField("rgb", BinaryType())]))
 
 
 def uint8(image: np.ndarray, largest: int | None = None) -> np.ndarray:
@@ -134,26 +224,64 @@ def pixels_of(tiles: DataFrame, tile: int, band: int = 1) -> DataFrame:
     return tiles.mapInArrow(run, "x int, y int, label long")
 
 
-def label_blocks(pixels: DataFrame, dtype: str, tile: int = TILE) -> DataFrame:
+def label_blocks(pixels: DataFrame, dtype: str, tile: int = TILE, compression: str = "lzw") -> DataFrame:
     """(by, bx, data) of a long raster: blocks of tile x tile, made and compressed where their pixels meet."""
 
     def run(key, table):
         block = np.zeros((tile, tile), dtype=dtype)
         block[table.column("y").to_numpy() % tile, table.column("x").to_numpy() % tile] = table.column("label").to_numpy()
-        return pa.table({"by": pa.array([key[0].as_py()], type=pa.int64()), "bx": pa.array([key[1].as_py()], type=pa.int64()), "data": [encoded(block)]})
+        return pa.table({"by": pa.array([key[0].as_py()], type=pa.int64()), "bx": pa.array([key[1].as_py()], type=pa.int64()), "data": [encoded(block, compression)]})
 
     keyed = pixels.where("label <> 0").select("x", "y", "label", F.expr(f"cast(y div {tile} as bigint)").alias("by"), F.expr(f"cast(x div {tile} as bigint)").alias("bx"))
     return keyed.groupBy("by", "bx").applyInArrow(run, "by bigint, bx bigint, data binary")
 
 
-def write_labels(pixels: DataFrame, path: str, width: int, height: int, crs: int | None = None, transform=None, nodata: float | None = 0) -> str:
-    """A label raster as a tiled, LZW-compressed TIFF of the smallest unsigned type; blocks are compressed in tasks and stream to the driver, which only places them, one partition at a time."""
-    largest = pixels.agg(F.max("label")).first()[0] or 0
-    dtype = smallest_dtype(largest)
-    out = Writer(path, width, height, dtype, 1, crs, transform, nodata)
-    for row in label_blocks(pixels, dtype).toLocalIterator():
-        out.place(row["bx"], row["by"], row["data"])
-    out.close()
+def band_blocks(pixels: DataFrame, bands: list[str], dtype: str, tile: int = TILE) -> DataFrame:
+    """(by, bx, data) of a long raster with a column a band; samples stand in the order of `bands`, nulls and absent pixels are 0."""
+
+    def run(key, table):
+        block = np.zeros((tile, tile, len(bands)), dtype=dtype)
+        y, x = table.column("y").to_numpy() % tile, table.column("x").to_numpy() % tile
+        for k in range(len(bands)):
+            block[y, x, k] = table.column(f"v{k}").to_numpy()
+        return pa.table({"by": pa.array([key[0].as_py()], type=pa.int64()), "bx": pa.array([key[1].as_py()], type=pa.int64()), "data": [block.tobytes()]})
+
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"v{k}") for k, c in enumerate(bands)]
+    keyed = pixels.select("x", "y", *values, F.expr(f"cast(y div {tile} as bigint)").alias("by"), F.expr(f"cast(x div {tile} as bigint)").alias("bx"))
+    return keyed.groupBy("by", "bx").applyInArrow(run, "by bigint, bx bigint, data binary")
+
+
+def write_bands(pixels: DataFrame, bands: list[str], path: str, width: int, height: int, dtype: str = "uint8", compression: str = "lzw") -> str:
+    """Columns of a long raster as the bands of a TIFF; samples of 53 bits at most."""
+    register(pixels.sparkSession)
+    options = {"width": width, "height": height, "dtype": dtype, "bands": len(bands), "compression": compression, "nodata": "none"}
+    band_blocks(pixels, bands, dtype).write.format("tilegraph_tiff").options(**options).mode("overwrite").save(path)
+    return path
+
+
+def bands_of(tiles: DataFrame, bands: list[int], tile: int) -> DataFrame:
+    """(x, y, band_1 ...): the useful samples of read_tiles() with single bands as columns, as a long raster."""
+    names = [f"band_{b}" for b in bands]
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                planes = [np.frombuffer(row[n], dtype=row["dtype"]).reshape(row["height"], row["width"])[row["crop_y"] :, row["crop_x"] :][:tile, :tile] for n in names]
+                y, x = np.indices(planes[0].shape).reshape(2, -1)
+                place = [pa.array((x + row["tile_col"] * tile).astype(np.int32)), pa.array((y + row["tile_row"] * tile).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*place, *(pa.array(p.ravel().astype(np.float64)) for p in planes)], names=["x", "y", *names])
+
+    return tiles.mapInArrow(run, ", ".join(["x int", "y int", *(f"{n} double" for n in names)]))
+
+
+def write_labels(pixels: DataFrame, path: str, width: int, height: int, crs: int | None = None, transform=None, nodata: float | None = 0, compression: str = "lzw") -> str:
+    """A label raster as a tiled, compressed TIFF of the smallest unsigned type. Tasks write its blocks (tiff_sink.py); the driver sees where they are, not what."""
+    register(pixels.sparkSession)
+    dtype = smallest_dtype(pixels.agg(F.max("label")).first()[0] or 0)
+    options = {"width": width, "height": height, "dtype": dtype, "nodata": "none" if nodata is None else nodata, "compression": compression, "encoded": "yes"}
+    options |= {"crs": crs} if crs is not None else {}
+    options |= {"transform": ",".join(map(repr, map(float, transform)))} if transform is not None else {}
+    label_blocks(pixels, dtype, compression=compression).write.format("tilegraph_tiff").options(**options).mode("overwrite").save(path)
     return path
 
 

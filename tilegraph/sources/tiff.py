@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,28 +35,41 @@ class Header:
     predictor: int = 1
 
 
+def shared_path(path: str) -> str:
+    """The path of a file on a mount that driver and executors share; `file:` is taken off, other file systems are an error."""
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]+):", path)
+    if scheme and scheme[1].lower() != "file":
+        raise ValueError(f"rasters are read and written by blocks at their places, on a shared mount; not on {scheme[1]}")
+    return re.sub("^file:/+", "/", path)
+
+
 def read_header(path: str) -> Header:
-    """The header alone; no sample is read."""
+    """The header alone, of a classic TIFF or a BigTIFF; no sample is read."""
+    path = shared_path(path)
     if not os.path.exists(path):
         raise FileNotFoundError(path)
     with open(path, "rb") as f:
-        head = f.read(8)
+        head = f.read(16)
         order = {b"II": "<", b"MM": ">"}.get(head[:2])
-        if order is None or struct.unpack(order + "H", head[2:4])[0] != 42:
+        magic = struct.unpack(order + "H", head[2:4])[0] if order else 0
+        if magic not in (42, 43):
             raise ValueError(f"not a TIFF file: {path}")
-        f.seek(struct.unpack(order + "I", head[4:])[0])
-        (n,) = struct.unpack(order + "H", f.read(2))
-        entries = f.read(12 * n)
+        big = magic == 43
+        word, number, entry = ("Q", "Q", 20) if big else ("I", "H", 12)
+        f.seek(struct.unpack(order + word, head[8:16] if big else head[4:8])[0])
+        (n,) = struct.unpack(order + number, f.read(struct.calcsize(number)))
+        entries = f.read(entry * n)
         tags = {}
         for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", entries, 12 * k)
+            tag, kind, count = struct.unpack_from(order + "HH" + word, entries, entry * k)
             code = _FORMATS.get(kind)
             if code is None:
                 continue
             size = struct.calcsize(order + code) * count
-            data = entries[12 * k + 8 : 12 * k + 12]
-            if size > 4:
-                f.seek(struct.unpack(order + "I", data)[0])
+            room = struct.calcsize(word)
+            data = entries[entry * (k + 1) - room : entry * (k + 1)]
+            if size > room:
+                f.seek(struct.unpack(order + word, data)[0])
                 data = f.read(size)
             tags[tag] = data[:size].rstrip(b"\0").decode("latin-1") if kind == 2 else struct.unpack(order + code * count, data[:size])
     width, height = tags[256][0], tags[257][0]
@@ -147,6 +162,7 @@ def lzw_encode(data: bytes) -> bytes:
 
 def read_window(path: str, x: int, y: int, width: int, height: int, bands: list[int] | None = None, header: Header | None = None) -> np.ndarray:
     """(height, width, bands) of a window, cut to the image; only the blocks that it meets are read. Bands count from 1."""
+    path = shared_path(path)
     h = header or read_header(path)
     pick = [b - 1 for b in bands] if bands else list(range(h.bands))
     if any(b < 0 or b >= h.bands for b in pick):
@@ -167,8 +183,6 @@ def read_window(path: str, x: int, y: int, width: int, height: int, bands: list[
                     if h.compression == 5:
                         data = lzw_decode(data)
                     elif h.compression in (8, 32946):
-                        import zlib
-
                         data = zlib.decompress(data)
                     elif h.compression != 1:
                         raise ValueError(f"compression {h.compression} is not supported")
@@ -185,46 +199,63 @@ def read_window(path: str, x: int, y: int, width: int, height: int, bands: list[
     return out
 
 
-def encoded(block: np.ndarray) -> bytes:
+#: Names of the compressions that are written, and their numbers.
+COMPRESSIONS = {"lzw": 5, "deflate": 8}
+
+
+def encoded(block: np.ndarray, compression: str = "lzw") -> bytes:
     """A full block as Writer.place() takes it."""
-    return lzw_encode(np.ascontiguousarray(block, dtype=block.dtype.newbyteorder("<")).tobytes())
+    raw = np.ascontiguousarray(block, dtype=block.dtype.newbyteorder("<")).tobytes()
+    return lzw_encode(raw) if compression == "lzw" else zlib.compress(raw)
 
 
-class Writer:
-    """A tiled, LZW-compressed image written block by block, in any order; blocks never written are zero."""
+#: Where blocks begin: there is room for either kind of header.
+HEAD = 16
+#: A classic TIFF's offsets end here.
+CLASSIC = 1 << 32
 
-    def __init__(self, path: str, width: int, height: int, dtype: str, bands: int = 1, crs: int | None = None, transform=None, nodata: float | None = 0):
-        self.file = open(path, "wb")  # noqa: SIM115
-        self.file.write(struct.pack("<2sHI", b"II", 42, 0))
-        self.width, self.height, self.bands, self.dtype = width, height, bands, np.dtype(dtype)
-        self.crs, self.transform, self.nodata = crs, transform, nodata
-        self.across, self.down = -(-width // TILE), -(-height // TILE)
-        self.offsets, self.counts = [0] * (self.across * self.down), [0] * (self.across * self.down)
 
-    def write(self, bx: int, by: int, block: np.ndarray) -> None:
-        """Block (bx, by); edge blocks may be smaller and are filled up."""
-        full = np.zeros((TILE, TILE, self.bands), dtype=self.dtype.newbyteorder("<"))
-        full[: block.shape[0], : block.shape[1]] = block.reshape(*block.shape[:2], self.bands)
-        self.place(bx, by, lzw_encode(full.tobytes()))
+@dataclass(frozen=True)
+class Layout:
+    """What a written image is, but for its blocks: its header and its directory."""
 
-    def place(self, bx: int, by: int, data: bytes) -> None:
-        """Block (bx, by) as encoded() has made it."""
-        k = by * self.across + bx
-        self.offsets[k], self.counts[k] = self.file.tell(), len(data)
-        self.file.write(data)
+    width: int
+    height: int
+    dtype: str
+    bands: int = 1
+    crs: int | None = None
+    transform: tuple | None = None
+    nodata: float | None = 0
+    compression: str = "lzw"
+    tile: int = TILE
 
-    def close(self) -> None:
-        empty = None
-        for k, n in enumerate(self.counts):
-            if n == 0:
-                if empty is None:
-                    self.write(k % self.across, k // self.across, np.zeros((1, 1, self.bands)))
-                    empty = k
-                self.offsets[k], self.counts[k] = self.offsets[empty], self.counts[empty]
-        form = {"u": 1, "i": 2, "f": 3}[self.dtype.kind]
+    def __post_init__(self):
+        if self.compression not in COMPRESSIONS:
+            raise ValueError(f"compression must be one of {sorted(COMPRESSIONS)}")
+
+    @property
+    def across(self) -> int:
+        return -(-self.width // self.tile)
+
+    @property
+    def down(self) -> int:
+        return -(-self.height // self.tile)
+
+    def empty(self) -> bytes:
+        """A block of zeros, encoded."""
+        return encoded(np.zeros((self.tile, self.tile, self.bands), dtype=self.dtype), self.compression)
+
+    def head(self, at: int, big: bool) -> bytes:
+        """The first HEAD bytes of a file whose directory is at `at`."""
+        return struct.pack("<2sHHHQ", b"II", 43, 8, 0, at) if big else struct.pack("<2sHI", b"II", 42, at).ljust(HEAD, b"\0")
+
+    def directory(self, at: int, offsets, counts, big: bool) -> bytes:
+        """The directory, to be written at the even place `at`."""
+        dtype = np.dtype(self.dtype)
+        form, place = {"u": 1, "i": 2, "f": 3}[dtype.kind], 16 if big else 4
         tags = [
-            (256, 4, [self.width]), (257, 4, [self.height]), (258, 3, [self.dtype.itemsize * 8] * self.bands), (259, 3, [5]), (262, 3, [2 if self.bands >= 3 else 1]), (277, 3, [self.bands]), (284, 3, [1]),
-            (322, 3, [TILE]), (323, 3, [TILE]), (324, 4, self.offsets), (325, 4, self.counts), (339, 3, [form] * self.bands),
+            (256, 4, [self.width]), (257, 4, [self.height]), (258, 3, [dtype.itemsize * 8] * self.bands), (259, 3, [COMPRESSIONS[self.compression]]), (262, 3, [2 if self.bands >= 3 else 1]),
+            (277, 3, [self.bands]), (284, 3, [1]), (322, 3, [self.tile]), (323, 3, [self.tile]), (324, place, offsets), (325, place, counts), (339, 3, [form] * self.bands),
         ]
         if self.transform is not None:
             a, b, c, d, e, f = map(float, self.transform)
@@ -236,22 +267,67 @@ class Writer:
             geographic = 4000 <= self.crs < 5000
             tags.append((34735, 3, [1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, self.crs]))
         if self.nodata is not None:
-            tags.append((42113, 2, (f"{self.nodata:g}".encode() + b"\0",)))
+            tags.append((42113, 2, f"{self.nodata:g}".encode() + b"\0"))
         tags.sort(key=lambda t: t[0])
-        at = self.file.tell() + self.file.tell() % 2
-        self.file.seek(at)
-        extra_at, entries, extra = at + 2 + 12 * len(tags) + 4, [], b""
+        word, number, entry, room = ("Q", "Q", 20, 8) if big else ("I", "H", 12, 4)
+        after = at + struct.calcsize(number) + entry * len(tags) + room
+        entries, extra = [], bytearray()
         for tag, kind, values in tags:
-            data = values[0] if kind == 2 else struct.pack("<" + _FORMATS[kind] * len(values), *values)
-            count = len(data) if kind == 2 else len(values)
-            if len(data) > 4:
-                entries.append(struct.pack("<HHII", tag, kind, count, extra_at + len(extra)))
+            data = values if kind == 2 else np.asarray(values, dtype=f"<{_NUMPY[kind]}").tobytes()
+            if len(data) > room:
+                field = struct.pack("<" + word, after + len(extra))
                 extra += data + b"\0" * (len(data) % 2)
             else:
-                entries.append(struct.pack("<HHI4s", tag, kind, count, data.ljust(4, b"\0")))
-        self.file.write(struct.pack("<H", len(tags)) + b"".join(entries) + struct.pack("<I", 0) + extra)
-        self.file.seek(4)
-        self.file.write(struct.pack("<I", at))
+                field = data.ljust(room, b"\0")
+            entries.append(struct.pack("<HH" + word, tag, kind, len(values)) + field)
+        return struct.pack("<" + number, len(tags)) + b"".join(entries) + b"\0" * room + bytes(extra)
+
+
+_NUMPY = {3: "u2", 4: "u4", 12: "f8", 16: "u8"}
+
+
+def finish(file, layout: Layout, offsets: np.ndarray, counts: np.ndarray, end: int, big: bool | None = None) -> None:
+    """Header and directory of a file whose blocks stand at `offsets`, up to `end`; a count of 0 means a block of zeros. Beyond 4 GB (or if `big`) it is a BigTIFF."""
+    missing = counts == 0
+    if missing.any():
+        empty = layout.empty()
+        file.seek(end)
+        file.write(empty)
+        offsets, counts = np.where(missing, end, offsets), np.where(missing, len(empty), counts)
+        end += len(empty)
+    at = end + end % 2
+    if big is None:
+        big = at + 16 * len(offsets) + 4096 >= CLASSIC
+    file.seek(at)
+    file.write(layout.directory(at, offsets, counts, big))
+    file.seek(0)
+    file.write(layout.head(at, big))
+
+
+class Writer:
+    """A tiled image written block by block, in any order; blocks never written are zero."""
+
+    def __init__(self, path: str, width: int, height: int, dtype: str, bands: int = 1, crs: int | None = None, transform=None, nodata: float | None = 0, compression: str = "lzw"):
+        self.layout = Layout(width, height, dtype, bands, crs, transform, nodata, compression)
+        self.file = open(shared_path(path), "wb")  # noqa: SIM115
+        self.file.seek(HEAD)
+        n = self.layout.across * self.layout.down
+        self.offsets, self.counts = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+
+    def write(self, bx: int, by: int, block: np.ndarray) -> None:
+        """Block (bx, by); edge blocks may be smaller and are filled up."""
+        full = np.zeros((TILE, TILE, self.layout.bands), dtype=self.layout.dtype)
+        full[: block.shape[0], : block.shape[1]] = block.reshape(*block.shape[:2], self.layout.bands)
+        self.place(bx, by, encoded(full, self.layout.compression))
+
+    def place(self, bx: int, by: int, data: bytes) -> None:
+        """Block (bx, by) as encoded() has made it."""
+        k = by * self.layout.across + bx
+        self.offsets[k], self.counts[k] = self.file.tell(), len(data)
+        self.file.write(data)
+
+    def close(self) -> None:
+        finish(self.file, self.layout, self.offsets, self.counts, self.file.tell())
         self.file.close()
 
 
