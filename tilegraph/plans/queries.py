@@ -273,6 +273,25 @@ def component_sizes(spark, sf_dir):
     return components.sizes(components.connected(fx.label_raster(spark, sf_dir), "fg", W, BLOCK))
 
 
+@_query(_FG + f" SELECT CAST(id % {W} AS INT) AS x, CAST(id // {W} AS INT) AS y, comp, dense_rank() OVER (ORDER BY comp) AS ordinal FROM cc")
+def component_ordinals(spark, sf_dir):
+    return components.ordinals(fx.label_raster(spark, sf_dir), "fg", W, BLOCK)
+
+
+@_query(_PER_LABEL + f" SELECT CAST(id % {W} AS INT) AS x, CAST(id // {W} AS INT) AS y, comp, dense_rank() OVER (ORDER BY comp) AS ordinal FROM cc")
+def component_ordinals_per_label(spark, sf_dir):
+    return components.ordinals(fx.label_raster(spark, sf_dir), "label", W, BLOCK)
+
+
+_TILE_CC = f"WITH RECURSIVE {F1}, " + _cc("1 + tr * 1000 + tc", "fg = 1")
+
+
+@_query(_TILE_CC + f""" SELECT tr AS tile_row, tc AS tile_col, x, y, dense_rank() OVER (PARTITION BY tr, tc ORDER BY comp) AS ordinal
+FROM (SELECT CAST(id % {W} AS INT) AS x, CAST(id // {W} AS INT) AS y, comp, CAST(id // {W} // {T} AS INT) AS tr, CAST(id % {W} // {T} AS INT) AS tc FROM cc)""")
+def tile_ordinals(spark, sf_dir):
+    return components.tile_ordinals(fx.label_raster(spark, sf_dir), T, "fg")
+
+
 def _pixels(spark, sf_dir):
     return fx.label_raster(spark, sf_dir).select("x", "y", "label")
 
