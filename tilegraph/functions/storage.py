@@ -27,11 +27,32 @@ def checkpoint_root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read back: its lineage ends, lost executors cost nothing."""
+#: Bytes of a row group of a written table: what a writing task holds back.
+ROW_GROUP = 16 << 20
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, most: int | None):
+    """Within it, at most `most` rows go to Python at a time (no fewer than the session asks for already)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if most and not 0 < int(before) <= most:
+        spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialise(df: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """df written to the shared checkpoint folder and read back: its lineage ends, lost executors cost nothing.
+
+    Rows that carry long texts take `most_rows`, the rows that go to Python at a time meanwhile.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with arrow_rows(spark, most_rows):
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._materialised_path = path
     _written.append((spark, path))
