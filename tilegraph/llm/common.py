@@ -10,13 +10,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import bounded_broadcast, discard, hot_limit, join_by_key, materialise  # noqa: F401
+from ..functions import storage
+from ..functions.storage import bounded_broadcast, discard, hot_limit, join_by_key  # noqa: F401
+
+#: Rows with texts that go to Python at a time.
+TEXT_ROWS = 1000
 
 _libc = ctypes.CDLL(None)
 U64 = np.uint64
 MASK64 = (1 << 64) - 1
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """df as a written table (storage.materialise()), with few texts on their way to Python at a time."""
+    return storage.materialise(df, TEXT_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; Spark's reader opens it, so any file system serves."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, task
+from .common import begin, release, small, task
 
 SAMPLE = 8000
 #: Characters of a sampled text that are learned from: of longer ones, evenly spaced parts of PART characters.
@@ -299,18 +299,24 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, samp
     return scored.select("doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_clauses", "clause_score")
 
 
-def _filter(arcs: dict[str, float], weights: np.ndarray, threshold: float):
-    def run(batches):
+def _probability(arcs: dict[str, float], weights: np.ndarray):
+    """A column function of a text: texts go to Python, one number a text comes back, the rest of a row stays where it is."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begin(None)
         scorer = Scorer(arcs)
-        for batch in small(batches):
-            at = batch.schema.get_field_index("text")
-            x = np.asarray([scorer.features(t or "") for t in batch.column(at).to_pylist()], dtype=float).reshape(-1, 4)
-            p = 1 / (1 + np.exp(-np.clip(_design(x) @ weights, -30, 30)))
-            yield batch.filter(pa.array(p < threshold))
+        for batch in batches:
+            out = []
+            for at in range(0, len(batch), 512):
+                x = np.asarray([scorer.features(t or "") for t in batch[at : at + 512].to_pylist()], dtype=float).reshape(-1, 4)
+                out.append(1 / (1 + np.exp(-np.clip(_design(x) @ weights, -30, 30))))
+            yield pa.array(np.concatenate([*out, []]))
+        release()
 
-    return run
+    return F.arrow_udf(run, "double")
 
 
 def stage(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """docs without those that score `threshold` or more; columns stay as they are."""
-    return docs.mapInArrow(task(_filter(*learn(docs, labels, sample), threshold)), docs.schema)
+    probability = _probability(*learn(docs, labels, sample))
+    return docs.where(probability(F.col("text").cast("string")) < threshold)
