@@ -1,4 +1,4 @@
-"""Mask proposals held as bit arrays or packed words: measures, overlaps, rasterising, suppression."""
+"""Mask proposals given as bit arrays: measures, overlaps, rasterising, suppression. What looks at whole masks does so by their runs."""
 
 from __future__ import annotations
 
@@ -6,33 +6,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+from . import runs
 
 
 def area(bits: Column) -> Column:
     """Number of set pixels of a bit array."""
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s + b)
+    return runs.area(runs.encode(bits))
 
 
-def packed(bits: Column) -> Column:
-    """All bits of an array as an array of BIGINT words, bit d of word w being bit 64 * w + d of the array."""
-    words = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(bits) / 64).cast("int") - 1, F.lit(0)))
-    bit = lambda k: F.coalesce(F.get(bits, k) != 0, F.lit(False)).cast("long")
-    return F.transform(words, lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda s, d: s.bitwiseOR(F.call_function("shiftleft", bit(w * 64 + d), d))))
+def bbox(bits: Column, width: int) -> Column:
+    """STRUCT(x_min, y_min, x_max, y_max), ends included; all 0 for an empty mask."""
+    return runs.bbox(runs.encode(bits), width)
 
 
-def _count(a: Column, b: Column, op) -> Column:
-    """Set bits of two arrays of words combined by op; the shorter one goes on with zeros."""
-    zero = F.lit(0).cast("long")
-    both = F.zip_with(a, b, lambda p, q: F.bit_count(op(F.coalesce(p, zero), F.coalesce(q, zero))))
-    return F.aggregate(both, zero, lambda s, n: s + n)
+def with_runs(masks: DataFrame) -> DataFrame:
+    """masks with `runs` in place of `bits`, whatever expression the bits are; pass few other columns."""
 
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("bits")
+            made = runs.encode_array(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns) if k != at), made], names=[*(n for n in batch.schema.names if n != "bits"), "runs"])
 
-def bbox(bits: Column, width: int) -> Column:
-    """STRUCT(x_min, y_min, x_max, y_max), ends included; all 0 for an empty mask."""
-    at = F.filter(F.sequence(F.lit(0), F.size(bits) - 1), lambda d: F.element_at(bits, d + 1) != 0)
-    xs, ys = F.transform(at, lambda d: d % width), F.transform(at, lambda d: F.floor(d / width).cast("int"))
-    zero = F.lit(0)
-    return F.struct(*(F.coalesce(f(v), zero).cast("int").alias(name) for name, f, v in (("x_min", F.array_min, xs), ("y_min", F.array_min, ys), ("x_max", F.array_max, xs), ("y_max", F.array_max, ys))))
+    others = [f for f in masks.schema.fields if f.name != "bits"]
+    return masks.mapInArrow(run, StructType([*others, StructField("runs", ArrayType(LongType()))]))
 
 
 def mask_pixels(masks: DataFrame, width: int, *keep: str) -> DataFrame:
@@ -42,31 +41,19 @@ def mask_pixels(masks: DataFrame, width: int, *keep: str) -> DataFrame:
 
 
 def iou_pairs(masks: DataFrame, threshold: float = 0.5, group: str = "tile_id") -> DataFrame:
-    """(group, mask_a, mask_b, iou) of the pairs of a tile whose IoU reaches the threshold; empty pairs have none.
-
-    Masks of any size travel as one number for 64 pixels, and overlap is a bit count. A tile's proposals are few by
-    nature; pairs whose areas rule the threshold out are not compared.
-    """
-    words = packed(F.col("bits"))
-    small = masks.select(group, "mask_id", words.alias("m")).withColumn("n", F.aggregate("m", F.lit(0).cast("long"), lambda s, w: s + F.bit_count(w)))
-    a = small.select(group, F.col("mask_id").alias("mask_a"), F.col("m").alias("ma"), F.col("n").alias("na"))
-    b = small.select(F.col(group).alias("__g"), F.col("mask_id").alias("mask_b"), F.col("m").alias("mb"), F.col("n").alias("nb"))
-    near = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(float(threshold) * (1 - 1e-9))
-    both = a.join(b, (F.col(group) == F.col("__g")) & (F.col("mask_a") < F.col("mask_b")) & near)
-    shared = _count(F.col("ma"), F.col("mb"), lambda p, q: p.bitwiseAND(q))
-    both = both.where("na + nb > 0").select(group, "mask_a", "mask_b", (F.col("na") + F.col("nb")).alias("total"), shared.alias("shared"))
-    iou = F.col("shared") / (F.col("total") - F.col("shared"))
-    return both.withColumn("iou", iou).where(F.col("iou") >= threshold).select(group, "mask_a", "mask_b", "iou")
+    """(group, mask_a, mask_b, iou) of the pairs of a tile whose IoU reaches the threshold; empty pairs have none. See runs.iou_pairs()."""
+    return runs.iou_pairs(with_runs(masks.select(group, "mask_id", "bits")), threshold, group)
 
 
 def union_pixels(masks: DataFrame, width: int, *by: str) -> DataFrame:
     """(by, x, y) of pixels that any mask sets."""
-    return mask_pixels(masks, width, *by).distinct()
+    return runs.pixels(runs.union(with_runs(masks.select(*by, "bits")), *by), width, *by)
 
 
-def overlap_with(masks: DataFrame, width: int, covered: DataFrame, *by: str) -> DataFrame:
-    """(by, mask_id, shared): set pixels of each mask that are covered already; masks without any aren't listed."""
-    return mask_pixels(masks, width, *by, "mask_id").join(covered, [*by, "x", "y"], "left_semi").groupBy(*by, "mask_id").agg(F.count("*").alias("shared"))
+def overlap_with(masks: DataFrame, covered: DataFrame, by: str = "tile_id") -> DataFrame:
+    """(by, mask_id, shared): set pixels of each mask that the masks in `covered` cover already; masks without any aren't listed."""
+    done = runs.union(with_runs(covered.select(by, "bits")), by)
+    return runs.overlap(with_runs(masks.select(by, "mask_id", "bits")), done, by)
 
 
 def rasterise(masks: DataFrame, width: int, by: str = "tile_id", order: str = "ord", first_label: int = 1, last_wins: bool = True) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Threshold
 from ..functions import raster
 from ..functions.storage import checkpoint_root, materialise
-from ..operators import adjacency, cleanup, components, grid, masks, multipass, points, seams, vector, zonal
+from ..operators import adjacency, cleanup, components, grid, masks, multipass, points, runs, seams, vector, zonal
 from ..sources import fixtures as fx
 from ..sources import raster_source, vector_files
 from ..sources.mosaic import Mosaic
@@ -628,6 +628,15 @@ def mask_area_bbox(spark, sf_dir):
     return fx.masks(spark, sf_dir).select("mask_id", masks.area(F.col("bits")).alias("area"), masks.bbox(F.col("bits"), 8).alias("b")).select("mask_id", "area", "b.*")
 
 
+@_query(f"""WITH {F2}, d AS (SELECT DISTINCT tile_id, y * 8 + x AS p FROM mask_px), s AS (SELECT d.tile_id, d.p FROM d LEFT JOIN d q ON q.tile_id = d.tile_id AND q.p = d.p - 1 WHERE q.p IS NULL),
+e AS (SELECT d.tile_id, d.p + 1 AS p FROM d LEFT JOIN d q ON q.tile_id = d.tile_id AND q.p = d.p + 1 WHERE q.p IS NULL)
+SELECT s.tile_id, CAST(s.p AS BIGINT) AS run_start, CAST(min(e.p) AS BIGINT) AS run_end FROM s JOIN e ON e.tile_id = s.tile_id AND e.p > s.p GROUP BY s.tile_id, s.p""")
+def mask_union_runs(spark, sf_dir):
+    """What a tile's masks cover together, as runs."""
+    found = runs.union(masks.with_runs(fx.masks(spark, sf_dir)), "tile_id")
+    return found.select("tile_id", F.explode(F.transform(F.sequence(F.lit(0), (F.size("runs") / 2).cast("int") - 1), lambda k: F.struct(F.get("runs", k * 2).alias("run_start"), F.get("runs", k * 2 + 1).alias("run_end")))).alias("r")).select("tile_id", "r.*")
+
+
 @_query(f"""WITH {F2}, n AS (SELECT mask_id, count(*) AS n FROM mask_px GROUP BY mask_id), s AS (SELECT p.tile_id, p.mask_id AS mask_a, q.mask_id AS mask_b, count(*) AS shared FROM mask_px p JOIN mask_px q ON p.tile_id = q.tile_id AND p.x = q.x AND p.y = q.y AND p.mask_id < q.mask_id GROUP BY ALL)
 SELECT tile_id, mask_a, mask_b, round(shared / (a.n + b.n - shared), 6) AS iou FROM s JOIN n a ON a.mask_id = mask_a JOIN n b ON b.mask_id = mask_b WHERE shared / (a.n + b.n - shared) >= 0.35""")
 def mask_iou_pairs(spark, sf_dir):
@@ -653,7 +662,7 @@ def mask_union(spark, sf_dir):
 @_query(f"WITH {F2}, c AS (SELECT DISTINCT tile_id, x, y FROM mask_px WHERE ord = 0) SELECT tile_id, mask_id, count(*) AS shared FROM mask_px JOIN c USING (tile_id, x, y) WHERE ord > 0 GROUP BY tile_id, mask_id")
 def mask_overlap(spark, sf_dir):
     m = fx.masks(spark, sf_dir)
-    return masks.overlap_with(m.where("ord > 0"), 8, masks.union_pixels(m.where("ord = 0"), 8, "tile_id"), "tile_id")
+    return masks.overlap_with(m.where("ord > 0"), m.where("ord = 0"))
 
 
 @_query(f"WITH {F2} SELECT tile_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(max(ord) + 1 AS BIGINT) AS label FROM mask_px GROUP BY tile_id, x, y")
