@@ -161,6 +161,28 @@ def check_packing(documents, size, most_open=packing.MOST_OPEN):
     return len(sequences) - full
 
 
+def test_other_tokenizers(spark):
+    """A cased byte-level vocabulary: ids, counts after edits and packed pieces are those of its own rules."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e = Encoder(path)
+    texts = ["Hello World, the Quick brown fox", "a  b\n\n c", "", "É é  x ", "It's 12.5", " lead", "<|endoftext|> x", "Plain words here. " * 90]
+    assert not e.apart and encoder(queries.TOKENIZER).apart
+    assert [x.tolist() for x in e.ids_of(texts)] == [e.exact(t) for t in texts] == [e.ids(t).tolist() for t in texts]
+    assert len(e.ids(texts[0])) != len(encoder(queries.TOKENIZER).ids(texts[0])) or e.ids(texts[0]).tolist() != encoder(queries.TOKENIZER).ids(texts[0]).tolist()
+    docs = docs_of(spark, texts)
+    edits = F.expr("array(struct(2L AS start, 4L AS end, ' Q' AS replacement), struct(700L AS start, 701L AS end, '' AS replacement))")
+    for r in token_counts.counts_after_edits(docs, edits.cast(token_counts.EDITS), path).collect():
+        text = texts[r["doc_id"]]
+        after = text[:2] + " Q" + text[4:] if len(text) > 2 else text + " Q"
+        after = after[:700] + after[701:]
+        assert (r["n_tokens"], r["n_tokens_edited"]) == (len(e.exact(text)), len(e.exact(after)))
+    rows = packing.pack(docs, path).collect()
+    assert all(r["doc_tokens"] == len(e.exact(texts[r["doc_id"]])) + 1 for r in rows) and sum(r["length"] for r in rows) == sum(len(e.exact(t)) + 1 for t in texts)
+
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60), st.sampled_from([16, 32]))
 def test_packing_keeps_all_ids(sizes, size):

@@ -3,7 +3,8 @@
 The leaves of a document's tree are runs of whole pre-tokens that begin after white space, where no
 pre-token rule looks across; inner nodes hold sums of characters and tokens. An edit finds its leaves by
 descending the character sums, takes in a neighbour where the edit joined it to what was beside it, encodes
-that region anew and updates the sums above. The rest of the document is never encoded again.
+that region anew and updates the sums above. The rest of the document is never encoded again. Under a tokenizer
+whose pre-tokens hold white space, or whose rules aren't known, a document is one leaf.
 
 Defined cases: null or empty text is one empty leaf and counts no tokens; edits are applied in order, each
 to the text that the ones before it left; bounds beyond the text are cut to it; a null replacement
@@ -22,6 +23,8 @@ from .common import small, task
 from .tokens import encoder
 
 LEAF = 512
+#: The size of a leaf that holds any document.
+WHOLE = 1 << 62
 
 
 def leaves(text: str, size: int = LEAF) -> list[str]:
@@ -122,7 +125,7 @@ def _count(path: str):
         for batch in small(batches):
             out = []
             for doc, text, edits in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                tree = PreTokenTree(text, enc.count)
+                tree = PreTokenTree(text, enc.count, LEAF if enc.apart else WHOLE)
                 before, tree.encoded = tree.total(), 0
                 for e in edits or ():
                     if e is not None:

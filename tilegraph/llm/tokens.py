@@ -4,10 +4,14 @@ The vocabulary's own rules (normaliser, pre-token pattern) are applied by the to
 text with characters beyond the fast set; texts of plain characters are split with the same pattern here and
 each distinct pre-token goes to the library once. Results are equal by construction, as a pre-token's
 ids do not depend on its neighbours.
+
+That holds for files with RULES, whose words end in a mark and whose white space is dropped. The file is asked: under
+any other rules each text goes to the library as it is.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -17,7 +21,18 @@ import pyarrow.compute as pc
 
 from .common import kept
 
-#: Characters for which the split above, NFC and lower-casing agree with the library: ASCII and composed Latin-1 letters.
+#: What a file must say of its normaliser and its pre-tokens for the split below to be the same (fixed values).
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Characters for which the split below, NFC and lower-casing agree with the library: ASCII and composed Latin-1 letters.
 _FAST = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*\Z")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 #: Texts whose full stops and commas can stand by themselves (see _spread): most prose.
@@ -50,6 +65,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        model = said["model"]
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges")) and said.get("truncation") is None and said.get("padding") is None
+        #: Whether no pre-token looks beyond white space, and the split here is the file's own.
+        self.apart = plain and all(said[k] == v for k, v in RULES.items()) and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>"
+        self.apart &= all(t["content"].startswith("<|") for t in said.get("added_tokens") or [])
         #: Little-endian 32-bit ids by run between blanks, a pre-token being a run of its own.
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
@@ -106,6 +128,8 @@ class Encoder:
 
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Runs are split and numbered in columns; the large table is asked once for each different one."""
+        if not self.apart:
+            return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         ready = [_spread(t) for t in texts]
         runs = pc.utf8_split_whitespace(pa.array([t for t in ready if t is not None], pa.large_string()))
         coded = runs.values.dictionary_encode()
@@ -122,7 +146,7 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of one text, which may be a short one."""
-        ready = _spread(text)
+        ready = _spread(text) if self.apart else None
         return np.asarray(self.exact(text), dtype="<u4") if ready is None else np.frombuffer(b"".join(self._found(ready.split())), dtype="<u4")
 
     def count(self, text: str) -> int:
