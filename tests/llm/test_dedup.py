@@ -342,6 +342,27 @@ def test_vectors_in_a_hot_bucket(spark, monkeypatch, large, held):
     assert [r["n_links"] for r in got] == (near.sum(axis=1) - 1).tolist() and [r["component_id"] for r in got] == want
 
 
+def test_vectors_in_very_many_tables(spark, monkeypatch):
+    """A lower threshold takes more tables than a byte can number; links are found in whichever they meet."""
+    monkeypatch.setattr(embed_dedup, "plan", lambda *_: (12, 700))
+    monkeypatch.setattr(embed_dedup, "LEAST_PARTS", 5)
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((60, 64))
+    rows = [(4 * k + j, (b + rng.standard_normal(64) * 0.5 * j / 3).tolist(), k % 2) for k, b in enumerate(base) for j in range(4)]
+    u = np.asarray([r[1] for r in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    same = np.array([r[2] for r in rows])
+    near = (u @ u.T >= 0.85) & (same[:, None] == same[None, :])
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.85).orderBy("vec_id").collect()
+    assert [r["n_links"] for r in got] == (near.sum(axis=1) - 1).tolist() and near.sum() > 2 * len(rows)
+
+
+def test_too_many_tables_are_an_error():
+    assert embed_dedup.plan(4_000_000, 0.8)[1] > 256
+    with pytest.raises(ValueError, match="tables"):
+        embed_dedup.plan(10**9, 0.3)
+
+
 def test_estimates_stay_within_their_bounds():
     rng = np.random.default_rng(6)
     base = embed_dedup.unit(rng.standard_normal((400, 64)))

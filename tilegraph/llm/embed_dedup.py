@@ -42,6 +42,8 @@ ROWS_AT_ONCE = 8192
 SPARE = 64
 #: Chance that a pair at the threshold meets in no bucket, and that its spare bits then rule it out.
 MISS = 1e-6
+#: Tables that an entry's number can tell apart.
+MOST_TABLES = 1 << 16
 #: Parts of the buckets: LEAST_PARTS, or as many as make PART_PAIRS entries each.
 LEAST_PARTS, PART_PAIRS = 2048, 1 << 20
 #: Members above which a bucket goes on as a whole, and entries of one part above which such buckets leave at once.
@@ -56,7 +58,10 @@ def plan(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
     """(bits of a table, tables) for n vectors of one label: eight or so meet by chance in a bucket, and a pair at the threshold met but for `miss`."""
     bits = max(8, min(24, math.ceil(math.log2(max(n, 2))) - 3))
     p = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(miss) / math.log(1 - p))
+    tables = math.ceil(math.log(miss) / math.log(1 - p))
+    if tables > MOST_TABLES:
+        raise ValueError(f"a cosine of {threshold} takes {tables} tables for {n} vectors of one label; at most {MOST_TABLES} can be told apart")
+    return bits, tables
 
 
 def most_different(threshold: float, bits: int = SPARE, miss: float = MISS) -> int:
@@ -104,7 +109,7 @@ def _by_size(batch, at: int):
         yield np.flatnonzero(sizes == size)
 
 
-_ENTRY = np.dtype([("key", "<u4"), ("band", "u1"), ("spare", "<u8"), ("id", "<i8")])
+_ENTRY = np.dtype([("key", "<u4"), ("band", "<u2"), ("spare", "<u8"), ("id", "<i8")])
 
 
 def _buckets(bits: int, tables: int, parts: int):
@@ -123,7 +128,7 @@ def _buckets(bits: int, tables: int, parts: int):
                 label = table.column(1).to_numpy().view(U64)
                 key = mix64(mix64(label ^ U64(u.shape[1] << 40))[:, None] ^ (bucket.astype(U64) | (np.arange(1, tables + 1, dtype=U64) << U64(32)))).ravel()
                 entry = np.empty(len(key), dtype=_ENTRY)
-                entry["key"], entry["band"] = key & U64(0xFFFFFFFF), np.tile(np.arange(tables, dtype=np.uint8), len(u))
+                entry["key"], entry["band"] = key & U64(0xFFFFFFFF), np.tile(np.arange(tables, dtype=np.uint16), len(u))
                 entry["spare"], entry["id"] = np.repeat(spare, tables), np.repeat(table.column(0).to_numpy(), tables)
                 part = ((key >> U64(32)) % U64(parts)).astype(np.int32)
                 by = np.argsort(part, kind="stable")
@@ -140,12 +145,12 @@ def _collide(most: int):
     """Blobs, ordered by part, to (key, id, band) of the entries that go on; see the module."""
 
     def out(part, entry, root=None):
-        key = U64(part << 40) | place(entry)
+        key = mix64(mix64(np.array([part], dtype=U64)) ^ place(entry))
         key = int64(key if root is None else mix64(key ^ mix64(root.astype(U64))))
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(entry["id"]), pa.array(entry["band"].astype(np.int32))], names=["key", "id", "band"])
 
     def place(entry):
-        return entry["key"].astype(U64) << U64(8) | entry["band"].astype(U64)
+        return entry["key"].astype(U64) << U64(16) | entry["band"].astype(U64)
 
     def runs(entry):
         at = place(entry)
