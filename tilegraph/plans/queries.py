@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Threshold
 from ..functions import raster
 from ..functions.storage import checkpoint_root, materialise
-from ..operators import adjacency, cleanup, components, grid, masks, multipass, points, runs, seams, vector, zonal
+from ..operators import adjacency, cleanup, clusters, components, grid, masks, multipass, points, runs, seams, vector, zonal
 from ..sources import fixtures as fx
 from ..sources import raster_source, vector_files
 from ..sources.mosaic import Mosaic
@@ -461,6 +461,23 @@ def kmeans_points(spark, sf_dir):
     return points.kmeans_points(fx.label_raster(spark, sf_dir).where("label = 0"), 16, 0)
 
 
+@_query(f"""WITH {F1}, t AS (SELECT CAST(y // 50 AS INT) AS tile_row, CAST(x // 50 AS INT) AS tile_col, count(*) AS n_valid FROM f1 WHERE label = 0 GROUP BY ALL)
+SELECT tile_row, tile_col, n_valid, least(n_valid, 16) AS n_points, least(n_valid, 16) AS n_on_valid FROM t""")
+def tile_cluster_points(spark, sf_dir):
+    """How many points each tile gets from the clusters of its free pixels, and how many of them stand on such pixels."""
+    free = fx.label_raster(spark, sf_dir).where("label = 0").select("x", "y", F.lit(1).alias("free"))
+    found = clusters.tile_points(free, 50, 16, 0).join(free, ["x", "y"], "left")
+    tiles = free.groupBy((F.col("y") / 50).cast("int").alias("tile_row"), (F.col("x") / 50).cast("int").alias("tile_col")).agg(F.count("*").alias("n_valid"))
+    return tiles.join(found.groupBy("tile_row", "tile_col").agg(F.count("*").alias("n_points"), F.count("free").alias("n_on_valid")), ["tile_row", "tile_col"], "left")
+
+
+@_query(f"""WITH {F1}, v AS (SELECT count(*) AS n FROM f1 WHERE label = 0) SELECT least(n, 16) AS n_points, least(n, 16) AS n_on_valid FROM v""")
+def kmeans_point_counts(spark, sf_dir):
+    """The points of kmeans_points, counted, and those of them that stand on free pixels."""
+    free = fx.label_raster(spark, sf_dir).where("label = 0").select("x", "y", F.lit(1).alias("free"))
+    return kmeans_points(spark, sf_dir).join(free, ["x", "y"], "left").agg(F.count("*").alias("n_points"), F.count("free").alias("n_on_valid"))
+
+
 @_query(f"WITH {F1}, v AS (SELECT x, y FROM f1 WHERE label = 0), c AS (SELECT i AS centre_id, 12.5 * i AS cx, 1.0 * i AS cy FROM range(0, 8) t(i)) SELECT CAST(centre_id AS INT) AS centre_id, x, y FROM (SELECT *, row_number() OVER (PARTITION BY centre_id ORDER BY (x - cx) * (x - cx) + (y - cy) * (y - cy), y, x) AS r FROM v, c) WHERE r = 1")
 def nearest_to_centres(spark, sf_dir):
     centres = spark.range(8).select(F.col("id").cast("int").alias("centre_id"), (F.col("id") * 12.5).alias("x"), (F.col("id") * 1.0).alias("y"))
