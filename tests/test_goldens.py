@@ -348,3 +348,29 @@ def test_join_by_key(spark, monkeypatch, hot):
     assert (storage.hot_limit(small, "n") is None) == (hot == 1000)
     none = small.where("n < 0")
     assert storage.join_by_key(big, none, "key", "n").count() == 0 and storage.hot_limit(none, "n") is None
+
+
+@pytest.mark.parametrize("edge", grid.EDGES)
+def test_windows_of_many_images(spark, edge):
+    """A catalogue's windows are those of each image by itself; images below a tile have none."""
+    sizes = [(1, 1050, 2000), (2, 500, 500), (3, 499, 700), (4, 1, 1), (5, 1600, 501)]
+    images = spark.createDataFrame(sizes, "image_id long, width int, height int")
+    names = ["tile_row", "tile_col", "read_x", "read_y", "crop_x", "crop_y", "read_w", "read_h", "write_x", "write_y"]
+    got = grid.windows_of(images, 500, 50, edge).select("image_id", *names).collect()
+    for k, w, h in sizes:
+        whole = edge == "cover" or (w >= 500 and h >= 500)
+        want = {tuple(r) for r in grid.windows(spark, w, h, 500, 50, edge).select(names).collect()} if whole else set()
+        assert {tuple(r)[1:] for r in got if r["image_id"] == k} == want
+    assert grid.windows_of(images.limit(0), 500, 50, edge).count() == 0
+
+
+def test_grids_over_many_regions(spark):
+    boxes = spark.createDataFrame([("a", 0, 0, 999, 499), ("b", 5, 7, 5, 7), ("c", -4, 2, 9, 9)], "name string, x0 int, y0 int, x1 int, y1 int")
+    got = points.grids_over(boxes, 5).collect()
+    for name, x0, y0, x1, y1 in [tuple(r) for r in boxes.collect()]:
+        want = {tuple(r) for r in points.grid_in_region(spark, x0, y0, x1, y1, 5).select("point_id", "x", "y").collect()}
+        assert {(r["point_id"], r["x"], r["y"]) for r in got if r["name"] == name} == want
+    inside = points.in_regions(points.grids_over(boxes, 5).select("name", "x", "y"), boxes.selectExpr("name", "0 AS x0", "0 AS y0", "6 AS x1", "8 AS y1").where("name <> 'a'"), "name").collect()
+    assert {r["name"] for r in inside} == {"b", "c"} and all(0 <= r["x"] <= 6 and r["y"] <= 8 for r in inside)
+    one = points.grids_over(boxes, 1).collect()
+    assert {(r["name"], r["x"], r["y"]) for r in one} == {("a", 0, 0), ("b", 5, 7), ("c", -4, 2)}

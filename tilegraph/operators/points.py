@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from .blocks import BLOCK, Grid, in_blocks
 
 
-def spaced(k: Column, n: int, start: float, stop: float) -> Column:
+def spaced(k: Column, n: int, start: Column | float, stop: Column | float) -> Column:
     """Point k of n from start to stop, both included, cut to an integer; the last one is stop itself."""
+    start, stop = ((c if isinstance(c, Column) else F.lit(float(c))).cast("double") for c in (start, stop))
     if n == 1:
-        return F.lit(int(start))
-    step = (float(stop) - float(start)) / (n - 1)
-    return F.when(k == n - 1, F.lit(float(stop))).otherwise(F.lit(float(start)) + k * F.lit(step)).cast("int")
+        return start.cast("int")
+    return F.when(k == n - 1, stop).otherwise(start + k * ((stop - start) / (n - 1))).cast("int")
 
 
 def uniform_grid(spark: SparkSession, height: int, width: int, n: int, margin: int = 0) -> DataFrame:
@@ -29,6 +29,22 @@ def grid_in_region(spark: SparkSession, x0: float, y0: float, x1: float, y1: flo
     return k.select("point_id", spaced(F.col("i"), n, x0, x1).alias("x"), spaced(F.col("j"), n, y0, y1).alias("y"))
 
 
+def grids_over(regions: DataFrame, n: int, margin: int = 0) -> DataFrame:
+    """regions (x0, y0, x1, y1, whatever names them) with the n x n points of each: point_id, x, y; ends included, `margin` pixels inside the box."""
+    if n < 1:
+        raise ValueError("a grid has a point a side at least")
+    each = regions.withColumn("point_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n * n - 1).cast("long"))))
+    i, j = F.col("point_id") % n, F.floor(F.col("point_id") / n)
+    return each.withColumns({"x": spaced(i, n, F.col("x0") + margin, F.col("x1") - margin), "y": spaced(j, n, F.col("y0") + margin, F.col("y1") - margin)})
+
+
+def in_regions(points: DataFrame, regions: DataFrame, *by: str) -> DataFrame:
+    """Points (by..., x, y) in the box (by..., x0, y0, x1, y1) of their own region, ends included; points without a region go."""
+    box = regions.select(*by, *(F.col(c).alias(f"__{c}") for c in ("x0", "y0", "x1", "y1")))
+    met = points.join(box, [*by])
+    return met.where(F.col("x").between(F.col("__x0"), F.col("__x1")) & F.col("y").between(F.col("__y0"), F.col("__y1"))).select(points.columns)
+
+
 def outside_mask(points: DataFrame, mask: DataFrame, width: int, height: int) -> DataFrame:
     """Points within the raster whose pixel isn't set; mask has the set pixels (x, y)."""
     inside = points.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height))

@@ -200,9 +200,10 @@ def threshold_histogram(spark, sf_dir):
     return zonal.threshold_histogram(fx.coverage_series(spark, sf_dir).withColumn("final_iou", F.lit(0.6) + F.col("coverage") / 1000))
 
 
-@_query("SELECT i AS pass, round(CAST(greatest(0.6, 0.93 - i * 0.01) AS DOUBLE), 6) AS threshold FROM range(0, 60) t(i)")
+@_query(f"WITH {F1}, {F3} SELECT scene, pass, round(CAST(greatest(0.6, 0.93 - pass * 0.04) AS DOUBLE), 6) AS threshold FROM f3")
 def threshold_schedule(spark, sf_dir):
-    return zonal.threshold_schedule(spark.range(60).withColumnRenamed("id", "pass"), "pass", 0.93, 0.6, 0.01).select("pass", *_r("threshold"))
+    """The threshold of each recorded pass of each scene, falling in equal steps."""
+    return zonal.threshold_schedule(fx.coverage_series(spark, sf_dir), "pass", 0.93, 0.6, 0.04).select("scene", "pass", *_r("threshold"))
 
 
 @_query(f"""WITH {F1}, {F3}, s AS (SELECT scene, coverage AS used, ntile(5) OVER (ORDER BY scene, pass) AS fifth FROM f3)
@@ -393,39 +394,63 @@ def enclosed_merge_until_stable(spark, sf_dir):
 # ---------------------------------------------------------------- grid and points
 
 
-@_query("SELECT CAST(i // 36 AS INT) AS tile_row, CAST(i % 36 AS INT) AS tile_col FROM range(0, 36 * 54) t(i)")
+_TILES = f"""WITH {fx.IMAGES_SQL}, g AS (SELECT *, {{cols}} AS n_cols, {{rows}} AS n_rows FROM images),
+t AS (SELECT image_id, width, height, n_cols, n_rows, r, unnest(range(0, n_cols)) AS c FROM (SELECT *, unnest(range(0, n_rows)) AS r FROM g))"""
+_WHOLE, _COVER = _TILES.format(cols="width // 250", rows="height // 250"), _TILES.format(cols="(width + 249) // 250", rows="(height + 249) // 250")
+
+
+@_query(_COVER + " SELECT image_id, CAST(r AS INT) AS tile_row, CAST(c AS INT) AS tile_col FROM t")
 def grid_tiles(spark, sf_dir):
-    """The grid of the largest published scene: 36,000 x 54,000 pixels."""
-    return grid.tiles(spark, 36_000, 54_000, 1000)
+    """The tiles of every image of a catalogue."""
+    return grid.tiles_of(fx.images(spark, sf_dir), 250, "cover").select("image_id", "tile_row", "tile_col")
+
+
+def _windows_sql(start: str, crop: str, length: str) -> str:
+    along = lambda template, k, n, size, at: template.format(k=k, n=n, size=size, at=at)
+    x, y = ("c", "n_cols", "width", "read_x"), ("r", "n_rows", "height", "read_y")
+    return f""", s AS (SELECT *, {along(start, *x)} AS read_x, {along(start, *y)} AS read_y FROM t)
+SELECT image_id, CAST(r AS INT) AS tile_row, CAST(c AS INT) AS tile_col, CAST(read_x AS INT) AS read_x, CAST(read_y AS INT) AS read_y, CAST({along(crop, *x)} AS INT) AS crop_x, CAST({along(crop, *y)} AS INT) AS crop_y,
+  CAST({along(length, *x)} AS INT) AS read_w, CAST({along(length, *y)} AS INT) AS read_h, CAST(c * 250 AS INT) AS write_x, CAST(r * 250 AS INT) AS write_y FROM s"""
 
 
-@_query("""WITH g AS (SELECT i // 2 AS r, i % 2 AS c FROM range(0, 8) t(i))
-SELECT CAST(r AS INT) AS tile_row, CAST(c AS INT) AS tile_col,
-  CAST(CASE WHEN c = 0 THEN 0 WHEN c = 1 THEN 1050 - 600 ELSE c * 500 - 50 END AS INT) AS read_x, CAST(CASE WHEN r = 0 THEN 0 WHEN r = 3 THEN 2000 - 600 ELSE r * 500 - 50 END AS INT) AS read_y,
-  CAST(CASE WHEN c = 0 THEN 0 ELSE 100 END AS INT) AS crop_x, CAST(CASE WHEN r = 0 THEN 0 WHEN r = 3 THEN 100 ELSE 50 END AS INT) AS crop_y,
-  CAST(600 AS INT) AS read_w, CAST(600 AS INT) AS read_h, CAST(c * 500 AS INT) AS write_x, CAST(r * 500 AS INT) AS write_y FROM g""")
+def _windows(spark, sf_dir, edge):
+    found = grid.windows_of(fx.images(spark, sf_dir), 250, 40, edge)
+    return found.select("image_id", "tile_row", "tile_col", "read_x", "read_y", "crop_x", "crop_y", "read_w", "read_h", "write_x", "write_y")
+
+
+@_query(_WHOLE + _windows_sql("CASE WHEN {k} = 0 THEN 0 WHEN {k} = {n} - 1 THEN {size} - 330 ELSE {k} * 250 - 40 END", "CASE WHEN {k} = 0 THEN 0 WHEN {k} = {n} - 1 THEN 80 ELSE 40 END", "least(330, {size} - {at})"))
 def tile_windows(spark, sf_dir):
-    return grid.windows(spark, 1050, 2000, 500, 50)
+    """The padded windows of every image's whole tiles."""
+    return _windows(spark, sf_dir, "whole")
 
 
-@_query("""WITH g AS (SELECT i // 3 AS r, i % 3 AS c FROM range(0, 12) t(i)), s AS (SELECT *, greatest(c * 500 - 50, 0) AS x0, greatest(r * 500 - 50, 0) AS y0 FROM g)
-SELECT CAST(r AS INT) AS tile_row, CAST(c AS INT) AS tile_col, CAST(x0 AS INT) AS read_x, CAST(y0 AS INT) AS read_y, CAST(c * 500 - x0 AS INT) AS crop_x, CAST(r * 500 - y0 AS INT) AS crop_y,
-  CAST(least((c + 1) * 500 + 50, 1050) - x0 AS INT) AS read_w, CAST(least((r + 1) * 500 + 50, 2000) - y0 AS INT) AS read_h, CAST(c * 500 AS INT) AS write_x, CAST(r * 500 AS INT) AS write_y FROM s""")
+@_query(_COVER + _windows_sql("greatest({k} * 250 - 40, 0)", "{k} * 250 - {at}", "least(({k} + 1) * 250 + 40, {size}) - {at}"))
 def tile_windows_cover(spark, sf_dir):
-    return grid.windows(spark, 1050, 2000, 500, 50, "cover")
+    """The windows that cover every image, clipped to it."""
+    return _windows(spark, sf_dir, "cover")
+
+
+def _tile_boxes(spark, sf_dir, where="true"):
+    found = fx.label_raster(spark, sf_dir).where(where).groupBy("tr", "tc")
+    return found.agg(*(f(c).alias(n) for n, f, c in (("x0", F.min, "x"), ("y0", F.min, "y"), ("x1", F.max, "x"), ("y1", F.max, "y"))))
 
 
-_GRID = "SELECT k AS point_id, CAST(trunc(CASE WHEN i = 63 THEN {w} - 1 ELSE i * (({w} - 1) / 63.0::DOUBLE) END) AS INT) AS x, CAST(trunc(CASE WHEN j = 63 THEN {h} - 1 ELSE j * (({h} - 1) / 63.0::DOUBLE) END) AS INT) AS y FROM (SELECT k, k % 64 AS i, k // 64 AS j FROM range(0, 4096) t(k))"
+_BOXES = "SELECT tr, tc, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM f1"
+_GRID = f"""WITH {F1}, boxes AS ({_BOXES} GROUP BY tr, tc), k AS (SELECT *, unnest(range(0, 49)) AS point_id FROM boxes), g AS (SELECT tr, tc, point_id,
+  CAST(trunc(CASE WHEN point_id % 7 = 6 THEN x1 ELSE x0 + point_id % 7 * ((x1 - x0) / 6.0::DOUBLE) END) AS INT) AS x, CAST(trunc(CASE WHEN point_id // 7 = 6 THEN y1 ELSE y0 + point_id // 7 * ((y1 - y0) / 6.0::DOUBLE) END) AS INT) AS y FROM k)"""
 
 
-@_query(_GRID.format(w=1100, h=1100))
+@_query(_GRID + " SELECT * FROM g")
 def uniform_grid(spark, sf_dir):
-    return points.uniform_grid(spark, 1100, 1100, 64)
+    """A grid of 7 x 7 points over each tile."""
+    return points.grids_over(_tile_boxes(spark, sf_dir), 7).select("tr", "tc", "point_id", "x", "y")
 
 
-@_query(f"WITH g AS ({_GRID.format(w=1100, h=1100)}) SELECT * FROM g WHERE x BETWEEN 100 AND 400 AND y BETWEEN 250 AND 700")
+@_query(_GRID + f", inner_ AS ({_BOXES} WHERE fg = 1 GROUP BY tr, tc) SELECT g.* FROM g JOIN inner_ b USING (tr, tc) WHERE g.x BETWEEN b.x0 AND b.x1 AND g.y BETWEEN b.y0 AND b.y1")
 def points_in_region(spark, sf_dir):
-    return points.in_region(points.uniform_grid(spark, 1100, 1100, 64), 100, 250, 400, 700)
+    """Each tile's grid points that lie in the box of its foreground."""
+    grid_ = points.grids_over(_tile_boxes(spark, sf_dir), 7).select("tr", "tc", "point_id", "x", "y")
+    return points.in_regions(grid_, _tile_boxes(spark, sf_dir, "fg = 1"), "tr", "tc")
 
 
 @_query(f"WITH {F1}, s AS (SELECT max(y) + 1 AS h FROM f1), g AS (SELECT k AS point_id, CAST(k % 130 - 10 AS INT) AS x, CAST(k // 130 - 3 AS INT) AS y FROM s, range(0, 130 * (h + 6)) t(k)) SELECT g.* FROM g, s WHERE x >= 0 AND x < {W} AND y >= 0 AND y < h AND NOT EXISTS (SELECT 1 FROM f1 WHERE f1.x = g.x AND f1.y = g.y AND label > 0)")

@@ -51,6 +51,16 @@ MASKS_SQL = """f2 AS (
     SELECT mask_id, tile_id, ord, pass, bits, unnest(range(0, 64)) AS d FROM f2) WHERE bits[d + 1] = 1
 )"""
 
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, width, height) of a catalogue of images, one a part, of 200 to 1,399 pixels a side."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("image_id"), (200 + F.col("p_partkey") * 37 % 1200).cast("int").alias("width"), (200 + (F.col("p_partkey") * 91 + F.col("p_size") * 7) % 1200).cast("int").alias("height"))
+
+
+IMAGES_SQL = "images AS (SELECT p_partkey AS image_id, CAST(200 + p_partkey * 37 % 1200 AS INT) AS width, CAST(200 + (p_partkey * 91 + p_size * 7) % 1200 AS INT) AS height FROM part)"
+
+
 def coverage_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scene, pass, coverage): foreground of the label raster gathered tile by tile along each row of tiles, in per cent."""
     return label_raster(spark, sf_dir).groupBy(F.col("tr").alias("scene"), F.col("tc").alias("pass")).agg((F.avg("fg") * 100.0).alias("coverage"))
