@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.storage import bounded_broadcast, materialise
 from .blocks import BLOCK, Grid, in_blocks
@@ -273,6 +274,18 @@ def read_wkb(data: bytes) -> list[np.ndarray]:
     return rings
 
 
+def drawn_areas(features: DataFrame) -> DataFrame:
+    """features with `drawn`, the area that their rings enclose, holes taken off."""
+
+    def run(batches):
+        for batch in batches:
+            areas = [[signed_area(r) for r in read_wkb(w)] for w in batch.column("wkb").to_pylist()]
+            drawn = [abs(a[0]) - sum(map(abs, a[1:])) for a in areas]
+            yield batch.append_column("drawn", pa.array(drawn, type=pa.float64()))
+
+    return features.mapInArrow(run, StructType([*features.schema.fields, StructField("drawn", DoubleType())]))
+
+
 FEATURE = "label_id long, part_id long, wkb binary, area_m2 double, perimeter_m double, n_rings int"
 
 

@@ -649,8 +649,7 @@ def _feature_file(kind: str):
     def query(spark, sf_dir):
         path = f"{_folder(spark)}/segments{kind}"
         vector_files.save_features(vector.polygons(fx.label_raster(spark, sf_dir), tolerance=0.0, width=W, block=BLOCK), path, 32723)
-        rows = [(label, float(area), float(length), abs(sum(vector.signed_area(r) for r in rings))) for label, rings, area, length in vector_files.read_features(path)]
-        return spark.createDataFrame(rows, "label_id long, area_m2 double, perimeter_m double, drawn double")
+        return vector.drawn_areas(vector_files.read_features(spark, path)).select("label_id", "area_m2", "perimeter_m", "drawn")
 
     return query
 
