@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -50,6 +51,15 @@ def test_lines_by_site(spark, monkeypatch, most_keys):
     assert [(r["n_lines"], r["n_dropped"]) for r in twice] == [(4, 3)] * 2
 
 
+def test_a_host_with_very_many_boilerplate_lines(spark):
+    """100,000 of them, each on a quarter of the host's 20 pages: a page meets its own lines, not the host's."""
+    texts = ["\n".join([f"own {p}", *(f"line {k}" for k in range(100_000) if (k + p) % 4 == 0)]) for p in range(20)]
+    began = time.time()
+    rows = line_dedup.query(docs_of(spark, [*texts, "line 3"], lambda i: "a" if i < 20 else "b")).collect()
+    assert {(r["doc_id"], r["text"], r["n_dropped"]) for r in rows} == {*((p, f"own {p}", 25_000) for p in range(20)), (20, "line 3", 0)}
+    assert time.time() - began < 60
+
+
 def test_lines_of_long_texts(spark):
     texts = ["line %d\n" % k * 50_000 for k in range(6)] + ["x" * 2_000_000 + "\nmenu"] * 6
     got = line_dedup.query(docs_of(spark, texts)).orderBy("doc_id").collect()

@@ -6,8 +6,8 @@ pages. Lines above the ratio (and on `min_pages` pages at least) are dropped fro
 Lines are compared without surrounding blanks and by two independent 64-bit hashes; a page counts once for
 a line. Counts are combined before the shuffle, so a host with a third of all pages costs no more than
 others. The boilerplate lines found go back to the pages by a broadcast if there are at most MOST_KEYS of them in
-all (16 bytes each); else the lines of numbered pages meet them by host and line, hot lines dealt out, and
-each page gets its own list. No join gathers the pages of a host.
+all (16 bytes each) and no host has more than MOST_LISTED; else the lines of numbered pages meet them by host and line, hot
+lines dealt out, and each page is told the places of its own lines that go. No join gathers the pages of a host.
 
 Defined cases: null text counts as empty and stays null; a page without a host (null) belongs to no site and
 stays whole; blank lines are neither counted nor dropped; repeated rows are pages of their own; an
@@ -24,6 +24,8 @@ from .common import join_by_key, materialise
 MAX_RATIO, MIN_PAGES = 0.05, 5
 #: Boilerplate lines (16 bytes each) of all hosts together up to which they are broadcast.
 MOST_KEYS = 200_000
+#: Boilerplate lines of a host up to which each of its pages is given the list of all of them.
+MOST_LISTED = 500
 #: Scheme and user of a URL, and its host.
 _URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#@]*@)?([^/?#:]+)"
 
@@ -45,7 +47,7 @@ def _key(line: Column) -> Column:
 def _lines(text: Column) -> Column:
     """Keys of the different lines of a text."""
     bare = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _trimmed)
-    return F.array_distinct(F.transform(F.filter(bare, lambda x: x != ""), _key))
+    return F.transform(F.array_distinct(F.filter(bare, lambda x: x != "")), _key)  # strings are told apart by hashing, structs by pairs
 
 
 def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -57,25 +59,33 @@ def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", max_ra
     return often.join(total, "host").where(F.col("n") > F.col("pages") * max_ratio).select("host", "key", "n")
 
 
-def _with_keys(pages: DataFrame, found: DataFrame, host: str, text: str) -> DataFrame:
-    """pages with __keys, the keys of lines to drop (null: none)."""
-    if found.count() <= MOST_KEYS:
-        listed = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("key").alias("__keys"))
-        return pages.join(F.broadcast(listed), F.col(host) == F.col("__host"), "left").drop("__host")
-    numbered = materialise(pages.withColumn("__id", F.monotonically_increasing_id()))  # written, so that numbers hold
-    lines = numbered.select("__id", F.col(host).alias("host"), F.explode(_lines(F.col(text))).alias("key"))
-    own = join_by_key(lines, found, ["host", "key"], "n").groupBy("__id").agg(F.collect_list("key").alias("__keys"))
-    return numbered.join(own, "__id", "left").drop("__id")
+def _listed(pages: DataFrame, found: DataFrame, host: str, text: str) -> DataFrame:
+    """pages with __line, the lines of their text, and __kept, those that stay; each page is given all keys of its host."""
+    listed = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("key").alias("__keys"))
+    line = F.split(F.col(text), "\n")
+    kept = F.filter(line, lambda x: F.col("__keys").isNull() | (_trimmed(x) == "") | ~F.array_contains(F.col("__keys"), _key(_trimmed(x))))
+    return pages.join(F.broadcast(listed), F.col(host) == F.col("__host"), "left").withColumns({"__line": line, "__kept": kept}).drop("__host", "__keys")
+
+
+def _met(pages: DataFrame, found: DataFrame, host: str, text: str) -> DataFrame:
+    """What _listed() gives; each line meets its own key, and each page is given the places of its lines that go."""
+    numbered = materialise(pages.withColumns({"__id": F.monotonically_increasing_id(), "__line": F.split(F.col(text), "\n")}))  # written, so that numbers hold
+    lines = numbered.where(F.col(host).isNotNull()).select("__id", F.col(host).alias("host"), F.posexplode("__line").alias("at", "line")).withColumn("line", _trimmed(F.col("line")))
+    gone = join_by_key(lines.where("line <> ''").select("__id", "host", "at", _key(F.col("line")).alias("key")), found, ["host", "key"], "n")
+    gone = gone.groupBy("__id").agg(F.collect_list("at").alias("__gone"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("__line") - 1), F.col("__gone"))
+    kept = F.when(F.col("__gone").isNull(), F.col("__line")).otherwise(F.transform(places, lambda k: F.get("__line", k)))
+    return numbered.join(gone, "__id", "left").withColumn("__kept", kept).drop("__id", "__gone")
 
 
 def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages with their text cleaned, and with __lines and __dropped, the numbers of lines before and of lines dropped."""
     found = materialise(boilerplate(pages, host, text, max_ratio, min_pages))
-    line = F.split(F.col(text), "\n")
-    kept = F.filter(line, lambda x: F.col("__keys").isNull() | (_trimmed(x) == "") | ~F.array_contains(F.col("__keys"), _key(_trimmed(x))))
-    cleaned = _with_keys(pages, found, host, text).withColumn("__kept", kept)
-    counts = {"__lines": F.coalesce(F.size(line), F.lit(0)).cast("long"), "__dropped": F.coalesce(F.size(line) - F.size("__kept"), F.lit(0)).cast("long")}
-    return cleaned.withColumns({text: F.when(F.col(text).isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n")), **counts}).drop("__keys", "__kept")
+    keys, longest = found.groupBy("host").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    few = (keys or 0) <= MOST_KEYS and (longest or 0) <= MOST_LISTED
+    cleaned = (_listed if few else _met)(pages, found, host, text)
+    counts = {"__lines": F.coalesce(F.size("__line"), F.lit(0)).cast("long"), "__dropped": F.coalesce(F.size("__line") - F.size("__kept"), F.lit(0)).cast("long")}
+    return cleaned.withColumns({text: F.when(F.col(text).isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n")), **counts}).drop("__line", "__kept")
 
 
 def query(docs: DataFrame) -> DataFrame:
