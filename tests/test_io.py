@@ -216,6 +216,12 @@ def test_arrivals(spark, tmp_path):
         assert store.pixels().count() == px.where(" or ".join(f"({r})" for r in ("x < 2 and y < 2", "x >= 2 and y < 2", "y >= 2")[: k + 1])).count()
     want = {tuple(r) for r in seams.relabel_table(seams.chosen(px, 2)).collect()}
     assert {tuple(r) for r in store.relabel_table().collect()} == want
+    # a tile that arrives again: its latest pixels stand, and only its lines are counted anew
+    store.add(px.where("x >= 2 and y >= 2").selectExpr("x", "y", "9L - label AS label"), 3)
+    now = px.selectExpr("x", "y", "CASE WHEN x >= 2 AND y >= 2 THEN 9 - label ELSE label END AS label")
+    key = lambda df: {tuple(r) for r in df.select("axis", "line", "a", "b", "cnt").collect()}
+    assert key(store.contacts()) == key(seams.contacts(now, 2)) and store.pixels().count() == now.count()
+    assert {tuple(r) for r in store.pixels().collect()} == {tuple(r) for r in now.collect()}
 
 
 @pytest.mark.parametrize("mode", ["ram", "disk", "auto"])

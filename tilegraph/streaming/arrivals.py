@@ -2,7 +2,10 @@
 
 The store keeps labels as segmented; contacts are kept by seam line and replaced as a whole, since a
 label's best partner is decided along the whole line. Batches are idempotent: a batch that is run again
-writes the same files over.
+writes the same files over. A pixel that arrives again stands as its latest batch says.
+
+What a batch costs here grows with the lines that it touches, of which it reads all pixels stored; seam_state.py keeps
+those in state and reads a batch's own rows only.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.storage import bounded_broadcast, materialise
 from ..operators import seams
 
 PIXELS = "x int, y int, label bigint"
@@ -40,8 +44,22 @@ class SeamStore:
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def _latest(self, pixels: DataFrame) -> DataFrame:
+        return pixels.groupBy("x", "y").agg(F.max_by("label", "batch").alias("label"))
+
     def pixels(self) -> DataFrame:
-        return self._read("pixels", PIXELS + ", batch bigint").drop("batch")
+        """(x, y, label) of what has arrived, each pixel as its latest batch has it."""
+        return self._latest(self._read("pixels", PIXELS + ", batch bigint"))
+
+    def _beside(self, lines: DataFrame) -> DataFrame:
+        """pixels() beside some seam lines; others are left out at the scan, before anything is shuffled."""
+        found = self._read("pixels", PIXELS + ", batch bigint")
+        for axis, across in (("v", "x"), ("h", "y")):
+            k = F.col(across)
+            line = F.when((k % self.tile == 0) & (k > 0), k).when(k % self.tile == self.tile - 1, k + 1)
+            own = lines.where(F.col("axis") == axis).select(F.col("line").alias("__line"), F.lit(True).alias(f"__{axis}"))
+            found = found.join(bounded_broadcast(own), line == F.col("__line"), "left").drop("__line")
+        return self._latest(found.where("__v or __h").drop("__v", "__h"))
 
     def contacts(self) -> DataFrame:
         """Of each line what its latest batch found."""
@@ -54,8 +72,8 @@ class SeamStore:
         """Take in a batch of pixels and count the contacts along the seams that it touches."""
         rows = batch.select("x", "y", F.col("label").cast("long"))
         rows.write.mode("overwrite").parquet(f"{self.root}/pixels/batch={number}")
-        lines = touched_lines(rows, self.tile)
-        met = seams.contacts(self.pixels(), self.tile)
+        lines = materialise(touched_lines(rows, self.tile))
+        met = seams.contacts(self._beside(lines), self.tile)
         found = lines.join(met, ["axis", "line"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0).cast("long")))
         found.write.mode("overwrite").parquet(f"{self.root}/contacts/batch={number}")
 
