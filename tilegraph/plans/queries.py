@@ -17,6 +17,7 @@ from ..sources import fixtures as fx
 from ..sources import raster_source, vector_files
 from ..sources.mosaic import Mosaic
 from ..sources.tiff import read_header, shared_path
+from ..streaming import seam_state
 
 W, T, BLOCK = fx.WIDTH, fx.TILE, 64
 MIN_CONTACT, MIN_AREA, ENCLOSED = 3, 5, 20
@@ -75,6 +76,20 @@ def seam_contacts(spark, sf_dir):
     return seams.contacts(fx.label_raster(spark, sf_dir), T)
 
 
+@_query(_CONTACTS + " SELECT * FROM contacts")
+def streamed_seam_contacts(spark, sf_dir):
+    """The contacts after rows of tiles have arrived as a stream, some of them twice."""
+    root = _folder(spark)
+    rows = fx.label_raster(spark, sf_dir).select("x", "y", "label", "tr")
+    first = rows.where("tr % 3 = 0").withColumn("label", F.col("label") + 1)  # what is sent again later
+    for k, part in enumerate((first, rows.where("tr % 2 = 0"), rows.where("tr % 2 = 1"))):
+        part.coalesce(1).write.parquet(f"{root}/in/sent={k}")
+    arrivals = spark.readStream.schema("x int, y int, label bigint, sent int").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    store = seam_state.ChangeStore(spark, f"{root}/store")
+    store.follow(seam_state.contact_changes(arrivals, T, "sent"), f"{root}/checkpoint", once=True).awaitTermination()
+    return store.contacts()
+
+
 @_query(_CONTACTS + " SELECT * FROM unordered")
 def seam_contacts_unordered(spark, sf_dir):
     return seams.contacts(fx.label_raster(spark, sf_dir), T, ordered=False)

@@ -100,6 +100,7 @@ class ChangeStore:
             all_ = self.spark.createDataFrame([], CHANGES)
         return all_.groupBy("axis", "line", "a", "b").agg(F.sum("change").alias("cnt")).where("cnt > 0")
 
-    def follow(self, changes: DataFrame, checkpoint: str) -> StreamingQuery:
-        """A query that writes a stream of changes here."""
-        return changes.writeStream.outputMode("update").foreachBatch(self.write).option("checkpointLocation", checkpoint).start()
+    def follow(self, changes: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
+        """A query that writes a stream of changes here; with `once` it ends when what is there now has been read."""
+        query = changes.writeStream.outputMode("update").foreachBatch(self.write).option("checkpointLocation", checkpoint)
+        return (query.trigger(availableNow=True) if once else query).start()
