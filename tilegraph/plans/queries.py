@@ -16,6 +16,7 @@ from ..operators import adjacency, cleanup, clusters, components, grid, masks, m
 from ..sources import fixtures as fx
 from ..sources import raster_source, vector_files
 from ..sources.mosaic import Mosaic
+from ..sources.mosaic_table import MosaicTable
 from ..sources.tiff import read_header, shared_path
 from ..streaming import seam_state
 
@@ -656,6 +657,16 @@ def mosaic_blocks(spark, sf_dir):
     return m.read()
 
 
+@_query(f"WITH {F1} SELECT x, y, label, 1 AS version FROM f1 UNION ALL SELECT x, y, CASE WHEN fg = 1 AND tr % 3 = 1 THEN label + 100000 ELSE label END, 2 FROM f1")
+def mosaic_versions(spark, sf_dir):
+    """A raster and a later version of it, of which some tiles were written again."""
+    px = fx.label_raster(spark, sf_dir)
+    m = MosaicTable(spark, f"{_folder(spark)}/mosaic", W, _height(px), T)
+    first = m.update(px)
+    second = m.update(px.where("fg = 1 and tr % 3 = 1").withColumn("label", F.col("label") + 100000))
+    return m.read(first).withColumn("version", F.lit(1)).unionByName(m.read(second).withColumn("version", F.lit(2)))
+
+
 _FEATURES = _PER_LABEL + """, side AS (SELECT cc.comp, count(*) AS n FROM cc JOIN f1 p ON cc.id = p.y * 100 + p.x, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy) LEFT JOIN f1 q ON q.x = p.x + d.dx AND q.y = p.y + d.dy WHERE q.label IS NULL OR q.label <> p.label GROUP BY cc.comp)
 SELECT f1.label AS label_id, CAST(area.area AS DOUBLE) AS area_m2, CAST(side.n AS DOUBLE) AS perimeter_m, CAST(area.area AS DOUBLE) AS drawn FROM area JOIN side USING (comp) JOIN f1 ON area.comp = f1.y * 100 + f1.x"""
 
