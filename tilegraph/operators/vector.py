@@ -8,6 +8,7 @@ traces many regions at once.
 
 from __future__ import annotations
 
+import heapq
 import struct
 
 import numpy as np
@@ -236,20 +237,108 @@ def contains(ring: np.ndarray, spot: np.ndarray) -> bool:
     return bool(((a[:, 0] + (spot[1] - a[:, 1]) / (b[:, 1] - a[:, 1]) * (b[:, 0] - a[:, 0])) > spot[0]).sum() % 2)
 
 
+class Thinning:
+    """Points taken out of a polygon's rings one by one, the least deviation first, as long as nothing stands in the way.
+
+    Taking out a point replaces its two segments by one. Nothing can cross that one if no other point of any ring lies in
+    the triangle of the three; a grid over the points answers that by looking at a few cells. So rings that were valid stay
+    so after each step, and every ring keeps three corners. A point's deviation is the largest distance to the new
+    segment of what has been taken out between its neighbours, so the tolerance bounds that of the whole ring.
+    """
+
+    def __init__(self, rings: list[np.ndarray]):
+        self.rings = [r[:-1] for r in rings]
+        sizes = [len(r) for r in self.rings]
+        self.first = np.concatenate(([0], np.cumsum(sizes)))
+        self.spot = np.vstack(self.rings)
+        self.ring = np.repeat(np.arange(len(sizes)), sizes)
+        n = len(self.spot)
+        self.left, self.live = list(sizes), np.ones(n, dtype=bool)
+        at = np.arange(n)
+        self.after = np.where(np.isin(at + 1, self.first[1:]), self.first[self.ring], at + 1).tolist()
+        self.before = np.where(np.isin(at, self.first[:-1]), self.first[self.ring + 1] - 1, at - 1).tolist()
+        self.low = self.spot.min(axis=0)
+        extent = np.maximum(self.spot.max(axis=0) - self.low, 1e-9)
+        self.cell = max(float(np.sqrt(extent.prod() / n)), float(extent.max()) / 4096, 1e-9) * 2
+        self.cells: dict[tuple[int, int], set[int]] = {}
+        for k, (x, y) in enumerate(self._cell(self.spot).tolist()):
+            self.cells.setdefault((x, y), set()).add(k)
+
+    def _cell(self, spots: np.ndarray) -> np.ndarray:
+        return np.floor((spots - self.low) / self.cell).astype(np.int64)
+
+    def deviation(self, k: int) -> float:
+        """Of what would be out between the neighbours of k, if it were."""
+        p, n, ring = self.before[k], self.after[k], self.ring[k]
+        lo, hi = self.first[ring], self.first[ring + 1]
+        between = self.spot[p + 1 : n] if p < n else np.vstack((self.spot[p + 1 : hi], self.spot[lo:n]))
+        a, way = self.spot[p], self.spot[n] - self.spot[p]
+        length = float(way @ way)
+        if length == 0:
+            return float(np.sqrt(((between - a) ** 2).sum(axis=1).max()))
+        t = np.clip(((between - a) @ way) / length, 0, 1)
+        return float(np.sqrt(((between - a - t[:, None] * way) ** 2).sum(axis=1).max()))
+
+    def free(self, k: int) -> bool:
+        """Whether no other point lies in the triangle of k and its neighbours, or on its edge."""
+        p, n = self.before[k], self.after[k]
+        corners = self.spot[[p, k, n]]
+        (x0, y0), (x1, y1) = self._cell(corners.min(axis=0)).tolist(), self._cell(corners.max(axis=0)).tolist()
+        if (x1 - x0 + 1) * (y1 - y0 + 1) > len(self.cells):
+            near = np.flatnonzero(self.live)
+        else:
+            near = np.array([j for x in range(x0, x1 + 1) for y in range(y0, y1 + 1) for j in self.cells.get((x, y), ())], dtype=np.int64)
+        near = near[(near != p) & (near != k) & (near != n)]
+        if not len(near):
+            return True
+        q = self.spot[near]
+        turn = lambda a, b: (b[0] - a[0]) * (q[:, 1] - a[1]) - (b[1] - a[1]) * (q[:, 0] - a[0])
+        sides = [turn(corners[i], corners[(i + 1) % 3]) for i in range(3)]
+        inside = (np.minimum.reduce(sides) >= 0) | (np.maximum.reduce(sides) <= 0)
+        box = ((q >= corners.min(axis=0)) & (q <= corners.max(axis=0))).all(axis=1)
+        return not (inside & box).any()
+
+    def run(self, tolerance: float) -> list[np.ndarray]:
+        queue = [(d, k) for k in range(len(self.spot)) if (d := self.deviation(k)) <= tolerance]
+        heapq.heapify(queue)
+        due = dict((k, d) for d, k in queue)
+        blocked: dict[int, set[int]] = {}
+        while queue:
+            d, k = heapq.heappop(queue)
+            if not self.live[k] or due.get(k) != d or self.left[self.ring[k]] <= 3:
+                continue
+            del due[k]
+            if not self.free(k):
+                blocked.setdefault(int(self.ring[k]), set()).add(k)
+                continue
+            p, n = self.before[k], self.after[k]
+            self.live[k] = False
+            self.left[self.ring[k]] -= 1
+            self.cells[tuple(self._cell(self.spot[k]).tolist())].discard(k)
+            self.after[p], self.before[n] = n, p
+            # its neighbours deviate more now; points that it may have stood in the way of are looked at again
+            again = {p, n} | {j for cell in self._around(k) for j in self.cells.get(cell, ())}
+            for j in again:
+                if self.live[j] and (j in (p, n) or j in blocked.get(int(self.ring[j]), ())):
+                    blocked.get(int(self.ring[j]), set()).discard(j)
+                    if (dj := self.deviation(j)) <= tolerance:
+                        due[j] = dj
+                        heapq.heappush(queue, (dj, j))
+                    else:
+                        due.pop(j, None)
+        return [np.vstack((r[keep := self.live[a:b]], r[keep][:1])) for r, a, b in zip(self.rings, self.first[:-1], self.first[1:], strict=True)]
+
+    def _around(self, k: int):
+        x, y = self._cell(self.spot[k]).tolist()
+        return [(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+
+
 def simplified(rings: list[np.ndarray], tolerance: float) -> list[np.ndarray]:
-    """Rings simplified as far as they neither cross nor leave the first: those that would are simplified less, in the end not at all."""
+    """Rings simplified so that they neither cross nor leave the first: each by itself where that is well, else point by point with an eye on the others."""
     if tolerance <= 0:
         return rings
-    own = np.full(len(rings), float(tolerance))
     out = [simplify(r, tolerance) for r in rings]
-    for attempt in range(8):
-        bad = [k for k in conflicts(out) if own[k] > 0]
-        if not bad:
-            break
-        for k in bad:
-            own[k] = own[k] / 2 if attempt < 6 else 0.0
-            out[k] = simplify(rings[k], own[k])
-    return rings if conflicts(out) else out
+    return Thinning(rings).run(tolerance) if conflicts(out) else out
 
 
 def wkb_polygon(rings: list[np.ndarray]) -> bytes:

@@ -832,6 +832,19 @@ def polygon_outlines(spark, sf_dir):
     return found.select("label_id", "part_id", *_r("perimeter_m"), F.col("n_rings").cast("bigint"))
 
 
+@_query(_PER_LABEL + """, own AS (SELECT cc.comp, id % 100 AS x, id // 100 AS y FROM cc),
+corners AS (SELECT comp, count(DISTINCT (x + dx, y + dy)) AS n FROM own, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) d(dx, dy) GROUP BY comp),
+sides AS (SELECT comp, count(DISTINCT (k, x + dx, y + dy)) AS n FROM own, (VALUES ('h', 0, 0), ('h', 0, 1), ('v', 0, 0), ('v', 1, 0)) d(k, dx, dy) GROUP BY comp),
+rings AS (SELECT comp, 2 - c.n + s.n - a.area AS n FROM corners c JOIN sides s USING (comp) JOIN area a USING (comp))
+SELECT comp AS part_id, CAST(n AS INT) AS n_rings, CAST(n AS INT) AS n_rings_simplified, true AS thinner FROM rings""")
+def polygon_rings(spark, sf_dir):
+    """Each region's rings (its outer one and a ring for each part of the plane that it cuts off) before and after simplification, which adds no points."""
+    px = fx.label_raster(spark, sf_dir)
+    found = [vector.polygons(px, tolerance=t, width=W, block=BLOCK).select("part_id", F.col("n_rings").alias(f"n{k}"), F.length("wkb").alias(f"size{k}")) for k, t in enumerate((0.0, 1.5))]
+    both = found[0].join(found[1], "part_id", "left")
+    return both.select("part_id", F.col("n0").alias("n_rings"), F.col("n1").alias("n_rings_simplified"), (F.col("size1") <= F.col("size0")).alias("thinner"))
+
+
 @_query()
 def polygons(spark, sf_dir):
     return vector.polygons(fx.label_raster(spark, sf_dir), tolerance=1.0, width=W, block=BLOCK)
