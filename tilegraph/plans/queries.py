@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Threshold
 from ..functions import raster
 from ..functions.storage import checkpoint_root, materialise
-from ..operators import adjacency, cleanup, clusters, components, grid, masks, multipass, points, runs, seams, vector, zonal
+from ..operators import adjacency, cleanup, clusters, components, grid, masks, multipass, points, runs, seams, validity, vector, zonal
 from ..sources import fixtures as fx
 from ..sources import raster_source, vector_files
 from ..sources.mosaic import Mosaic
@@ -845,6 +845,13 @@ def polygon_rings(spark, sf_dir):
     return both.select("part_id", F.col("n0").alias("n_rings"), F.col("n1").alias("n_rings_simplified"), (F.col("size1") <= F.col("size0")).alias("thinner"))
 
 
+@_query("""SELECT p_partkey AS label_id, CAST(2 AS BIGINT) AS pieces, CASE WHEN p_partkey % 2 = 0 THEN (p_size + 2) * (p_partkey % 7 + 1) / 2.0::DOUBLE ELSE CAST((p_size + 11) * (p_size + 11) - 24 AS DOUBLE) END AS covered FROM part""")
+def valid_polygons(spark, sf_dir):
+    """Polygons that cross or overlap themselves, made valid: how many each becomes and what they cover."""
+    made = vector.drawn_areas(validity.make_valid(fx.broken_polygons(spark, sf_dir)))
+    return made.groupBy("label_id").agg(F.count("*").alias("pieces"), F.sum("drawn").alias("covered"))
+
+
 @_query()
 def polygons(spark, sf_dir):
     return vector.polygons(fx.label_raster(spark, sf_dir), tolerance=1.0, width=W, block=BLOCK)

@@ -61,6 +61,28 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 IMAGES_SQL = "images AS (SELECT p_partkey AS image_id, CAST(200 + p_partkey * 37 % 1200 AS INT) AS width, CAST(200 + (p_partkey * 91 + p_size * 7) % 1200 AS INT) AS height FROM part)"
 
 
+def broken_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(label_id, wkb) of a polygon a part: bow ties of w x h for even keys, squares with two holes that overlap for odd ones."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..operators.vector import wkb_polygon
+
+    def box(x, y, w, h):
+        return np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)], dtype=float)
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for key, size in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                w, h = size + 2, key % 7 + 1
+                tie = [np.array([(0, 0), (w, h), (w, 0), (0, h), (0, 0)], dtype=float)]
+                made.append(wkb_polygon(tie if key % 2 == 0 else [box(0, 0, w + 9, w + 9), box(1, 1, 4, 4), box(3, 3, 4, 4)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, type=pa.binary())], names=["label_id", "wkb"])
+
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("label_id"), F.col("p_size").cast("long").alias("size")).mapInArrow(run, "label_id long, wkb binary")
+
+
 def coverage_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scene, pass, coverage): foreground of the label raster gathered tile by tile along each row of tiles, in per cent."""
     return label_raster(spark, sf_dir).groupBy(F.col("tr").alias("scene"), F.col("tc").alias("pass")).agg((F.avg("fg") * 100.0).alias("coverage"))
