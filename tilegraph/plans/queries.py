@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import sql
 from ..config import Threshold
 from ..functions import raster
 from ..functions.storage import checkpoint_root, materialise
@@ -309,6 +310,28 @@ def tile_ordinals(spark, sf_dir):
     return components.tile_ordinals(fx.label_raster(spark, sf_dir), T, "fg")
 
 
+def _sql_view(spark, sf_dir) -> str:
+    sql.register(spark)
+    name = f"pixels_{uuid.uuid4().hex}"
+    fx.label_raster(spark, sf_dir).createOrReplaceTempView(name)
+    return name
+
+
+@_query(_TILE_CC + f""" SELECT tr AS tile_row, tc AS tile_col, x, y, dense_rank() OVER (PARTITION BY tr, tc ORDER BY comp) AS ordinal
+FROM (SELECT CAST(id % {W} AS INT) AS x, CAST(id // {W} AS INT) AS y, comp, CAST(id // {W} // {T} AS INT) AS tr, CAST(id % {W} // {T} AS INT) AS tc FROM cc)""")
+def sql_tile_components(spark, sf_dir):
+    """tile_ordinals by a table function, as SQL text."""
+    return spark.sql(f"SELECT * FROM tg_tile_components(TABLE(SELECT x, y, fg AS label, tg_tile(y, {T}) AS tile_row, tg_tile(x, {T}) AS tile_col FROM {_sql_view(spark, sf_dir)}) PARTITION BY (tile_row, tile_col))")
+
+
+@_query(f"""WITH {F1}, c AS (SELECT *, (label % 2147483648) * 2654435761 AS h FROM f1)
+SELECT x, y, CASE WHEN label = 0 THEN 0 ELSE CAST((h >> 8) & 255 AS INT) END AS red, CASE WHEN label = 0 THEN 0 ELSE CAST((h >> 16) & 255 AS INT) END AS green, CASE WHEN label = 0 THEN 0 ELSE CAST((h >> 24) & 255 AS INT) END AS blue, CAST(2 * x + 100 AS DOUBLE) AS map_x, CAST(900 - 2 * y AS DOUBLE) AS map_y FROM c""")
+def sql_colours(spark, sf_dir):
+    """Colours and map coordinates of all pixels by functions on values, as SQL text."""
+    view = _sql_view(spark, sf_dir)
+    return spark.sql(f"SELECT x, y, c[0] AS red, c[1] AS green, c[2] AS blue, tg_map_x(x, y, t) AS map_x, tg_map_y(x, y, t) AS map_y FROM (SELECT x, y, tg_colour(label) AS c, array(2D, 0D, 100D, 0D, -2D, 900D) AS t FROM {view})")
+
+
 def _pixels(spark, sf_dir):
     return fx.label_raster(spark, sf_dir).select("x", "y", "label")
 
