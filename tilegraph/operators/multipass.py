@@ -289,11 +289,21 @@ def run_tile(image: np.ndarray, proposer: Proposer, config: Segmentation, thresh
 TILE_RESULT = "tile_row int, tile_col int, labels array<long>, max_label long, coverage double, coverage_padded double, n_labels int, n_passes int, passes_executed int, masks_per_pass array<int>, coverage_per_pass array<double>, masks_generated_per_pass array<int>, final_iou double, masks_filtered_overlap int, masks_filtered_small int"
 
 
-def segment_tiles(blocks: DataFrame, proposer: Proposer, config: Segmentation, threshold: Threshold, tile: int, min_area: int = 100) -> DataFrame:
+def _anew(proposer: Proposer) -> None:
+    """Open a proposer anew after a failure; one that outlives tasks (models.Resident) knows how."""
+    if hasattr(proposer, "reset"):
+        proposer.reset()
+    else:
+        proposer.close()
+        proposer.open()
+
+
+def segment_tiles(blocks: DataFrame, proposer: Proposer, config: Segmentation, threshold: Threshold, tile: int, min_area: int = 100, profile=None) -> DataFrame:
     """TILE_RESULT of blocks (tile_row, tile_col, crop_x, crop_y, width, height, rgb BINARY); tiles without any value are skipped.
 
     A lost worker costs its tiles only: kernels have no state beyond them. A tile whose proposer fails is tried
-    once more with the proposer opened anew, then the task fails and Spark tries it elsewhere.
+    once more with the proposer opened anew, then the task fails and Spark tries it elsewhere. `profile` is the
+    resource profile of the kernel's stage.
     """
     import pyarrow.compute  # noqa: F401
 
@@ -311,9 +321,10 @@ def segment_tiles(blocks: DataFrame, proposer: Proposer, config: Segmentation, t
                         labels, stats = run_tile(image, proposer, config, threshold, min_area)
                     except Exception:
                         logging.getLogger(__name__).warning("tile %s, %s failed and is tried again", row["tile_row"], row["tile_col"], exc_info=True)
-                        proposer.close()
-                        proposer.open()
+                        _anew(proposer)
                         labels, stats = run_tile(image, proposer, config, threshold, min_area)
+                    if hasattr(proposer, "tile_done"):
+                        proposer.tile_done()
                     useful = labels[row["crop_y"] : row["crop_y"] + tile, row["crop_x"] : row["crop_x"] + tile]
                     result = {
                         "tile_row": row["tile_row"], "tile_col": row["tile_col"], "labels": useful.ravel().tolist(), "max_label": int(useful.max(initial=0)),
@@ -324,7 +335,7 @@ def segment_tiles(blocks: DataFrame, proposer: Proposer, config: Segmentation, t
         finally:
             proposer.close()
 
-    return blocks.select("tile_row", "tile_col", "crop_x", "crop_y", "width", "height", "rgb").mapInArrow(run, TILE_RESULT)
+    return blocks.select("tile_row", "tile_col", "crop_x", "crop_y", "width", "height", "rgb").mapInArrow(run, TILE_RESULT, profile=profile)
 
 
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
