@@ -47,19 +47,24 @@ def ranked(met: DataFrame) -> DataFrame:
     return met.withColumn("rank_a", F.row_number().over(first)).withColumn("rank_b", F.row_number().over(second))
 
 
-def chosen(pixels: DataFrame, tile: int, strategy: str = "best_match", min_contact: int = 20) -> DataFrame:
-    """Contacts to be merged: each side's best partner, partners that agree, or pairs with enough contact."""
+def choose(met: DataFrame, strategy: str = "best_match", min_contact: int = 20) -> DataFrame:
+    """Of contacts (ordered ones, but unordered for min_contact) those to be merged: each side's best partner, partners that agree, or pairs with enough contact."""
     if strategy == "none":
-        return contacts(pixels, tile).where(F.lit(False))
+        return met.where(F.lit(False))
     if strategy == "best_match":
-        return ranked(contacts(pixels, tile)).where("rank_a = 1 or rank_b = 1").drop("rank_a", "rank_b")
+        return ranked(met).where("rank_a = 1 or rank_b = 1").drop("rank_a", "rank_b")
     if strategy == "mutual_best":
-        return ranked(contacts(pixels, tile)).where("rank_a = 1 and rank_b = 1").drop("rank_a", "rank_b")
+        return ranked(met).where("rank_a = 1 and rank_b = 1").drop("rank_a", "rank_b")
     if strategy == "min_contact":
-        return contacts(pixels, tile, ordered=False).where(F.col("cnt") >= min_contact)
+        return met.where(F.col("cnt") >= min_contact)
     raise ValueError(f"strategy must be one of {STRATEGIES}")
 
 
+def chosen(pixels: DataFrame, tile: int, strategy: str = "best_match", min_contact: int = 20) -> DataFrame:
+    """Contacts of a raster that are to be merged, see choose()."""
+    return choose(contacts(pixels, tile, ordered=strategy != "min_contact"), strategy, min_contact)
+
+
 def relabel_table(pairs: DataFrame) -> DataFrame:
     """(label, root) of the labels that change: the smallest label reached through the pairs."""
     found = components(pairs.select("a", "b"))
@@ -95,8 +100,8 @@ MERGE_STATS = "merge_strategy string, pairs_found bigint, pairs_after_filter big
 
 def merge_stats(pixels: DataFrame, tile: int, strategy: str = "best_match", min_contact: int = 20) -> DataFrame:
     """One row of counts about a merge. Pairs found are ordered pairs a line, but unordered ones for min_contact."""
-    met = contacts(pixels, tile, ordered=strategy != "min_contact")
-    kept = materialise(chosen(pixels, tile, strategy, min_contact))
+    met = materialise(contacts(pixels, tile, ordered=strategy != "min_contact"))  # counted once
+    kept = materialise(choose(met, strategy, min_contact))
     unique = kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     changed = relabel_table(kept).agg(F.count("*").alias("labels_merged"))
     before = pixels.where("label > 0").agg(F.count_distinct("label").alias("segments_before_merge"))

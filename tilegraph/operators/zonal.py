@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered
+
 
 def label_counts(pixels: DataFrame) -> DataFrame:
     """(label, n) of all labels, background too."""
@@ -85,7 +87,10 @@ def pass_totals(events: DataFrame) -> DataFrame:
 
 def growth_check(samples: DataFrame, value: str = "used", order: str = "t", least: int = 10, warn_above: float = 1000.0) -> DataFrame:
     """One row: min, max and avg of a monitored series, and how much the last fifth's mean exceeds the first fifth's; null for `least` samples or fewer."""
-    fifth = samples.withColumn("fifth", F.ntile(5).over(W.orderBy(order)))  # a monitor's series, a sample every few seconds
+    placed = numbered(samples.select(order, value), F.asc(order), name="place")
+    each, more = divmod(placed.count(), 5)  # the first `more` fifths have a sample more
+    place, long_ = F.col("place") - 1, more * (each + 1)
+    fifth = placed.withColumn("fifth", F.when(place < long_, F.floor(place / (each + 1)) + 1).otherwise(F.floor((place - long_) / max(each, 1)) + 1 + more))
     early, late = (F.avg(F.when(F.col("fifth") == k, F.col(value))) for k in (1, 5))
     growth = F.when(F.count("*") > least, late - early)
     return fifth.agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("avg"), growth.alias("growth"), F.coalesce(growth > warn_above, F.lit(False)).alias("warn"))
