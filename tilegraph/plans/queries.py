@@ -13,7 +13,7 @@ from .. import sql
 from ..config import Threshold
 from ..functions import raster
 from ..functions.storage import checkpoint_root, materialise
-from ..operators import adjacency, cleanup, clusters, components, grid, masks, multipass, points, runs, seams, validity, vector, zonal
+from ..operators import adjacency, blocks, cleanup, clusters, components, grid, masks, multipass, points, runs, seams, validity, vector, zonal
 from ..sources import fixtures as fx
 from ..sources import raster_source, vector_files
 from ..sources.mosaic import Mosaic
@@ -569,10 +569,14 @@ def black_mask(spark, sf_dir):
     return fx.label_raster(spark, sf_dir).select("x", "y", raster.black_mask(F.col("label"), F.col("fg")).alias("v"))
 
 
-@_query(f"WITH {F1} SELECT CAST(x - 5 AS INT) AS x, CAST(y - 3 AS INT) AS y, label FROM f1 WHERE x >= 5 AND x < 12 AND y >= 3 AND y < 10")
+@_query(f"WITH {F1} SELECT CAST(tr AS INT) AS tile_row, CAST(tc AS INT) AS tile_col, CAST(x % {T} AS INT) AS x, CAST(y % {T} AS INT) AS y, label FROM f1")
 def crop_useful(spark, sf_dir):
-    inside, x, y = raster.crop(F.col("x"), F.col("y"), 5, 3, 7)
-    return fx.label_raster(spark, sf_dir).where(inside).select(x.alias("x"), y.alias("y"), "label")
+    """The useful area of every tile, cut out of its padded window: a pixel comes to all windows that hold it and stays in one."""
+    held = blocks.in_blocks(fx.label_raster(spark, sf_dir), F.col("label"), T, 2).withColumnsRenamed({"by": "tile_row", "bx": "tile_col", "v": "label"})
+    read_x, crop_x = grid.axis_window(F.col("tile_col"), 0, 0, T, 2, "cover")
+    read_y, crop_y = grid.axis_window(F.col("tile_row"), 0, 0, T, 2, "cover")
+    inside, x, y = raster.crop(F.col("x") - read_x, F.col("y") - read_y, crop_x, crop_y, T)
+    return held.where(inside).select("tile_row", "tile_col", x.cast("int").alias("x"), y.cast("int").alias("y"), "label")
 
 
 @_query(f"WITH {F1} SELECT x, y, round(CAST(0.5 * x + 0.25 * y + 100 AS DOUBLE), 6) AS mx, round(CAST(0.125 * x - 0.5 * y + 200 AS DOUBLE), 6) AS my FROM f1")
