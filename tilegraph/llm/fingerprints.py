@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bagminhash
-from .bagminhash import BROADCAST_IDS, CHUNK, REGISTERS
+from .bagminhash import BROADCAST_IDS, REGISTERS
 from .common import U64, Words, bounded_broadcast, chunks, materialise, mix64, small, stage_docs, task
 
+#: Characters of the texts that a task takes at a time; each comes with its edited form and the next text.
+CHUNK = 1 << 18
 #: Of permutation j: the odd factor and the summand.
 _FACTOR = mix64(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _SUMMAND = mix64(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
