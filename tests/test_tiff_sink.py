@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import as_pixels
+from tilegraph.operators import grid
 from tilegraph.sources import raster_source, tiff, tiff_sink
 
 T = tiff.TILE
@@ -150,3 +151,30 @@ def test_columns_decide_which_bands_are_read(spark, tmp_path, image):
         raster_source.read_tiles(spark, path, 100, edge="cover", columns=columns, where="tile_row = 0 AND tile_col = 0").collect()
     with pytest.raises(Exception, match="no column"):
         raster_source.read_tiles(spark, path, 100, columns="nothing int").collect()
+
+
+@pytest.mark.parametrize("edge", ["cover", "whole"])
+@pytest.mark.parametrize("padding", [0, 3])
+def test_small_tiles_share_partitions(spark, tmp_path, image, edge, padding):
+    """Thousands of tiles are some dozens of partitions, and each tile is what read_window() gives for its own place."""
+    sink(spark.createDataFrame(image_blocks(image), tiff_sink.BLOCK_SCHEMA), tmp_path / "a.tif", image, compression="deflate")
+    path = str(tmp_path / "a.tif")
+    read = lambda where=None: raster_source.read_tiles(spark, path, 9, padding, edge=edge, where=where)
+    tiles = read()
+    rows = tiles.collect()
+    cols, down, total = grid.grid_size(image.shape[1], image.shape[0], 9, edge)
+    assert sorted((r["tile_row"], r["tile_col"]) for r in rows) == [(i, j) for i in range(down) for j in range(cols)] and total > 1000
+    assert 32 <= tiles.rdd.getNumPartitions() <= 100
+    for r in rows:
+        there = image[r["read_y"] : r["read_y"] + r["height"], r["read_x"] : r["read_x"] + r["width"]]
+        assert bytes(r["data"]) == np.ascontiguousarray(there).tobytes()
+    some = read("x1 <= 48 AND tile_row <> 5")
+    assert {(r["tile_row"], r["tile_col"]) for r in some.collect()} == {(r["tile_row"], r["tile_col"]) for r in rows if r["x1"] <= 48 and r["tile_row"] != 5}
+    assert some.rdd.getNumPartitions() < 60
+
+
+def test_rectangles_cover_the_grid_once():
+    for rows, cols, most in (([0, 1, 2, 5, 6, 9], [1, 2, 3], 4), (range(50), range(3), 20), (range(2), range(90), 30), (range(7), range(7), 1), ([], range(4), 9)):
+        parts = raster_source.rectangles(rows, cols, most)
+        assert sorted((r, c) for down, across in parts for r in down for c in across) == [(r, c) for r in rows for c in cols]
+        assert all(len(down) * len(across) <= most for down, across in parts)

@@ -1,9 +1,10 @@
-"""Rasters as Spark sources and sinks: one input partition a tile that the query asks for, blocks on the way out."""
+"""Rasters as Spark sources and sinks: partitions of the tiles that a query asks for, blocks on the way out."""
 
 from __future__ import annotations
 
 import operator
 import re
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,38 @@ from .tiff_sink import TiffWriter
 SCHEMA = "tile_row int, tile_col int, read_x int, read_y int, crop_x int, crop_y int, width int, height int, x0 int, y0 int, x1 int, y1 int, bands int, dtype string, data binary"
 
 
+#: Pixels of the windows that one partition reads, and partitions before tiles share any.
+AT_ONCE, FEWEST = 1 << 19, 32
+
+
 class TilePartition(InputPartition):
-    def __init__(self, row: int, col: int):
-        self.row, self.col = row, col
+    """The tiles of some rows and columns of the grid, both without gaps."""
+
+    def __init__(self, rows: range, cols: range):
+        self.rows, self.cols = rows, cols
+
+
+def runs_of(numbers) -> list[range]:
+    """Ascending numbers as ranges without gaps."""
+    out: list[range] = []
+    for k in numbers:
+        if out and out[-1].stop == k:
+            out[-1] = range(out[-1].start, k + 1)
+        else:
+            out.append(range(k, k + 1))
+    return out
+
+
+def rectangles(rows, cols, most: int) -> list[tuple[range, range]]:
+    """All places of a grid's rows and columns, in rectangles without gaps of at most `most` places, near square ones where the grid allows it."""
+    out = []
+    for down in runs_of(rows):
+        for across in runs_of(cols):
+            w = min(len(across), max(1, isqrt(most)))
+            h = min(len(down), most // w)
+            w = min(len(across), most // h)
+            out += [(down[i : i + h], across[j : j + w]) for i in range(0, len(down), h) for j in range(0, len(across), w)]
+    return out
 
 
 def axis(k: int, n: int, size: int, tile: int, padding: int, edge: str) -> tuple[int, int, int]:
@@ -64,7 +94,10 @@ def _column(condition: Filter) -> str | None:
 
 
 class TiffReader(DataSourceReader):
-    """Tiles of an image, one a partition. x0 to x1 and y0 to y1 are the pixels that are a tile's own.
+    """Tiles of an image. x0 to x1 and y0 to y1 are the pixels that are a tile's own.
+
+    Large tiles are a partition each. Of many small ones a partition takes a rectangle, whose window it reads once: at most
+    AT_ONCE pixels with the padding, and no more tiles than leave FEWEST partitions.
 
     Of a schema that the reader is given only its columns are made: `band_2 binary` reads that band alone, and without
     `data` or a band no sample is read.
@@ -96,27 +129,36 @@ class TiffReader(DataSourceReader):
         return k, start, crop, length, k * self.tile, k * self.tile + min(self.tile, length - crop)
 
     def partitions(self):
-        return [TilePartition(r, c) for r in self.rows for c in self.cols]
+        tiles, window = len(self.rows) * len(self.cols), (self.tile + 2 * self.padding) ** 2
+        return [TilePartition(*part) for part in rectangles(self.rows, self.cols, max(1, min(AT_ONCE // window, tiles // FEWEST)))]
 
     def read(self, partition):
         if partition is None:  # what Spark asks for where no tile is left
             return
         h = self.header
-        down, across = self.along(partition.row, True), self.along(partition.col, False)
-        row = {c: down[k] for c, k in _DOWN.items()} | {c: across[k] for c, k in _ACROSS.items()}
-        row |= {"bands": len(self.bands or range(h.bands)), "dtype": h.dtype}
+        downs, acrosses = [self.along(r, True) for r in partition.rows], [self.along(c, False) for c in partition.cols]
         alone = {n: int(_BAND.fullmatch(n)[1]) for n in self.names if _BAND.fullmatch(n)}
         wanted = (self.bands or list(range(1, h.bands + 1))) if "data" in self.names else []
-        if asked := sorted({*wanted, *alone.values()}):
-            data = read_window(self.path, row["read_x"], row["read_y"], row["width"], row["height"], asked, h)
-            row |= {n: data[:, :, asked.index(b)].tobytes() for n, b in alone.items()}
-            if wanted:
-                row["data"] = np.ascontiguousarray(data[:, :, [asked.index(b) for b in wanted]]).tobytes()
-        yield tuple(row[n] for n in self.names)
+        asked = sorted({*wanted, *alone.values()})
+        top, left = (min(a[1] for a in way) for way in (downs, acrosses))
+        if asked:
+            bottom, right = (max(a[1] + a[3] for a in way) for way in (downs, acrosses))
+            window = read_window(self.path, left, top, right - left, bottom - top, asked, h)
+        for down in downs:
+            for across in acrosses:
+                row = {c: down[k] for c, k in _DOWN.items()} | {c: across[k] for c, k in _ACROSS.items()}
+                row |= {"bands": len(self.bands or range(h.bands)), "dtype": h.dtype}
+                if asked:
+                    y, x = row["read_y"] - top, row["read_x"] - left
+                    data = window[y : y + row["height"], x : x + row["width"]]
+                    row |= {n: data[:, :, asked.index(b)].tobytes() for n, b in alone.items()}
+                    if wanted:
+                        row["data"] = data[:, :, [asked.index(b) for b in wanted]].tobytes()
+                yield tuple(row[n] for n in self.names)
 
 
 class PruningReader(TiffReader):
-    """Decides filters on where a tile lies, row by row and column by column of the grid: tiles that fail them have no partition.
+    """Decides filters on where a tile lies, row by row and column by column of the grid: tiles that fail them are in no partition.
 
     Spark (4.1) keeps one set of pushed filters for a relation, the last one's: two filters on one DataFrame would both
     read what the second asks for. So this reader serves the option prune=yes only, which read_tiles() sets on a relation
@@ -164,7 +206,7 @@ def read_tiles(spark: SparkSession, path: str, tile: int, padding: int = 0, band
     """The padded windows of an image's tiles, raw samples in `data`; or the `columns` asked for, which may name single bands (band_3 binary).
 
     `where` is a condition on a tile's columns (tile_row = 3 AND x0 < 5000 AND x1 > 4000, say); tiles that its terms on
-    places rule out are never partitions. The result may be filtered on as any DataFrame, without further pruning.
+    places rule out are in no partition. The result may be filtered on as any DataFrame, without further pruning.
     """
     register(spark)
     reader = spark.read.format("tilegraph_tiff").option("tile", tile).option("padding", padding).option("edge", edge).option("prune", "yes" if where else "no")
@@ -211,17 +253,37 @@ def rgb(image: np.ndarray) -> np.ndarray:
     return np.repeat(image.reshape(*image.shape[:2], 1), 3, axis=2) if n == 1 else image[..., :3]
 
 
+#: Pixels of small tiles that leave a task as one batch.
+BATCH = 1 << 16
+
+
+def _long(batches, tile: int, planes_of, names: list[str], kind):
+    """(x, y, names ...): the useful samples of tiles as rows, those of many small tiles in one batch; planes_of() gives a tile's whole planes."""
+    held, pixels = [], 0
+
+    def batch_of():
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["x", "y", *names])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            planes = [p[row["crop_y"] :, row["crop_x"] :][:tile, :tile] for p in planes_of(row)]
+            y, x = np.indices(planes[0].shape).reshape(2, -1)
+            held.append([(x + row["tile_col"] * tile).astype(np.int32), (y + row["tile_row"] * tile).astype(np.int32), *(p.ravel().astype(kind) for p in planes)])
+            pixels += len(x)
+            if pixels >= BATCH:
+                yield batch_of()
+                held, pixels = [], 0
+    if held:
+        yield batch_of()
+
+
 def pixels_of(tiles: DataFrame, tile: int, band: int = 1) -> DataFrame:
     """(x, y, label): the useful samples of one band of read_tiles(), as a long raster."""
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                image = np.frombuffer(row["data"], dtype=row["dtype"]).reshape(row["height"], row["width"], row["bands"])[row["crop_y"] :, row["crop_x"] :, band - 1][:tile, :tile]
-                y, x = np.indices(image.shape).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([pa.array((x + row["tile_col"] * tile).astype(np.int32)), pa.array((y + row["tile_row"] * tile).astype(np.int32)), pa.array(image.ravel().astype(np.int64))], names=["x", "y", "label"])
+    def planes(row):
+        return [np.frombuffer(row["data"], dtype=row["dtype"]).reshape(row["height"], row["width"], row["bands"])[:, :, band - 1]]
 
-    return tiles.mapInArrow(run, "x int, y int, label long")
+    return tiles.mapInArrow(lambda batches: _long(batches, tile, planes, ["label"], np.int64), "x int, y int, label long")
 
 
 def label_blocks(pixels: DataFrame, dtype: str, tile: int = TILE, compression: str = "lzw") -> DataFrame:
@@ -263,15 +325,10 @@ def bands_of(tiles: DataFrame, bands: list[int], tile: int) -> DataFrame:
     """(x, y, band_1 ...): the useful samples of read_tiles() with single bands as columns, as a long raster."""
     names = [f"band_{b}" for b in bands]
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                planes = [np.frombuffer(row[n], dtype=row["dtype"]).reshape(row["height"], row["width"])[row["crop_y"] :, row["crop_x"] :][:tile, :tile] for n in names]
-                y, x = np.indices(planes[0].shape).reshape(2, -1)
-                place = [pa.array((x + row["tile_col"] * tile).astype(np.int32)), pa.array((y + row["tile_row"] * tile).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*place, *(pa.array(p.ravel().astype(np.float64)) for p in planes)], names=["x", "y", *names])
+    def planes(row):
+        return [np.frombuffer(row[n], dtype=row["dtype"]).reshape(row["height"], row["width"]) for n in names]
 
-    return tiles.mapInArrow(run, ", ".join(["x int", "y int", *(f"{n} double" for n in names)]))
+    return tiles.mapInArrow(lambda batches: _long(batches, tile, planes, names, np.float64), ", ".join(["x int", "y int", *(f"{n} double" for n in names)]))
 
 
 def write_labels(pixels: DataFrame, path: str, width: int, height: int, crs: int | None = None, transform=None, nodata: float | None = 0, compression: str = "lzw") -> str:
