@@ -45,7 +45,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-    hung = both.join(low, "a")
+    hung = both.join(low.hint("merge"), "a")  # compressed tables look small: no round may broadcast its nodes
     if large:
         out = hung.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
@@ -58,8 +58,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE
 
     A graph of at most `one_task` edges is closed by one task; a larger one by alternating large-star and
     small-star rounds over tables in the shared checkpoint folder. Rounds grow with the logarithm of a
-    component's width, no neighbour list is ever built, and minima are combined before each shuffle. Nulls
-    and loops are dropped; an empty table gives no rows.
+    component's width, no neighbour list is ever built, minima are combined before each shuffle, and nothing is
+    broadcast. Nulls and loops are dropped; an empty table gives no rows.
     """
     pair = edges.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y"))
     now = materialise(pair.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where((F.col("a") != F.col("b")) & F.col("a").isNotNull()).distinct())
