@@ -32,3 +32,15 @@ def test_rounds_broadcast_nothing(spark, plans):
     assert got == {tuple(r) for r in closure.components(edges).collect()} and len(got) > 100
     ran = plans()
     assert any("SortMergeJoin" in text for text in ran) and not any("BroadcastHashJoin" in text for text in ran)
+
+
+def test_large_tables_relabel_by_a_shuffle(spark, plans, monkeypatch):
+    """A table beyond the broadcast bound is small as a file; without hot labels none of it is broadcast."""
+    rows = np.random.default_rng(3).integers(0, 200, (60, 60)).tolist()
+    table = {k: k // 3 + 1 for k in range(3, 200, 2)}
+    changes = materialise(spark.createDataFrame(list(table.items()), "label long, root long"))
+    monkeypatch.setattr(seams, "BROADCAST_ROWS", 0)
+    out = seams.apply_relabel(as_pixels(spark, rows), changes)
+    assert as_rows(out) == [[table.get(v, v) for v in row] for row in rows]
+    ran = plans()
+    assert any("SortMergeJoin" in text for text in ran) and not any("BroadcastHashJoin" in text for text in ran)

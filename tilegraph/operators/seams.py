@@ -83,8 +83,9 @@ def apply_relabel(pixels: DataFrame, table: DataFrame) -> DataFrame:
         return out.withColumn("label", F.coalesce("__root", label)).select(pixels.columns)
     px = pixels.withColumn("__label", label)
     sizes = px.where("__label > 0").groupBy("__label").agg(F.count("*").alias("__n"))
-    full = materialise(sizes.join(named, "__label", "left").withColumn("__root", F.coalesce("__root", "__label")))
-    out = join_by_key(px.where("__label > 0"), full, "__label", "__n").withColumn("label", F.col("__root"))
+    full = materialise(sizes.join(named.hint("merge"), "__label", "left").withColumn("__root", F.coalesce("__root", "__label")))
+    # the written table is compressed and may look small enough to Spark for a broadcast of all its rows
+    out = join_by_key(px.where("__label > 0"), full.hint("merge"), "__label", "__n").withColumn("label", F.col("__root"))
     return out.select(pixels.columns).unionByName(px.where("__label <= 0").withColumn("label", label).select(pixels.columns))
 
 
