@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tilegraph.operators import vector
+from tilegraph.operators import validity, vector
 from tilegraph.operators.validity import make_valid, valid_polygons
 
 
@@ -83,3 +83,25 @@ def test_features(spark):
         assert len(own) == CASES[name][1] and sum(r["area_m2"] for r in own) == pytest.approx(CASES[name][2]) and sorted(r["piece"] for r in own) == list(range(len(own)))
     assert not [r for r in got if r["label_id"] == 99]
     assert make_valid(spark.createDataFrame([], "wkb binary")).count() == 0
+
+
+def test_one_partition_is_dealt_out(spark):
+    """A table that comes in one partition is work for many tasks; rows of equal bytes keep their own other columns, null rows vanish."""
+    tie = vector.wkb_polygon([np.array([(0, 0), (4, 2), (4, 0), (0, 2), (0, 0)], dtype=float)])
+    rows = [(k, bytearray(tie) if k % 5 else None) for k in range(400)]
+    valid = make_valid(spark.createDataFrame(rows, "label_id long, wkb binary").coalesce(1))
+    assert valid.rdd.getNumPartitions() >= 8
+    got = valid.collect()
+    assert sorted((r["label_id"], r["piece"]) for r in got) == [(k, piece) for k in range(400) if k % 5 for piece in (0, 1)]
+    assert {vector.signed_area(vector.read_wkb(bytes(r["wkb"]))[0]) for r in got} == {2.0}
+
+
+def test_pairs_of_few_segments_are_those_of_the_sweep(monkeypatch):
+    rng = np.random.default_rng(8)
+    for n in (2, 7, 48):
+        ends = [[tuple(e) for e in s] for s in rng.integers(0, 30, (n, 2, 2)).tolist()]
+        listed = [(min(a, b), max(a, b)) for a, b in ends]
+        few = {frozenset(pair) for pair in validity._near(listed)}
+        monkeypatch.setattr(validity, "FEW", 0)
+        assert few == {frozenset(pair) for pair in validity._near(listed)}
+        monkeypatch.undo()
