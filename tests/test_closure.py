@@ -44,3 +44,20 @@ def test_large_tables_relabel_by_a_shuffle(spark, plans, monkeypatch):
     assert as_rows(out) == [[table.get(v, v) for v in row] for row in rows]
     ran = plans()
     assert any("SortMergeJoin" in text for text in ran) and not any("BroadcastHashJoin" in text for text in ran)
+
+
+def _grid(seed=6):
+    """A raster of tiles of 10 x 10 whose labels meet in many ways."""
+    rng = np.random.default_rng(seed)
+    return (np.kron(rng.integers(0, 4, (16, 16)), np.ones((5, 5), dtype=int)) + 10 * np.kron(np.arange(64).reshape(8, 8), np.ones((10, 10), dtype=int))).tolist()
+
+
+def test_merge_stats_of_a_large_graph(spark, plans, monkeypatch):
+    """Counts by distributed rounds are those of one task, and no round broadcasts."""
+    px = materialise(as_pixels(spark, _grid()))
+    one = seams.merge_stats(px, 10).first()
+    monkeypatch.setattr(seams, "components", partial(closure.components, one_task=0))
+    seen = len(plans())
+    assert seams.merge_stats(px, 10).first() == one and one["labels_merged"] > 50
+    ran = plans()[seen:]
+    assert any("SortMergeJoin" in text for text in ran) and not any("BroadcastHashJoin" in text for text in ran)
