@@ -61,3 +61,14 @@ def test_merge_stats_of_a_large_graph(spark, plans, monkeypatch):
     assert seams.merge_stats(px, 10).first() == one and one["labels_merged"] > 50
     ran = plans()[seen:]
     assert any("SortMergeJoin" in text for text in ran) and not any("BroadcastHashJoin" in text for text in ran)
+
+
+def test_relabel_table_of_a_large_graph(spark, plans, monkeypatch):
+    """The labels that change, by distributed rounds and by one task; the pairs reach no join by a broadcast."""
+    pairs = materialise(seams.chosen(as_pixels(spark, _grid(7)), 10))
+    one = {tuple(r) for r in seams.relabel_table(pairs).collect()}
+    monkeypatch.setattr(seams, "components", partial(closure.components, one_task=0))
+    seen = len(plans())
+    assert {tuple(r) for r in seams.relabel_table(pairs).collect()} == one and len(one) > 50
+    ran = plans()[seen:]
+    assert any("SortMergeJoin" in text for text in ran) and not any("BroadcastHashJoin" in text for text in ran)
